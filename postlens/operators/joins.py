@@ -20,3 +20,20 @@ def bounded_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
     if row_bound is not None and row_bound <= MAX_BROADCAST_ROWS:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work (tokenizing whole texts) enough tasks.
+
+    A scan yields one task per file split; a file written as a single row
+    group cannot be split at all.  When the plan has fewer partitions than
+    the cluster's parallelism, hash-repartition by ``key`` (so later
+    per-document aggregations on ``key`` reuse this partitioning instead of
+    shuffling again) or round-robin when there is no key.  Large inputs that
+    already split well are left alone.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
