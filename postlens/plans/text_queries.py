@@ -1 +1,278 @@
-"""Catalogue entries (filled in as operators land)."""
+"""Catalogue entries: tokenizer and text normalizers.
+
+Inputs are whole ``documents`` texts (or ``pages.html`` for entities) plus a
+handful of literal probe rows (negative ids) for features the tables lack
+(emoticons, emoji, times, URLs, entities, quotes, null / blank messages).
+Oracles restate look-around patterns for RE2 where needed (see SURVEY 5.3):
+a look-ahead for "blank or end" becomes a consumed ``(blank|end)`` group that
+is written back; ``\\w``/``\\d``/``\\s`` become explicit Unicode classes.
+"""
+
+from __future__ import annotations
+
+import html.entities
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed_values as fv
+from ..functions import text as tx
+from ..functions.tokenizer import DEFAULT, TokenizerConfig, lex, special_pattern, tokenize
+from ..plans import fixtures as fx
+from ..session import read_table
+from .registry import register
+
+# Probe rows (FIXTURES.md "small inline fixtures"): id, text.
+PROBES = [
+    (-1, "<3:p:D a\U0001F600b"), (-2, "#HateSpeech you#inlove #abc123"),
+    (-3, "see http://a.b/c and bit.ly or bit.ly, at 12:30 PM"),
+    (-4, "1234567abc 2nd 2024-01-01 1 / 2 call 555-123-4567 now"), (-5, "mail bob@x.com @someone_else_here_long"),
+    (-6, "sooooo hahahaha AAAAbbb"), (-7, "&amp;lt; &#65; &#x41; &nosuch; &#xZZ;"),
+    (-8, 'he said "stop it" and “no” then ＂x＂ and ‘a’ ok \'quoted bit\' end'),
+    (-9, "The THE the don t Won't ako ANG"), (-10, None), (-11, ""), (-12, "   "), (-13, "?!..."),
+    (-14, "wow... really.. $5.00 +1.5e3% -2"),
+]
+
+
+def _sql_str(s):
+    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+SQL_PROBES = "(VALUES " + ", ".join(f"({i}, {_sql_str(t)})" for i, t in PROBES) + ") AS p(id, text)"
+SQL_SRC = f"(SELECT doc_id AS id, text FROM documents UNION ALL SELECT id, text FROM {SQL_PROBES})"
+
+
+def probes(spark):
+    return spark.createDataFrame(PROBES, "id long, text string")
+
+
+def source(spark, sf_dir):
+    d = fx.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    return d.unionByName(probes(spark))
+
+
+# Unicode classes shared by both engines' restated patterns.
+WS = r"[\t\n\x{0B}\f\r\x{85}\p{Z}]"
+WORD = r"[\p{L}\p{N}_]"
+DIGIT = r"\p{Nd}"
+
+
+_CLASS_BODY = {"w": r"\p{L}\p{N}_", "d": r"\p{Nd}", "s": r"\t\n\x{0B}\f\r\x{85}\p{Z}"}
+
+
+def _re2(pattern: str) -> str:
+    r"""Python-syntax pattern without look-around -> RE2 with explicit Unicode
+    classes for ``\w \d \s \S`` (bracketed outside a class, spliced inside one)."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            nxt = pattern[i + 1]
+            if nxt in _CLASS_BODY:
+                body = _CLASS_BODY[nxt]
+                out.append(body if in_class else "[" + body + "]")
+            elif nxt == "S" and not in_class:
+                out.append("[^" + _CLASS_BODY["s"] + "]")
+            else:
+                out.append(pattern[i:i + 2])
+            i += 2
+            continue
+        if ch == "[" and not in_class:
+            in_class = True
+        elif ch == "]" and in_class:
+            in_class = False
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# -- entities -------------------------------------------------------------
+
+def _sql_entity_map() -> str:
+    items = ", ".join(f"{_sql_lit(k)}: {_sql_lit(chr(v))}" for k, v in sorted(html.entities.name2codepoint.items()))
+    return "MAP {" + items + "}"
+
+
+_ENT = r"&#?[\p{L}\p{N}_]+;"
+_DEC_ONE = f"""(CASE WHEN substring(x, 2, 1) = '#' THEN
+  CASE WHEN lower(substring(x, 3, 1)) = 'x' THEN
+    CASE WHEN regexp_full_match(regexp_replace(substring(x, 4, length(x) - 4), '^0+(.)', '\\1'), '[0-9a-fA-F]{{1,6}}')
+          AND CAST(('0x' || substring(x, 4, length(x) - 4)) AS BIGINT) <= 1114111
+         THEN chr(CAST(CAST(('0x' || substring(x, 4, length(x) - 4)) AS BIGINT) AS INTEGER)) ELSE x END
+  ELSE
+    CASE WHEN regexp_full_match(regexp_replace(substring(x, 3, length(x) - 3), '^0+(.)', '\\1'), '[0-9]{{1,7}}')
+          AND CAST(substring(x, 3, length(x) - 3) AS BIGINT) <= 1114111
+         THEN chr(CAST(substring(x, 3, length(x) - 3) AS INTEGER)) ELSE x END
+  END
+ELSE coalesce(element_at({_sql_entity_map()}, substring(x, 2, length(x) - 2))[1], x) END)"""
+
+
+@register("decode_entities", f"""
+WITH src AS (SELECT page_id AS id, html AS text FROM pages UNION ALL SELECT id, text FROM {SQL_PROBES}),
+e AS (SELECT id, text, regexp_extract_all(text, '{_ENT}') AS ents, regexp_split_to_array(text, '{_ENT}') AS parts FROM src)
+SELECT id, CASE WHEN text IS NULL THEN NULL WHEN len(ents) = 0 THEN text
+           ELSE parts[1] || array_to_string(list_transform(list_zip(list_transform(ents, lambda x: {_DEC_ONE}), parts[2:]),
+                                                            lambda z: z[1] || z[2]), '') END AS text
+FROM e""")
+def q_decode_entities(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    src = p.unionByName(probes(spark))
+    return src.select("id", tx.decode_entities("text").alias("text"))
+
+
+# -- quotes / masks / squeezes on whole messages ------------------------------
+
+def _quotes_re2() -> str:
+    spans = "|".join(f"({a}.*?{b})" for a, b in fv.DOUBLE_QUOTES)
+    return _re2(spans + "|" + fv.SINGLE_QUOTED_RE)
+
+
+@register("strip_quotes", f"SELECT id, regexp_replace(text, {_sql_lit(_quotes_re2())}, ' ', 'g') AS text FROM {SQL_SRC}")
+def q_strip_quotes(spark, sf_dir):
+    return source(spark, sf_dir).select("id", tx.strip_quotes("text").alias("text"))
+
+
+def _mask_sql(kind: str, lookahead: bool) -> str:
+    pat = tx.MASK_PATTERNS[kind]()
+    tok = tx.MASK_TOKENS[kind]
+    if lookahead:
+        body = pat.replace(r"(?=\s+|$)", "")
+        return (f"SELECT id, regexp_replace(text, {_sql_lit('(' + _re2(body) + ')(' + WS + '|$)')}, "
+                f"{_sql_lit(tok + chr(92) + '2')}, 'g') AS text FROM {SQL_SRC}")
+    return f"SELECT id, regexp_replace(text, {_sql_lit(_re2(pat))}, {_sql_lit(tok)}, 'g') AS text FROM {SQL_SRC}"
+
+
+def _mask_query(kind):
+    def q(spark, sf_dir):
+        return source(spark, sf_dir).select("id", tx.mask("text", kind).alias("text"))
+    q.__name__ = f"q_mask_{kind}"
+    return q
+
+
+for _kind, _name, _la in (("username", "mask_usernames", False), ("url", "mask_urls", True),
+                          ("time", "mask_times", False), ("phone", "mask_phones", True),
+                          ("number", "mask_numbers", False)):
+    register(_name, _mask_sql(_kind, _la))(_mask_query(_kind))
+
+
+@register("squeeze_ellipsis", f"SELECT id, regexp_replace(text, '\\.{{2,}}', '...', 'g') AS text FROM {SQL_SRC}")
+def q_squeeze_ellipsis(spark, sf_dir):
+    return source(spark, sf_dir).select("id", tx.squeeze_ellipsis("text").alias("text"))
+
+
+def _letters_sql(expr: str, n: int = 3) -> str:
+    # RE2 has no back-references: one replacement per ASCII letter (runs of
+    # different letters never overlap, so the result is the same).
+    for ch in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        expr = f"regexp_replace({expr}, '{ch}{{3,}}', '{ch * n}', 'g')"
+    return expr
+
+
+@register("squeeze_letters", f"SELECT id, {_letters_sql('text')} AS text FROM {SQL_SRC}")
+def q_squeeze_letters(spark, sf_dir):
+    return source(spark, sf_dir).select("id", tx.squeeze_letters("text", 3).alias("text"))
+
+
+_ASCII_WORDS = "regexp_extract_all(text, '[a-zA-Z]+')"
+
+
+@register("fold_case", f"""
+SELECT id, array_to_string(list_transform({_ASCII_WORDS},
+         lambda w: CASE WHEN upper(w) = w AND lower(w) <> w THEN w ELSE lower(w) END), ' ') AS text
+FROM {SQL_SRC}""")
+def q_fold_case(spark, sf_dir):
+    words = F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), 0)
+    return source(spark, sf_dir).select(
+        "id", F.array_join(F.transform(words, lambda w: tx.fold_case(w)), " ").alias("text"))
+
+
+def _sql_list(items) -> str:
+    return "[" + ", ".join(_sql_lit(w) for w in items) + "]"
+
+
+@register("filter_stopwords", f"""
+SELECT id, array_to_string(list_filter({_ASCII_WORDS}, lambda t: NOT list_contains({_sql_list(fv.STOPWORDS_EN)}, t)), ' ') AS text
+FROM {SQL_SRC}""")
+def q_filter_stopwords(spark, sf_dir):
+    words = F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), 0)
+    return source(spark, sf_dir).select("id", F.array_join(tx.filter_stopwords(words), " ").alias("text"))
+
+
+_NOWS = r"\t\n\x{0B}\f\r\x{85}\p{Z}"
+_WORDS_PUNCT = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_NOWS}]+"
+
+
+@register("filter_stopwords_bilingual", f"""
+SELECT id, array_to_string(list_filter(regexp_extract_all(text, {_sql_lit(_WORDS_PUNCT)}),
+         lambda t: NOT list_contains({_sql_list(sorted(set(fv.STOPWORDS_TL) | set(fv.STOPWORDS_EN)))}, lower(t))
+                   AND strpos({_sql_lit(fv.ASCII_PUNCTUATION)}, t) = 0), ' ') AS text
+FROM {SQL_SRC}""")
+def q_filter_bilingual(spark, sf_dir):
+    toks = F.regexp_extract_all("text", F.lit(_WORDS_PUNCT), 0)
+    return source(spark, sf_dir).select("id", F.array_join(tx.filter_bilingual(toks), " ").alias("text"))
+
+
+@register("flatten_join", f"""
+SELECT id, array_to_string(flatten(list_transform(string_split(text, chr(10)), lambda l: string_split(l, ' '))), ' ') AS text
+FROM {SQL_SRC}""")
+def q_flatten_join(spark, sf_dir):
+    nested = F.transform(F.split("text", "\n"), lambda l: F.split(l, " "))
+    return source(spark, sf_dir).select("id", tx.flatten_join(nested).alias("text"))
+
+
+# -- tokenizer (Java look-around / back-references: rows-only + goldens) ----
+
+def tokenized(spark, sf_dir, cfg: TokenizerConfig = DEFAULT):
+    from ..operators.joins import spread
+    src = spread(source(spark, sf_dir), "id")
+    return src.select("id", tokenize("text", cfg).alias("tokens"))
+
+
+@register("lex_tokens")
+def q_lex_tokens(spark, sf_dir):
+    from ..operators.joins import spread
+    src = spread(source(spark, sf_dir), "id")
+    return src.select("id", F.array_join(F.coalesce(lex(tx.decode_entities("text")), F.array()), " ").alias("lexed"))
+
+
+@register("tokenize_set")
+def q_tokenize_set(spark, sf_dir):
+    t = tokenized(spark, sf_dir)
+    return t.select("id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@register("split_hashtag")
+def q_split_hashtag(spark, sf_dir):
+    t = tokenized(spark, sf_dir)
+    return t.filter(F.col("id") < 0).select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@register("split_emoticons")
+def q_split_emoticons(spark, sf_dir):
+    """Emoticons, emoji and punctuation the splitter emitted, per message."""
+    special = tx.jre("^" + special_pattern() + "$")
+    t = tokenized(spark, sf_dir)
+    return t.select("id", F.array_join(F.filter("tokens", lambda x: x.rlike(special)), " ").alias("specials"))
+
+
+@register("token_policy")
+def q_token_policy(spark, sf_dir):
+    cfg = DEFAULT.update(usernames="", urls=False, numbers="REMOVE", times="<time>", phonenumbers="PHONE")
+    t = tokenized(spark, sf_dir, cfg)
+    return t.select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@register("squeeze_syllables")
+def q_squeeze_syllables(spark, sf_dir):
+    words = F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), 0)
+    return source(spark, sf_dir).select(
+        "id", F.array_join(F.transform(words, lambda w: tx.squeeze_syllables(w, 3)), " ").alias("text"))
+
+
+@register("nonstring_policy")
+def q_nonstring_policy(spark, sf_dir):
+    t = tokenized(spark, sf_dir)
+    return t.select("id", F.size("tokens").alias("n_tokens")).filter(F.col("n_tokens") == 0)
