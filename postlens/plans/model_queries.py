@@ -1 +1,140 @@
-"""Catalogue entries (filled in as operators land)."""
+"""Catalogue entries: model fit / score / stack / persistence.
+
+Learners are not deterministic across engines, so these are rows-only checks
+(plus the pytest properties).  Iteration counts are kept small here (10
+boosting rounds) so the check stays fast; the operators' defaults are the
+reference's settings.  ``tfidf_vector`` has an exact oracle: its non-zero
+entries must equal the long-form TF-IDF weights.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.features import tfidf_analyze
+from ..functions.mathx import quantize
+from ..operators import models, splits, stack, vocab
+from ..sources.sinks import load_model, save_model, scratch_path
+from . import fixtures as fx
+from .feature_queries import K, _TFIDF_CTE, train_model
+from .registry import register
+from .sqlfrag import q6
+
+QUICK = dict(max_iter=10, max_depth=4)
+
+
+def _vectors(spark, sf_dir, k=K):
+    """Labelled documents with TF-IDF vectors (vocabulary fitted on the train split)."""
+    model = train_model(spark, sf_dir, k)
+    lab = fx.labelled_messages(spark, sf_dir).select("doc_id", tfidf_analyze("text").alias("tokens"), "label")
+    lab = splits.label_split(lab)
+    return vocab.tfidf_vector(lab, model, "tokens", "features")
+
+
+@register("tfidf_vector", f"""
+WITH {_TFIDF_CTE}
+SELECT w.doc_id, w.idx, {q6("w.w / nrm.nrm")} AS weight FROM w JOIN nrm ON w.doc_id = nrm.doc_id""")
+def q_tfidf_vector(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    model = train_model(spark, sf_dir)
+    docs = fx.documents(spark, sf_dir).select("doc_id", tfidf_analyze("text").alias("tokens"))
+    v = vocab.tfidf_vector(docs, model, "tokens", "features")
+    arr = v.select("doc_id", F.posexplode(vector_to_array("features")).alias("idx", "weight"))
+    return arr.filter(F.col("weight") != 0).select("doc_id", F.col("idx").cast("int").alias("idx"),
+                                                   quantize("weight").alias("weight"))
+
+
+@register("fit_boosted")
+def q_fit_boosted(spark, sf_dir):
+    data = _vectors(spark, sf_dir)
+    m = models.fit_boosted(data.filter(F.col("split") == "train"), **QUICK)
+    return spark.createDataFrame([(m.getNumTrees, m.numFeatures, float(sum(m.treeWeights)))],
+                                 "n_trees int, n_features int, weight_sum double")
+
+
+@register("score_boosted")
+def q_score_boosted(spark, sf_dir):
+    data = _vectors(spark, sf_dir)
+    m = models.fit_boosted(data.filter(F.col("split") == "train"), **QUICK)
+    return models.score(m, data, keep=("label", "split"))
+
+
+def _dense(spark, sf_dir):
+    from pyspark.ml.functions import array_to_vector
+    e = fx.embeddings(spark, sf_dir)
+    e = splits.label_split(e, key="vec_id")
+    return e.select("vec_id", array_to_vector("embedding").alias("features"), "label", "split")
+
+
+@register("fit_dense")
+def q_fit_dense(spark, sf_dir):
+    d = _dense(spark, sf_dir)
+    m = models.fit_dense(d.filter(F.col("split") == "train"), max_iter=30)
+    return spark.createDataFrame([(list(m.getLayers()), int(m.numFeatures), int(m.numClasses))],
+                                 "layers array<int>, n_features int, n_classes int")
+
+
+@register("score_dense")
+def q_score_dense(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    d = _dense(spark, sf_dir)
+    m = models.fit_dense(d.filter(F.col("split") == "train"), max_iter=30)
+    out = m.transform(d)
+    return out.select("vec_id", "label", "split", F.col("prediction").cast("int").alias("prediction"),
+                      models.argmax_prediction(vector_to_array("rawPrediction")).alias("argmax"))
+
+
+def _stacked(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    e = fx.embeddings(spark, sf_dir)
+    width = len(e.select("embedding").head()[0])
+    return stack.stack_vectors(v, e, K, width)
+
+
+@register("fit_meta")
+def q_fit_meta(spark, sf_dir):
+    s = _stacked(spark, sf_dir)
+    m = models.fit_meta(s.filter(F.col("split") != "test"), max_iter=200)
+    return spark.createDataFrame([(int(m.numFeatures), int(m.summary.totalIterations))],
+                                 "n_features int, iterations int")
+
+
+@register("score_meta")
+def q_score_meta(spark, sf_dir):
+    s = _stacked(spark, sf_dir)
+    m = models.fit_meta(s.filter(F.col("split") != "test"), max_iter=200)
+    return models.score(m, s, keep=("label", "split"))
+
+
+@register("stack_oof")
+def q_stack_oof(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    meta, oof = models.stack_oof(v, lambda d: models.fit_boosted(d, **QUICK, num_classes=2), "features", k=3)
+    return models.score(meta, oof, keep=("label",))
+
+
+@register("refit_meta")
+def q_refit_meta(spark, sf_dir):
+    s = _stacked(spark, sf_dir)
+    train = s.filter(F.col("split") == "train")
+    val = s.filter(F.col("split") == "validate")
+    m = models.fit_meta(train, max_iter=200)
+    m2 = models.refit_meta(m, val.select("meta_features", F.col("label").cast("double").alias("label")))
+    overlap = splits.split_overlap(train.select("doc_id"), val.select("doc_id"), ["doc_id"])
+    scored = models.score(m2, val, keep=("label",))
+    # the leak guard travels with the result as a scalar column (0 here)
+    return scored.withColumn("n_shared_keys", overlap.select("n_shared").scalar())
+
+
+@register("save_model")
+def q_save_model(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    v = _vectors(spark, sf_dir)
+    pipe = Pipeline(stages=[LogisticRegression(featuresCol="features", labelCol="label", maxIter=50)])
+    fitted = pipe.fit(v.filter(F.col("split") == "train").withColumn("label", F.col("label").cast("double")))
+    path = save_model(fitted, scratch_path(spark, "model"), version="v1")
+    loaded = load_model(path)
+    a = models.score(fitted, v).select("doc_id", F.col("prediction").alias("before"))
+    b = models.score(loaded, v).select("doc_id", F.col("prediction").alias("after"))
+    return a.join(b, "doc_id").withColumn("equal", F.col("before") == F.col("after"))

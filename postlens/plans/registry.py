@@ -28,5 +28,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import (eval_queries, feature_queries, model_queries,  # noqa: F401
+    from . import (eval_queries, feature_queries, io_queries, model_queries,  # noqa: F401
                    prep_queries, stream_queries, text_queries)
