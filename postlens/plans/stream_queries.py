@@ -1 +1,55 @@
-"""Catalogue entries (filled in as operators land)."""
+"""Catalogue entries: streaming tokenizer and scorer.
+
+The driver tables are read as a file-source stream (``availableNow``), written
+to a file sink and read back; the result must equal the batch result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.features import tfidf_analyze
+from ..operators import splits, vocab
+from ..session import read_table
+from ..streaming.pipelines import drain, read_stream, score_stream, tokenize_stream
+from . import fixtures as fx
+from .registry import register
+
+
+@register("tokenize_stream")
+def q_tokenize_stream(spark, sf_dir):
+    path = f"{sf_dir.rstrip('/')}/conversations.parquet"
+    schema = read_table(spark, sf_dir, "conversations").schema
+    s = read_stream(spark, path, schema)
+    toks = tokenize_stream(s.withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn")),
+                           keep=("conv_id", "turn", "role"))
+    out = drain(spark, toks, "tokenize-stream")
+    return out.select("conv_id", "turn", "role", F.size("tokens").alias("n_tokens"),
+                      F.array_join("tokens", " ").alias("tokens"))
+
+
+@register("score_stream")
+def q_score_stream(spark, sf_dir):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
+    from pyspark.ml.linalg import Vectors
+
+    # fit a small sparse pipeline in batch ...
+    docs = splits.label_split(fx.labelled_messages(spark, sf_dir))
+    train = docs.filter(F.col("split") == "train").select(tfidf_analyze("text").alias("tokens"))
+    model = vocab.fit_tfidf(train, "tokens", 2048)
+    rows = model.orderBy("idx").collect()
+    analyze = SQLTransformer(statement="SELECT *, regexp_extract_all(lower(coalesce(text, '')), "
+                                       "'[\\\\p{L}\\\\p{N}_]{2,}', 0) AS tokens FROM __THIS__")
+    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="tokens", outputCol="tf")
+    ep = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="tf", outputCol="tfidf")
+    nm = Normalizer(p=2.0, inputCol="tfidf", outputCol="features")
+    feats = PipelineModel(stages=[analyze, cv, ep, nm])
+    lr = Pipeline(stages=[LogisticRegression(maxIter=50)]).fit(
+        feats.transform(docs.filter(F.col("split") == "train")).withColumn("label", F.col("label").cast("double")))
+    full = PipelineModel(stages=[*feats.stages, *lr.stages])
+    # ... and apply it to the documents table read as a stream
+    schema = read_table(spark, sf_dir, "documents").schema
+    s = read_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet", schema)
+    return drain(spark, score_stream(full, s, "doc_id"), "score-stream")
