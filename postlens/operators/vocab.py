@@ -17,17 +17,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import term_counts, term_firsts
 from ..functions.fixed_values import TFIDF_MAX_FEATURES
 from .joins import bounded_broadcast
 
 
 def term_stats(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``(term, tf, df)``: corpus term frequency and document frequency."""
+    """``(term, tf, df)``: corpus term frequency and document frequency.
+
+    Each row emits its tokens (flag 0) and its distinct tokens (flag 1); one
+    aggregation with map-side combine counts both, so a hot term costs one
+    row per map task in the shuffle.
+    """
+    both = F.concat(
+        F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"))),
+        F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))))
     return (
-        df.select(F.explode(term_firsts(tokens)).alias("e"))
+        df.select(F.explode(both).alias("e"))
         .groupBy(F.col("e.term").alias("term"))
-        .agg(F.count(F.lit(1)).alias("tf"), F.sum("e.first").cast("long").alias("df"))
+        .agg(F.sum(F.lit(1) - F.col("e.d")).cast("long").alias("tf"), F.sum("e.d").cast("long").alias("df"))
     )
 
 
@@ -66,16 +73,21 @@ def tfidf_entries(df: DataFrame, model: DataFrame, key: str = "doc_id",
     L2-normalized; rows whose tokens hit no vocabulary term get ``[]``.
 
     ``model`` is the output of :func:`fit_tfidf` (at most ``k`` rows, which is
-    what licenses the broadcast).
+    what licenses the broadcast).  Plan: explode -> broadcast hash join (drops
+    out-of-vocabulary tokens before any shuffle) -> count per (key, idx) ->
+    collect per key.  Both aggregations are keyed by the document, so input
+    already hash-partitioned by ``key`` needs no exchange at all; otherwise
+    each shuffles at most one row per (document, vocabulary term), and a
+    document holds at most ``k`` entries.
     """
-    voc = bounded_broadcast(model.select("term", "idx", "idf"), k)
-    pairs = df.select(key, F.explode_outer(term_counts(tokens)).alias("e")).select(
-        key, F.col("e.term").alias("term"), F.col("e.cnt").alias("cnt"))
-    w = (F.col("cnt") * F.col("idf")).alias("w")
-    scored = pairs.join(voc, "term", "left").select(key, "idx", w)
-    agg = scored.groupBy(key).agg(
-        F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "w"))).alias("raw"),
-        F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0.0)).alias("ss"),
+    voc = bounded_broadcast(model.select(F.col("term").alias("_t"), "idx", "idf"), k)
+    toks = df.select(key, F.explode_outer(tokens).alias("_t"))
+    hits = toks.join(voc, "_t", "left").select(key, "idx", "idf")
+    counts = hits.groupBy(key, "idx").agg(F.count(F.lit(1)).alias("cnt"), F.first("idf").alias("idf"))
+    w = F.col("cnt") * F.col("idf")
+    agg = counts.groupBy(key).agg(
+        F.collect_list(F.when(F.col("idx").isNotNull(), F.struct(F.col("idx"), w.alias("w")))).alias("raw"),
+        F.coalesce(F.sum(w * w), F.lit(0.0)).alias("ss"),
     )
     norm = F.sqrt(F.col("ss"))
     entries = F.transform(

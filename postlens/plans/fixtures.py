@@ -15,7 +15,10 @@ from ..session import read_table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    """The message table, spread over the cluster by ``doc_id`` when the scan
+    alone would give too few tasks for whole-text work (see ``spread``)."""
+    from ..operators.joins import spread
+    return spread(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
