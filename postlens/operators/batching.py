@@ -53,23 +53,42 @@ def shuffled_positions(df: DataFrame, key: str = "doc_id", seed: int = 0,
 
 
 def running_loss(log: DataFrame, part: str, order: list, value: str, every: int = 10,
-                 trailing: int = 10) -> DataFrame:
+                 trailing: int = 10, chunks: int | None = None) -> DataFrame:
     """Per-``part`` running metric over ``order``: step number, cumulative sum,
     trailing mean of the last ``trailing`` values, the cumulative sum divided
     by the report interval (what a loss printed every ``every`` steps without
     resetting its accumulator shows) and a flag on report steps.
 
-    The window shuffles once on ``part`` and evaluates all four frames from
-    the same sorted partition.
+    Skew-safe: a single ``part`` value may hold a large share of the rows, so
+    the work is not one window per ``part``.  Rows are range-partitioned on
+    ``(part, order)`` -- the sampled boundaries split a hot ``part`` into
+    several chunks -- and the chunk id is fixed by a checkpoint.  Windows run
+    per ``(part, chunk)`` (bounded by one range partition); per-chunk totals
+    (one row per chunk) give each chunk its offsets; the trailing mean is the
+    difference of two running sums, found by an equi-join on the unique
+    ``(part, step)``.
     """
-    w = Window.partitionBy(part).orderBy(*order)
+    spark = log.sparkSession
+    n = chunks or _shuffle_partitions(log)
+    keyed = log.repartitionByRange(n, F.col(part), *[F.col(c) for c in order]).withColumn(
+        "_chunk", F.spark_partition_id())
+    keyed = cut_lineage(keyed)
+    w = Window.partitionBy(part, "_chunk").orderBy(*order)
     cum = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    trail = w.rowsBetween(-(trailing - 1), Window.currentRow)
-    out = log.select(
-        "*",
-        F.row_number().over(w).cast("long").alias("step"),
-        F.sum(value).over(cum).alias("running_sum"),
-        F.avg(value).over(trail).alias("trailing_mean"),
-    )
+    local = keyed.select("*", F.row_number().over(w).alias("_ls"), F.sum(value).over(cum).alias("_lsum"))
+    tot = keyed.groupBy(part, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    before = Window.partitionBy(part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(part, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_on"),
+                      F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_os"))
+    ran = local.join(offs, [part, "_chunk"]).select(
+        *log.columns,
+        (F.col("_on") + F.col("_ls")).cast("long").alias("step"),
+        (F.col("_os") + F.col("_lsum")).alias("running_sum"))
+    prev = ran.select(F.col(part).alias("_p"), (F.col("step") + F.lit(trailing)).alias("_step"),
+                      F.col("running_sum").alias("_prev_sum"))
+    j = ran.join(prev, (ran[part] == prev["_p"]) & (ran["step"] == prev["_step"]), "left")
+    width = F.least(F.col("step"), F.lit(trailing)).cast("double")
+    trail = (F.col("running_sum") - F.coalesce("_prev_sum", F.lit(0.0))) / width
+    out = j.select(*log.columns, "step", "running_sum", trail.alias("trailing_mean"))
     return out.withColumn("reported_loss", F.col("running_sum") / F.lit(float(every))).withColumn(
         "reported", (F.col("step") % every) == 0)

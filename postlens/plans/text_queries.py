@@ -276,3 +276,12 @@ def q_squeeze_syllables(spark, sf_dir):
 def q_nonstring_policy(spark, sf_dir):
     t = tokenized(spark, sf_dir)
     return t.select("id", F.size("tokens").alias("n_tokens")).filter(F.col("n_tokens") == 0)
+
+
+@register("split_punctuation")
+def q_split_punctuation(spark, sf_dir):
+    """Single punctuation tokens the splitter emitted, per message."""
+    punct = fv.SPLIT_PUNCTUATION + "".join(a + b for a, b in fv.DOUBLE_QUOTES)
+    t = tokenized(spark, sf_dir)
+    return t.select("id", F.array_join(F.filter("tokens", lambda x: (F.length(x) == 1) & F.lit(punct).contains(x)),
+                                       " ").alias("punctuation"))

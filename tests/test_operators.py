@@ -74,3 +74,21 @@ def test_models_roundtrip(spark):
     assert s.count() == e.count()
     probs = m.transform(e).select("probability").collect()
     assert all(abs(sum(r.probability) - 1.0) < 1e-9 for r in probs)
+
+
+def test_running_loss_hot_key_matches_plain_window(spark):
+    """A third of the rows on one key: chunked result equals one window per key."""
+    from pyspark.sql import Window
+    ev = fx.events(spark, SF01).select(
+        F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")).alias("user_id"),
+        "event_id", "ts", "value")
+    got = batching.running_loss(ev, "user_id", ["ts", "event_id"], "value")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    want = ev.select("event_id", F.row_number().over(w).alias("step"),
+                     F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("rs"),
+                     F.avg("value").over(w.rowsBetween(-9, 0)).alias("tm"))
+    j = got.join(want, "event_id")
+    assert j.count() == ev.count()
+    bad = j.filter((got["step"] != want["step"]) | (F.abs(F.col("running_sum") - F.col("rs")) > 1e-6)
+                   | (F.abs(F.col("trailing_mean") - F.col("tm")) > 1e-6)).count()
+    assert bad == 0
