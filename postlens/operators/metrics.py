@@ -39,16 +39,24 @@ def confusion_wide(scored: DataFrame, classes: list[int], label: str = "label",
 
 
 def per_class(conf: DataFrame) -> DataFrame:
-    """``(label, tp, support, predicted)`` for every class seen as truth or prediction."""
-    true_side = conf.groupBy(F.col("label").alias("cls")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"))
-    pred_side = conf.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    return (true_side.join(pred_side, "cls", "full")
-            .select(F.col("cls").alias("label"),
-                    F.coalesce("tp", F.lit(0)).cast("long").alias("tp"),
-                    F.coalesce("support", F.lit(0)).cast("long").alias("support"),
-                    F.coalesce("predicted", F.lit(0)).cast("long").alias("predicted")))
+    """``(label, tp, support, predicted)`` for every class seen as truth or prediction.
+
+    Each confusion cell contributes to its true class (support, tp) and to its
+    predicted class (predicted); one aggregation over the exploded cells, so
+    the confusion table is computed once and no join is needed.
+    """
+    cells = F.array(
+        F.struct(F.col("label").alias("cls"), F.col("n").alias("support"),
+                 F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0)).alias("tp"),
+                 F.lit(0).cast("long").alias("predicted")),
+        F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("long").alias("support"),
+                 F.lit(0).cast("long").alias("tp"), F.col("n").alias("predicted")),
+    )
+    e = conf.select(F.explode(cells).alias("e"))
+    return e.groupBy(F.col("e.cls").alias("label")).agg(
+        F.sum("e.tp").cast("long").alias("tp"),
+        F.sum("e.support").cast("long").alias("support"),
+        F.sum("e.predicted").cast("long").alias("predicted"))
 
 
 def class_report(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
