@@ -46,13 +46,11 @@ def split_overlap(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame
     """Leak guard: rows of ``left`` whose ``on`` values also occur in ``right``.
 
     One row ``(n_left, n_right, n_shared)``.  The right side is de-duplicated
-    (partial aggregation) before the left-semi join, so a hot key costs one
-    row there; AQE splits a hot key on the left.
+    (partial aggregation) and flagged; a left outer join then counts left rows
+    and hits in one aggregation.  De-duplication means a hot key costs one row
+    on the right; AQE splits a hot key on the left.
     """
-    r = right.select(*on).dropDuplicates(on)
-    shared = left.join(r, on=on, how="left_semi")
-    return (
-        left.agg(F.count(F.lit(1)).alias("n_left"))
-        .select("n_left", right.select(F.count(F.lit(1))).scalar().alias("n_right"),
-                shared.select(F.count(F.lit(1))).scalar().alias("n_shared"))
-    )
+    r = right.select(*on).dropDuplicates(on).withColumn("_hit", F.lit(1))
+    counted = left.select(*on).join(r, on=on, how="left").agg(
+        F.count(F.lit(1)).alias("n_left"), F.coalesce(F.sum("_hit"), F.lit(0)).cast("long").alias("n_shared"))
+    return counted.select("n_left", right.select(F.count(F.lit(1))).scalar().alias("n_right"), "n_shared")

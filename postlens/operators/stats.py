@@ -47,10 +47,18 @@ def mcnemar(truth: DataFrame, pred_a: DataFrame, pred_b: DataFrame, key: str = "
 
 
 def cohens_d(a: DataFrame, b: DataFrame, value: str = "correct") -> DataFrame:
-    """Standardized mean difference of two per-row score samples (pooled sd)."""
-    sa = a.agg(F.count(value).alias("n_a"), F.avg(value).alias("mean_a"), F.var_samp(value).alias("var_a"))
-    sb = b.agg(F.count(value).alias("n_b"), F.avg(value).alias("mean_b"), F.var_samp(value).alias("var_b"))
-    row = sa.select("*", *[sb.select(c).scalar().alias(c) for c in ("n_b", "mean_b", "var_b")])
+    """Standardized mean difference of two per-row score samples (pooled sd).
+
+    Both samples are tagged and unioned, then one aggregation computes the
+    six moments with conditional aggregates (one pass, partial + final).
+    """
+    u = a.select(F.lit("a").alias("_s"), F.col(value).alias("_v")).unionByName(
+        b.select(F.lit("b").alias("_s"), F.col(value).alias("_v")))
+    aggs = []
+    for tag in ("a", "b"):
+        v = F.when(F.col("_s") == tag, F.col("_v"))
+        aggs += [F.count(v).alias(f"n_{tag}"), F.avg(v).alias(f"mean_{tag}"), F.var_samp(v).alias(f"var_{tag}")]
+    row = u.agg(*aggs)
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b"))
                     / (F.col("n_a") + F.col("n_b") - 2))
     d = F.when(pooled > 0, (F.col("mean_a") - F.col("mean_b")) / pooled).otherwise(F.lit(0.0))
