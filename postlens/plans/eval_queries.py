@@ -171,3 +171,21 @@ def q_leaderboard(spark, sf_dir):
     q = board.select("model", *[quantize(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
     from pyspark.sql import Window
     return q.withColumn("rank", F.rank().over(Window.orderBy(F.desc("f1"))))
+
+
+@register("confusion_wide", f"""
+SELECT label, CAST(sum(CASE WHEN prediction = 0 THEN n ELSE 0 END) AS BIGINT) AS "0",
+       CAST(sum(CASE WHEN prediction = 1 THEN n ELSE 0 END) AS BIGINT) AS "1"
+FROM (SELECT label, prediction, count(*) AS n FROM {_SCORED_B} GROUP BY label, prediction) c GROUP BY label""")
+def q_confusion_wide(spark, sf_dir):
+    return metrics.confusion_wide(scored_b(spark, sf_dir), [0, 1])
+
+
+@register("argmax_scores", """
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS prediction FROM embeddings""")
+def q_argmax_scores(spark, sf_dir):
+    """The dense scorer's argmax (first index of the largest class score),
+    applied to the pooled vectors as score vectors."""
+    from ..operators.models import argmax_prediction
+    e = fx.embeddings(spark, sf_dir)
+    return e.select("vec_id", argmax_prediction("embedding").alias("prediction"))

@@ -272,8 +272,12 @@ def q_squeeze_syllables(spark, sf_dir):
         "id", F.array_join(F.transform(words, lambda w: tx.squeeze_syllables(w, 3)), " ").alias("text"))
 
 
-@register("nonstring_policy")
+@register("nonstring_policy", f"""
+SELECT id, CAST(0 AS INTEGER) AS n_tokens FROM {SQL_SRC}
+WHERE text IS NULL OR regexp_full_match(text, '[{_CLASS_BODY["s"]}#]*')""")
 def q_nonstring_policy(spark, sf_dir):
+    """Messages that yield no token: null text (non-string policy) and, with
+    the default replacements, text made only of blanks and '#'."""
     t = tokenized(spark, sf_dir)
     return t.select("id", F.size("tokens").alias("n_tokens")).filter(F.col("n_tokens") == 0)
 
