@@ -164,28 +164,30 @@ def _replacement(tok: Column, value) -> Column:
     return F.array(_keep(F.lit(str(value))))
 
 
-def _mark(tok: Column) -> Column:
-    """A piece that still has to be cleaned (squeezed and case-folded)."""
-    return F.struct(tok.alias("t"), F.lit(True).alias("c"))
+# Pieces are strings.  A piece to emit as it is carries a leading blank: no
+# lexed token or split piece starts with a blank (the lexer never starts a
+# token at whitespace), so the mark is unambiguous and costs no struct.
+_KEEP = " "
+_PIECES = "array<string>"
 
 
-def _keep(tok: Column) -> Column:
-    """A piece emitted exactly as it is."""
-    return F.struct(tok.alias("t"), F.lit(False).alias("c"))
+def _mark(tok: Column, cfg: TokenizerConfig) -> Column:
+    """A piece to clean: squeezed here (``tok`` is a lambda variable, so each
+    regex runs once); case folding follows in :func:`_clean_pieces`."""
+    n = cfg.normalize
+    return squeeze_syllables(squeeze_letters(tok, n), n)
 
 
-_PIECES = "array<struct<t:string,c:boolean>>"
+def _keep(tok: Column) -> Column:
+    """A piece emitted exactly as it is."""
+    return F.concat(F.lit(_KEEP), tok)
 
 
 def _clean_pieces(pieces: Column, cfg: TokenizerConfig) -> Column:
-    """Clean the marked pieces: squeeze in one pass, fold case in a second, so
-    each lambda touches a variable rather than re-running the regexes."""
-    n = cfg.normalize
-    squeezed = F.transform(pieces, lambda e: F.struct(
-        F.when(e["c"], squeeze_syllables(squeeze_letters(e["t"], n), n)).otherwise(e["t"]).alias("t"),
-        e["c"].alias("c")))
-    return F.transform(squeezed, lambda e: F.when(
-        e["c"], fold_case(e["t"], cfg.lowercase, cfg.allcapskeep)).otherwise(e["t"]))
+    """Fold the case of squeezed pieces and drop the keep-marks (one pass over
+    lambda variables)."""
+    return F.transform(pieces, lambda e: F.when(
+        e.startswith(_KEEP), F.substring(e, 2, 1 << 30)).otherwise(fold_case(e, cfg.lowercase, cfg.allcapskeep)))
 
 
 def split_other(tok: Column, cfg: TokenizerConfig = DEFAULT) -> Column:
@@ -193,15 +195,15 @@ def split_other(tok: Column, cfg: TokenizerConfig = DEFAULT) -> Column:
     cleaned runs of everything else."""
     special_prefix = "^" + special_pattern(cfg)
     pieces = F.regexp_extract_all(tok, F.lit(splitter_pattern(cfg)), 0)
-    split = F.transform(pieces, lambda p: F.when(p.rlike(jre(special_prefix)), _keep(p)).otherwise(_mark(p)))
+    split = F.transform(pieces, lambda p: F.when(p.rlike(jre(special_prefix)), _keep(p)).otherwise(_mark(p, cfg)))
     # no character that can start a special piece: the token is one run
-    return F.when(tok.rlike(jre(special_first_class(cfg))), split).otherwise(F.array(_mark(tok)))
+    return F.when(tok.rlike(jre(special_first_class(cfg))), split).otherwise(F.array(_mark(tok, cfg)))
 
 
 def classify_token(tok: Column, cfg: TokenizerConfig = DEFAULT) -> Column:
     """One lexed token -> pieces ``array<struct<t, c>>`` (0, 1 or several;
     ``c`` marks pieces still to be cleaned)."""
-    expr = F.when(tok.rlike(r"^[a-zA-Z]+$"), F.array(_mark(tok)))
+    expr = F.when(tok.rlike(r"^[a-zA-Z]+$"), F.array(_mark(tok, cfg)))
     # every class starts with '@', '+', '-', '$', '(', an ASCII letter or a
     # digit; other tokens skip the five class patterns.
     maybe = tok.rlike(jre(r"^[@+\-$(A-Za-z\d]"))
