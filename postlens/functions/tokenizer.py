@@ -214,6 +214,13 @@ def classify_token(tok: Column, cfg: TokenizerConfig = DEFAULT) -> Column:
     return expr.otherwise(split_other(tok, cfg))
 
 
+def quotes_pattern_python() -> str:
+    """The quote pattern in Python syntax (what :func:`strip_quotes` compiles
+    for the JVM with Python-compatible flags)."""
+    from .text import quotes_pattern
+    return quotes_pattern()[len("(?dU)"):]
+
+
 def lex(text, cfg: TokenizerConfig = DEFAULT) -> Column:
     """Raw lexer output (before classification)."""
     text = F.col(text) if isinstance(text, str) else text
