@@ -138,3 +138,15 @@ def q_save_model(spark, sf_dir):
     a = models.score(fitted, v).select("doc_id", F.col("prediction").alias("before"))
     b = models.score(loaded, v).select("doc_id", F.col("prediction").alias("after"))
     return a.join(b, "doc_id").withColumn("equal", F.col("before") == F.col("after"))
+
+
+@register("embed_dense")
+def q_embed_dense(spark, sf_dir):
+    """Built-in encoder: Word2Vec fitted on the train split, mean-pooled
+    vectors for every document (shape of the ``embeddings`` table)."""
+    from ..operators.embed import embed_dense, fit_word2vec
+    docs = splits.label_split(fx.documents(spark, sf_dir).select("doc_id", tfidf_analyze("text").alias("tokens")))
+    enc = fit_word2vec(docs.filter(F.col("split") == "train"), "tokens", dim=64)
+    out = embed_dense(docs, enc, "doc_id", "tokens")
+    return out.select("doc_id", F.size("embedding").alias("dim"),
+                      quantize(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))

@@ -92,3 +92,22 @@ def test_running_loss_hot_key_matches_plain_window(spark):
     bad = j.filter((got["step"] != want["step"]) | (F.abs(F.col("running_sum") - F.col("rs")) > 1e-6)
                    | (F.abs(F.col("trailing_mean") - F.col("tm")) > 1e-6)).count()
     assert bad == 0
+
+
+def test_encoder_hook_batches(spark):
+    """Any Python encoder plugs in through predict_batch_udf (Arrow batches)."""
+    import numpy as np
+
+    from postlens.operators.embed import embed_with
+
+    def make_fn():
+        def f(texts):
+            lengths = np.array([len(t) for t in texts], dtype=np.float32)
+            return np.stack([lengths, lengths / 2.0], axis=1)
+        return f
+
+    d = fx.documents(spark, SF001).select("doc_id", "text")
+    out = embed_with(d, make_fn, dim=2, batch_size=32)
+    rows = out.join(d, "doc_id").collect()
+    assert len(rows) == d.count()
+    assert all(r.embedding[0] == float(len(r.text or "")) for r in rows)
