@@ -21,6 +21,20 @@ from ..session import checkpoint_dir
 from .splits import fold_assign
 
 
+#: Rows per partition for iterative (L-BFGS) fits: every iteration ships the
+#: coefficients to each task and tree-aggregates a gradient per task, so a
+#: small input spread over many partitions pays that fixed cost many times.
+LBFGS_ROWS_PER_PARTITION = 50_000
+
+
+def _size_for_iterations(df: DataFrame, n_rows: int) -> DataFrame:
+    """Coalesce (no shuffle) to about one partition per
+    ``LBFGS_ROWS_PER_PARTITION`` rows; large inputs keep their parallelism."""
+    want = max(1, -(-n_rows // LBFGS_ROWS_PER_PARTITION))
+    have = df.rdd.getNumPartitions()
+    return df.coalesce(want) if want < have else df
+
+
 def _n_classes(df: DataFrame, label: str) -> int:
     # a scalar: the label domain of a classifier is small by construction
     return int(df.agg(F.max(label)).head()[0]) + 1
@@ -55,7 +69,8 @@ def fit_dense(df: DataFrame, features: str = "features", label: str = "label", h
     k = num_classes or _n_classes(df, label)
     mlp = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=[width, *hidden, k],
                                          maxIter=max_iter, seed=seed, blockSize=block_size)
-    data = df.select(features, F.col(label).cast("double").alias(label)).persist()
+    data = df.select(features, F.col(label).cast("double").alias(label))
+    data = _size_for_iterations(data, data.count()).persist()
     try:
         return mlp.fit(data)
     finally:
@@ -71,7 +86,7 @@ def fit_meta(df: DataFrame, features: str = "meta_features", label: str = "label
     n = df.count()
     lr = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter, regParam=1.0 / (c * n),
                             elasticNetParam=0.0, standardization=False, tol=tol)
-    data = df.select(features, F.col(label).cast("double").alias(label)).persist()
+    data = _size_for_iterations(df.select(features, F.col(label).cast("double").alias(label)), n).persist()
     try:
         return lr.fit(data)
     finally:
@@ -126,5 +141,10 @@ def refit_meta(model, df: DataFrame):
     for p in model.extractParamMap():
         if est.hasParam(p.name):
             est.set(est.getParam(p.name), model.getOrDefault(p))
-    est.set(est.getParam("regParam"), 1.0 / df.count())
-    return est.fit(df)
+    n = df.count()
+    est.set(est.getParam("regParam"), 1.0 / n)
+    data = _size_for_iterations(df, n).persist()
+    try:
+        return est.fit(data)
+    finally:
+        data.unpersist()
