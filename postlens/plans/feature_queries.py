@@ -22,10 +22,14 @@ def analyzed_documents(spark, sf_dir):
 
 
 def train_model(spark, sf_dir, k=K):
-    """Vocabulary + idf fitted on the train split of ``documents``."""
-    docs = splits.label_split(fx.documents(spark, sf_dir).select("doc_id", "text"))
-    train = docs.filter(F.col("split") == "train").select(tfidf_analyze("text").alias("tokens"))
-    return vocab.fit_tfidf(train, "tokens", k)
+    """Vocabulary + idf fitted on the train split of ``documents`` (fitted
+    once per session and input, then read back like a saved vectorizer)."""
+    def fit():
+        docs = splits.label_split(fx.documents(spark, sf_dir).select("doc_id", "text"))
+        train = docs.filter(F.col("split") == "train").select(tfidf_analyze("text").alias("tokens"))
+        return vocab.fit_tfidf(train, "tokens", k)
+    from . import artifacts
+    return artifacts.table(spark, "tfidf", sf_dir, {"k": k, "split": "train"}, fit)
 
 
 @register("tfidf_analyze", f"""

@@ -44,10 +44,21 @@ def q_tfidf_vector(spark, sf_dir):
                                                    quantize("weight").alias("weight"))
 
 
+def boosted_model(spark, sf_dir, data=None):
+    """The boosted model fitted on the train split (saved once per session
+    and input; scoring jobs load it, as the reference's test script does)."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    from . import artifacts
+    data = data if data is not None else _vectors(spark, sf_dir)
+    return artifacts.model(spark, "boosted", sf_dir, {"k": K, **QUICK},
+                           lambda: models.fit_boosted(data.filter(F.col("split") == "train"), **QUICK),
+                           GBTClassificationModel.load)
+
+
 @register("fit_boosted")
 def q_fit_boosted(spark, sf_dir):
-    data = _vectors(spark, sf_dir)
-    m = models.fit_boosted(data.filter(F.col("split") == "train"), **QUICK)
+    m = boosted_model(spark, sf_dir)
     return spark.createDataFrame([(m.getNumTrees, m.numFeatures, float(sum(m.treeWeights)))],
                                  "n_trees int, n_features int, weight_sum double")
 
@@ -55,8 +66,7 @@ def q_fit_boosted(spark, sf_dir):
 @register("score_boosted")
 def q_score_boosted(spark, sf_dir):
     data = _vectors(spark, sf_dir)
-    m = models.fit_boosted(data.filter(F.col("split") == "train"), **QUICK)
-    return models.score(m, data, keep=("label", "split"))
+    return models.score(boosted_model(spark, sf_dir, data), data, keep=("label", "split"))
 
 
 def _dense(spark, sf_dir):
