@@ -121,7 +121,9 @@ SELECT doc_id, batch_id, n_ids, CAST(width AS INTEGER) AS width,
        array_to_string(list_concat(list_transform(range(n_ids), lambda x: 1), list_transform(range(width - n_ids), lambda x: 0)), ' ') AS attention_mask
 FROM padded""")
 def q_encode_ids(spark, sf_dir):
-    model = vocab.vocab_fit(analyzed_documents(spark, sf_dir), "tokens", K)
+    from . import artifacts
+    model = artifacts.table(spark, "vocab", sf_dir, {"k": K, "split": "all"},
+                            lambda: vocab.vocab_fit(analyzed_documents(spark, sf_dir), "tokens", K))
     lab = fx.labels(spark, sf_dir).select("doc_id")
     docs = analyzed_documents(spark, sf_dir).join(lab, "doc_id")
     out = encode.encode_ids(docs, model, key="doc_id", tokens="tokens", max_len=256,
