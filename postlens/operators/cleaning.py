@@ -38,11 +38,14 @@ def skip_empty_rows(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def default_label(df: DataFrame, label: str = "label", default: int = MISSING_LABEL) -> DataFrame:
-    """Missing (null or empty) label -> ``default`` (2); result is INT."""
+    """Missing (null or empty) label -> ``default`` (2); result is INT.
+
+    A label text that is not an integer also becomes ``default`` (``try_cast``)
+    rather than failing the job under ANSI casts."""
     c = F.col(label)
     if dict(df.dtypes)[label] == "string":
         c = F.nullif(F.trim(c), F.lit(""))
-    return df.withColumn(label, F.coalesce(c.cast("int"), F.lit(default)))
+    return df.withColumn(label, F.coalesce(c.try_cast("int"), F.lit(default)))
 
 
 def cast_label(df: DataFrame, label: str = "label") -> DataFrame:

@@ -111,3 +111,10 @@ def test_encoder_hook_batches(spark):
     rows = out.join(d, "doc_id").collect()
     assert len(rows) == d.count()
     assert all(r.embedding[0] == float(len(r.text or "")) for r in rows)
+
+
+def test_default_label_strings(spark):
+    from postlens.operators.cleaning import default_label
+    df = spark.createDataFrame([(1, "0"), (2, ""), (3, None), (4, " 1 "), (5, "x")], "doc_id long, label string")
+    got = {r.doc_id: r.label for r in default_label(df).collect()}
+    assert got == {1: 0, 2: 2, 3: 2, 4: 1, 5: 2}
