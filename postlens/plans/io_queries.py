@@ -65,15 +65,15 @@ def q_write_meta_features(spark, sf_dir):
 
 @register("read_lexicon", """
 WITH toks AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents),
-top AS (SELECT term, count(*) AS tf FROM toks GROUP BY term ORDER BY tf DESC, term LIMIT 200)
+top AS (SELECT term, count(*) AS tf FROM toks GROUP BY term ORDER BY tf DESC, term LIMIT 11024)
 SELECT term AS word FROM top""")
 def q_read_lexicon(spark, sf_dir):
     """A lexicon file (one entry per line, with trailing blanks, blank lines
-    and duplicates) built from the 200 most frequent terms, read back."""
+    and duplicates) built from the fitted vocabulary, read back."""
     from ..functions.features import tfidf_analyze
     from ..operators.vocab import vocab_fit
     from ..sources.readers import read_lexicon
-    top = vocab_fit(fx.documents(spark, sf_dir).select(tfidf_analyze("text").alias("tokens")), "tokens", 200)
+    top = vocab_fit(fx.documents(spark, sf_dir).select(tfidf_analyze("text").alias("tokens")), "tokens", 11024)
     lines = top.select(F.explode(F.array(F.concat("term", F.lit("  ")), F.col("term"), F.lit(""))).alias("value"))
     path = scratch_path(spark, "lexicon")
     lines.write.mode("overwrite").text(path)

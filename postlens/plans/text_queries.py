@@ -246,8 +246,14 @@ def q_tokenize_set(spark, sf_dir):
 
 @register("split_hashtag")
 def q_split_hashtag(spark, sf_dir):
-    t = tokenized(spark, sf_dir)
-    return t.filter(F.col("id") < 0).select("id", F.array_join("tokens", " ").alias("tokens"))
+    """Every ``#tag`` of every message, tokenized alone: CamelCase, digit and
+    all-caps boundaries become separate tokens and ``#`` is dropped."""
+    from ..operators.joins import spread
+    src = spread(source(spark, sf_dir), "id")
+    text = tx.decode_entities(F.coalesce("text", F.lit("")))
+    tags = F.regexp_extract_all(text, F.lit(tx.jre(r"#[^\s#]+")), 0)
+    seg = F.transform(tags, lambda t: F.array_join(tokenize(t), " "))
+    return src.select("id", F.size(tags).alias("n_tags"), F.array_join(seg, " | ").alias("segmented"))
 
 
 @register("split_emoticons")
