@@ -101,19 +101,28 @@ def _stacked(spark, sf_dir):
     return stack.stack_vectors(v, e, K, width)
 
 
+def meta_model(spark, sf_dir, stacked=None):
+    """Meta logistic regression on train + validate (saved once per session)."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from . import artifacts
+    s = stacked if stacked is not None else _stacked(spark, sf_dir)
+    return artifacts.model(spark, "meta", sf_dir, {"k": K, "max_iter": 200},
+                           lambda: models.fit_meta(s.filter(F.col("split") != "test"), max_iter=200),
+                           LogisticRegressionModel.load)
+
+
 @register("fit_meta")
 def q_fit_meta(spark, sf_dir):
-    s = _stacked(spark, sf_dir)
-    m = models.fit_meta(s.filter(F.col("split") != "test"), max_iter=200)
-    return spark.createDataFrame([(int(m.numFeatures), int(m.summary.totalIterations))],
-                                 "n_features int, iterations int")
+    m = meta_model(spark, sf_dir)
+    return spark.createDataFrame([(int(m.numFeatures), int(m.coefficients.size))],
+                                 "n_features int, n_coefficients int")
 
 
 @register("score_meta")
 def q_score_meta(spark, sf_dir):
     s = _stacked(spark, sf_dir)
-    m = models.fit_meta(s.filter(F.col("split") != "test"), max_iter=200)
-    return models.score(m, s, keep=("label", "split"))
+    return models.score(meta_model(spark, sf_dir, s), s, keep=("label", "split"))
 
 
 @register("stack_oof")
