@@ -190,6 +190,12 @@ def _clean_pieces(pieces: Column, cfg: TokenizerConfig) -> Column:
         e.startswith(_KEEP), F.substring(e, 2, 1 << 30)).otherwise(fold_case(e, cfg.lowercase, cfg.allcapskeep)))
 
 
+def split_pieces(tok: Column, cfg: TokenizerConfig = DEFAULT) -> Column:
+    """Raw splitter output: emoticons / emoji / punctuation and the runs of
+    everything else between them, in order (nothing cleaned)."""
+    return F.regexp_extract_all(tok, F.lit(splitter_pattern(cfg)), 0)
+
+
 def split_other(tok: Column, cfg: TokenizerConfig = DEFAULT) -> Column:
     """Split a non-word token into emoticons / emoji / punctuation (as is) and
     cleaned runs of everything else."""

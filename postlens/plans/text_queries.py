@@ -256,12 +256,56 @@ def q_split_hashtag(spark, sf_dir):
     return src.select("id", F.size(tags).alias("n_tags"), F.array_join(seg, " | ").alias("segmented"))
 
 
-@register("split_emoticons")
+def _sql_special() -> str:
+    from ..functions.tokenizer import special_pattern
+    return special_pattern()
+
+
+def _sql_split_pieces(chunk: str) -> str:
+    """RE2 restatement of the splitter: ``special|any char`` finds the same
+    special pieces at the same places (a run stops exactly where a special
+    would match), then consecutive single characters are merged back into
+    runs by marking specials with U+0001 and splitting on it."""
+    sp = _sql_special()
+    pieces = f"regexp_extract_all({chunk}, {_sql_lit(sp + '|(?s:.)')})"
+    marked = (f"list_transform({pieces}, lambda p: CASE WHEN regexp_full_match(p, {_sql_lit(sp)}) "
+              f"THEN chr(1) || p || chr(1) ELSE p END)")
+    return f"list_filter(string_split(array_to_string({marked}, ''), chr(1)), lambda x: x <> '')"
+
+
+_SQL_CHUNKS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda c: c <> '')"
+
+
+def _chunks(text):
+    return F.filter(F.split(F.coalesce(text, F.lit("")), tx.jre(r"\s+")), lambda c: c != "")
+
+
+@register("split_emoticons", f"""
+SELECT id, array_to_string(flatten(list_transform({_SQL_CHUNKS}, lambda c: {_sql_split_pieces('c')})), ' ') AS pieces
+FROM {SQL_SRC}""")
 def q_split_emoticons(spark, sf_dir):
-    """Emoticons, emoji and punctuation the splitter emitted, per message."""
-    special = tx.jre("^" + special_pattern() + "$")
-    t = tokenized(spark, sf_dir)
-    return t.select("id", F.array_join(F.filter("tokens", lambda x: x.rlike(special)), " ").alias("specials"))
+    """Every whitespace chunk of every message split into emoticons / emoji /
+    punctuation and the runs between them (the splitter, uncleaned)."""
+    from ..functions.tokenizer import split_pieces
+    src = source(spark, sf_dir)
+    pieces = F.flatten(F.transform(_chunks(F.col("text")), lambda c: split_pieces(c)))
+    return src.select("id", F.array_join(pieces, " ").alias("pieces"))
+
+
+_PUNCT = fv.SPLIT_PUNCTUATION + "".join(a + b for a, b in fv.DOUBLE_QUOTES)
+
+
+@register("split_punctuation", f"""
+SELECT id, array_to_string(list_filter(flatten(list_transform({_SQL_CHUNKS}, lambda c: {_sql_split_pieces('c')})),
+                                       lambda p: length(p) = 1 AND strpos({_sql_lit(_PUNCT)}, p) > 0), ' ') AS punctuation
+FROM {SQL_SRC}""")
+def q_split_punctuation(spark, sf_dir):
+    """The single punctuation pieces the splitter emits, per message."""
+    from ..functions.tokenizer import split_pieces
+    src = source(spark, sf_dir)
+    pieces = F.flatten(F.transform(_chunks(F.col("text")), lambda c: split_pieces(c)))
+    punct = F.filter(pieces, lambda x: (F.length(x) == 1) & F.lit(_PUNCT).contains(x))
+    return src.select("id", F.array_join(punct, " ").alias("punctuation"))
 
 
 @register("token_policy")
@@ -286,12 +330,3 @@ def q_nonstring_policy(spark, sf_dir):
     the default replacements, text made only of blanks and '#'."""
     t = tokenized(spark, sf_dir)
     return t.select("id", F.size("tokens").alias("n_tokens")).filter(F.col("n_tokens") == 0)
-
-
-@register("split_punctuation")
-def q_split_punctuation(spark, sf_dir):
-    """Single punctuation tokens the splitter emitted, per message."""
-    punct = fv.SPLIT_PUNCTUATION + "".join(a + b for a, b in fv.DOUBLE_QUOTES)
-    t = tokenized(spark, sf_dir)
-    return t.select("id", F.array_join(F.filter("tokens", lambda x: (F.length(x) == 1) & F.lit(punct).contains(x)),
-                                       " ").alias("punctuation"))
