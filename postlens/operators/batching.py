@@ -21,11 +21,23 @@ def _shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def global_row_number(df: DataFrame, order: list, out: str = "row_number") -> DataFrame:
+def global_row_number(df: DataFrame, order: list, out: str = "row_number", key: str | None = None) -> DataFrame:
     """1-based position of every row in ``order`` (which must be a total order,
-    e.g. end with the key) without a single-partition window."""
+    e.g. end with the key) without a single-partition window.
+
+    With ``key`` (a unique column), only the key and the order columns are
+    range-sorted and checkpointed; the numbers are then joined back to the
+    full rows on the key, so wide rows (token arrays) are never written to the
+    checkpoint.  Without it the whole rows are numbered in place.
+    """
     cols = df.columns
-    tagged = df.orderBy(*order).select(
+    narrow = key is not None
+    src = df
+    if narrow:
+        if not all(isinstance(c, str) for c in order):
+            raise ValueError("with key=, give the order as column names")
+        src = df.select(*dict.fromkeys([key, *order]))
+    tagged = src.orderBy(*order).select(
         "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
     tagged = cut_lineage(tagged)  # fixes ids; re-reads after executor loss stay identical
     stats = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
@@ -33,14 +45,20 @@ def global_row_number(df: DataFrame, order: list, out: str = "row_number") -> Da
     offs = stats.select("_pid", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     # one row per range partition: bounded by spark.sql.shuffle.partitions.
     joined = tagged.join(bounded_broadcast(offs, _shuffle_partitions(df)), "_pid")
-    rn = F.col("_off") + (F.col("_mid") - F.col("_m0")) + F.lit(1)
-    return joined.select(*cols, rn.cast("long").alias(out))
+    rn = (F.col("_off") + (F.col("_mid") - F.col("_m0")) + F.lit(1)).cast("long")
+    if not narrow:
+        return joined.select(*cols, rn.alias(out))
+    numbers = joined.select(F.col(key).alias("_k"), rn.alias(out))
+    # unique key on both sides: an equi-join with no hot key
+    return df.join(numbers, df[key] == numbers["_k"]).select(*cols, out)
 
 
-def assign_batches(df: DataFrame, order: list, size: int, out: str = "batch_id") -> DataFrame:
+def assign_batches(df: DataFrame, order: list, size: int, out: str = "batch_id",
+                   key: str | None = None) -> DataFrame:
     """Number rows in ``order`` and cut them into batches of ``size``
-    (``ceil(n/size)`` batches; the last may be short)."""
-    numbered = global_row_number(df, order, "row_number")
+    (``ceil(n/size)`` batches; the last may be short).  ``key``: a unique
+    column, to checkpoint only keys (see :func:`global_row_number`)."""
+    numbered = global_row_number(df, order, "row_number", key)
     return numbered.withColumn(out, F.floor((F.col("row_number") - 1) / F.lit(size)).cast("long"))
 
 
@@ -48,7 +66,7 @@ def shuffled_positions(df: DataFrame, key: str = "doc_id", seed: int = 0,
                        out: str = "position") -> DataFrame:
     """Reproducible shuffled order as explicit positions (md5 of key||seed)."""
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
-    numbered = global_row_number(df.withColumn("_h", h), [F.col("_h"), F.col(key)], out)
+    numbered = global_row_number(df.withColumn("_h", h), ["_h", key], out, key)
     return numbered.drop("_h")
 
 

@@ -21,7 +21,7 @@ UNKNOWN_ID = 1
 def encode_ids(df: DataFrame, vocab: DataFrame, key: str = "doc_id", tokens: str = "tokens",
                max_len: int = 512, batch_size: int = 32, k: int | None = None) -> DataFrame:
     """``(key, batch_id, n_ids, width, input_ids, attention_mask)``."""
-    numbered = assign_batches(df.select(key, tokens), [key], batch_size)
+    numbered = assign_batches(df.select(key, tokens), [key], batch_size, key=key)
     voc = bounded_broadcast(vocab.select(F.col("term").alias("_t"), (F.col("idx") + 2).alias("_id")), k)
     pos = numbered.select(key, "batch_id", F.posexplode_outer(F.slice(tokens, 1, max_len)).alias("_p", "_t"))
     ids = pos.join(voc, "_t", "left").select(

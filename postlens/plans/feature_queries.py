@@ -147,7 +147,7 @@ SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_number,
 FROM documents""")
 def q_assign_batches(spark, sf_dir):
     d = fx.documents(spark, sf_dir).select("doc_id")
-    return batching.assign_batches(d, ["doc_id"], 32)
+    return batching.assign_batches(d, ["doc_id"], 32, key="doc_id")
 
 
 @register("running_loss", f"""
