@@ -16,50 +16,3 @@ def tfidf_analyze(text) -> Column:
     """
     text = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TFIDF_TOKEN_RE), 0)
-
-
-def _prev(s: Column) -> Column:
-    """``s`` shifted right by one (``[null, s0, s1, ...]``, same length)."""
-    return F.when(F.size(s) == 0, s).otherwise(
-        F.concat(F.array(F.lit(None).cast("string")), F.slice(s, 1, F.size(s) - 1)))
-
-
-def _first_flags(s: Column) -> Column:
-    """For a sorted array: 1 where an element differs from its predecessor."""
-    return F.zip_with(s, _prev(s), lambda x, p: F.when(p.isNull() | (p != x), F.lit(1)).otherwise(F.lit(0)))
-
-
-# Lambdas below only touch their own arguments: an outer expression named
-# inside a lambda is re-evaluated for every element (no sub-expression
-# elimination inside higher-order functions).
-
-def term_firsts(tokens) -> Column:
-    """``array<struct<term, first>>``: every token of a row, sorted, flagged 1
-    on its first occurrence.
-
-    Exploding this gives term frequency (row count) and document frequency
-    (sum of ``first``) in a single aggregation, without a per-document shuffle
-    and without carrying the token array through the generator.
-    """
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    s = F.array_sort(tokens)
-    return F.zip_with(s, _first_flags(s), lambda x, f: F.struct(x.alias("term"), f.alias("first")))
-
-
-def term_counts(tokens) -> Column:
-    """``array<struct<term, cnt>>``: distinct terms of a row with their counts.
-
-    Run-length encoding of the sorted token array, done in-row (O(n log n)),
-    so the per-(document, term) count needs no shuffle.
-    """
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    s = F.array_sort(tokens)
-    n = F.size(s)
-    flags = _first_flags(s)
-    starts = F.filter(F.transform(flags, lambda f, i: F.when(f == 1, i).otherwise(F.lit(-1))),
-                      lambda i: i >= 0)
-    ends = F.concat(F.slice(starts, 2, n), F.array(n))
-    terms = F.filter(F.zip_with(s, flags, lambda x, f: F.when(f == 1, x)), lambda x: x.isNotNull())
-    counts = F.zip_with(starts, ends, lambda a, b: b - a)
-    pairs = F.zip_with(terms, counts, lambda t, c: F.struct(t.alias("term"), c.alias("cnt")))
-    return F.when(n == 0, F.array().cast("array<struct<term:string,cnt:int>>")).otherwise(pairs)

@@ -118,3 +118,14 @@ def test_default_label_strings(spark):
     df = spark.createDataFrame([(1, "0"), (2, ""), (3, None), (4, " 1 "), (5, "x")], "doc_id long, label string")
     got = {r.doc_id: r.label for r in default_label(df).collect()}
     assert got == {1: 0, 2: 2, 3: 2, 4: 1, 5: 2}
+
+
+def test_lexicon_roundtrip_into_config(spark):
+    from postlens.functions.tokenizer import DEFAULT, tokenize
+    from postlens.sources.readers import lexicon_values, read_lexicon
+    lex = read_lexicon(spark, items=["<o>  ", "", "<o>", ":)"])
+    words = lexicon_values(lex)
+    assert words == [":)", "<o>"]
+    cfg = DEFAULT.with_lexicons(emoticons=words)
+    df = spark.createDataFrame([("a<o>b",)], "t string")
+    assert df.select(tokenize("t", cfg).alias("x")).head().x == ["a", "<o>", "b"]
