@@ -23,7 +23,7 @@ _STORE: dict[tuple, tuple[str, str]] = {}
 
 
 def _key(spark: SparkSession, name: str, sf_dir: str, params: dict) -> tuple:
-    return (id(spark.sparkContext._jsc), name, os.path.abspath(sf_dir), json.dumps(params, sort_keys=True))
+    return (spark.sparkContext.applicationId, name, os.path.abspath(sf_dir), json.dumps(params, sort_keys=True))
 
 
 def table(spark: SparkSession, name: str, sf_dir: str, params: dict, fit) -> DataFrame:
