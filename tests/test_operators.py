@@ -129,3 +129,22 @@ def test_lexicon_roundtrip_into_config(spark):
     cfg = DEFAULT.with_lexicons(emoticons=words)
     df = spark.createDataFrame([("a<o>b",)], "t string")
     assert df.select(tokenize("t", cfg).alias("x")).head().x == ["a", "<o>", "b"]
+
+
+def test_masks_leave_no_match(spark):
+    from postlens.functions import text as tx
+    d = fx.documents(spark, SF01).select("text")
+    for kind in ("username", "time", "number"):
+        masked = d.select(tx.mask("text", kind).alias("m"))
+        pat = tx.jre(tx.MASK_PATTERNS[kind]())
+        assert masked.filter(F.col("m").rlike(pat)).count() == 0, kind
+
+
+def test_training_accuracy_beats_majority(spark):
+    from pyspark.ml.functions import array_to_vector
+    e = fx.embeddings(spark, SF001).select("vec_id", array_to_vector("embedding").alias("features"), "label")
+    m = models.fit_dense(e, max_iter=50)
+    scored = models.score(m, e, key="vec_id", keep=("label",), positive=None)
+    acc = metrics.accuracy(scored).head().accuracy
+    majority = e.groupBy("label").count().agg(F.max("count")).head()[0] / e.count()
+    assert acc > majority
