@@ -227,6 +227,25 @@ def quotes_pattern_python() -> str:
     return quotes_pattern()[len("(?dU)"):]
 
 
+def token_policy(tokens, cfg: TokenizerConfig = DEFAULT) -> Column:
+    """Apply the per-class replacement policy to a token list: each token
+    (matched alone, from its start, classes in order; ASCII words are never
+    classified) is replaced by its class token, kept (``False``) or dropped
+    (``""``/``REMOVE``/``DELETE``); other tokens pass unchanged."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    drop = F.lit(None).cast("string")
+
+    def one(tok):
+        expr = F.when(tok.rlike(r"^[a-zA-Z]+$"), tok)
+        for setting, kind in _CLASSES:
+            value = getattr(cfg, setting)
+            out = tok if value is False or value is None else (drop if _is_deletion(value) else F.lit(str(value)))
+            expr = expr.when(tok.rlike(jre("^(?:" + _class_pattern(kind, cfg) + ")")), out)
+        return expr.otherwise(tok)
+
+    return F.filter(F.transform(tokens, one), lambda t: t.isNotNull())
+
+
 def lex(text, cfg: TokenizerConfig = DEFAULT) -> Column:
     """Raw lexer output (before classification)."""
     text = F.col(text) if isinstance(text, str) else text

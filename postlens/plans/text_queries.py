@@ -308,10 +308,40 @@ def q_split_punctuation(spark, sf_dir):
     return src.select("id", F.array_join(punct, " ").alias("punctuation"))
 
 
-@register("token_policy")
+POLICY = DEFAULT.update(usernames="", urls=False, numbers="REMOVE", times="<time>", phonenumbers="PHONE")
+
+
+def _policy_sql(chunk: str) -> str:
+    """The policy on one blank-free chunk, restated for RE2: a class whose
+    pattern ends in a blank-or-end look-ahead must match the whole chunk."""
+    from ..functions.tokenizer import _CLASSES, _class_pattern
+    cases = [f"WHEN regexp_full_match({chunk}, '[a-zA-Z]+') THEN {chunk}"]
+    for setting, kind in _CLASSES:
+        pat = _class_pattern(kind, POLICY)
+        la = r"(?=\s+|$)"
+        rx = ("^(?:" + _re2(pat.replace(la, "")) + ")$") if la in pat else ("^(?:" + _re2(pat) + ")")
+        value = getattr(POLICY, setting)
+        out = chunk if value is False else ("NULL" if value in fv.DELETION_TOKENS else _sql_lit(value))
+        cases.append(f"WHEN regexp_matches({chunk}, {_sql_lit(rx)}) THEN {out}")
+    return "CASE " + " ".join(cases) + f" ELSE {chunk} END"
+
+
+@register("token_policy", f"""
+SELECT id, array_to_string(list_filter(list_transform({_SQL_CHUNKS}, lambda c: {_policy_sql('c')}),
+                                       lambda x: x IS NOT NULL), ' ') AS tokens
+FROM {SQL_SRC}""")
 def q_token_policy(spark, sf_dir):
-    cfg = DEFAULT.update(usernames="", urls=False, numbers="REMOVE", times="<time>", phonenumbers="PHONE")
-    t = tokenized(spark, sf_dir, cfg)
+    """Custom class policy (usernames dropped, URLs kept, numbers removed,
+    times and phones renamed) on every blank-delimited chunk of every message."""
+    from ..functions.tokenizer import token_policy
+    src = source(spark, sf_dir)
+    return src.select("id", F.array_join(token_policy(_chunks(F.col("text")), POLICY), " ").alias("tokens"))
+
+
+@register("tokenize_custom_policy")
+def q_tokenize_custom_policy(spark, sf_dir):
+    """The full tokenizer with the same custom class policy."""
+    t = tokenized(spark, sf_dir, POLICY)
     return t.select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
