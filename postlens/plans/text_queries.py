@@ -52,8 +52,6 @@ def source(spark, sf_dir):
 
 # Unicode classes shared by both engines' restated patterns.
 WS = r"[\t\n\x{0B}\f\r\x{85}\p{Z}]"
-WORD = r"[\p{L}\p{N}_]"
-DIGIT = r"\p{Nd}"
 
 
 _CLASS_BODY = {"w": r"\p{L}\p{N}_", "d": r"\p{Nd}", "s": r"\t\n\x{0B}\f\r\x{85}\p{Z}"}
