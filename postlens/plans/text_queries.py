@@ -343,7 +343,33 @@ def q_tokenize_custom_policy(spark, sf_dir):
     return t.select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
-@register("squeeze_syllables")
+_SYLLABLES_SQL = f"""
+WITH RECURSIVE src AS (SELECT * FROM {SQL_SRC}),
+words AS (SELECT id, u.ord, u.w FROM src, unnest(regexp_extract_all(text, '[a-zA-Z]+')) WITH ORDINALITY AS u(w, ord)),
+steps(id, ord, w, p, out) AS (
+  SELECT id, ord, w, 1, '' FROM words
+  UNION ALL
+  SELECT id, ord, w,
+         p + CASE WHEN r2 >= 3 THEN 2 * r2 WHEN r3 >= 3 THEN 3 * r3 ELSE 1 END,
+         out || CASE WHEN r2 >= 3 THEN repeat(u2, 3) WHEN r3 >= 3 THEN repeat(u3, 3) ELSE substr(w, p, 1) END
+  FROM (SELECT id, ord, w, p, out, u2, u3,
+               CASE WHEN regexp_full_match(u2, '[a-zA-Z][aeiouAEIOU]')
+                    THEN length(regexp_extract(substr(w, p), '^(?:' || u2 || ')+')) // 2 ELSE 0 END AS r2,
+               CASE WHEN regexp_full_match(u3, '[a-zA-Z][aeiouAEIOU][a-zA-Z]')
+                    THEN length(regexp_extract(substr(w, p), '^(?:' || u3 || ')+')) // 3 ELSE 0 END AS r3
+        FROM (SELECT *, substr(w, p, 2) AS u2, substr(w, p, 3) AS u3 FROM steps WHERE p <= length(w)))
+),
+done AS (SELECT id, ord, out FROM steps WHERE p > length(w)),
+agg AS (SELECT id, string_agg(out, ' ' ORDER BY ord) AS t FROM done GROUP BY id)
+SELECT s.id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(a.t, '') END AS text
+FROM src s LEFT JOIN agg a ON s.id = a.id"""
+
+
+# RE2 has no back-references: the oracle walks each word left to right like
+# the regex engine -- at each position the 2-letter unit, then the 3-letter
+# unit, is tried for 3+ consecutive copies (3 copies are kept), otherwise
+# one character is copied.
+@register("squeeze_syllables", _SYLLABLES_SQL)
 def q_squeeze_syllables(spark, sf_dir):
     words = F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), 0)
     return source(spark, sf_dir).select(
