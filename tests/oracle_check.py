@@ -17,6 +17,9 @@ import time
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -86,6 +89,11 @@ def compare(spark, sf_dir, names=None, verbose=True):
                 print(f"{name:28s} SQL ERROR {str(e)[:400]}")
             continue
         ok_cols = sorted(scols) == sorted(dcols)
+        stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                  for f in sdf.schema.fields}
+        dtypes = {d[0]: str(d[1]) for d in cur.description}
+        ok_types = stypes == dtypes
+        ok_cols = ok_cols and ok_types
         ok_n = len(srows) == len(drows)
         hs, ls = digest(scols, srows)
         hd, ld = digest(dcols, drows)
@@ -96,7 +104,7 @@ def compare(spark, sf_dir, names=None, verbose=True):
                   f"hash {hs == hd} {ts:.1f}s")
             if not ok:
                 if not ok_cols:
-                    print("   spark cols", scols, "\n   duck cols ", dcols)
+                    print("   spark cols", stypes, "\n   duck cols ", dtypes)
                 a, b = set(ls), set(ld)
                 print("   only spark:", sorted(a - b)[:3])
                 print("   only duck: ", sorted(b - a)[:3])
