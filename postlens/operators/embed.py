@@ -16,11 +16,20 @@ from pyspark.sql import functions as F
 
 
 def fit_word2vec(df: DataFrame, tokens: str = "tokens", dim: int = 64, min_count: int = 5,
-                 max_iter: int = 1, window: int = 5, seed: int = 42, num_partitions: int = 1):
-    """Fit the built-in encoder on token arrays."""
+                 max_iter: int = 1, window: int = 5, seed: int = 42, num_partitions: int | None = None):
+    """Fit the built-in encoder on token arrays.
+
+    Training runs on ``num_partitions`` partitions (default: the cluster's
+    parallelism) and averages their updates, so no single task sees the whole
+    corpus.  MLlib keeps the vocabulary (terms with at least ``min_count``
+    occurrences) and its vectors on the driver and broadcasts them; raise
+    ``min_count`` for very large corpora, or use :func:`embed_with` with a
+    pretrained encoder.
+    """
     from pyspark.ml.feature import Word2Vec
+    parts = num_partitions or df.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=dim, minCount=min_count, maxIter=max_iter, windowSize=window, seed=seed,
-                   inputCol=tokens, outputCol="_w2v", numPartitions=num_partitions)
+                   inputCol=tokens, outputCol="_w2v", numPartitions=parts)
     return w2v.fit(df.select(tokens))
 
 
