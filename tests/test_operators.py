@@ -148,3 +148,10 @@ def test_training_accuracy_beats_majority(spark):
     acc = metrics.accuracy(scored).head().accuracy
     majority = e.groupBy("label").count().agg(F.max("count")).head()[0] / e.count()
     assert acc > majority
+
+
+def test_save_load_gives_equal_predictions(spark):
+    import __spark_entry__ as ent
+    r = ent.queries()["save_model"](spark, SF001)
+    assert r.count() > 0
+    assert r.filter(~F.col("equal")).count() == 0
