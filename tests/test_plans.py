@@ -60,3 +60,15 @@ def test_running_loss_has_no_per_key_window(spark):
 def test_no_python_udf_in_tokenizer(spark):
     p = plan(q(spark, "tokenize_set"))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_no_cross_joins_in_catalogue(spark):
+    """No catalogue query with an oracle plans a cross join or a nested-loop join."""
+    import __spark_entry__ as ent
+    qs, sql = ent.queries(), ent.oracle_sql()
+    bad = []
+    for name in sorted(sql):
+        p = plan(qs[name](spark, SF01))
+        if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p:
+            bad.append(name)
+    assert not bad, bad
