@@ -5,19 +5,21 @@ domains; projected gradient descent then fits a nonnegative sampling rate per
 document so that the expected tokens of every domain match the targets.
 
 * Classifier: multinomial naive Bayes over hashed words (``buckets``), classes
-  are the domains of the labelled table.  It is fitted on a bounded sample of
+  are the domains of the labelled table, word probabilities smoothed towards
+  those of all labelled rows.  It is fitted on a bounded sample of
   the labelled keys (``max_labelled``, the smallest by a hash of the key), the
   only sample here.  A document's log-likelihoods are divided so that it weighs
   as ``evidence`` words at most, which keeps long documents from posteriors of
   exactly 0 and 1: membership stays soft.
 * Rates: with n_i tokens and posterior p_id, the total of domain d is
-  S_d = sum_i r_i n_i p_id.  Minimise sum_d (S_d - T_d)^2 / G_d over r >= 0,
-  G_d = sum_i n_i p_id, from r = 1, in the metric that weighs document i with
-  n_i.  The gradient of r_i is then sum_d p_id (S_d - T_d) / G_d, so a step
-  needs the D residuals only, and r_i is a fold of a document's own posterior
-  over the residuals so far.  Each iteration is one aggregation over the
-  compact table (n_i, p_i); the driver sees D sums.  Every ``every`` iterations
-  the rates are written to the shared folder, so plans stay short.
+  S_d = sum_i r_i n_i p_id.  Minimise (S - T)' W (S - T) over r >= 0 from r = 1
+  with W the inverse of M = sum_i n_i p_i p_i'.  In the metric that weighs
+  document i with n_i, the gradient of r_i is p_i . W (S - T) and the curvature
+  is 1, so the projected step is r_i <- max(0, r_i - p_i . W (S - T)), with
+  Nesterov's extrapolation.  It needs D numbers per iteration and the
+  document's own posterior, so an iteration is one aggregation over the
+  compact table (n_i, p_i); the driver sees D sums.  Every ``every``
+  iterations the rates are written to the shared folder, so plans stay short.
 
 The targets T_d are ``targets`` (shares) of the corpus's tokens.  Iterations
 end when every domain is within ``tolerance`` of its target or after
@@ -25,7 +27,7 @@ end when every domain is within ``tolerance`` of its target or after
 rides on documents of the others) are met as nearly as least squares can.
 
 Defined results: null or empty texts have no tokens, the prior as posterior and
-rate 1 minus the steps that the prior asks for; a key labelled with several
+the rate that a document of that posterior gets; a key labelled with several
 domains counts with the smallest; labels without a document or outside the
 targets are ignored; without labelled documents all domains are equally likely;
 equal rows get equal rates; extra columns are not read.
@@ -36,14 +38,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, shared_table
 
 BUCKETS, PSEUDO, EVIDENCE = 1 << 15, 0.5, 40
+#: Words that the common distribution weighs in a domain's.
+SMOOTHING = 500.0
 MAX_LABELLED = 50_000
-MAX_ITER, TOLERANCE, EVERY = 60, 1e-4, 10
+MAX_ITER, TOLERANCE, EVERY = 80, 1e-4, 8
 
 #: Target shares of the tokens by domain (quality and toxicity of the labelled table): fixed values.
 TARGETS = {"good_clean": 0.84, "good_toxic": 0.06, "poor_clean": 0.08, "poor_toxic": 0.02}
@@ -80,8 +85,12 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...],
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     full = shared_table(every.join(counts, "bucket", "left").fillna(0), "counts")  # ``buckets`` rows
     totals = full.agg(*[F.sum(f"c{k}").alias(f"t{k}") for k in range(len(domains))]).first()
+    # Smoothed towards the labelled rows' common distribution, so that a small domain is not
+    # marked down for the words that all domains share.
+    every_count = sum((F.col(f"c{k}") for k in range(1, len(domains))), F.col("c0"))
+    common = (every_count + PSEUDO) / F.lit(float(sum(totals[f"t{k}"] for k in range(len(domains))) + PSEUDO * buckets))
     table = full.select("bucket", *[
-        F.round(1e6 * F.log((F.col(f"c{k}") + PSEUDO) / F.lit(float(totals[f"t{k}"] + PSEUDO * buckets))))
+        F.round(1e6 * F.log((F.col(f"c{k}") + SMOOTHING * common) / F.lit(float(totals[f"t{k}"] + SMOOTHING))))
         .cast("long").alias(f"w{k}") for k in range(len(domains))])
     sizes = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}  # one row per domain
     total = sum(sizes.values()) + len(domains)
@@ -114,34 +123,38 @@ def fit_rates(members: DataFrame, shares: tuple[float, ...], max_iter: int = MAX
               tolerance: float = TOLERANCE, every: int = EVERY) -> tuple[DataFrame, list[float], list[float]]:
     """``members`` (doc_id, n, p0...) plus rate; the fitted and the target totals."""
     k = len(shares)
-    mass = members.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"p{i}")).alias(f"g{i}") for i in range(k)]).first()
+    p = [F.col(f"p{i}") for i in range(k)]
+    mass = members.agg(F.sum("n").alias("n"), *[
+        F.sum(F.col("n") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
     tokens = float(mass["n"] or 0)
     targets = [s * tokens for s in shares]
     if tokens == 0:
         return members.withColumn("rate", F.lit(1.0)), [0.0] * k, targets
-    # max(G_d, tiny): a domain without any mass cannot be reached and must not blow up the step
-    scale = [max(float(mass[f"g{i}"]), 1e-9 * tokens) for i in range(k)]
-
-    def stepped(pending: list[list[float]]) -> Column:
-        rate = F.col("rate")
-        for g in pending:
-            push = sum((F.col(f"p{i}") * F.lit(g[i]) for i in range(1, k)), F.col("p0") * F.lit(g[0]))
-            rate = F.greatest(F.lit(0.0), rate - push)
-        return rate
-
-    # With M = sum n p p', the step is I - M G^-1 on the totals; M G^-1 has column sums of 1, so it descends.
-    state, pending = members.withColumn("rate", F.lit(1.0)), []
+    inverse = np.linalg.pinv(np.array([[float(mass[f"m{i}_{j}"]) for j in range(k)] for i in range(k)]))
+
+    def stepped(df: DataFrame, pull: list[float], beta: float) -> DataFrame:
+        """One step from ``ahead``, the extrapolated rates."""
+        push = sum((p[i] * F.lit(pull[i]) for i in range(1, k)), p[0] * F.lit(pull[0]))
+        df = df.withColumn("next", F.greatest(F.lit(0.0), F.col("ahead") - push))
+        return df.select("doc_id", "n", *p, F.col("next").alias("rate"),
+                         (F.col("next") + F.lit(beta) * (F.col("next") - F.col("rate"))).alias("ahead"))
+
+    state = members.withColumn("rate", F.lit(1.0)).withColumn("ahead", F.lit(1.0))
+    momentum, written = 1.0, 0
     for step in range(max_iter + 1):
-        now = state.withColumn("rate", stepped(pending))
-        sums = now.agg(*[F.sum(F.col("rate") * F.col("n") * F.col(f"p{i}")).alias(f"s{i}") for i in range(k)]).first()
-        totals = [float(sums[f"s{i}"]) for i in range(k)]
+        sums = state.agg(*[F.sum(F.col(c) * F.col("n") * p[i]).alias(f"{c}{i}")
+                           for c in ("rate", "ahead") for i in range(k)]).first()
+        totals = [float(sums[f"rate{i}"]) for i in range(k)]
         off = [abs(s - t) / max(t, 1e-9 * tokens) for s, t in zip(totals, targets, strict=True)]
         if max(off) <= tolerance or step == max_iter:
-            return now, totals, targets
-        pending.append([(s - t) / c for s, t, c in zip(totals, targets, scale, strict=True)])
-        if len(pending) == every:
-            state, pending = shared_table(state.withColumn("rate", stepped(pending)), "rates"), []
-    raise AssertionError("unreachable")
+            break
+        pull = inverse @ (np.array([float(sums[f"ahead{i}"]) for i in range(k)]) - np.array(targets))
+        longer = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+        state, momentum = stepped(state, pull.tolist(), (momentum - 1) / longer), longer
+        written += 1
+        if written % every == 0:
+            state = shared_table(state, "rates")
+    return state.drop("ahead"), totals, targets
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

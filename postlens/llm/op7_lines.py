@@ -191,7 +191,7 @@ class LineIndex:
         common = refs.filter(F.col("n_docs") >= min_docs)
         shards = max(1, -(-common.count() // SHARD_KEYS))
 
-        def make(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             made = built(pdf["hi"].to_numpy(), pdf["lo"].to_numpy())
             return pd.DataFrame({"shard": [key[0]], "keys": [len(pdf)], "data": [made.dump()]})
 
@@ -217,7 +217,7 @@ class LineIndex:
         if merged.filter(now).count() > self.shards * SHARD_KEYS:
             return self._from_refs(refs, self.min_docs, self.text_col)
 
-        def change(key, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        def change(key: tuple, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
             n = int(old["keys"].iloc[0]) if len(old) else 0
             held = CuckooFilter.load(old["data"].iloc[0]) if len(old) else CuckooFilter.sized(max(1, len(keys)))
             gone, new = keys[~keys["add"].astype(bool)], keys[keys["add"].astype(bool)]

@@ -55,6 +55,21 @@ def jaccard_links(docs: dict, size: int, percent: int):
             held[g].append(k)
 
 
+def line_key(line):
+    return line.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(ASCII)
+
+
+def brute_lines_of(rows, min_docs):
+    """(key, lines, dropped lines, text left) of every row."""
+    held = Counter(k for _, t in rows for k in {line_key(x) for x in (t or "").split("\n")} if k)
+    out = []
+    for key, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if held[line_key(x)] < min_docs]
+        out.append((key, len(lines), len(lines) - len(kept), None if t is None else "\n".join(kept)))
+    return out
+
+
 def prose(seed: int, n: int) -> str:
     """``n`` words of invented prose."""
     rng = random.Random(seed)

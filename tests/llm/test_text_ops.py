@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import odd_rows, prose, sha, with_clashes, words
+from brute import brute_lines_of, odd_rows, prose, sha, with_clashes, words
 
 from postlens.llm.op1_secrets import KINDS, link_secrets
 from postlens.llm.op4_licenses import RULES, SENTENCES, scan_licenses
@@ -156,20 +156,6 @@ def test_quality_without_trusted_rows(spark):
     assert judge_quality(docs.limit(0), none).count() == 0
 
 
-def line_key(line):
-    return line.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-
-
-def brute_lines(rows, min_docs):
-    held = Counter(k for _, t in rows for k in {line_key(x) for x in (t or "").split("\n")} if k)
-    out = []
-    for key, t in rows:
-        lines = (t or "").split("\n")
-        kept = [x for x in lines if held[line_key(x)] < min_docs]
-        out.append((key, len(lines), len(lines) - len(kept), None if t is None else "\n".join(kept)))
-    return out
-
-
 def line_rows(n=40):
     rows = [(i, "\n".join([prose(i, 5), " Common LINE\t" if i % 2 else "common line", "rare" if i < 3 else prose(i, 3), "common line"]))
             for i in range(100, 100 + n)]
@@ -184,7 +170,7 @@ def test_lines_equal_brute_force(spark, monkeypatch, limit):
     docs = with_clashes(spark, line_rows())
     done = LineIndex.build(docs, 4).strip(docs)
     got = Counter((r.doc_id, r["__lines"], r["__dropped"], r.text) for r in done.collect())
-    assert got == Counter(brute_lines(line_rows(), 4))
+    assert got == Counter(brute_lines_of(line_rows(), 4))
     assert done.columns[:-2] == docs.columns
 
 
@@ -199,7 +185,7 @@ def test_line_index_is_reversible(spark):
     texts = lambda i, d: sorted((r.doc_id or 0, r.text or "", r["__dropped"]) for r in i.strip(d).collect())
     assert texts(back, a) == texts(one, a)
     merged = first + second
-    assert texts(both, a.union(b)) == sorted((k or 0, t or "", n) for k, _, n, t in brute_lines(merged, 10))
+    assert texts(both, a.union(b)) == sorted((k or 0, t or "", n) for k, _, n, t in brute_lines_of(merged, 10))
     assert texts(both, a) != texts(one, a)
 
 
@@ -212,7 +198,7 @@ def test_line_filters_grow_from_nothing_and_refill(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     grown = index.insert(docs)
     got = Counter((r.doc_id, r["__lines"], r["__dropped"], r.text) for r in grown.strip(docs).collect())
-    assert got == Counter(brute_lines(rows, 2))
+    assert got == Counter(brute_lines_of(rows, 2))
 
 
 def test_cuckoo_filter_inserts_and_deletes():
