@@ -14,14 +14,20 @@ none of which loses a link:
 2. *Prefixes.*  The survivors' shingles are counted exactly and ordered rarest
    first.  Each set lengthens its prefix (m = 1, 2, 4, ... ``MAX_MATCH``) while
    that lowers its estimated candidate cost: rows to join, plus verifications,
-   of which m shared shingles can make at most rows / m.  A pair is verified
-   only when it shares min(m_x, m_y) shingles of the min-level prefixes.
-   Shingles that no other survivor has can match nothing, so a set of n with u
-   of them overlaps any other in at most n - u: that bound on the partner's
-   size is part of the join.
-3. *Verification* is the exact overlap of the two sets, first of every prefix
-   group's members with its hub, then of members of different components (see
-   ``linking``).
+   of which m shared shingles can make at most rows / m.  Sets meet in the
+   groups of their prefix shingles; a pair is verified only when it shares
+   min(m_x, m_y) shingles of the min-level prefixes.  A shingle that no other
+   survivor has can match nothing, so the sets are compared on the others.
+3. *Hubs.*  A group's members are not paired with one another but measured
+   against its hub h, the most central member: overlap o_x and difference
+   D_x = x - h.  Links to hubs give first components.
+4. *Rest.*  Two members x, y that no component joins overlap in at most
+   min(o_x, o_y) + |D_x & D_y|.  So x, which needs s|x| of its shingles, must
+   meet r_x = s|x| - o_x of them in y's difference: it probes the differences of
+   its hub's members with a prefix of its own.  Members with r <= 0 lie in the
+   hub by s of their size and are not linked to it for its length alone; those
+   are paired by size.  All such pairs are verified exactly, hence no link
+   between components is lost, and within one none is needed.
 
 Equal sets are one node, known by a hash of the set, and are never paired.
 Shingles and nodes are 64-bit hashes.  A document with fewer words than n has
@@ -96,14 +102,14 @@ def full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 
 def choose_prefix(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(node, grams: array of (df, gram) rarest first) -> node, n, most, weight, m, prefix (array of (gram, level)).
+    """(node, grams: array of (df, gram) rarest first) -> node, n, weight, m,
+    common (shingles that others have, rarest first) and the lengths that
+    ``levels`` counts: how many of them lie in the prefix of level 1, 2, ...
 
-    ``most``: the largest overlap with any other survivor; ``weight``: how
-    central the set is, the sum of its shingles' frequencies.
+    ``weight``: how central the set is, the sum of its shingles' frequencies.
     """
-    row = pa.struct([("gram", pa.int64()), ("level", pa.int64())])
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("n", "most", "weight", "m", "prefix")}
+        out: dict[str, list] = {k: [] for k in ("n", "weight", "m", "common", "levels")}
         grams = batch.column("grams")
         flat, offsets = grams.flatten(), grams.offsets.to_numpy() - grams.offsets[0].as_py()
         dfs, ids = flat.field("df").to_numpy(), flat.field("gram").to_numpy()
@@ -113,23 +119,22 @@ def choose_prefix(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             cost = np.cumsum(df[:base + MAX_MATCH - 1] - 1)  # other sets met by the first i shingles
             best, m = None, 1
             for level in (1, 2, 4, 8, MAX_MATCH):
-                if base + level - 1 > min(n, len(cost)):
+                if base + level - 1 > n:
                     break
                 rows = float(cost[base + level - 2])
                 told = rows + VERIFY_COST * rows / level
                 if best is None or told < best:
                     best, m = told, level
-            length = base + m - 1
-            keep = np.flatnonzero(df[:length] > 1)
+            alone = int(np.searchsorted(df, 1, side="right"))  # rarest first: these come first
             out["n"].append(n)
-            out["most"].append(int((df > 1).sum()))
             out["weight"].append(int(df.sum()))
             out["m"].append(m)
-            out["prefix"].append([{"gram": int(gram[i]), "level": max(1, int(i) - base + 2)} for i in keep])
+            out["common"].append(gram[alone:])
+            out["levels"].append([max(0, base + i - alone) for i in range(m)])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), *[pa.array(out[k], pa.int64()) for k in ("n", "most", "weight", "m")],
-             pa.array(out["prefix"], pa.list_(row))],
-            names=["node", "n", "most", "weight", "m", "prefix"])
+            [batch.column("node"), *[pa.array(out[k], pa.int64()) for k in ("n", "weight", "m")],
+             *[pa.array(out[k], pa.list_(pa.int64())) for k in ("common", "levels")]],
+            names=["node", "n", "weight", "m", "common", "levels"])
 
 
 def alike(shared: Column, n: Column, other: Column, percent: int) -> Column:
@@ -148,13 +153,53 @@ def survivors(sets: DataFrame) -> DataFrame:
     return met.groupBy("node", "m").count().filter("count >= m").select("node")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) whose full sets (node, grams) are alike."""
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("left", "right"))
-    return both.filter(alike(shared, F.size("left"), F.size("right"), percent)).select("a", "b")
+def enough_matches(left: str, right: str) -> Column:
+    """Whether two nodes' prefixes of the lower of their levels share that many shingles."""
+    m = F.least(F.col(f"{left}.m"), F.col(f"{right}.m")).cast("int")
+    x, y = (F.slice(F.col(f"{s}.common"), F.lit(1), F.element_at(F.col(f"{s}.levels"), m).cast("int")) for s in (left, right))
+    return F.size(F.array_intersect(x, y)) >= m
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) whose sets are alike; sets overlap in their common shingles only."""
+    x, y = nodes.alias("x"), nodes.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(enough_matches("x", "y"))
+    shared = F.size(F.array_intersect("x.common", "y.common"))
+    return both.filter(alike(shared, F.col("x.n"), F.col("y.n"), percent)).select("a", "b")
+
+
+def measured(stars: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``stars`` (hub, node) plus n, in_hub (overlap), rest (the difference,
+    rarest first), short (r: shingles that a link must find outside the hub)
+    and linked."""
+    hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"))
+    both = stars.join(nodes.select("node", "n", "common"), "node").join(hubs, "hub")
+    both = both.select("hub", "hub_n", "node", "n", F.size(F.array_intersect("common", "hub_common")).cast("long").alias("in_hub"),
+                       F.array_except("common", "hub_common").alias("rest"))
+    short = -F.floor(-F.lit(percent) * F.col("n") / F.lit(100)).cast("long") - F.col("in_hub")
+    return both.select("hub", "node", "n", "in_hub", "rest", short.alias("short"),
+                       alike(F.col("in_hub"), F.col("n"), F.col("hub_n"), percent).alias("linked"))
+
+
+def rest_pairs(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``stars`` (measured, plus comp) that may be linked across components."""
+    open_ = stars.filter(F.size("rest") >= F.col("short"))
+    probes = open_.filter("short > 0").select(
+        "hub", "node", "comp", "n", "in_hub", F.size("rest").alias("size"),
+        F.explode(F.slice("rest", F.lit(1), F.size("rest") - F.col("short").cast("int") + 1)).alias("gram")).alias("x")
+    held = open_.select("hub", "node", "comp", "n", "in_hub", F.size("rest").alias("size"), F.explode("rest").alias("gram")).alias("y")
+
+    def may(x: str, y: str) -> Column:
+        most = F.least(F.col(f"{x}.in_hub"), F.col(f"{y}.in_hub")) + F.least(F.col(f"{x}.size"), F.col(f"{y}.size"))
+        return (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & alike(most, F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+
+    met = probes.join(held, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.gram") == F.col("y.gram")) & may("x", "y"))
+    inside = open_.filter("short <= 0").select("hub", "node", "comp", "n", "in_hub", "linked", F.size("rest").alias("size"))
+    u, v = inside.filter("not linked").alias("u"), inside.alias("v")
+    sized = u.join(v, (F.col("u.hub") == F.col("v.hub")) & may("u", "v"))
+    pairs = met.select(F.col("x.node").alias("p"), F.col("y.node").alias("q")).unionByName(
+        sized.select(F.col("u.node").alias("p"), F.col("v.node").alias("q")))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def link_classes(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -163,42 +208,30 @@ def link_classes(nodes: DataFrame, texts: DataFrame, size: int, percent: int) ->
     kept = shared_table(nodes.join(survivors(nodes), "node", "left_semi").select("node", "id"), "survivors")
     own = texts.join(kept.select("id"), "id", "left_semi").select("text")
     sets = own.mapInArrow(lambda it: full_sets(it, size), "node long, grams array<long>").dropDuplicates(["node"])
-    sets = shared_table(sets.join(kept.select("node"), "node", "left_semi"), "sets")
+    sets = sets.join(kept.select("node"), "node", "left_semi")
 
     # Exact frequencies among the survivors; rarest first.
     rows = sets.select("node", F.explode("grams").alias("gram"))
     counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("gram")))
     ordered = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(
         F.col("df").alias("df"), F.col("gram").alias("gram")))).alias("grams"))
-    chosen = ordered.mapInArrow(
+    known = shared_table(ordered.mapInArrow(
         lambda it: choose_prefix(it, percent),
-        "node long, n long, most long, weight long, m long, prefix array<struct<gram:long,level:long>>")
-    entries = chosen.select("node", "n", "most", "weight", "m", F.explode("prefix").alias("p")) \
-        .select("node", "n", "most", "weight", "m", "p.gram", "p.level")
-    entries = shared_table(entries.filter(alike(F.col("most"), F.col("n"), F.col("most"), percent)), "prefixes")
+        "node long, n long, weight long, m long, common array<long>, levels array<long>"), "known")
+    known = known.filter(alike(F.size("common"), F.col("n"), F.size("common"), percent))
 
-    # Stars: everyone with the most central member of each group.
+    # Hubs: the most central member of each prefix shingle's group.
+    entries = known.select("node", "weight", F.explode(F.slice(
+        "common", F.lit(1), F.element_at("levels", F.col("m").cast("int")).cast("int"))).alias("gram"))
+    entries = shared_table(entries, "prefixes")
     hubs = entries.groupBy("gram").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count("*").alias("size")) \
         .filter("size > 1").select("gram", F.col("hub.node").alias("hub"))
-    star = entries.select("gram", "node").join(hubs, "gram").filter("node != hub") \
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = shared_table(verified(star, sets, percent), "stars")
-    labels = components(links)
-
-    # Rest: members of one group in different components, in size reach, with enough shared shingles.
-    marked = shared_table(with_components(entries, labels), "marked")
-    mixed = marked.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("gram")
-    mixed = shared_table(marked.join(mixed, "gram"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    bound = F.least("x.most", "y.most")
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") < F.col("y.node"))
-                 & (F.col("x.comp") != F.col("y.comp")) & alike(bound, F.col("x.n"), F.col("y.n"), percent))
-    least = F.least("x.m", "y.m")
-    pairs = (met.filter(F.greatest("x.level", "y.level") <= least)
-             .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), least.alias("least"))
-             .count().filter("count >= least").select("a", "b"))
-    more = shared_table(verified(pairs, sets, percent), "links")
-    return components(links.unionByName(more))
+    star = entries.select("gram", "node").join(hubs, "gram").filter("node != hub").select("hub", "node").distinct()
+    stars = shared_table(measured(star, known, percent), "stars")
+    links = stars.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    marked = shared_table(with_components(stars, components(links)), "marked")
+    more = verified(rest_pairs(marked, percent), known, percent)
+    return components(links.unionByName(shared_table(more, "rest")))
 
 
 def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id",
