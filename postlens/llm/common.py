@@ -15,10 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postlens.session import checkpoint_dir, read_table
 
-__all__ = ["read_table", "shared_table", "slices", "WordBatch", "shingle_hashes", "mix64"]
+__all__ = ["read_table", "shared_table", "if_small", "slices", "WordBatch", "shingle_hashes", "mix64"]
 
 #: Text bytes that one numpy step holds at a time (bounds a task's memory; a
 #: longer text forms a step of its own).
@@ -37,6 +38,16 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys that may be broadcast (8 MB of 64-bit keys).
+MAX_BROADCAST_KEYS = 1 << 20
+
+
+def if_small(keys: DataFrame, rows: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """A written table of keys, marked for broadcast where it has at most
+    ``rows`` rows; beyond, the planner joins by shuffle."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
