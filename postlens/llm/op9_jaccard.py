@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordBatch, read_table, shared_table, shingle_hashes, slices
+from .common import WordBatch, if_small, read_table, shared_table, shingle_hashes, slices
 from .linking import components, with_components
 
 #: Longest prefix extension, and the cost of one verification in joined rows.
@@ -206,9 +206,9 @@ def link_classes(nodes: DataFrame, texts: DataFrame, size: int, percent: int) ->
     """(node, comp) of the linked nodes among the distinct sets ``nodes`` (node,
     id, m, prefix); ``texts`` (id, text) has the text of each set under its id."""
     kept = shared_table(nodes.join(survivors(nodes), "node", "left_semi").select("node", "id"), "survivors")
-    own = texts.join(kept.select("id"), "id", "left_semi").select("text")
+    own = texts.join(if_small(kept.select("id")), "id", "left_semi").select("text")
     sets = own.mapInArrow(lambda it: full_sets(it, size), "node long, grams array<long>").dropDuplicates(["node"])
-    sets = sets.join(kept.select("node"), "node", "left_semi")
+    sets = sets.join(if_small(kept.select("node")), "node", "left_semi")
 
     # Exact frequencies among the survivors; rarest first.
     rows = sets.select("node", F.explode("grams").alias("gram"))
