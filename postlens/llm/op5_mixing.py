@@ -54,10 +54,14 @@ MAX_ITER, TOLERANCE, EVERY = 80, 1e-4, 8
 TARGETS = {"good_clean": 0.84, "good_toxic": 0.06, "poor_clean": 0.08, "poor_toxic": 0.02}
 
 
-def word_buckets(text: Column, buckets: int) -> Column:
-    """Hash bucket (from 0) of every lower-cased word of a text."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+def words_of(text: Column) -> Column:
+    """Lower-cased pieces of a text between blanks; pieces at its ends may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+")
+
+
+def bucket_of(word: Column, buckets: int) -> Column:
+    """Hash bucket (from 0) of a word; null for an empty one."""
+    return F.when(word != "", F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int"))
 
 
 @dataclass(frozen=True)
@@ -79,7 +83,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...],
         .groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sample = shared_table(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled")
     taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    told = taught.select("domain", F.explode(word_buckets(F.col("text"), buckets)).alias("bucket"))
+    told = taught.select("domain", F.explode(words_of(F.col("text"))).alias("word")) \
+        .select("domain", bucket_of(F.col("word"), buckets).alias("bucket")).filter("bucket is not null")
     counts = told.groupBy("bucket").agg(*[
         F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"c{k}") for k, d in enumerate(domains)])
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
@@ -101,11 +106,13 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...],
 def memberships(docs: DataFrame, model: DomainModel, evidence: int = EVIDENCE) -> DataFrame:
     """doc_id, n (tokens), p0, p1, ... of every row of ``docs``."""
     k = len(model.domains)
-    told = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
-                       F.posexplode_outer(word_buckets(F.col("text"), model.buckets)).alias("pos", "bucket"))
+    # The text's hash is taken before the words are dealt out, once per text and not once per word.
+    cut = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
+    told = cut.select("doc_id", "text_key", F.posexplode("words").alias("pos", "word")) \
+        .select("doc_id", "text_key", "pos", bucket_of(F.col("word"), model.buckets).alias("bucket"))
     summed = told.join(F.broadcast(model.table), "bucket", "left").groupBy("doc_id", "text_key").agg(
         F.count("bucket").alias("words"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(k)],
-        F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).alias("rows"))
+        F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("rows"))
     # Equal rows were summed together: divide, and give each its own result row.
     each = summed.select("doc_id", (F.col("words") / F.col("rows")).cast("long").alias("n"), "rows", *[
         F.coalesce(F.col(f"w{i}") / F.col("rows") / 1e6, F.lit(0.0)).alias(f"w{i}") for i in range(k)])
