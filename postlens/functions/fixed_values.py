@@ -72,8 +72,11 @@ EMOJI_RANGES = (
     (0x1F170, 0x1F19A),
 )
 
-#: Quote pairs whose enclosed spans the optional quote filter removes.
-DOUBLE_QUOTES = (("“", "”"), ('"', '"'), ("‘", "’"), ("＂", "＂"))
+#: Spans that the optional quote filter removes (Python syntax).
+QUOTED_RE = r"(“.*?”)|(\".*?\")|(‘.*?’)|(＂.*?＂)|\s('.*?')\s"
+
+#: Quote characters; the splitter emits each as its own token.
+QUOTE_CHARS = "“”\"‘’＂"
 
 #: Characters the emoticon / punctuation splitter emits as their own token
 #: (the quote characters above are appended to this set).
@@ -90,8 +93,8 @@ DELETION_TOKENS = ("", "REMOVE", "remove", "DELETE", "delete")
 MISSING_LABEL = 2
 
 # --------------------------------------------------------------------------
-# FIXED VALUES -- token patterns (Python ``re`` syntax; ``(?U)`` is added
-# when compiling for the JVM so that \w \d \s are Unicode as in Python 3)
+# FIXED VALUES -- token patterns (Python ``re`` syntax; the text module spells
+# \w \d \s out as Python's Unicode classes when it compiles them for the JVM)
 # --------------------------------------------------------------------------
 
 USERNAME_RE = r"@\w{1,15}"
@@ -116,7 +119,6 @@ OTHER_RE = r"(?:[^#\s\.]|\.(?!\.))+"
 ENTITY_RE = r"&#?\w+;"
 REPEATED_LETTER_RE = r"([a-zA-Z])\1\1+"
 REPEATED_SYLLABLE_RE = r"([a-zA-Z][aeiouAEIOU]|[a-zA-Z][aeiouAEIOU][a-zA-Z]){1}\1\1+"
-SINGLE_QUOTED_RE = r"\s('.*?')\s"
 
 #: TF-IDF analyzer: lower-cased runs of two or more word characters.
 TFIDF_TOKEN_RE = r"[\p{L}\p{N}_]{2,}"

@@ -1,8 +1,9 @@
 """Message-level normalizers as native Column expressions.
 
-Patterns come from ``fixed_values`` (Python syntax) and are compiled for the
-JVM with ``(?U)`` (Unicode \\w \\d \\s, as in Python 3) and ``(?d)`` (only
-``\\n`` ends a line, as in Python).
+Patterns come from ``fixed_values`` (Python syntax).  For the JVM, ``\\w``
+``\\d`` ``\\s`` are spelled out as the classes of Python 3 (its own Unicode flag
+also takes combining marks and joiners for word characters), and ``(?d)`` makes
+``\\n`` the only line end, as in Python.
 """
 
 from __future__ import annotations
@@ -14,13 +15,39 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fv
 
-JFLAGS = "(?dU)"
+JFLAGS = "(?d)"
 MAX_CODE_POINT = 0x10FFFF
+SURROGATES = (0xD800, 0xDFFF)
+
+#: Python 3's classes for str patterns, as bodies of a character class.
+CLASS_BODIES = {"w": r"\p{L}\p{N}_", "d": r"\p{Nd}", "s": r"\t-\r\x1c-\x1f\x{85}\p{Z}"}
+
+
+def spell_classes(pattern: str) -> str:
+    r"""``\w \d \s \S`` written out (bracketed outside a class, spliced in inside one)."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            nxt = pattern[i + 1]
+            if nxt in CLASS_BODIES:
+                out.append(CLASS_BODIES[nxt] if in_class else "[" + CLASS_BODIES[nxt] + "]")
+            elif nxt == "S" and not in_class:
+                out.append("[^" + CLASS_BODIES["s"] + "]")
+            else:
+                out.append(pattern[i:i + 2])
+            i += 2
+            continue
+        if ch in "[]":
+            in_class = ch == "["
+        out.append(ch)
+        i += 1
+    return "".join(out)
 
 
 def jre(pattern: str) -> str:
-    """A Python-syntax pattern with JVM flags matching Python 3 semantics."""
-    return JFLAGS + pattern
+    """A Python-syntax pattern for the JVM, with Python 3's meaning."""
+    return JFLAGS + spell_classes(pattern)
 
 
 def _c(c) -> Column:
@@ -47,13 +74,14 @@ def _decode_one(entity: Column, names: Column) -> Column:
     body = F.substring(entity, 2, F.length(entity) - 2)  # without & and ;
     is_num = body.startswith("#")
     is_hex = is_num & F.substring(body, 2, 1).isin("x", "X")
-    hex_digits = F.regexp_replace(F.substring(body, 3, 1 << 20), "^0+(?=.)", "")
-    dec_digits = F.regexp_replace(F.substring(body, 2, 1 << 20), "^0+(?=.)", "")
+    hex_digits = F.regexp_replace(F.substring(body, F.lit(3), F.length(body)), "^0+(?=.)", "")
+    dec_digits = F.regexp_replace(F.substring(body, F.lit(2), F.length(body)), "^0+(?=.)", "")
     hex_ok = hex_digits.rlike("^[0-9a-fA-F]{1,6}$")
     dec_ok = dec_digits.rlike("^[0-9]{1,7}$")
     code = (F.when(is_hex & hex_ok, F.conv(hex_digits, 16, 10).cast("long"))
             .when(~is_hex & is_num & dec_ok, dec_digits.cast("long")))
-    numeric = F.when(code.isNotNull() & (code <= MAX_CODE_POINT), _code_point_to_string(code))
+    # a surrogate is no character: its entity stays as it is
+    numeric = F.when(code.isNotNull() & (code <= MAX_CODE_POINT) & ~code.between(*SURROGATES), _code_point_to_string(code))
     named = F.try_element_at(names, body)
     return F.coalesce(F.when(is_num, numeric).otherwise(named), entity)
 
@@ -77,15 +105,10 @@ def decode_entities(text) -> Column:
 
 # -- quotes -----------------------------------------------------------------
 
-def quotes_pattern() -> str:
-    spans = "|".join(f"({a}.*?{b})" for a, b in fv.DOUBLE_QUOTES)
-    return jre(spans + "|" + fv.SINGLE_QUOTED_RE)
-
-
 def strip_quotes(text) -> Column:
     """Replace quoted spans (curly, straight, full-width double quotes; single
     quotes between blanks) by one blank."""
-    return F.regexp_replace(_c(text), quotes_pattern(), " ")
+    return F.regexp_replace(_c(text), jre(fv.QUOTED_RE), " ")
 
 
 # -- masks (message level) -------------------------------------------------
@@ -148,12 +171,6 @@ def fold_case(word, lowercase: bool = True, keep_caps: bool = True) -> Column:
     return F.when(is_all_caps(w), w).otherwise(F.lower(w))
 
 
-def clean_word(word, normalize: int = 3, lowercase: bool = True, keep_caps: bool = True) -> Column:
-    """Squeeze letters, then syllables, then fold case."""
-    w = squeeze_syllables(squeeze_letters(word, normalize), normalize)
-    return fold_case(w, lowercase, keep_caps)
-
-
 # -- token-list filters ------------------------------------------------------
 
 def filter_stopwords(tokens, words=None) -> Column:

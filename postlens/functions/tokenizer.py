@@ -34,9 +34,6 @@ from . import fixed_values as fv
 from .text import (decode_entities, fold_case, jre, squeeze_letters, squeeze_syllables,
                    strip_quotes, url_pattern)
 
-_SETTINGS = ("lowercase", "allcapskeep", "normalize", "custom_hashtags", "usernames", "urls",
-             "phonenumbers", "times", "numbers", "ignorequotes", "ignorestopwords")
-
 
 @dataclass(frozen=True)
 class TokenizerConfig:
@@ -102,8 +99,8 @@ def _class_pattern(kind: str, cfg: TokenizerConfig) -> str:
     }[kind]
 
 
-def lexer_pattern(cfg: TokenizerConfig = DEFAULT) -> str:
-    """The ordered alternation.  Consecutive alternatives that share a set of
+def lexer_source(cfg: TokenizerConfig = DEFAULT) -> str:
+    """The ordered alternation (Python syntax).  Consecutive alternatives that share a set of
     possible first characters sit behind one look-ahead on that set; the
     order of alternatives (and so the leftmost-first result) is unchanged."""
     cls = {k: _class_pattern(k, cfg) for _, k in _CLASSES}
@@ -112,8 +109,16 @@ def lexer_pattern(cfg: TokenizerConfig = DEFAULT) -> str:
             r"(?=[\d+\-$(])(?:" + "|".join([cls["time"], cls["phone"], cls["number"]]) + ")"]
     if cfg.custom_hashtags:
         alts.append(fv.HASHTAG_SPLIT_RE)
-    alts += [fv.WORD_RE, fv.ELLIPSIS_RE, fv.OTHER_RE]
-    return jre("|".join(alts))
+    # The JVM matches a repeated group of alternatives by recursion, one frame per
+    # character: a long run overflows the stack.  Possessive repeats don't recurse,
+    # and nothing follows this one, so no match needs its characters given back.
+    alts += [fv.WORD_RE, fv.ELLIPSIS_RE, fv.OTHER_RE + "+"]
+    return "|".join(alts)
+
+
+def lexer_pattern(cfg: TokenizerConfig = DEFAULT) -> str:
+    """The lexer for the JVM."""
+    return jre(lexer_source(cfg))
 
 
 def _emoji_class(cfg: TokenizerConfig) -> str:
@@ -126,7 +131,7 @@ def special_pattern(cfg: TokenizerConfig = DEFAULT) -> str:
     width = max([len(e) for e in cfg.emoticons] + [2])
     listed = sorted({s for s in tuple(cfg.emoticons) + tuple(cfg.emojis) if 0 < len(s) <= width},
                     key=lambda s: (-len(s), s))
-    punct = fv.SPLIT_PUNCTUATION + "".join(a + b for a, b in fv.DOUBLE_QUOTES)
+    punct = fv.SPLIT_PUNCTUATION + fv.QUOTE_CHARS
     punct_class = "[" + "".join(re.escape(ch) if ch not in "-" else r"\-" for ch in dict.fromkeys(punct)) + "]"
     alts = [re.escape(s) for s in listed] + [_emoji_class(cfg), punct_class]
     return "(?:" + "|".join(alts) + ")"
@@ -136,19 +141,24 @@ def special_first_class(cfg: TokenizerConfig = DEFAULT) -> str:
     """Character class of every character a special piece can start with."""
     width = max([len(e) for e in cfg.emoticons] + [2])
     firsts = {s[0] for s in tuple(cfg.emoticons) + tuple(cfg.emojis) if 0 < len(s) <= width}
-    firsts |= set(fv.SPLIT_PUNCTUATION + "".join(a + b for a, b in fv.DOUBLE_QUOTES))
+    firsts |= set(fv.SPLIT_PUNCTUATION + fv.QUOTE_CHARS)
     body = "".join(re.escape(ch) if ch != "-" else r"\-" for ch in sorted(firsts))
     ranges = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in fv.EMOJI_RANGES)
     return "[" + body + ranges + "]"
 
 
-def splitter_pattern(cfg: TokenizerConfig = DEFAULT) -> str:
+def splitter_source(cfg: TokenizerConfig = DEFAULT) -> str:
     """Special pieces, or runs of anything else.  A run character that cannot
-    start a special piece skips the look-ahead (the common case)."""
+    start a special piece skips the look-ahead (the common case).  The repeat is
+    possessive for the reason given in :func:`lexer_source`."""
     sp = special_pattern(cfg)
     first = special_first_class(cfg)
     neg = first.replace("[", "[^", 1)
-    return jre(f"{sp}|(?s:{neg}|(?!{sp}).)+")
+    return f"{sp}|(?s:{neg}|(?!{sp}).)++"
+
+
+def splitter_pattern(cfg: TokenizerConfig = DEFAULT) -> str:
+    return jre(splitter_source(cfg))
 
 
 def _is_deletion(value) -> bool:
@@ -187,7 +197,7 @@ def _clean_pieces(pieces: Column, cfg: TokenizerConfig) -> Column:
     """Fold the case of squeezed pieces and drop the keep-marks (one pass over
     lambda variables)."""
     return F.transform(pieces, lambda e: F.when(
-        e.startswith(_KEEP), F.substring(e, 2, 1 << 30)).otherwise(fold_case(e, cfg.lowercase, cfg.allcapskeep)))
+        e.startswith(_KEEP), F.substring(e, F.lit(2), F.length(e))).otherwise(fold_case(e, cfg.lowercase, cfg.allcapskeep)))
 
 
 def split_pieces(tok: Column, cfg: TokenizerConfig = DEFAULT) -> Column:
@@ -220,13 +230,6 @@ def classify_token(tok: Column, cfg: TokenizerConfig = DEFAULT) -> Column:
     return expr.otherwise(split_other(tok, cfg))
 
 
-def quotes_pattern_python() -> str:
-    """The quote pattern in Python syntax (what :func:`strip_quotes` compiles
-    for the JVM with Python-compatible flags)."""
-    from .text import quotes_pattern
-    return quotes_pattern()[len("(?dU)"):]
-
-
 def token_policy(tokens, cfg: TokenizerConfig = DEFAULT) -> Column:
     """Apply the per-class replacement policy to a token list: each token
     (matched alone, from its start, classes in order; ASCII words are never
@@ -266,5 +269,5 @@ def tokenize(text, cfg: TokenizerConfig = DEFAULT, strict: bool = False) -> Colu
         toks = F.filter(toks, lambda t: ~t.isin(*words))
     empty = F.array().cast("array<string>")
     if strict:
-        empty = F.raise_error(F.lit("cannot tokenize non-string, 'NoneType'")).cast("array<string>")
+        empty = F.raise_error(F.lit("a message without text (null) in strict mode")).cast("array<string>")
     return F.when(text.isNull(), empty).otherwise(toks)

@@ -58,7 +58,8 @@ def assign_batches(df: DataFrame, order: list, size: int, out: str = "batch_id",
     """Number rows in ``order`` and cut them into batches of ``size``
     (``ceil(n/size)`` batches; the last may be short).  ``key``: a unique
     column, to checkpoint only keys (see :func:`global_row_number`)."""
-    numbered = global_row_number(df, order, "row_number", key)
+    narrow = key is not None and set(df.columns) <= {key, *order}  # nothing to join back
+    numbered = global_row_number(df, order, "row_number", None if narrow else key)
     return numbered.withColumn(out, F.floor((F.col("row_number") - 1) / F.lit(size)).cast("long"))
 
 
@@ -66,7 +67,8 @@ def shuffled_positions(df: DataFrame, key: str = "doc_id", seed: int = 0,
                        out: str = "position") -> DataFrame:
     """Reproducible shuffled order as explicit positions (md5 of key||seed)."""
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
-    numbered = global_row_number(df.withColumn("_h", h), ["_h", key], out, key)
+    narrow = set(df.columns) == {key}  # nothing to join back
+    numbered = global_row_number(df.withColumn("_h", h), ["_h", key], out, None if narrow else key)
     return numbered.drop("_h")
 
 
@@ -75,38 +77,42 @@ def running_loss(log: DataFrame, part: str, order: list, value: str, every: int
     """Per-``part`` running metric over ``order``: step number, cumulative sum,
     trailing mean of the last ``trailing`` values, the cumulative sum divided
     by the report interval (what a loss printed every ``every`` steps without
-    resetting its accumulator shows) and a flag on report steps.
+    resetting its accumulator shows) and a flag on report steps.  Null values
+    take a step and count in neither sum nor mean, as SQL's aggregates have it.
 
     Skew-safe: a single ``part`` value may hold a large share of the rows, so
     the work is not one window per ``part``.  Rows are range-partitioned on
     ``(part, order)`` -- the sampled boundaries split a hot ``part`` into
     several chunks -- and the chunk id is fixed by a checkpoint.  Windows run
     per ``(part, chunk)`` (bounded by one range partition); per-chunk totals
-    (one row per chunk) give each chunk its offsets; the trailing mean is the
-    difference of two running sums, found by an equi-join on the unique
-    ``(part, step)``.
+    (one row per chunk) give each chunk its offsets.  The trailing mean is a
+    window, too, never a difference of large sums: inside a chunk for all rows
+    but its first ``trailing - 1``, and for those over the rows around the
+    chunk borders (at most ``2 * (trailing - 1)`` per chunk).
     """
-    spark = log.sparkSession
     n = chunks or _shuffle_partitions(log)
     keyed = log.repartitionByRange(n, F.col(part), *[F.col(c) for c in order]).withColumn(
         "_chunk", F.spark_partition_id())
     keyed = cut_lineage(keyed)
     w = Window.partitionBy(part, "_chunk").orderBy(*order)
     cum = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = keyed.select("*", F.row_number().over(w).alias("_ls"), F.sum(value).over(cum).alias("_lsum"))
+    near = w.rowsBetween(-(trailing - 1), Window.currentRow)
+    local = keyed.select("*", F.row_number().over(w).alias("_ls"), F.sum(value).over(cum).alias("_lsum"),
+                         F.avg(value).over(near).alias("_near"))
     tot = keyed.groupBy(part, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
-    before = Window.partitionBy(part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(part, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_on"),
-                      F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_os"))
+    chunk = Window.partitionBy(part).orderBy("_chunk")
+    before = chunk.rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(part, "_chunk", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_on"),
+                      F.sum("_s").over(before).alias("_os"), F.lead("_n").over(chunk).isNull().alias("_last"))
+    running = F.when(F.col("_os").isNull(), F.col("_lsum")).otherwise(F.col("_os") + F.coalesce("_lsum", F.lit(0.0)))
     ran = local.join(offs, [part, "_chunk"]).select(
-        *log.columns,
-        (F.col("_on") + F.col("_ls")).cast("long").alias("step"),
-        (F.col("_os") + F.col("_lsum")).alias("running_sum"))
-    prev = ran.select(F.col(part).alias("_p"), (F.col("step") + F.lit(trailing)).alias("_step"),
-                      F.col("running_sum").alias("_prev_sum"))
-    j = ran.join(prev, (ran[part] == prev["_p"]) & (ran["step"] == prev["_step"]), "left")
-    width = F.least(F.col("step"), F.lit(trailing)).cast("double")
-    trail = (F.col("running_sum") - F.coalesce("_prev_sum", F.lit(0.0))) / width
-    out = j.select(*log.columns, "step", "running_sum", trail.alias("trailing_mean"))
+        *log.columns, "_near", (F.col("_on") + F.col("_ls")).cast("long").alias("step"), running.alias("running_sum"),
+        ((F.col("_on") > 0) & (F.col("_ls") < trailing)).alias("_head"),
+        (~F.col("_last") & (F.col("_n") - F.col("_ls") < trailing - 1)).alias("_tail"))
+    ran = cut_lineage(ran)
+    border = Window.partitionBy(part).orderBy("step").rangeBetween(-(trailing - 1), 0)
+    heads = ran.filter(F.col("_head") | F.col("_tail")).withColumn("trailing_mean", F.avg(value).over(border)).filter("_head")
+    inner = ran.filter(~F.col("_head")).withColumn("trailing_mean", F.col("_near"))
+    out = inner.unionByName(heads).select(*log.columns, "step", "running_sum", "trailing_mean")
     return out.withColumn("reported_loss", F.col("running_sum") / F.lit(float(every))).withColumn(
         "reported", (F.col("step") % every) == 0)

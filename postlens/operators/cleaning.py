@@ -40,12 +40,15 @@ def skip_empty_rows(df: DataFrame, text: str = "text") -> DataFrame:
 def default_label(df: DataFrame, label: str = "label", default: int = MISSING_LABEL) -> DataFrame:
     """Missing (null or empty) label -> ``default`` (2); result is INT.
 
-    A label text that is not an integer also becomes ``default`` (``try_cast``)
-    rather than failing the job under ANSI casts."""
+    A label text may be an integer or a float of an integer (``1.0``); any
+    other text is no label, and reading it raises."""
     c = F.col(label)
-    if dict(df.dtypes)[label] == "string":
-        c = F.nullif(F.trim(c), F.lit(""))
-    return df.withColumn(label, F.coalesce(c.try_cast("int"), F.lit(default)))
+    if dict(df.dtypes)[label] != "string":
+        return df.withColumn(label, F.coalesce(c.cast("int"), F.lit(default)))
+    number = c.try_cast("double")
+    bad = F.raise_error(F.concat(F.lit("not a label: "), c)).cast("int")
+    return df.withColumn(label, F.when(c.isNull() | (c == ""), F.lit(default))
+                         .when(number == F.floor(number), number.cast("int")).otherwise(bad))
 
 
 def cast_label(df: DataFrame, label: str = "label") -> DataFrame:

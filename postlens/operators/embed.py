@@ -14,19 +14,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import TFIDF_MAX_FEATURES
+from .vocab import term_stats
 
-def fit_word2vec(df: DataFrame, tokens: str = "tokens", dim: int = 64, min_count: int = 5,
+
+def fit_word2vec(df: DataFrame, tokens: str = "tokens", dim: int = 64, vocabulary: int = TFIDF_MAX_FEATURES,
                  max_iter: int = 1, window: int = 5, seed: int = 42, num_partitions: int | None = None):
     """Fit the built-in encoder on token arrays.
 
     Training runs on ``num_partitions`` partitions (default: the cluster's
     parallelism) and averages their updates, so no single task sees the whole
-    corpus.  MLlib keeps the vocabulary (terms with at least ``min_count``
-    occurrences) and its vectors on the driver and broadcasts them; raise
-    ``min_count`` for very large corpora, or use :func:`embed_with` with a
-    pretrained encoder.
+    corpus.  MLlib keeps the vocabulary and its vectors on the driver and
+    broadcasts them, so they are bounded: only terms at least as frequent as
+    the ``vocabulary``-th most frequent one are learned (ties at the cut are
+    left out).
     """
     from pyspark.ml.feature import Word2Vec
+    top = term_stats(df, tokens).select("tf").orderBy(F.desc("tf")).limit(vocabulary + 1).agg(
+        F.count("*").alias("n"), F.min("tf").alias("least")).head()
+    min_count = int(top["least"]) + 1 if top["n"] > vocabulary else 1
     parts = num_partitions or df.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=dim, minCount=min_count, maxIter=max_iter, windowSize=window, seed=seed,
                    inputCol=tokens, outputCol="_w2v", numPartitions=parts)

@@ -18,10 +18,19 @@ AVERAGES = ("binary", "macro", "micro", "weighted")
 
 def result_table(truth: DataFrame, pred: DataFrame, key: str = "doc_id",
                  label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Truth + prediction + match flag, joined on the key (inner)."""
+    """Truth + prediction + match flag, joined on the key.
+
+    Every row of the truth stays: one that the model did not score has a null
+    prediction and does not match, so leaving out hard rows does not help."""
     t = truth.select(key, F.col(label).alias("label"))
     p = pred.select(key, F.col(prediction).alias("prediction"))
-    return t.join(p, key, "inner").withColumn("match", F.col("label") == F.col("prediction"))
+    return t.join(p, key, "left").withColumn("match", F.coalesce(F.col("label") == F.col("prediction"), F.lit(False)))
+
+
+def unscored(scored: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """One row ``(n, n_unscored)``: rows, and rows without a prediction."""
+    return scored.agg(F.count(F.lit(1)).alias("n"),
+                      F.sum(F.col(prediction).isNull().cast("long")).alias("n_unscored"))
 
 
 def confusion(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -32,8 +41,12 @@ def confusion(scored: DataFrame, label: str = "label", prediction: str = "predic
 
 def confusion_wide(scored: DataFrame, classes: list[int], label: str = "label",
                    prediction: str = "prediction") -> DataFrame:
-    """Wide confusion matrix: one row per true label, one column per predicted class."""
+    """Wide confusion matrix: one row per true label, one column per predicted
+    class.  A prediction outside ``classes`` raises; it is never left out."""
     conf = confusion(scored, label, prediction)
+    known = F.col("prediction").isin(*classes)
+    bad = F.raise_error(F.concat(F.lit("unlisted class: "), F.coalesce(F.col("prediction").cast("string"), F.lit("null"))))
+    conf = conf.withColumn("prediction", F.when(known, F.col("prediction")).otherwise(bad.cast("int")))
     return (conf.groupBy("label").pivot("prediction", classes).agg(F.sum("n"))
             .fillna(0))
 
@@ -47,12 +60,13 @@ def per_class(conf: DataFrame) -> DataFrame:
     """
     cells = F.array(
         F.struct(F.col("label").alias("cls"), F.col("n").alias("support"),
-                 F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0)).alias("tp"),
+                 F.when(F.coalesce(F.col("label") == F.col("prediction"), F.lit(False)), F.col("n")).otherwise(F.lit(0)).alias("tp"),
                  F.lit(0).cast("long").alias("predicted")),
         F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("long").alias("support"),
                  F.lit(0).cast("long").alias("tp"), F.col("n").alias("predicted")),
     )
-    e = conf.select(F.explode(cells).alias("e"))
+    # a row without a prediction (null) counts for its true class only
+    e = conf.select(F.explode(cells).alias("e")).filter("e.cls is not null")
     return e.groupBy(F.col("e.cls").alias("label")).agg(
         F.sum("e.tp").cast("long").alias("tp"),
         F.sum("e.support").cast("long").alias("support"),
@@ -97,7 +111,7 @@ def accuracy(scored: DataFrame, label: str = "label", prediction: str = "predict
     """Share of matching rows: one row ``(n, accuracy)``."""
     return scored.agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"))
+        F.avg(F.coalesce(F.col(label) == F.col(prediction), F.lit(False)).cast("double")).alias("accuracy"))
 
 
 def metric(scored: DataFrame, name: str, average: str = "weighted", label: str = "label",

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from .splits import fold_assign
 
 
@@ -27,12 +27,13 @@ from .splits import fold_assign
 LBFGS_ROWS_PER_PARTITION = 50_000
 
 
-def _size_for_iterations(df: DataFrame, n_rows: int) -> DataFrame:
-    """Coalesce (no shuffle) to about one partition per
-    ``LBFGS_ROWS_PER_PARTITION`` rows; large inputs keep their parallelism."""
-    want = max(1, -(-n_rows // LBFGS_ROWS_PER_PARTITION))
-    have = df.rdd.getNumPartitions()
-    return df.coalesce(want) if want < have else df
+def _size_for_iterations(data: DataFrame) -> tuple[DataFrame, int]:
+    """The persisted input, coalesced (no shuffle) to about one partition per
+    ``LBFGS_ROWS_PER_PARTITION`` rows, and its row count.  The count fills the
+    cache, so the input is computed once; a coalesce to more partitions than
+    there are changes nothing, so large inputs keep their parallelism."""
+    n = data.count()
+    return data.coalesce(max(1, -(-n // LBFGS_ROWS_PER_PARTITION))), n
 
 
 def _n_classes(df: DataFrame, label: str) -> int:
@@ -69,11 +70,11 @@ def fit_boosted(df: DataFrame, features: str = "features", label: str = "label",
         return est.fit(df.select(features, F.col(label).cast("double").alias(label)))
     from pyspark.ml.classification import GBTClassifier, OneVsRest
     checkpoint_dir(df.sparkSession)
-    k = num_classes or _n_classes(df, label)
+    data = df.select(features, F.col(label).cast("double").alias(label)).persist()
+    k = num_classes or _n_classes(data, label)
     gbt = GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, maxBins=max_bins, seed=seed, checkpointInterval=10,
                         cacheNodeIds=True)
-    data = df.select(features, F.col(label).cast("double").alias(label)).persist()
     try:
         if k <= 2:
             return gbt.fit(data)
@@ -87,14 +88,14 @@ def fit_dense(df: DataFrame, features: str = "features", label: str = "label", h
     """Dense classifier on pooled vectors (stand-in for fine-tuning a
     pretrained encoder: there are no weights offline)."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    width = len(df.select(features).head()[0])
-    k = num_classes or _n_classes(df, label)
+    data = df.select(features, F.col(label).cast("double").alias(label)).persist()
+    sized, _ = _size_for_iterations(data)
+    width = len(sized.select(features).head()[0])
+    k = num_classes or _n_classes(sized, label)
     mlp = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=[width, *hidden, k],
                                          maxIter=max_iter, seed=seed, blockSize=block_size)
-    data = df.select(features, F.col(label).cast("double").alias(label))
-    data = _size_for_iterations(data, data.count()).persist()
     try:
-        return mlp.fit(data)
+        return mlp.fit(sized)
     finally:
         data.unpersist()
 
@@ -105,16 +106,44 @@ def fit_meta(df: DataFrame, features: str = "meta_features", label: str = "label
     expressed as MLlib's ``mean(loss) + regParam/2 |w|^2`` (regParam = 1/(C n)),
     unstandardized, intercept unpenalized."""
     from pyspark.ml.classification import LogisticRegression
-    n = df.count()
+    data = df.select(features, F.col(label).cast("double").alias(label)).persist()
+    sized, n = _size_for_iterations(data)
     lr = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter, regParam=1.0 / (c * n),
                             elasticNetParam=0.0, standardization=False, tol=tol)
-    data = _size_for_iterations(df.select(features, F.col(label).cast("double").alias(label)), n).persist()
     try:
-        return lr.fit(data)
+        return lr.fit(sized)
+    finally:
+        data.unpersist()
+
+
+def fit_dense_epochs(df: DataFrame, path: str, epochs: int = 30, features: str = "features", label: str = "label",
+                     hidden: tuple = (32,), seed: int = 42, num_classes: int | None = None):
+    """The dense classifier epoch by epoch, each continuing from the weights of
+    the one before and saved under ``path/epoch-<n>``; returns the last model."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    data = df.select(features, F.col(label).cast("double").alias(label)).persist()
+    sized, _ = _size_for_iterations(data)
+    layers = [len(sized.select(features).head()[0]), *hidden, num_classes or _n_classes(sized, label)]
+    model = None
+    try:
+        for epoch in range(1, epochs + 1):
+            est = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=layers, maxIter=1, seed=seed)
+            if model is not None:
+                est.setInitialWeights(model.weights)
+            model = est.fit(sized)
+            model.write().overwrite().save(f"{path.rstrip('/')}/epoch-{epoch}")
+        return model
     finally:
         data.unpersist()
 
 
+def loss_log(spark, model, epoch: int = 1) -> DataFrame:
+    """``(epoch, step_no, loss)`` of a freshly fitted model's iterations, the log
+    that ``running_loss`` reads (one row per iteration of the solver)."""
+    history = [(epoch, i, float(x)) for i, x in enumerate(model.summary.objectiveHistory, 1)]
+    return spark.createDataFrame(history, "epoch int, step_no int, loss double")
+
+
 def score(model, df: DataFrame, key: str = "doc_id", keep: tuple = ("label",), positive: int | None = 1) -> DataFrame:
     """``(key, *keep, prediction INT[, p_positive])`` from any fitted classifier."""
     from pyspark.ml.functions import vector_to_array
@@ -131,42 +160,65 @@ def argmax_prediction(scores) -> "F.Column":
     return (F.array_position(s, F.array_max(s)) - 1).cast("int")
 
 
-def stack_oof(df: DataFrame, fit_base, base_features: str, label: str = "label", key: str = "doc_id",
-              k: int = 3, meta_inputs: tuple = (), salt: str = "oof"):
-    """Out-of-fold stacking.
+def stack_oof(train: DataFrame, bases: dict, label: str = "label", key: str = "doc_id", k: int = 3, salt: str = "oof"):
+    """Out-of-fold stacking over several bases.
 
-    Rows get a key-hashed fold; for each fold a base model is fitted on the
-    other folds and scores the held-out fold; the union of held-out
-    positive-class scores (plus ``meta_inputs`` columns) trains the meta
-    learner.  Returns ``(meta_model, oof_frame)``.  The driver loops over the
-    ``k`` folds only; every fit and score is a distributed job.
+    ``bases``: name -> ``fit(df)``, which fits everything the base needs, its
+    vectorizer included, on the rows it is given and returns a model whose
+    ``transform`` adds ``probability``.  Rows of ``train`` get a key-hashed fold;
+    for each fold and base a model fitted on the other folds scores the held-out
+    one.  The meta-learner is fitted on these scores, one column per base; the
+    bases are then fitted on all of ``train`` to score other rows.  Returns
+    ``(meta_model, final_bases, oof_scores)``.  The driver loops over folds and
+    bases only; every fit and score is a distributed job.
     """
+    folded = fold_assign(train, k, key, salt).persist()
+    try:
+        columns = []
+        for name, fit in bases.items():
+            held = [_positive(fit(folded.filter(F.col("fold") != f)), folded.filter(F.col("fold") == f), key, name)
+                    for f in range(k)]
+            columns.append(reduce(lambda a, b: a.unionByName(b), held))
+        scores = reduce(lambda a, b: a.join(b, key), [folded.select(key, label), *columns])
+        scores = cut_lineage(scores)  # one pass over every fold's model, before the fold table goes
+        meta = fit_meta(_assembled(scores, list(bases)), "meta_features", label)
+        finals = {name: fit(folded) for name, fit in bases.items()}
+    finally:
+        folded.unpersist()
+    return meta, finals, scores
+
+
+def score_stack(meta, finals: dict, df: DataFrame, key: str = "doc_id", keep: tuple = ("label",)) -> DataFrame:
+    """``(key, *keep, prediction, p_positive)`` of the stacked model for rows it was not fitted on."""
+    rows = df.select(key, *[c for c in keep if c in df.columns])
+    for name, model in finals.items():
+        rows = rows.join(_positive(model, df, key, name), key)
+    return score(meta, _assembled(rows, list(finals)), key, keep)
+
+
+def _positive(model, df: DataFrame, key: str, name: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+    return model.transform(df).select(key, vector_to_array("probability")[1].alias(f"p_{name}"))
+
+
+def _assembled(scores: DataFrame, names: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
-    folded = fold_assign(df, k, key, salt).persist()
-    parts = []
-    for f in range(k):
-        base = fit_base(folded.filter(F.col("fold") != f))
-        held = folded.filter(F.col("fold") == f)
-        parts.append(score(base, held, key, keep=(label, *meta_inputs))
-                     .withColumnRenamed("prediction", "base_prediction"))
-    oof = reduce(lambda a, b: a.unionByName(b), parts)
-    meta_in = VectorAssembler(inputCols=["p_positive", *meta_inputs], outputCol="meta_features").transform(oof)
-    meta = fit_meta(meta_in, "meta_features", label)
-    folded.unpersist()
-    return meta, meta_in
-
-
-def refit_meta(model, df: DataFrame):
-    """Refit a fitted meta-model's estimator (same parameters) on another split."""
+    return VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="meta_features").transform(scores)
+
+
+def refit_meta(model, df: DataFrame, c: float = 1.0):
+    """Refit a fitted meta-model's estimator on another split, with the same
+    parameters; the penalty is again ``c`` scaled to the number of rows (the
+    fitted model only knows the product)."""
     from pyspark.ml.classification import LogisticRegression
     est = LogisticRegression()
     for p in model.extractParamMap():
         if est.hasParam(p.name):
             est.set(est.getParam(p.name), model.getOrDefault(p))
-    n = df.count()
-    est.set(est.getParam("regParam"), 1.0 / n)
-    data = _size_for_iterations(df, n).persist()
+    data = df.persist()
+    sized, n = _size_for_iterations(data)
+    est.set(est.getParam("regParam"), 1.0 / (c * n))
     try:
-        return est.fit(data)
+        return est.fit(sized)
     finally:
         data.unpersist()

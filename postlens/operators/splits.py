@@ -37,20 +37,23 @@ def fold_assign(df: DataFrame, k: int, key: str = "doc_id", salt: str = "fold",
     return df.withColumn(out, (key_hash(key, salt) % F.lit(k)).cast("int"))
 
 
-def shuffle_rows(df: DataFrame, key: str = "doc_id", seed: int = 0) -> DataFrame:
-    """Reproducible random order: a global sort on ``md5(key || seed)``."""
-    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), F.col(key))
-
-
 def split_overlap(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Leak guard: rows of ``left`` whose ``on`` values also occur in ``right``.
-
-    One row ``(n_left, n_right, n_shared)``.  The right side is de-duplicated
-    (partial aggregation) and flagged; a left outer join then counts left rows
-    and hits in one aggregation.  De-duplication means a hot key costs one row
-    on the right; AQE splits a hot key on the left.
+    """Leak guard: rows of ``left`` whose ``on`` values also occur in ``right``
+    (rows with a null among them are shared with nothing).
+
+    One row ``(n_left, n_right, n_shared)``.  Both sides are reduced to a
+    256-bit hash of the values, so that no texts are shuffled; the right side is
+    de-duplicated (partial aggregation) and flagged, and a left outer join
+    counts left rows and hits in one aggregation.  De-duplication means a hot
+    key costs one row on the right; AQE splits a hot key on the left.
     """
-    r = right.select(*on).dropDuplicates(on).withColumn("_hit", F.lit(1))
-    counted = left.select(*on).join(r, on=on, how="left").agg(
+    def marked(df: DataFrame) -> DataFrame:
+        whole = F.lit(True)
+        for c in on:
+            whole = whole & F.col(c).isNotNull()
+        return df.select(F.when(whole, F.sha2(F.to_json(F.struct(*on)), 256)).alias("_mark"))
+
+    r = marked(right).dropDuplicates(["_mark"]).withColumn("_hit", F.lit(1))
+    counted = marked(left).join(r, on="_mark", how="left").agg(
         F.count(F.lit(1)).alias("n_left"), F.coalesce(F.sum("_hit"), F.lit(0)).cast("long").alias("n_shared"))
     return counted.select("n_left", right.select(F.count(F.lit(1))).scalar().alias("n_right"), "n_shared")

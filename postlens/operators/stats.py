@@ -13,14 +13,15 @@ from .metrics import averaged
 
 def correctness(truth: DataFrame, pred: DataFrame, key: str = "doc_id", name: str = "correct",
                 label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """``(key, name)``: 1 when the prediction equals the truth, else 0 (keyed join)."""
+    """``(key, name)``: 1 when the prediction equals the truth, else 0, also for a
+    row that was not scored (keyed join)."""
     t = truth.select(key, F.col(label).alias("_y"))
     p = pred.select(key, F.col(prediction).alias("_p"))
-    return t.join(p, key).select(key, (F.col("_y") == F.col("_p")).cast("int").alias(name))
+    return t.join(p, key, "left").select(key, F.coalesce(F.col("_y") == F.col("_p"), F.lit(False)).cast("int").alias(name))
 
 
 def mcnemar(truth: DataFrame, pred_a: DataFrame, pred_b: DataFrame, key: str = "doc_id") -> DataFrame:
-    """McNemar's test on the rows both models scored.
+    """McNemar's test on the rows of the truth (an unscored row is a wrong one).
 
     b = A right & B wrong, c = A wrong & B right; statistic (b-c)^2/(b+c),
     continuity-corrected (|b-c|-1)^2/(b+c); p = P(chi2_1 > x) = erfc(sqrt(x/2)).

@@ -2,14 +2,15 @@
 
 Plan shape (checked with ``explain``):
 
-* ``vocab_fit``: scan(text) -> in-row sort + first-occurrence flags -> explode
+* ``vocab_fit``: scan(text) -> explode of the tokens and of the distinct tokens
   -> HashAggregate(partial) -> Exchange(term) -> HashAggregate(final)
   -> TakeOrderedAndProject(k).  One shuffle, map-side combined, so a hot term
   costs one row per map task.
-* ``tfidf_transform``: in-row run-length counts -> explode -> broadcast hash
-  join with the k-row vocabulary -> one Exchange(doc key) with partial
-  aggregation -> in-row normalization.  Documents without vocabulary terms
-  keep an all-zero row (left join, ``explode_outer``).
+* ``tfidf_transform``: explode -> broadcast hash join with the k-row
+  vocabulary -> count per (document, index) and collect per document, one
+  Exchange(doc key) with partial aggregation -> in-row normalization.
+  Documents without vocabulary terms keep an all-zero row (left join,
+  ``explode_outer``).
 """
 
 from __future__ import annotations
@@ -47,6 +48,11 @@ def vocab_fit(df: DataFrame, tokens: str = "tokens", k: int = TFIDF_MAX_FEATURES
     return top.select("term", idx.alias("idx"), "tf", "df")
 
 
+def width(model: DataFrame) -> int:
+    """Features of a fitted vocabulary: its rows (at most ``k``)."""
+    return model.count()
+
+
 def n_rows(df: DataFrame) -> Column:
     """Row count of ``df`` as a lazy scalar sub-query column."""
     return df.select(F.count(F.lit(1))).scalar()
@@ -106,23 +112,34 @@ def tfidf_long(df: DataFrame, model: DataFrame, key: str = "doc_id",
         key, F.col("e.idx").alias("idx"), F.col("e.weight").alias("weight"))
 
 
-def tfidf_vector(df: DataFrame, model: DataFrame, tokens: str = "tokens",
-                 output: str = "features") -> DataFrame:
-    """Same weights as an MLlib sparse vector column (for MLlib learners).
+def tfidf_stages(model: DataFrame, tokens: str = "tokens", output: str = "features", k: int = TFIDF_MAX_FEATURES):
+    """The fitted vectorizer as a ``PipelineModel`` (it can be saved and put before a learner).
 
-    Uses JVM stages only: ``CountVectorizerModel`` on the fitted vocabulary,
-    ``ElementwiseProduct`` with the idf vector, ``Normalizer(p=2)``.  The
-    vocabulary (at most k terms) is the only thing that visits the driver.
+    The vocabulary, at most ``k`` terms, is the only thing that visits the driver.
     """
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    rows = model.select("term", "idx", "idf").orderBy("idx").collect()
-    terms = [r["term"] for r in rows]
-    idf = Vectors.dense([float(r["idf"]) for r in rows])
-    cv = CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol="_tf")
-    ep = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_tfidf")
+    rows = model.select("term", "idx", "idf").orderBy("idx").limit(k + 1).collect()
+    if len(rows) > k:
+        raise ValueError(f"the vocabulary has more than {k} terms; fit it with a smaller k or pass a larger one")
+    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=tokens, outputCol="_tf")
+    ep = ElementwiseProduct(scalingVec=Vectors.dense([float(r["idf"]) for r in rows]), inputCol="_tf", outputCol="_tfidf")
     nm = Normalizer(p=2.0, inputCol="_tfidf", outputCol=output)
-    out = PipelineModel(stages=[cv, ep, nm]).transform(df)
-    return out.drop("_tf", "_tfidf")
+    return PipelineModel(stages=[cv, ep, nm])
+
+
+def tfidf_vector(df: DataFrame, model: DataFrame, tokens: str = "tokens",
+                 output: str = "features", k: int = TFIDF_MAX_FEATURES) -> DataFrame:
+    """Same weights as an MLlib sparse vector column (for MLlib learners), by
+    JVM stages only (see :func:`tfidf_stages`)."""
+    return tfidf_stages(model, tokens, output, k).transform(df).drop("_tf", "_tfidf")
+
+
+def sparse_entries(vector) -> Column:
+    """``array<struct<idx:int, weight:double>>`` of a sparse MLlib vector column,
+    without making it dense."""
+    v = F.unwrap_udt(vector)
+    return F.transform(F.arrays_zip(v["indices"].alias("idx"), v["values"].alias("weight")),
+                       lambda e: F.struct(e["idx"].alias("idx"), e["weight"].alias("weight")))

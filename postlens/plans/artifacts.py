@@ -4,14 +4,15 @@ The reference trains in one process, saves the vectorizer and the model, and
 scores in others that load them.  Here a fit is written once to the shared
 checkpoint folder -- a parquet table for the TF-IDF model, MLlib persistence
 for learners -- and later jobs of the same session read it back instead of
-refitting.  Keys include the input folder and every fit parameter; nothing
-survives the session, so a changed input is never served a stale model.
+refitting.  Keys include every fit parameter and the version of the input
+tables (their files with sizes and modification times), so a changed input is
+fitted anew; nothing survives the session.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,25 @@ _LOCK = threading.Lock()
 _STORE: dict[tuple, tuple[str, str]] = {}
 
 
+#: Tables that fits read.
+INPUTS = ("documents", "labels", "embeddings")
+
+
+def input_version(spark: SparkSession, sf_dir: str) -> str:
+    """Paths, sizes and times of the input tables' files (a listing; no job runs)."""
+    jvm = spark._jvm
+    found = []
+    for name in INPUTS:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if fs.exists(path):
+            for f in fs.listStatus(path):
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(json.dumps(sorted(found)).encode()).hexdigest()
+
+
 def _key(spark: SparkSession, name: str, sf_dir: str, params: dict) -> tuple:
-    return (spark.sparkContext.applicationId, name, os.path.abspath(sf_dir), json.dumps(params, sort_keys=True))
+    return (spark.sparkContext.applicationId, name, input_version(spark, sf_dir), json.dumps(params, sort_keys=True))
 
 
 def table(spark: SparkSession, name: str, sf_dir: str, params: dict, fit) -> DataFrame:

@@ -91,30 +91,30 @@ def q_tfidf_transform(spark, sf_dir):
 @register("stack_features", f"""
 WITH {_TFIDF_CTE},
 sparse AS (SELECT w.doc_id, w.idx, w.w / nrm.nrm AS value FROM w JOIN nrm ON w.doc_id = nrm.doc_id),
-dense AS (SELECT e.vec_id AS doc_id, CAST({K} + u.j - 1 AS INTEGER) AS idx, CAST(u.v AS DOUBLE) AS value
-          FROM embeddings e, unnest(e.embedding) WITH ORDINALITY AS u(v, j)),
-keys AS (SELECT d.doc_id FROM docs d JOIN embeddings e ON d.doc_id = e.vec_id)
-SELECT s.doc_id, s.idx, {q6("s.value")} AS value FROM sparse s JOIN keys k ON s.doc_id = k.doc_id
+dense AS (SELECT e.vec_id AS doc_id, CAST((SELECT count(*) FROM voc) + u.j - 1 AS INTEGER) AS idx, CAST(u.v AS DOUBLE) AS value
+          FROM embeddings e, unnest(e.embedding) WITH ORDINALITY AS u(v, j))
+SELECT s.doc_id, s.idx, {q6("s.value")} AS value FROM sparse s
 UNION ALL
-SELECT x.doc_id, x.idx, {q6("x.value")} AS value FROM dense x JOIN keys k ON x.doc_id = k.doc_id""")
+SELECT x.doc_id, x.idx, {q6("x.value")} AS value FROM dense x JOIN docs d ON x.doc_id = d.doc_id""")
 def q_stack_features(spark, sf_dir):
     model = train_model(spark, sf_dir)
     ent = vocab.tfidf_entries(analyzed_documents(spark, sf_dir), model, "doc_id", "tokens", K)
     emb = fx.embeddings(spark, sf_dir)
-    out = stack.stack_long(ent, emb, K)
+    out = stack.stack_long(ent, emb, vocab.n_rows(model).cast("int"))
     return out.select("doc_id", "idx", quantize("value").alias("value"))
 
 
 @register("encode_ids", f"""
 WITH {_VOCAB_CTE},
 voc AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx FROM top),
-lab AS (SELECT l.doc_id, {TOK} AS t FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+lab AS (SELECT doc_id, {TOK} AS t FROM documents),
 num AS (SELECT doc_id, t, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM lab),
 pos AS (SELECT n.doc_id, n.rn, u.term, u.p FROM num n, unnest(n.t[1:256]) WITH ORDINALITY AS u(term, p)),
 ids AS (SELECT pos.doc_id, pos.p, coalesce(voc.idx + 2, 1) AS id FROM pos LEFT JOIN voc ON pos.term = voc.term),
+lists AS (SELECT doc_id, list(id ORDER BY p) AS id_list FROM ids GROUP BY doc_id),
 enc AS (SELECT n.doc_id, CAST(n.rn // 32 AS BIGINT) AS batch_id, CAST(least(len(n.t), 256) AS INTEGER) AS n_ids,
-               coalesce((SELECT list(id ORDER BY p) FROM ids WHERE ids.doc_id = n.doc_id), []) AS id_list
-        FROM num n),
+               coalesce(l.id_list, []) AS id_list
+        FROM num n LEFT JOIN lists l ON n.doc_id = l.doc_id),
 padded AS (SELECT *, max(n_ids) OVER (PARTITION BY batch_id) AS width FROM enc)
 SELECT doc_id, batch_id, n_ids, CAST(width AS INTEGER) AS width,
        array_to_string(list_concat(id_list, list_transform(range(width - n_ids), lambda x: 0)), ' ') AS input_ids,
@@ -124,8 +124,7 @@ def q_encode_ids(spark, sf_dir):
     from . import artifacts
     model = artifacts.table(spark, "vocab", sf_dir, {"k": K, "split": "all"},
                             lambda: vocab.vocab_fit(analyzed_documents(spark, sf_dir), "tokens", K))
-    lab = fx.labels(spark, sf_dir).select("doc_id")
-    docs = analyzed_documents(spark, sf_dir).join(lab, "doc_id")
+    docs = analyzed_documents(spark, sf_dir)
     out = encode.encode_ids(docs, model, key="doc_id", tokens="tokens", max_len=256,
                             batch_size=32, k=K)
     return out.select("doc_id", "batch_id", "n_ids", "width",
@@ -151,18 +150,40 @@ def q_assign_batches(spark, sf_dir):
 
 
 @register("running_loss", f"""
-WITH s AS (
+WITH log AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 97 <> 0 THEN value END AS value FROM events),
+s AS (
   SELECT user_id, event_id, value,
          row_number() OVER w AS step,
          sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_sum,
          avg(value) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS trailing_mean
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+  FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, event_id, step, {q6("running_sum")} AS running_sum, {q6("trailing_mean")} AS trailing_mean,
        {q6("running_sum / 10.0")} AS reported_loss, step % 10 = 0 AS reported
 FROM s""")
 def q_running_loss(spark, sf_dir):
-    ev = fx.events(spark, sf_dir).select("user_id", "event_id", "ts", "value")
+    # every 97th event has no value: a step without a loss
+    ev = fx.events(spark, sf_dir).select("user_id", "event_id", "ts", F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("value"))
     out = batching.running_loss(ev, part="user_id", order=["ts", "event_id"], value="value", every=10)
     return out.select("user_id", "event_id", "step", quantize("running_sum").alias("running_sum"),
                       quantize("trailing_mean").alias("trailing_mean"),
                       quantize("reported_loss").alias("reported_loss"), "reported")
+
+
+@register("encode_ids_dataset", f"""
+WITH {_VOCAB_CTE},
+voc AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx FROM top),
+d AS (SELECT doc_id, {TOK} AS t FROM documents),
+wide AS (SELECT CAST(max(least(len(t), 512)) AS INTEGER) AS width FROM d),
+pos AS (SELECT d.doc_id, u.term, u.p FROM d, unnest(d.t[1:512]) WITH ORDINALITY AS u(term, p)),
+ids AS (SELECT pos.doc_id, list(coalesce(voc.idx + 2, 1) ORDER BY pos.p) AS ids
+        FROM pos LEFT JOIN voc ON pos.term = voc.term GROUP BY pos.doc_id)
+SELECT d.doc_id, CAST(least(len(d.t), 512) AS INTEGER) AS n_ids, width,
+       array_to_string(list_concat(coalesce(ids, []), list_transform(range(width - least(len(d.t), 512)), lambda x: 0)), ' ') AS input_ids
+FROM d LEFT JOIN ids ON d.doc_id = ids.doc_id, wide""")
+def q_encode_ids_dataset(spark, sf_dir):
+    """All rows padded to one width, the longest of the data set (512 at most)."""
+    from . import artifacts
+    model = artifacts.table(spark, "vocab", sf_dir, {"k": K, "split": "all"},
+                            lambda: vocab.vocab_fit(analyzed_documents(spark, sf_dir), "tokens", K))
+    out = encode.encode_ids(analyzed_documents(spark, sf_dir), model, max_len=512, k=K, pad_to="dataset")
+    return out.select("doc_id", "n_ids", "width", F.array_join("input_ids", " ").alias("input_ids"))

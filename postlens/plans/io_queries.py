@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from ..sources.readers import read_labeled
+from ..functions.mathx import quantize
+from ..sources.readers import read_csv, read_labeled
 from ..sources.sinks import scratch_path, write_meta_features, write_table
 from . import fixtures as fx
 from .preprocess import preprocess
@@ -41,26 +42,60 @@ def q_read_labeled(spark, sf_dir):
 
 
 @register("write_predictions", f"""
-SELECT t.doc_id, t.label AS True_Labels, p.prediction AS Model_Predictions, t.label = p.prediction AS Match
-FROM {fx.SQL_TRUTH} t JOIN {fx.SQL_PRED_A} p ON t.doc_id = p.doc_id""")
+SELECT d.doc_id, d.text, t.label AS True_Labels, p.prediction AS Model_Predictions, t.label = p.prediction AS Match
+FROM {fx.SQL_TRUTH} t JOIN {fx.SQL_PRED_A} p ON t.doc_id = p.doc_id JOIN documents d ON d.doc_id = t.doc_id""")
 def q_write_predictions(spark, sf_dir):
+    """The input columns and the three result columns as CSV, read back."""
     r = metrics.result_table(fx.truth(spark, sf_dir), fx.predictor_a(spark, sf_dir))
-    out = r.select("doc_id", F.col("label").alias("True_Labels"), F.col("prediction").alias("Model_Predictions"),
-                   F.col("match").alias("Match"))
+    docs = fx.documents(spark, sf_dir).select("doc_id", "text")
+    out = docs.join(r, "doc_id").select("doc_id", "text", F.col("label").alias("True_Labels"),
+                                        F.col("prediction").alias("Model_Predictions"), F.col("match").alias("Match"))
     path = scratch_path(spark, "predictions")
-    write_table(out, path, "parquet", mode="overwrite")
-    return spark.read.parquet(path)
+    write_table(out, path, "csv", mode="overwrite")
+    return read_csv(spark, path, out.schema)
 
 
-@register("write_meta_features")
+#: Cells that a trimming or quoting writer would change: id, text.
+ODD_CELLS = [(1, "  lead"), (2, "trail  "), (3, " "), (4, ""), (5, None), (6, 'a "quoted", cell'), (7, "two\nlines"), (8, "back\\slash"),
+             (9, "\ttab\t"), (10, "1.0")]
+
+
+@register("write_cells", "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}::BIGINT, " + ("NULL" if t is None else "'" + t.replace("'", "''") + "'") + ")" for i, t in ODD_CELLS)
+    + """) AS v(id, text) UNION ALL SELECT doc_id + 100, text FROM documents""")
+def q_write_cells(spark, sf_dir):
+    """Blanks, empty and null cells, quotes and line ends survive the CSV round trip."""
+    odd = spark.createDataFrame(ODD_CELLS, "id long, text string")
+    cells = odd.unionByName(fx.documents(spark, sf_dir).select((F.col("doc_id") + 100).alias("id"), "text"))
+    path = scratch_path(spark, "cells")
+    write_table(cells, path, "csv", mode="overwrite")
+    return read_csv(spark, path, cells.schema)
+
+
+def _sql_stacked():
+    from .feature_queries import _TFIDF_CTE, q6
+    return f"""
+WITH {_TFIDF_CTE},
+lab AS (SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)),
+dense AS (SELECT e.vec_id AS doc_id, CAST((SELECT count(*) FROM voc) + u.j - 1 AS INTEGER) AS idx, CAST(u.v AS DOUBLE) AS value
+          FROM embeddings e, unnest(e.embedding) WITH ORDINALITY AS u(v, j) WHERE u.v <> 0)
+SELECT w.doc_id, w.idx, {q6("w.w / nrm.nrm")} AS value FROM w JOIN nrm ON w.doc_id = nrm.doc_id JOIN lab ON lab.doc_id = w.doc_id
+UNION ALL SELECT x.doc_id, x.idx, {q6("x.value")} AS value FROM dense x JOIN lab ON lab.doc_id = x.doc_id"""
+
+
+@register("write_meta_features", _sql_stacked())
 def q_write_meta_features(spark, sf_dir):
+    """The stacked matrix of the labelled messages, written and read back:
+    its entries other than zero."""
+    from pyspark.ml.functions import vector_to_array
+
     from .model_queries import _stacked
-    s = _stacked(spark, sf_dir)
     path = scratch_path(spark, "meta")
-    write_meta_features(s, path, "meta_features", "doc_id", "parquet")
-    from pyspark.ml.functions import vector_to_array
-    back = spark.read.parquet(path)
-    return back.select("doc_id", F.size(vector_to_array("meta_features")).alias("width"))
+    write_meta_features(_stacked(spark, sf_dir), path, "meta_features", "doc_id", "parquet")
+    back = spark.read.parquet(path).select("doc_id", vector_to_array("meta_features").alias("v"))
+    entries = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("idx"), x.alias("value"))), lambda e: e["value"] != 0)
+    return back.select("doc_id", F.explode(entries).alias("e")).select(
+        "doc_id", F.col("e.idx").cast("int").alias("idx"), quantize("e.value").alias("value"))
 
 
 @register("read_lexicon", """

@@ -2,8 +2,7 @@
 
 read -> skip empty text -> default label (2) -> tokenize -> bilingual
 stop-word / punctuation filter -> join with blanks -> write.  One narrow
-stage; the only shuffle is the optional ``spread`` that gives whole-text
-tokenizing enough tasks when the input is a few large files.
+stage; a few large files are dealt out at the source (``joins.spread``).
 """
 
 from __future__ import annotations
@@ -14,13 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.text import filter_bilingual
 from ..functions.tokenizer import DEFAULT, TokenizerConfig, tokenize
 from ..operators.cleaning import default_label, skip_empty_rows
-from ..operators.joins import spread
 
 
 def preprocess(df: DataFrame, cfg: TokenizerConfig = DEFAULT, key: str = "doc_id", text: str = "text",
                label: str = "label", tagalog=None, english=None) -> DataFrame:
     """``(key, text, label)`` -> ``(key, text, label)`` with processed text."""
-    df = spread(df, key)
     df = default_label(skip_empty_rows(df, text), label)
     toks = filter_bilingual(tokenize(text, cfg), tagalog, english)
     return df.select(key, F.array_join(toks, " ").alias("text"), F.col(label).alias("label"))

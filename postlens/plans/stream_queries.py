@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.features import tfidf_analyze
-from ..operators import splits, vocab
 from ..session import read_table
 from ..streaming.pipelines import drain, read_stream, score_stream, tokenize_stream
 from . import fixtures as fx
@@ -28,28 +26,17 @@ def q_tokenize_stream(spark, sf_dir):
                       F.array_join("tokens", " ").alias("tokens"))
 
 
-@register("score_stream")
+@register("score_stream", "SELECT doc_id, TRUE AS equal FROM documents")
 def q_score_stream(spark, sf_dir):
-    from pyspark.ml import Pipeline, PipelineModel
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
-    from pyspark.ml.linalg import Vectors
-
-    # fit a small sparse pipeline in batch ...
-    docs = splits.label_split(fx.labelled_messages(spark, sf_dir))
-    train = docs.filter(F.col("split") == "train").select(tfidf_analyze("text").alias("tokens"))
-    model = vocab.fit_tfidf(train, "tokens", 2048)
-    rows = model.orderBy("idx").collect()
-    analyze = SQLTransformer(statement="SELECT *, regexp_extract_all(lower(coalesce(text, '')), "
-                                       "'[\\\\p{L}\\\\p{N}_]{2,}', 0) AS tokens FROM __THIS__")
-    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="tokens", outputCol="tf")
-    ep = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="tf", outputCol="tfidf")
-    nm = Normalizer(p=2.0, inputCol="tfidf", outputCol="features")
-    feats = PipelineModel(stages=[analyze, cv, ep, nm])
-    lr = Pipeline(stages=[LogisticRegression(maxIter=50)]).fit(
-        feats.transform(docs.filter(F.col("split") == "train")).withColumn("label", F.col("label").cast("double")))
-    full = PipelineModel(stages=[*feats.stages, *lr.stages])
-    # ... and apply it to the documents table read as a stream
-    schema = read_table(spark, sf_dir, "documents").schema
-    s = read_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet", schema)
-    return drain(spark, score_stream(full, s, "doc_id"), "score-stream")
+    """The saved text pipeline, loaded and applied to the documents table as a
+    stream; every prediction equals the batch's."""
+    from ..operators import models
+    from ..sources.sinks import load_model, save_model, scratch_path
+    from .model_queries import text_pipeline
+    pipeline = text_pipeline(spark, sf_dir)
+    loaded = load_model(save_model(pipeline, scratch_path(spark, "stream-model")))
+    docs = read_table(spark, sf_dir, "documents")
+    s = read_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet", docs.schema)
+    scored = drain(spark, score_stream(loaded, s, "doc_id"), "score-stream")
+    batch = models.score(pipeline, docs, keep=()).select("doc_id", F.col("prediction").alias("expected"))
+    return scored.join(batch, "doc_id").select("doc_id", (F.col("prediction") == F.col("expected")).alias("equal"))

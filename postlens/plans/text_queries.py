@@ -23,13 +23,14 @@ from .registry import register
 
 # Probe rows (FIXTURES.md "small inline fixtures"): id, text.
 PROBES = [
-    (-1, "<3:p:D a\U0001F600b"), (-2, "#HateSpeech you#inlove #abc123"),
+    (-1, "<3:p:D a\U0001F600b"), (-2, "#OldTown at#pier #abc123"),
     (-3, "see http://a.b/c and bit.ly or bit.ly, at 12:30 PM"),
     (-4, "1234567abc 2nd 2024-01-01 1 / 2 call 555-123-4567 now"), (-5, "mail bob@x.com @someone_else_here_long"),
     (-6, "sooooo hahahaha AAAAbbb"), (-7, "&amp;lt; &#65; &#x41; &nosuch; &#xZZ;"),
     (-8, 'he said "stop it" and “no” then ＂x＂ and ‘a’ ok \'quoted bit\' end'),
     (-9, "The THE the don t Won't ako ANG"), (-10, None), (-11, ""), (-12, "   "), (-13, "?!..."),
-    (-14, "wow... really.. $5.00 +1.5e3% -2"),
+    (-14, "wow... really.. $5.00 +1.5e3% -2"), (-15, "@ab\u200dc @abe\u0301x x\u0085y a\x1cb"),
+    (-16, "&#55357;&#56832; &#xD800; &#x10FFFF;"), (-17, "é日" * 50_000), (-18, "STRASSE Straße ÀÉ Àé ñ 2x"),
 ]
 
 
@@ -50,37 +51,9 @@ def source(spark, sf_dir):
     return d.unionByName(probes(spark))
 
 
-# Unicode classes shared by both engines' restated patterns.
-WS = r"[\t\n\x{0B}\f\r\x{85}\p{Z}]"
-
-
-_CLASS_BODY = {"w": r"\p{L}\p{N}_", "d": r"\p{Nd}", "s": r"\t\n\x{0B}\f\r\x{85}\p{Z}"}
-
-
-def _re2(pattern: str) -> str:
-    r"""Python-syntax pattern without look-around -> RE2 with explicit Unicode
-    classes for ``\w \d \s \S`` (bracketed outside a class, spliced inside one)."""
-    out, i, in_class = [], 0, False
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\" and i + 1 < len(pattern):
-            nxt = pattern[i + 1]
-            if nxt in _CLASS_BODY:
-                body = _CLASS_BODY[nxt]
-                out.append(body if in_class else "[" + body + "]")
-            elif nxt == "S" and not in_class:
-                out.append("[^" + _CLASS_BODY["s"] + "]")
-            else:
-                out.append(pattern[i:i + 2])
-            i += 2
-            continue
-        if ch == "[" and not in_class:
-            in_class = True
-        elif ch == "]" and in_class:
-            in_class = False
-        out.append(ch)
-        i += 1
-    return "".join(out)
+#: Blanks, in both engines' restated patterns.
+WS = "[" + tx.CLASS_BODIES["s"] + "]"
+_re2 = tx.spell_classes
 
 
 def _sql_lit(s: str) -> str:
@@ -99,10 +72,12 @@ _DEC_ONE = f"""(CASE WHEN substring(x, 2, 1) = '#' THEN
   CASE WHEN lower(substring(x, 3, 1)) = 'x' THEN
     CASE WHEN regexp_full_match(regexp_replace(substring(x, 4, length(x) - 4), '^0+(.)', '\\1'), '[0-9a-fA-F]{{1,6}}')
           AND CAST(('0x' || substring(x, 4, length(x) - 4)) AS BIGINT) <= 1114111
+          AND CAST(('0x' || substring(x, 4, length(x) - 4)) AS BIGINT) NOT BETWEEN 55296 AND 57343
          THEN chr(CAST(CAST(('0x' || substring(x, 4, length(x) - 4)) AS BIGINT) AS INTEGER)) ELSE x END
   ELSE
     CASE WHEN regexp_full_match(regexp_replace(substring(x, 3, length(x) - 3), '^0+(.)', '\\1'), '[0-9]{{1,7}}')
           AND CAST(substring(x, 3, length(x) - 3) AS BIGINT) <= 1114111
+          AND CAST(substring(x, 3, length(x) - 3) AS BIGINT) NOT BETWEEN 55296 AND 57343
          THEN chr(CAST(substring(x, 3, length(x) - 3) AS INTEGER)) ELSE x END
   END
 ELSE coalesce(element_at({_sql_entity_map()}, substring(x, 2, length(x) - 2))[1], x) END)"""
@@ -123,12 +98,7 @@ def q_decode_entities(spark, sf_dir):
 
 # -- quotes / masks / squeezes on whole messages ------------------------------
 
-def _quotes_re2() -> str:
-    spans = "|".join(f"({a}.*?{b})" for a, b in fv.DOUBLE_QUOTES)
-    return _re2(spans + "|" + fv.SINGLE_QUOTED_RE)
-
-
-@register("strip_quotes", f"SELECT id, regexp_replace(text, {_sql_lit(_quotes_re2())}, ' ', 'g') AS text FROM {SQL_SRC}")
+@register("strip_quotes", f"SELECT id, regexp_replace(text, {_sql_lit(_re2(fv.QUOTED_RE))}, ' ', 'g') AS text FROM {SQL_SRC}")
 def q_strip_quotes(spark, sf_dir):
     return source(spark, sf_dir).select("id", tx.strip_quotes("text").alias("text"))
 
@@ -174,17 +144,22 @@ def q_squeeze_letters(spark, sf_dir):
     return source(spark, sf_dir).select("id", tx.squeeze_letters("text", 3).alias("text"))
 
 
-_ASCII_WORDS = "regexp_extract_all(text, '[a-zA-Z]+')"
+_CHUNK_RE = "[^" + tx.CLASS_BODIES["s"] + "]+"
+_SQL_WORDS = f"regexp_extract_all(text, '{_CHUNK_RE}')"
+
+
+def _words():
+    """Runs of non-blanks of the whole text."""
+    return F.regexp_extract_all("text", F.lit(_CHUNK_RE), 0)
 
 
 @register("fold_case", f"""
-SELECT id, array_to_string(list_transform({_ASCII_WORDS},
-         lambda w: CASE WHEN upper(w) = w AND lower(w) <> w THEN w ELSE lower(w) END), ' ') AS text
+SELECT id, array_to_string(list_transform({_SQL_WORDS},
+         lambda w: CASE WHEN upper(w) = w AND lower(w) <> w AND strpos(w, 'ß') = 0 THEN w ELSE lower(w) END), ' ') AS text
 FROM {SQL_SRC}""")
 def q_fold_case(spark, sf_dir):
-    words = F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), 0)
     return source(spark, sf_dir).select(
-        "id", F.array_join(F.transform(words, lambda w: tx.fold_case(w)), " ").alias("text"))
+        "id", F.array_join(F.transform(_words(), lambda w: tx.fold_case(w)), " ").alias("text"))
 
 
 def _sql_list(items) -> str:
@@ -192,14 +167,13 @@ def _sql_list(items) -> str:
 
 
 @register("filter_stopwords", f"""
-SELECT id, array_to_string(list_filter({_ASCII_WORDS}, lambda t: NOT list_contains({_sql_list(fv.STOPWORDS_EN)}, t)), ' ') AS text
+SELECT id, array_to_string(list_filter({_SQL_WORDS}, lambda t: NOT list_contains({_sql_list(fv.STOPWORDS_EN)}, t)), ' ') AS text
 FROM {SQL_SRC}""")
 def q_filter_stopwords(spark, sf_dir):
-    words = F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), 0)
-    return source(spark, sf_dir).select("id", F.array_join(tx.filter_stopwords(words), " ").alias("text"))
+    return source(spark, sf_dir).select("id", F.array_join(tx.filter_stopwords(_words()), " ").alias("text"))
 
 
-_NOWS = r"\t\n\x{0B}\f\r\x{85}\p{Z}"
+_NOWS = tx.CLASS_BODIES["s"]
 _WORDS_PUNCT = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_NOWS}]+"
 
 
@@ -224,15 +198,13 @@ def q_flatten_join(spark, sf_dir):
 # -- tokenizer (Java look-around / back-references: rows-only + goldens) ----
 
 def tokenized(spark, sf_dir, cfg: TokenizerConfig = DEFAULT):
-    from ..operators.joins import spread
-    src = spread(source(spark, sf_dir), "id")
+    src = source(spark, sf_dir)
     return src.select("id", tokenize("text", cfg).alias("tokens"))
 
 
 @register("lex_tokens")
 def q_lex_tokens(spark, sf_dir):
-    from ..operators.joins import spread
-    src = spread(source(spark, sf_dir), "id")
+    src = source(spark, sf_dir)
     return src.select("id", F.array_join(F.coalesce(lex(tx.decode_entities("text")), F.array()), " ").alias("lexed"))
 
 
@@ -246,8 +218,7 @@ def q_tokenize_set(spark, sf_dir):
 def q_split_hashtag(spark, sf_dir):
     """Every ``#tag`` of every message, tokenized alone: CamelCase, digit and
     all-caps boundaries become separate tokens and ``#`` is dropped."""
-    from ..operators.joins import spread
-    src = spread(source(spark, sf_dir), "id")
+    src = source(spark, sf_dir)
     text = tx.decode_entities(F.coalesce("text", F.lit("")))
     tags = F.regexp_extract_all(text, F.lit(tx.jre(r"#[^\s#]+")), 0)
     seg = F.transform(tags, lambda t: F.array_join(tokenize(t), " "))
@@ -290,7 +261,7 @@ def q_split_emoticons(spark, sf_dir):
     return src.select("id", F.array_join(pieces, " ").alias("pieces"))
 
 
-_PUNCT = fv.SPLIT_PUNCTUATION + "".join(a + b for a, b in fv.DOUBLE_QUOTES)
+_PUNCT = fv.SPLIT_PUNCTUATION + fv.QUOTE_CHARS
 
 
 @register("split_punctuation", f"""
@@ -345,9 +316,9 @@ def q_tokenize_custom_policy(spark, sf_dir):
 
 _SYLLABLES_SQL = f"""
 WITH RECURSIVE src AS (SELECT * FROM {SQL_SRC}),
-words AS (SELECT id, u.ord, u.w FROM src, unnest(regexp_extract_all(text, '[a-zA-Z]+')) WITH ORDINALITY AS u(w, ord)),
+words AS (SELECT id, u.ord, u.w FROM src, unnest({_SQL_WORDS}) WITH ORDINALITY AS u(w, ord)),
 steps(id, ord, w, p, out) AS (
-  SELECT id, ord, w, 1, '' FROM words
+  SELECT id, ord, w, 1, '' FROM words WHERE regexp_matches(w, '[a-zA-Z]')
   UNION ALL
   SELECT id, ord, w,
          p + CASE WHEN r2 >= 3 THEN 2 * r2 WHEN r3 >= 3 THEN 3 * r3 ELSE 1 END,
@@ -359,7 +330,8 @@ steps(id, ord, w, p, out) AS (
                     THEN length(regexp_extract(substr(w, p), '^(?:' || u3 || ')+')) // 3 ELSE 0 END AS r3
         FROM (SELECT *, substr(w, p, 2) AS u2, substr(w, p, 3) AS u3 FROM steps WHERE p <= length(w)))
 ),
-done AS (SELECT id, ord, out FROM steps WHERE p > length(w)),
+done AS (SELECT id, ord, out FROM steps WHERE p > length(w)
+         UNION ALL SELECT id, ord, w FROM words WHERE NOT regexp_matches(w, '[a-zA-Z]')),
 agg AS (SELECT id, string_agg(out, ' ' ORDER BY ord) AS t FROM done GROUP BY id)
 SELECT s.id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(a.t, '') END AS text
 FROM src s LEFT JOIN agg a ON s.id = a.id"""
@@ -371,14 +343,13 @@ FROM src s LEFT JOIN agg a ON s.id = a.id"""
 # one character is copied.
 @register("squeeze_syllables", _SYLLABLES_SQL)
 def q_squeeze_syllables(spark, sf_dir):
-    words = F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), 0)
     return source(spark, sf_dir).select(
-        "id", F.array_join(F.transform(words, lambda w: tx.squeeze_syllables(w, 3)), " ").alias("text"))
+        "id", F.array_join(F.transform(_words(), lambda w: tx.squeeze_syllables(w, 3)), " ").alias("text"))
 
 
 @register("nonstring_policy", f"""
 SELECT id, CAST(0 AS INTEGER) AS n_tokens FROM {SQL_SRC}
-WHERE text IS NULL OR regexp_full_match(text, '[{_CLASS_BODY["s"]}#]*')""")
+WHERE text IS NULL OR regexp_full_match(text, '[{tx.CLASS_BODIES["s"]}#]*')""")
 def q_nonstring_policy(spark, sf_dir):
     """Messages that yield no token: null text (non-string policy) and, with
     the default replacements, text made only of blanks and '#'."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
     On a cluster the session already exists (``spark-submit``) and is returned
     untouched.  Locally we enable AQE (partition coalescing and skew-join
-    splitting), keep the UI off and size shuffles to the core count.
+    splitting), keep the UI off, size shuffles to the core count and name a
+    checkpoint folder (one machine, so a local one will do).
     """
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -34,6 +36,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="postlens-ckpt-"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("POSTLENS_DRIVER_MEMORY", "16g"))
     )
@@ -47,9 +50,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) do we create our own folder,
-    and we register it with the context so ``DataFrame.checkpoint`` and MLlib's
-    ``checkpointInterval`` both use it.
+    Where the setting is absent, a session with a local master (one JVM, as in
+    tests) gets a temporary folder, registered with the context so that
+    ``DataFrame.checkpoint`` and MLlib's ``checkpointInterval`` use it; on a
+    cluster there is no folder to fall back on, and this raises.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -60,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="postlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

@@ -23,23 +23,35 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "append"
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+        # cells as they are: no trimming; null is an empty cell, an empty string a quoted one
+        (w.option("header", True).option("escape", '"').option("quoteAll", False)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .option("nullValue", "").option("emptyValue", '""').csv(path))
     else:
         w.format(fmt).save(path)
 
 
 def write_meta_features(df: DataFrame, path: str, vector_col: str = "meta_features", key: str = "doc_id",
-                        fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Persist the stacked feature matrix: parquet keeps the vector; CSV gets
-    one column per feature through ``vector_to_array``."""
+                        fmt: str = "parquet", mode: str = "overwrite", width: int | None = None) -> None:
+    """Persist the stacked feature matrix: parquet keeps the vector; CSV gets a
+    header and one column per feature.
+
+    A CSV line is put together in the row, as one text: thousands of features
+    as columns of the plan would take longer to plan than to write.  ``width``
+    (else read from the first row) names the columns.
+    """
     if fmt == "parquet":
         df.select(key, vector_col).write.mode(mode).parquet(path)
         return
     from pyspark.ml.functions import vector_to_array
     arr = df.select(key, vector_to_array(vector_col).alias("_v"))
-    width = len(arr.select("_v").head()["_v"])
-    flat = arr.select(key, *[F.col("_v")[i].alias(f"f{i}") for i in range(width)])
-    write_table(flat, path, "csv", mode)
+    if width is None:
+        first = arr.select(F.size("_v").alias("n")).head()
+        width = first["n"] if first else 0
+    header = ",".join([key, *[f"f{i}" for i in range(width)]])
+    line = F.concat_ws(",", F.col(key).cast("string"), F.array_join("_v", ","))
+    (arr.select(line.alias(header)).write.mode(mode).option("header", True)
+     .option("sep", "\x01").option("quote", "").option("ignoreLeadingWhiteSpace", False).csv(path))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -56,6 +68,7 @@ def save_model(model, path: str, version: str | None = None) -> str:
 
 
 def load_model(path: str):
-    """Load a saved ``PipelineModel`` (what ``save_model`` writes for pipelines)."""
-    from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
+    """Load what ``save_model`` wrote: a pipeline, a learner's model or any
+    other MLlib stage, by the class that its metadata names."""
+    from pyspark.ml.util import DefaultParamsReader
+    return DefaultParamsReader.loadParamsInstance(path, SparkSession.active())

@@ -30,7 +30,9 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None) -> DataFrame:
     """A file-source stream with an explicit schema (``path``: folder or glob;
     a single file is turned into a one-file glob)."""
-    if os.path.isfile(path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(target) and fs.getFileStatus(target).isFile():
         path = single_file_glob(path)
     r = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:

@@ -3,7 +3,7 @@ message identically in both engines (Unicode classes, ``$``, look-behind).
 
 The Python side is only the regex engine running the same fixed pattern
 (brute force on the whole sf0.01 corpus plus the probe rows); it checks that
-compiling the pattern for the JVM with ``(?dU)`` reproduces Python semantics.
+compiling the pattern for the JVM reproduces Python semantics.
 """
 
 import re
@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from conftest import SF01
 from postlens.functions import text as tx
-from postlens.functions.tokenizer import lexer_pattern, lex, quotes_pattern_python
+from postlens.functions import fixed_values as fv
+from postlens.functions.tokenizer import lexer_source, lex
 from postlens.plans.text_queries import source
 
 
 def test_lexer_matches_python_re(spark):
-    pattern = re.compile(lexer_pattern()[len(tx.JFLAGS):])
+    pattern = re.compile(lexer_source())
     rows = source(spark, SF01).select("id", "text", lex("text").alias("lexed")).collect()
     assert len(rows) > 1000
     bad = [r.id for r in rows if r.text is not None and pattern.findall(r.text) != list(r.lexed)]
@@ -25,7 +26,7 @@ def test_lexer_matches_python_re(spark):
 
 
 def test_quote_strip_matches_python_re(spark):
-    pattern = re.compile(quotes_pattern_python())
+    pattern = re.compile(fv.QUOTED_RE)
     rows = source(spark, SF01).select("id", "text", tx.strip_quotes("text").alias("s")).collect()
     bad = [r.id for r in rows if r.text is not None and pattern.sub(" ", r.text) != r.s]
     assert not bad, bad[:10]
@@ -33,15 +34,13 @@ def test_quote_strip_matches_python_re(spark):
 
 def _python_tokens(text, cfg):
     """The tokenizer's steps with Python's regex engine (same fixed patterns)."""
-    from postlens.functions import fixed_values as fv
-    from postlens.functions.tokenizer import _CLASSES, _class_pattern, special_pattern, splitter_pattern
+    from postlens.functions.tokenizer import _CLASSES, _class_pattern, special_pattern, splitter_source
     if text is None:
         return []
-    strip = len(tx.JFLAGS)
-    lexer = re.compile(lexer_pattern(cfg)[strip:])
+    lexer = re.compile(lexer_source(cfg))
     classes = [(setting, re.compile(_class_pattern(kind, cfg))) for setting, kind in _CLASSES]
     py = lambda pat: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\U%08X" % int(m.group(1), 16), pat)
-    splitter = re.compile(py(splitter_pattern(cfg)[strip:]))
+    splitter = re.compile(py(splitter_source(cfg)))
     special = re.compile(py(special_pattern(cfg)))
     letters, syllables = re.compile(fv.REPEATED_LETTER_RE), re.compile(fv.REPEATED_SYLLABLE_RE)
 

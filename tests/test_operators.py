@@ -1,5 +1,6 @@
 """Properties of feature, batching, metric and model operators."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
@@ -114,10 +115,14 @@ def test_encoder_hook_batches(spark):
 
 
 def test_default_label_strings(spark):
+    """Only missing labels get the default; a float of an integer is a label; other texts raise."""
     from postlens.operators.cleaning import default_label
-    df = spark.createDataFrame([(1, "0"), (2, ""), (3, None), (4, " 1 "), (5, "x")], "doc_id long, label string")
+    df = spark.createDataFrame([(1, "0"), (2, ""), (3, None), (4, " 1 "), (5, "1.0"), (6, "0.0")], "doc_id long, label string")
     got = {r.doc_id: r.label for r in default_label(df).collect()}
-    assert got == {1: 0, 2: 2, 3: 2, 4: 1, 5: 2}
+    assert got == {1: 0, 2: 2, 3: 2, 4: 1, 5: 1, 6: 0}
+    for bad in ("x", " ", "0.5"):
+        with pytest.raises(Exception, match="not a label"):
+            default_label(spark.createDataFrame([(1, bad)], "doc_id long, label string")).collect()
 
 
 def test_lexicon_roundtrip_into_config(spark):
