@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from postlens.llm.linking import components
-from postlens.llm.op3_passages import repeated_passages, tree_windows
+from postlens.llm.op3_passages import repeated_passages, tree_windows, window_minima
 from postlens.llm.op8_benchmark import drop_leaks, find_leaks
 from postlens.llm.op9_jaccard import jaccard_classes, screen_match, slack
 
@@ -87,8 +87,10 @@ def test_screen_keeps_every_pair_that_is_alike(n, other, percent, rng):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 12), min_size=1, max_size=60), st.integers(1, 12))
 def test_tree_windows_hold_every_subsequence(values, t):
-    h = np.array(values, np.uint64)
-    found = tree_windows(h, t)
+    h = np.array([9, *values, 3], np.uint64) + np.uint64(1)  # a text amid others
+    minima = window_minima(h, np.array([0, 1, len(h) - 1]), np.array([1, len(h) - 1, len(h)]), t)
+    h, at = h[1:-1], np.flatnonzero(minima[1:-1])
+    found = tree_windows(h[at].tolist(), at.tolist(), len(h), t)
     assert len(found) == len(set(found))
     for v, left, c, right in found:
         assert h[c] == v == h[left:right + 1].min() and right - left + 1 >= t
