@@ -150,7 +150,7 @@ def survivors(sets: DataFrame) -> DataFrame:
     """
     rows = sets.select("node", "m", F.explode("prefix").alias("gram"))
     met = rows.withColumn("sets", F.count("*").over(Window.partitionBy("gram"))).filter("sets > 1")
-    return met.groupBy("node", "m").count().filter("count >= m").select("node")
+    return met.groupBy("node", "m").count().filter("count >= m").select("node").distinct()
 
 
 def enough_matches(left: str, right: str) -> Column:
@@ -205,7 +205,7 @@ def rest_pairs(stars: DataFrame, percent: int) -> DataFrame:
 def link_classes(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, comp) of the linked nodes among the distinct sets ``nodes`` (node,
     id, m, prefix); ``texts`` (id, text) has the text of each set under its id."""
-    kept = shared_table(nodes.join(survivors(nodes), "node", "left_semi").select("node", "id"), "survivors")
+    kept = shared_table(nodes.select("node", "id").distinct().join(survivors(nodes), "node", "left_semi"), "survivors")
     own = texts.join(if_small(kept.select("id")), "id", "left_semi").select("text")
     sets = own.mapInArrow(lambda it: full_sets(it, size), "node long, grams array<long>").dropDuplicates(["node"])
     sets = sets.join(if_small(kept.select("node")), "node", "left_semi")
@@ -244,8 +244,10 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: s
     # One node per distinct set; its text is found under the smallest key.
     full = sketched.filter("hi is not null and id is not null")
     least = shared_table(full.groupBy(F.col("hi").alias("node")).agg(F.min("id").alias("id")), "nodes")
-    nodes = full.select(F.col("hi").alias("node"), "id", "m", "prefix").join(least, ["node", "id"], "left_semi") \
-        .dropDuplicates(["node"])
+    copies = full.select(F.col("hi").alias("node"), "id").join(least.withColumnRenamed("id", "first"), "node") \
+        .filter("id != first").select("node", "id").distinct()
+    nodes = full.select(F.col("hi").alias("node"), "id", "m", "prefix").join(
+        if_small(shared_table(copies, "copies")), ["node", "id"], "left_anti")  # a repeated row may stand twice
     labels = link_classes(nodes, texts, size, percent)
     marked = with_components(least, labels)
     first = marked.groupBy("comp").agg(F.min("id").alias("component_id"))
