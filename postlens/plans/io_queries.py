@@ -17,17 +17,29 @@ from .preprocess import preprocess
 from .registry import register
 
 
-@register("preprocess_job")
+def _sql_preprocessed() -> str:
+    from ..functions import fixed_values as fv
+    from . import tokenizer_sql as tsql
+    stop = ", ".join(tsql.lit(w) for w in sorted(set(fv.STOPWORDS_TL) | set(fv.STOPWORDS_EN)))
+    return f"""
+WITH RECURSIVE {tsql.tokens("(SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL AND text <> '')")},
+kept AS (SELECT id, list_filter(toks, lambda t: NOT list_contains([{stop}], lower(t))
+                                AND strpos({tsql.lit(fv.ASCII_PUNCTUATION)}, t) = 0) AS toks FROM tokens)
+SELECT id AS doc_id, coalesce(array_to_string(toks, ' '), '') AS text, CAST(coalesce(l.toxic, 2) AS INTEGER) AS label
+FROM kept LEFT JOIN labels l ON l.doc_id = kept.id"""
+
+
+@register("preprocess_job", _sql_preprocessed())
 def q_preprocess_job(spark, sf_dir):
     return preprocess(fx.messages(spark, sf_dir))
 
 
-@register("write_preprocessed")
+@register("write_preprocessed", f"SELECT text, CAST(label AS VARCHAR) AS label FROM ({_sql_preprocessed()})")
 def q_write_preprocessed(spark, sf_dir):
     out = preprocess(fx.messages(spark, sf_dir))
     path = scratch_path(spark, "preprocessed")
     write_table(out.select("text", "label"), path, "csv", mode="append")
-    return read_labeled(spark, path, "csv")
+    return read_labeled(spark, path, "csv").select("text", "label")
 
 
 @register("read_labeled", f"""

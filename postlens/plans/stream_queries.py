@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 from ..streaming.pipelines import drain, read_stream, score_stream, tokenize_stream
-from . import fixtures as fx
+from . import tokenizer_sql as tsql
 from .registry import register
 
 
-@register("tokenize_stream")
+@register("tokenize_stream", f"""
+WITH RECURSIVE {tsql.tokens("(SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS id, text FROM conversations)")},
+rows AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS id FROM conversations)
+SELECT r.conv_id, r.turn, r.role, CAST(len(t.toks) AS INTEGER) AS n_tokens, coalesce(array_to_string(t.toks, ' '), '') AS tokens
+FROM rows r JOIN tokens t ON r.id = t.id""")
 def q_tokenize_stream(spark, sf_dir):
     path = f"{sf_dir.rstrip('/')}/conversations.parquet"
     schema = read_table(spark, sf_dir, "conversations").schema

@@ -10,8 +10,6 @@ is written back; ``\\w``/``\\d``/``\\s`` become explicit Unicode classes.
 
 from __future__ import annotations
 
-import html.entities
-
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -19,6 +17,7 @@ from ..functions import text as tx
 from ..functions.tokenizer import DEFAULT, TokenizerConfig, lex, special_pattern, tokenize
 from ..plans import fixtures as fx
 from ..session import read_table
+from . import tokenizer_sql as tsql
 from .registry import register
 
 # Probe rows (FIXTURES.md "small inline fixtures"): id, text.
@@ -53,43 +52,16 @@ def source(spark, sf_dir):
 
 #: Blanks, in both engines' restated patterns.
 WS = "[" + tx.CLASS_BODIES["s"] + "]"
-_re2 = tx.spell_classes
+_re2 = tsql.re2
 
 
-def _sql_lit(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+_sql_lit = tsql.lit
 
 
 # -- entities -------------------------------------------------------------
 
-def _sql_entity_map() -> str:
-    items = ", ".join(f"{_sql_lit(k)}: {_sql_lit(chr(v))}" for k, v in sorted(html.entities.name2codepoint.items()))
-    return "MAP {" + items + "}"
-
-
-_ENT = r"&#?[\p{L}\p{N}_]+;"
-_DEC_ONE = f"""(CASE WHEN substring(x, 2, 1) = '#' THEN
-  CASE WHEN lower(substring(x, 3, 1)) = 'x' THEN
-    CASE WHEN regexp_full_match(regexp_replace(substring(x, 4, length(x) - 4), '^0+(.)', '\\1'), '[0-9a-fA-F]{{1,6}}')
-          AND CAST(('0x' || substring(x, 4, length(x) - 4)) AS BIGINT) <= 1114111
-          AND CAST(('0x' || substring(x, 4, length(x) - 4)) AS BIGINT) NOT BETWEEN 55296 AND 57343
-         THEN chr(CAST(CAST(('0x' || substring(x, 4, length(x) - 4)) AS BIGINT) AS INTEGER)) ELSE x END
-  ELSE
-    CASE WHEN regexp_full_match(regexp_replace(substring(x, 3, length(x) - 3), '^0+(.)', '\\1'), '[0-9]{{1,7}}')
-          AND CAST(substring(x, 3, length(x) - 3) AS BIGINT) <= 1114111
-          AND CAST(substring(x, 3, length(x) - 3) AS BIGINT) NOT BETWEEN 55296 AND 57343
-         THEN chr(CAST(substring(x, 3, length(x) - 3) AS INTEGER)) ELSE x END
-  END
-ELSE coalesce(element_at({_sql_entity_map()}, substring(x, 2, length(x) - 2))[1], x) END)"""
-
-
-@register("decode_entities", f"""
-WITH src AS (SELECT page_id AS id, html AS text FROM pages UNION ALL SELECT id, text FROM {SQL_PROBES}),
-e AS (SELECT id, text, regexp_extract_all(text, '{_ENT}') AS ents, regexp_split_to_array(text, '{_ENT}') AS parts FROM src)
-SELECT id, CASE WHEN text IS NULL THEN NULL WHEN len(ents) = 0 THEN text
-           ELSE parts[1] || array_to_string(list_transform(list_zip(list_transform(ents, lambda x: {_DEC_ONE}), parts[2:]),
-                                                            lambda z: z[1] || z[2]), '') END AS text
-FROM e""")
+@register("decode_entities", "SELECT id, text FROM " + tsql.decoded(
+    f"(SELECT page_id AS id, html AS text FROM pages UNION ALL SELECT id, text FROM {SQL_PROBES})"))
 def q_decode_entities(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
     src = p.unionByName(probes(spark))
@@ -131,15 +103,7 @@ def q_squeeze_ellipsis(spark, sf_dir):
     return source(spark, sf_dir).select("id", tx.squeeze_ellipsis("text").alias("text"))
 
 
-def _letters_sql(expr: str, n: int = 3) -> str:
-    # RE2 has no back-references: one replacement per ASCII letter (runs of
-    # different letters never overlap, so the result is the same).
-    for ch in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
-        expr = f"regexp_replace({expr}, '{ch}{{3,}}', '{ch * n}', 'g')"
-    return expr
-
-
-@register("squeeze_letters", f"SELECT id, {_letters_sql('text')} AS text FROM {SQL_SRC}")
+@register("squeeze_letters", f"SELECT id, {tsql.letters_squeezed('text')} AS text FROM {SQL_SRC}")
 def q_squeeze_letters(spark, sf_dir):
     return source(spark, sf_dir).select("id", tx.squeeze_letters("text", 3).alias("text"))
 
@@ -202,19 +166,32 @@ def tokenized(spark, sf_dir, cfg: TokenizerConfig = DEFAULT):
     return src.select("id", tokenize("text", cfg).alias("tokens"))
 
 
-@register("lex_tokens")
+@register("lex_tokens", f"""
+WITH RECURSIVE {tsql.lexed(tsql.decoded(SQL_SRC))}
+SELECT s.id, coalesce(t.lexed, '') AS lexed FROM src s LEFT JOIN (
+  SELECT id, string_agg(tok, ' ' ORDER BY seg, ord) AS lexed FROM toks GROUP BY id) t ON s.id = t.id""")
 def q_lex_tokens(spark, sf_dir):
     src = source(spark, sf_dir)
     return src.select("id", F.array_join(F.coalesce(lex(tx.decode_entities("text")), F.array()), " ").alias("lexed"))
 
 
-@register("tokenize_set")
+@register("tokenize_set", f"""
+WITH RECURSIVE {tsql.tokens(SQL_SRC)}
+SELECT id, CAST(len(toks) AS INTEGER) AS n_tokens, coalesce(array_to_string(toks, ' '), '') AS tokens FROM tokens""")
 def q_tokenize_set(spark, sf_dir):
     t = tokenized(spark, sf_dir)
     return t.select("id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
-@register("split_hashtag")
+_SQL_TAGS = f"(SELECT id, u.k, u.tag FROM {tsql.decoded(SQL_SRC)}, unnest(regexp_extract_all(text, '#[^#{tsql.S}]+')) WITH ORDINALITY AS u(tag, k))"
+
+
+@register("split_hashtag", f"""
+WITH RECURSIVE tags AS (SELECT *, row_number() OVER (ORDER BY id, k) AS n FROM {_SQL_TAGS}),
+{tsql.tokens('(SELECT n AS id, tag AS text FROM tags)')}
+SELECT s.id, CAST(count(t.k) AS INTEGER) AS n_tags,
+       coalesce(string_agg(coalesce(array_to_string(x.toks, ' '), ''), ' | ' ORDER BY t.k), '') AS segmented
+FROM {SQL_SRC} s LEFT JOIN tags t ON s.id = t.id LEFT JOIN tokens x ON x.id = t.n GROUP BY s.id""")
 def q_split_hashtag(spark, sf_dir):
     """Every ``#tag`` of every message, tokenized alone: CamelCase, digit and
     all-caps boundaries become separate tokens and ``#`` is dropped."""
@@ -225,23 +202,6 @@ def q_split_hashtag(spark, sf_dir):
     return src.select("id", F.size(tags).alias("n_tags"), F.array_join(seg, " | ").alias("segmented"))
 
 
-def _sql_special() -> str:
-    from ..functions.tokenizer import special_pattern
-    return special_pattern()
-
-
-def _sql_split_pieces(chunk: str) -> str:
-    """RE2 restatement of the splitter: ``special|any char`` finds the same
-    special pieces at the same places (a run stops exactly where a special
-    would match), then consecutive single characters are merged back into
-    runs by marking specials with U+0001 and splitting on it."""
-    sp = _sql_special()
-    pieces = f"regexp_extract_all({chunk}, {_sql_lit(sp + '|(?s:.)')})"
-    marked = (f"list_transform({pieces}, lambda p: CASE WHEN regexp_full_match(p, {_sql_lit(sp)}) "
-              f"THEN chr(1) || p || chr(1) ELSE p END)")
-    return f"list_filter(string_split(array_to_string({marked}, ''), chr(1)), lambda x: x <> '')"
-
-
 _SQL_CHUNKS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda c: c <> '')"
 
 
@@ -250,7 +210,7 @@ def _chunks(text):
 
 
 @register("split_emoticons", f"""
-SELECT id, array_to_string(flatten(list_transform({_SQL_CHUNKS}, lambda c: {_sql_split_pieces('c')})), ' ') AS pieces
+SELECT id, array_to_string(flatten(list_transform({_SQL_CHUNKS}, lambda c: {tsql.split_pieces('c')})), ' ') AS pieces
 FROM {SQL_SRC}""")
 def q_split_emoticons(spark, sf_dir):
     """Every whitespace chunk of every message split into emoticons / emoji /
@@ -265,7 +225,7 @@ _PUNCT = fv.SPLIT_PUNCTUATION + fv.QUOTE_CHARS
 
 
 @register("split_punctuation", f"""
-SELECT id, array_to_string(list_filter(flatten(list_transform({_SQL_CHUNKS}, lambda c: {_sql_split_pieces('c')})),
+SELECT id, array_to_string(list_filter(flatten(list_transform({_SQL_CHUNKS}, lambda c: {tsql.split_pieces('c')})),
                                        lambda p: length(p) = 1 AND strpos({_sql_lit(_PUNCT)}, p) > 0), ' ') AS punctuation
 FROM {SQL_SRC}""")
 def q_split_punctuation(spark, sf_dir):
@@ -281,18 +241,9 @@ POLICY = DEFAULT.update(usernames="", urls=False, numbers="REMOVE", times="<time
 
 
 def _policy_sql(chunk: str) -> str:
-    """The policy on one blank-free chunk, restated for RE2: a class whose
-    pattern ends in a blank-or-end look-ahead must match the whole chunk."""
-    from ..functions.tokenizer import _CLASSES, _class_pattern
-    cases = [f"WHEN regexp_full_match({chunk}, '[a-zA-Z]+') THEN {chunk}"]
-    for setting, kind in _CLASSES:
-        pat = _class_pattern(kind, POLICY)
-        la = r"(?=\s+|$)"
-        rx = ("^(?:" + _re2(pat.replace(la, "")) + ")$") if la in pat else ("^(?:" + _re2(pat) + ")")
-        value = getattr(POLICY, setting)
-        out = chunk if value is False else ("NULL" if value in fv.DELETION_TOKENS else _sql_lit(value))
-        cases.append(f"WHEN regexp_matches({chunk}, {_sql_lit(rx)}) THEN {out}")
-    return "CASE " + " ".join(cases) + f" ELSE {chunk} END"
+    """The policy on one blank-free chunk."""
+    cases = tsql.policy_cases(chunk, POLICY, chunk, "NULL", "{}")
+    return f"CASE WHEN regexp_full_match({chunk}, '[a-zA-Z]+') THEN {chunk} {cases} ELSE {chunk} END"
 
 
 @register("token_policy", f"""
@@ -307,41 +258,23 @@ def q_token_policy(spark, sf_dir):
     return src.select("id", F.array_join(token_policy(_chunks(F.col("text")), POLICY), " ").alias("tokens"))
 
 
-@register("tokenize_custom_policy")
+@register("tokenize_custom_policy", f"""
+WITH RECURSIVE {tsql.tokens(SQL_SRC, POLICY)}
+SELECT id, coalesce(array_to_string(toks, ' '), '') AS tokens FROM tokens""")
 def q_tokenize_custom_policy(spark, sf_dir):
     """The full tokenizer with the same custom class policy."""
     t = tokenized(spark, sf_dir, POLICY)
     return t.select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
-_SYLLABLES_SQL = f"""
+@register("squeeze_syllables", f"""
 WITH RECURSIVE src AS (SELECT * FROM {SQL_SRC}),
 words AS (SELECT id, u.ord, u.w FROM src, unnest({_SQL_WORDS}) WITH ORDINALITY AS u(w, ord)),
-steps(id, ord, w, p, out) AS (
-  SELECT id, ord, w, 1, '' FROM words WHERE regexp_matches(w, '[a-zA-Z]')
-  UNION ALL
-  SELECT id, ord, w,
-         p + CASE WHEN r2 >= 3 THEN 2 * r2 WHEN r3 >= 3 THEN 3 * r3 ELSE 1 END,
-         out || CASE WHEN r2 >= 3 THEN repeat(u2, 3) WHEN r3 >= 3 THEN repeat(u3, 3) ELSE substr(w, p, 1) END
-  FROM (SELECT id, ord, w, p, out, u2, u3,
-               CASE WHEN regexp_full_match(u2, '[a-zA-Z][aeiouAEIOU]')
-                    THEN length(regexp_extract(substr(w, p), '^(?:' || u2 || ')+')) // 2 ELSE 0 END AS r2,
-               CASE WHEN regexp_full_match(u3, '[a-zA-Z][aeiouAEIOU][a-zA-Z]')
-                    THEN length(regexp_extract(substr(w, p), '^(?:' || u3 || ')+')) // 3 ELSE 0 END AS r3
-        FROM (SELECT *, substr(w, p, 2) AS u2, substr(w, p, 3) AS u3 FROM steps WHERE p <= length(w)))
-),
-done AS (SELECT id, ord, out FROM steps WHERE p > length(w)
-         UNION ALL SELECT id, ord, w FROM words WHERE NOT regexp_matches(w, '[a-zA-Z]')),
-agg AS (SELECT id, string_agg(out, ' ' ORDER BY ord) AS t FROM done GROUP BY id)
+short AS (SELECT DISTINCT w, w AS x FROM words),
+{tsql.syllables_squeezed('short', 'done')},
+agg AS (SELECT id, string_agg(out, ' ' ORDER BY ord) AS t FROM words JOIN done ON words.w = done.w GROUP BY id)
 SELECT s.id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(a.t, '') END AS text
-FROM src s LEFT JOIN agg a ON s.id = a.id"""
-
-
-# RE2 has no back-references: the oracle walks each word left to right like
-# the regex engine -- at each position the 2-letter unit, then the 3-letter
-# unit, is tried for 3+ consecutive copies (3 copies are kept), otherwise
-# one character is copied.
-@register("squeeze_syllables", _SYLLABLES_SQL)
+FROM src s LEFT JOIN agg a ON s.id = a.id""")
 def q_squeeze_syllables(spark, sf_dir):
     return source(spark, sf_dir).select(
         "id", F.array_join(F.transform(_words(), lambda w: tx.squeeze_syllables(w, 3)), " ").alias("text"))

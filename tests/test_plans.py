@@ -72,3 +72,16 @@ def test_no_cross_joins_in_catalogue(spark):
         if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p:
             bad.append(name)
     assert not bad, bad
+
+
+def test_building_a_frame_runs_nothing(spark):
+    """Building a tokenizer query starts jobs for file schemas only, one per table read."""
+    import __spark_entry__ as ent
+    tables = {"tokenize_set": 1, "lex_tokens": 1, "split_hashtag": 1, "preprocess_job": 2, "vocab_fit": 1}
+    sc = spark.sparkContext
+    for name, reads in tables.items():
+        sc.setJobGroup(f"building {name}", name)
+        ent.queries()[name](spark, SF01)
+        jobs = sc.statusTracker().getJobIdsForGroup(f"building {name}")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert len(jobs) <= reads, (name, jobs)
