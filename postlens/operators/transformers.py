@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -22,10 +21,9 @@ from ..functions.tokenizer import DEFAULT, TokenizerConfig, tokenize
 class TfidfAnalyzer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Text -> lower-cased terms of two or more word characters (null: none)."""
 
-    @keyword_only
     def __init__(self, *, inputCol: str = "text", outputCol: str = "tokens"):
         super().__init__()
-        self._set(**self._input_kwargs)
+        self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return dataset.withColumn(self.getOutputCol(), tfidf_analyze(self.getInputCol()))
