@@ -23,4 +23,4 @@ def test_score_stream_covers_every_row(spark):
     docs = read_table(spark, SF001, "documents")
     assert scored.count() == docs.count()
     assert scored.join(docs.select("doc_id"), "doc_id", "left_anti").count() == 0
-    assert {r.prediction for r in scored.select("prediction").distinct().collect()} <= {0, 1}
+    assert all(r.equal for r in scored.collect())  # the stream's prediction is the batch's
