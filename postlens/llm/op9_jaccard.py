@@ -25,9 +25,11 @@ none of which loses a link:
    min(o_x, o_y) + |D_x & D_y|.  So x, which needs s|x| of its shingles, must
    meet r_x = s|x| - o_x of them in y's difference: it probes the differences of
    its hub's members with a prefix of its own.  Members with r <= 0 lie in the
-   hub by s of their size and are not linked to it for its length alone; those
-   are paired by size.  All such pairs are verified exactly, hence no link
-   between components is lost, and within one none is needed.
+   hub by s of their size, and those not linked to it miss that for their size
+   alone: they get a hub among themselves, and steps 3 and 4 are repeated with
+   it.  Where few are left (``DIRECT`` pairs per member) they are paired.  All
+   pairs found are verified exactly, hence no link between components is lost,
+   and within one none is needed.
 
 Equal sets are one node, known by a hash of the set, and are never paired.
 Shingles and nodes are 64-bit hashes.  A document with fewer words than n has
@@ -51,6 +53,8 @@ from .linking import components, with_components
 
 #: Longest prefix extension, and the cost of one verification in joined rows.
 MAX_MATCH, VERIFY_COST = 16, 20
+#: Pairs per member of a hub that are compared directly.
+DIRECT = 4
 
 
 def shingle_sets(words: WordBatch, size: int) -> list[np.ndarray]:
@@ -181,25 +185,54 @@ def measured(stars: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                        alike(F.col("in_hub"), F.col("n"), F.col("hub_n"), percent).alias("linked"))
 
 
-def rest_pairs(stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``stars`` (measured, plus comp) that may be linked across components."""
-    open_ = stars.filter(F.size("rest") >= F.col("short"))
-    probes = open_.filter("short > 0").select(
-        "hub", "node", "comp", "n", "in_hub", F.size("rest").alias("size"),
-        F.explode(F.slice("rest", F.lit(1), F.size("rest") - F.col("short").cast("int") + 1)).alias("gram")).alias("x")
-    held = open_.select("hub", "node", "comp", "n", "in_hub", F.size("rest").alias("size"), F.explode("rest").alias("gram")).alias("y")
-
-    def may(x: str, y: str) -> Column:
-        most = F.least(F.col(f"{x}.in_hub"), F.col(f"{y}.in_hub")) + F.least(F.col(f"{x}.size"), F.col(f"{y}.size"))
-        return (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & alike(most, F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
-
-    met = probes.join(held, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.gram") == F.col("y.gram")) & may("x", "y"))
-    inside = open_.filter("short <= 0").select("hub", "node", "comp", "n", "in_hub", "linked", F.size("rest").alias("size"))
-    u, v = inside.filter("not linked").alias("u"), inside.alias("v")
-    sized = u.join(v, (F.col("u.hub") == F.col("v.hub")) & may("u", "v"))
-    pairs = met.select(F.col("x.node").alias("p"), F.col("y.node").alias("q")).unionByName(
-        sized.select(F.col("u.node").alias("p"), F.col("v.node").alias("q")))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two measured members of one hub can be linked across components."""
+    most = F.least(F.col(f"{x}.in_hub"), F.col(f"{y}.in_hub")) + F.least(F.size(f"{x}.rest"), F.size(f"{y}.rest"))
+    return (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & alike(most, F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+
+
+def _ordered(x: str, y: str, rows: DataFrame) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def probed_pairs(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one hub that meet in their differences from it."""
+    slim = stars.filter(F.size("rest") >= F.col("short")).select(
+        "hub", "node", "comp", "n", "in_hub", "short", "rest", F.size("rest").alias("size"))
+    asked = slim.filter("short > 0").select(
+        "hub", "node", "comp", "n", "in_hub", "size",
+        F.explode(F.slice("rest", F.lit(1), F.col("size") - F.col("short").cast("int") + 1)).alias("gram")).alias("x")
+    held = slim.select("hub", "node", "comp", "n", "in_hub", "size", F.explode("rest").alias("gram")).alias("y")
+    most = F.least("x.in_hub", "y.in_hub") + F.least("x.size", "y.size")
+    met = asked.join(held, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.gram") == F.col("y.gram"))
+                     & (F.col("x.comp") != F.col("y.comp")) & alike(most, F.col("x.n"), F.col("y.n"), percent))
+    return _ordered("x.node", "y.node", met)
+
+
+def rest_links(stars: DataFrame, links: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``links`` (a, b) plus those across the components that the hubs of ``stars`` (measured) leave open."""
+    while True:
+        marked = shared_table(with_components(stars, components(links)), "marked")
+        found = shared_table(verified(probed_pairs(marked, percent), known, percent), "probed")
+        links = links.unionByName(found)
+        # Members that lie in their hub; those that are not linked to it are open.
+        inside = shared_table(with_components(marked.filter("short <= 0").drop("comp"), components(links)), "inside")
+        hub_comp = inside.filter("linked").groupBy("hub").agg(F.max("comp").alias("hub_comp"))
+        apart = inside.join(hub_comp, "hub", "left").filter("not linked and (hub_comp is null or comp != hub_comp)").drop("hub_comp")
+        apart = shared_table(apart, "open")
+        sizes = inside.groupBy("hub").agg(F.count("*").alias("members")).join(
+            apart.groupBy("hub").agg(F.count("*").alias("open"), F.max(F.struct("in_hub", "node")).alias("next")), "hub")
+        sizes = shared_table(sizes.select("hub", "members", "open", F.col("next.node").alias("next")), "sizes")
+        few = sizes.filter(F.col("open") <= DIRECT).select("hub")
+        u, v = apart.join(few, "hub").alias("u"), inside.alias("v")
+        direct = u.join(v, (F.col("u.hub") == F.col("v.hub")) & may_link("u", "v", percent))
+        links = links.unionByName(shared_table(verified(_ordered("u.node", "v.node", direct), known, percent), "direct"))
+        many = sizes.filter(F.col("open") > DIRECT).select("hub", "next")
+        if not many.limit(1).count():
+            return links
+        again = inside.select("hub", "node").join(many, "hub").filter("node != next").select(F.col("next").alias("hub"), "node").distinct()
+        stars = shared_table(measured(again, known, percent), "stars")
+        links = links.unionByName(stars.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
 
 
 def link_classes(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -229,9 +262,7 @@ def link_classes(nodes: DataFrame, texts: DataFrame, size: int, percent: int) ->
     star = entries.select("gram", "node").join(hubs, "gram").filter("node != hub").select("hub", "node").distinct()
     stars = shared_table(measured(star, known, percent), "stars")
     links = stars.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    marked = shared_table(with_components(stars, components(links)), "marked")
-    more = verified(rest_pairs(marked, percent), known, percent)
-    return components(links.unionByName(shared_table(more, "rest")))
+    return components(rest_links(stars, links, known, percent))
 
 
 def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id",
