@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_table
+from .common import if_small, read_table, shared_table
 
 SHINGLE = 5
 CONTAINMENT_PERCENT = 80
@@ -101,8 +101,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     # Verification on the words of the candidates' documents.
     there = rows.withColumn("text_key", F.md5(F.coalesce("text", F.lit(""))))
-    hit = candidates.select(F.col("doc_key").alias("hit_key")).distinct()
-    texts = there.join(hit, F.col("doc_key").eqNullSafe(F.col("hit_key")), "left_semi") \
+    hit = shared_table(candidates.select(F.col("doc_key").alias("hit_key")).distinct(), "hits")
+    texts = there.join(if_small(hit), F.col("doc_key").eqNullSafe(F.col("hit_key")), "left_semi") \
         .select("doc_key", "text_key", words(F.col("text")).alias("w"))
     said = F.concat(*[F.transform(windows(F.col("w"), k), lambda g: F.array_join(g, " ")) for k in sizes])
     spoken = texts.select("doc_key", "text_key", F.explode(F.array_distinct(said)).alias("gram"))
@@ -117,7 +117,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds an item."""
-    leaks = find_leaks(docs, items, id_col, text_col).select("doc_key", "text_key").distinct()
+    leaks = if_small(shared_table(find_leaks(docs, items, id_col, text_col).select("doc_key", "text_key").distinct(), "leaks"))
     same = docs[id_col].eqNullSafe(leaks["doc_key"]) & (
         F.md5(F.coalesce(docs[text_col], F.lit(""))) == leaks["text_key"])
     return docs.join(leaks, same, "left_anti")
