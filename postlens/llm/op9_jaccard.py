@@ -54,7 +54,7 @@ from .linking import components, with_components
 #: Longest prefix extension, and the cost of one verification in joined rows.
 MAX_MATCH, VERIFY_COST = 16, 20
 #: Pairs per member of a hub that are compared directly.
-DIRECT = 4
+DIRECT = 256
 
 
 def shingle_sets(words: WordBatch, size: int) -> list[np.ndarray]:
@@ -216,7 +216,7 @@ def rest_links(stars: DataFrame, links: DataFrame, known: DataFrame, percent: in
         found = shared_table(verified(probed_pairs(marked, percent), known, percent), "probed")
         links = links.unionByName(found)
         # Members that lie in their hub; those that are not linked to it are open.
-        inside = shared_table(with_components(marked.filter("short <= 0").drop("comp"), components(links)), "inside")
+        inside = marked.filter("short <= 0")
         hub_comp = inside.filter("linked").groupBy("hub").agg(F.max("comp").alias("hub_comp"))
         apart = inside.join(hub_comp, "hub", "left").filter("not linked and (hub_comp is null or comp != hub_comp)").drop("hub_comp")
         apart = shared_table(apart, "open")
