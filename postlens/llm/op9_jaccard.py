@@ -54,7 +54,7 @@ from .linking import components, with_components
 #: Longest prefix extension, and the cost of one verification in joined rows.
 MAX_MATCH, VERIFY_COST = 16, 20
 #: Pairs per member of a hub that are compared directly.
-DIRECT = 256
+DIRECT = 512
 
 
 def shingle_sets(words: WordBatch, size: int) -> list[np.ndarray]:
