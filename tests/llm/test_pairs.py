@@ -142,6 +142,25 @@ def test_passages_equal_brute_force(spark):
     assert repeated_passages(with_clashes(spark, rows).limit(0)).count() == 0
 
 
+def test_words_of_two_passages_inside_one_component(spark):
+    """A text that shares one passage with one hub and another with a second hub,
+    where the hubs are linked already, has both passages' words covered."""
+    p, q, between, one, two = (prose(4300 + i, n) for i, n in enumerate((100, 100, 100, 900, 600)))
+    rows = [(1, f"{prose(1, 30)} {p} {prose(2, 30)} {between} {prose(3, 30)} {one}"), (2, f"{one} {prose(4, 40)}"),
+            (3, f"{prose(5, 30)} {q} {prose(6, 30)} {between} {prose(7, 30)} {two}"), (4, f"{two} {prose(8, 40)}")]
+    rows += [(10 + i, f"{prose(50 + i, 60)} {p} {prose(60 + i, 60)} {q} {prose(70 + i, 60)}") for i in range(3)]
+    docs = {k: words(t, lower=True) for k, t in rows}
+    held = defaultdict(set)
+    for k, w in docs.items():
+        for i in range(len(w) - 49):
+            held[tuple(w[i:i + 50])].add(k)
+    out = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, w in docs.items():
+        covered = {j for i in range(len(w) - 49) if len(held[tuple(w[i:i + 50])]) > 1 for j in range(i, i + 50)}
+        assert out[k].class_id == 1
+        assert len(covered) <= out[k].repeat_words <= len(covered) + 40, (k, len(covered), out[k].repeat_words)
+
+
 def brute_leaks(docs, items):
     sets = {}
     for k, t in sorted(items):
