@@ -161,6 +161,21 @@ def test_words_of_two_passages_inside_one_component(spark):
         assert len(covered) <= out[k].repeat_words <= len(covered) + 40, (k, len(covered), out[k].repeat_words)
 
 
+def test_recall_of_passages_with_one_changed_word(spark):
+    """Of the pairs of 50-word passages that brute force finds alike, nearly all are linked."""
+    rows, alike = [], []
+    for i in range(400):
+        w = prose(20_000 + i, 50).split()
+        v = [*w[:8 + i % 34], f"x{i}", *w[9 + i % 34:]]
+        rows += [(2 * i + j, f"{prose(30_000 + 2 * i + j, 30)} {' '.join(p)} {prose(40_000 + 2 * i + j, 30)}") for j, p in enumerate((w, v))]
+        a, b = (shingles(" ".join(p), 5) for p in (w, v))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            alike.append(2 * i)
+    out = {r.doc_id: r.class_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(alike) > 300
+    assert sum(out[k + 1] == out[k] for k in alike) >= 0.97 * len(alike)
+
+
 def brute_leaks(docs, items):
     sets = {}
     for k, t in sorted(items):
