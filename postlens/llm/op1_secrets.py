@@ -6,6 +6,8 @@ parts are account identifiers (``id``), short or unlabelled secrets
 part is reported only when a complementary part lies in the same scope within
 ``reach`` characters: a secret next to an identifier (or access key) or an
 endpoint, an identifier or endpoint next to a secret (weak, assign or hex).
+Parts that overlap are next to each other; a weak secret wholly inside a strong
+span is that span, and no part of its own.
 
 A scope is a block of the text between blank lines.  The per-row helper only
 finds intervals; the join is a Spark window over (document, scope) in start
@@ -73,7 +75,7 @@ def _left(data: bytes, at: int, chars: frozenset, most: int) -> int:
 
 
 def weak_spans(data: bytes, low: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) byte spans of the weak parts outside the base spans."""
+    """(start, kind, end) byte spans of the weak parts; secrets wholly inside a base span are left out."""
     out = []
     keyed = b"=" in data or b":" in data
     if b"@" in data:
@@ -103,7 +105,7 @@ def weak_spans(data: bytes, low: bytes, base: list[tuple[int, int, int]]) -> lis
         if any(48 <= c <= 57 for c in token) and token.lower() != token and token.upper() != token:
             out.append((m.start(), SECRET, m.end()))
     ends = [(s, e) for s, _, e in base]
-    return sorted({(s, k, e) for s, k, e in out if not any(a < e and s < b for a, b in ends)})
+    return sorted({(s, k, e) for s, k, e in out if k != SECRET or not any(a <= s and e <= b for a, b in ends)})
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,6 +58,19 @@ def test_weak_parts_need_a_complement_in_scope(spark):
     assert "endpoint" in kinds[12]
 
 
+def test_weak_parts_around_strong_spans(spark):
+    """Endpoints and identifiers that hold or touch a strong span are parts; a secret inside one is not."""
+    texts = ["https://h/0123456789abcdef0123 pwd=letmein", "see https://h/x?token=abcdefghijklmnop", "api_key=abcdefghijklmnop at 10.0.0.1",
+             "user=0123456789abcdef0123, pin=1234", "https://h/0123456789abcdef0123"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(p.kind, texts[r.doc_id][p.start:p.end]) for p in r.parts] for r in link_secrets(rows).collect()}
+    assert found[0] == [("endpoint", "https://h/0123456789abcdef0123"), ("hex", "0123456789abcdef0123"), ("secret", "pwd=letmein")]
+    assert found[1] == [("endpoint", "https://h/x?token=abcdefghijklmnop"), ("assign", "token=abcdefghijklmnop")]
+    assert found[2] == [("assign", "api_key=abcdefghijklmnop"), ("endpoint", "10.0.0.1")]
+    assert found[3] == [("id", "user=0123456789abcdef0123"), ("hex", "0123456789abcdef0123"), ("secret", "pin=1234")]
+    assert found[4] == [("endpoint", texts[4]), ("hex", "0123456789abcdef0123")]
+
+
 def test_weak_links_equal_all_pairs(spark):
     """The windowed interval join reports what comparing all pairs reports."""
     from postlens.llm.op1_secrets import ACCESS, ASSIGN as A, ENDPOINT, HEX, ID, SECRET, base_spans, weak_spans
