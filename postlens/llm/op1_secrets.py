@@ -3,9 +3,10 @@
 Strong (base) spans stand on their own: ``assign``, ``access``, ``hex``.  Weak
 parts are account identifiers (``id``), short or unlabelled secrets
 (``secret``) and endpoints (``endpoint``); each alone is everyday text.  A weak
-part is reported only when a complementary part lies in the same scope within
-``reach`` characters: a secret next to an identifier (or access key) or an
-endpoint, an identifier or endpoint next to a secret (weak, assign or hex).
+part is reported only when a complementary part lies in the same scope, however
+far (``reach`` sets a bound in characters): a secret next to an identifier (or
+access key) or an endpoint, an identifier or endpoint next to a secret (weak,
+assign or hex).
 Parts that overlap are next to each other; a weak secret wholly inside a strong
 span is that span, and no part of its own.
 
@@ -133,7 +134,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["id", "text_key", "n_assign", "n_access", "n_hex", "base_sha256", "parts"])
 
 
-def link_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 400) -> DataFrame:
+def link_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """Base counts and digest plus ``parts``: all base spans and the linked weak
     spans as an array of (start, kind name, end), one row per row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
@@ -150,9 +151,11 @@ def link_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     after = order.rowsBetween(1, Window.unboundedFollowing)
 
     def near(kinds: tuple[int, ...]) -> Column:
-        """Whether a part of one of ``kinds`` is within reach on either side."""
+        """Whether a part of one of ``kinds`` is in the scope (within reach) on either side."""
         end = F.max(F.when(F.col("kind").isin(*kinds), F.col("end"))).over(before)
         start = F.min(F.when(F.col("kind").isin(*kinds), F.col("start"))).over(after)
+        if reach is None:
+            return end.isNotNull() | start.isNotNull()
         return F.coalesce(F.col("start") - end <= reach, F.lit(False)) | F.coalesce(start - F.col("end") <= reach, F.lit(False))
 
     marked = apart.select("*", near((ACCESS, ID, ENDPOINT)).alias("owner"), near((ASSIGN, HEX, SECRET)).alias("key"))

@@ -71,6 +71,13 @@ def test_weak_parts_around_strong_spans(spark):
     assert found[4] == [("endpoint", texts[4]), ("hex", "0123456789abcdef0123")]
 
 
+def test_scope_alone_bounds_the_weak_links(spark):
+    rows = [(1, "user=alice\n" + "word word\n" * 200 + "pwd=hunter22"), (2, "user=alice\n\n" + "word\n" * 3 + "pwd=hunter22"),
+            (3, "pwd=hunter22 " + "word " * 500 + "10.0.0.1")]
+    out = {r.doc_id: [p.kind for p in r.parts] for r in link_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: ["id", "secret"], 2: [], 3: ["secret", "endpoint"]}
+
+
 def test_weak_links_equal_all_pairs(spark):
     """The windowed interval join reports what comparing all pairs reports."""
     from postlens.llm.op1_secrets import ACCESS, ASSIGN as A, ENDPOINT, HEX, ID, SECRET, base_spans, weak_spans
