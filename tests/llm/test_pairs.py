@@ -3,13 +3,16 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import classes, edited, jaccard_links, odd_rows, prose, shingles, with_clashes, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from postlens.llm.linking import components
-from postlens.llm.op3_passages import repeated_passages, tree_windows, window_minima
+from postlens.llm.common import WordBatch, mix64
+from postlens.llm.op3_passages import (HASHES, flat_tokens, join_windows, repeated_passages, sketch, tree_windows,
+                                       window_minima)
 from postlens.llm.op8_benchmark import drop_leaks, find_leaks
 from postlens.llm.op9_jaccard import jaccard_classes, screen_match, slack
 
@@ -99,6 +102,28 @@ def test_tree_windows_hold_every_subsequence(values, t):
             assert sum(v == h[i:j + 1].min() and left <= i and j <= right for v, left, _, right in found) == 1
 
 
+def test_joint_signatures_equal_brute_force_with_repeated_lines():
+    """The minima of two functions over every run of t tokens or more, lines repeated before the passage included."""
+    t = 10
+    passage = prose(60, 30)
+    line = " ".join(passage.split()[5:17])
+    texts = [passage, *[f"{prose(61, n)} {' '.join([line] * k)} {passage} {prose(62, 5)} {line}" for n in (0, 7) for k in (1, 2, 5)],
+             "for " * 40, " ".join([line] * 6)]
+    windows = pa.Table.from_batches(sketch(iter([pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})]), t, HASHES))
+    got = [set(m) for b in join_windows(iter(windows.select(["node", "windows"]).to_batches()), t) for m in b.column("marks").to_pylist()]
+    tokens, starts, ends = flat_tokens(WordBatch(pa.array(texts), lower=True))
+    for found, a, b in zip(got, starts, ends, strict=True):
+        h = [mix64(tokens[a:b] ^ mix64(np.array([fn + 1], np.uint64))[0]) for fn in range(HASHES)]
+        want = set()
+        for i in range(b - a):
+            least = [np.minimum.accumulate(x[i:])[t - 1:] for x in h]
+            for f in range(HASHES):
+                for g in range(f + 1, HASHES):
+                    kind = np.uint64((f * HASHES + g) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                    want |= set(mix64(mix64(kind + least[f]) + least[g]).view(np.int64).tolist())
+        assert found == want
+
+
 def passage_rows():
     rows = []
     for i in range(60):
