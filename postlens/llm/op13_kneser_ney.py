@@ -57,7 +57,7 @@ from postlens.session import checkpoint_dir
 from .common import WordBatch, default_parallelism, mix64, read_table, shared_table, slices
 
 #: Order of the model, text bytes of a chunk, and tokens of a shard.
-ORDER = 2
+ORDER = 3
 CHUNK_BYTES, SHARD_TOKENS = 32 << 20, 4_000_000
 
 #: Hashes of the end and of the begin mark: of texts that are no words.
