@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,29 @@ from pyspark.sql import functions as F
 
 from postlens.session import checkpoint_dir, read_table
 
-__all__ = ["read_table", "shared_table", "if_small", "slices", "WordBatch", "shingle_hashes", "mix64"]
+__all__ = ["read_table", "shared_table", "shuffles_removed", "if_small", "slices", "WordBatch", "shingle_hashes", "mix64"]
 
 #: Text bytes that one numpy step holds at a time (bounds a task's memory; a
 #: longer text forms a step of its own).
 STEP_BYTES = 4 << 20
 
 
+#: Removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind: what they made is written, so nothing
+    reads these files again, and long jobs do not pile them up on the executors' disks."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -34,7 +51,8 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,9 @@ What a task holds is bounded by the chunk and by ``SHARD_TOKENS``; the driver
 gets sums, discounts and the hot words.  A stored model scores other documents
 through the same steps (:func:`score`).
 
-Hashes: words and n-grams are known by 64-bit hashes.  Defined results: null
+Hashes: a word's count goes by 64 bits; n-grams know their words by ``WORD_BITS``,
+and a shard its n-grams and contexts by ``GRAM_BITS`` (an unseen n-gram is taken
+for a seen one with a chance of about a millionth).  Defined results: null
 text is empty (one token, the end); a null key is held out; equal keys are
 documents of their own; a table without training rows has N = V = 0 and every
 probability 1; an empty table gives an empty result; extra columns are not read.
@@ -54,12 +56,14 @@ from pyspark.sql import functions as F
 
 from postlens.session import checkpoint_dir
 
-from .common import WordBatch, default_parallelism, mix64, read_table, shared_table, slices
+from .common import WordBatch, default_parallelism, mix64, read_table, shared_table, shuffles_removed, slices
 
 #: Order of the model, text bytes of a chunk, and tokens of a shard.
 ORDER = 3
 CHUNK_BYTES, SHARD_TOKENS = 32 << 20, 4_000_000
 
+#: Bits by which n-grams know their words, and by which a shard knows its n-grams and contexts.
+WORD_BITS, GRAM_BITS = 48, 40
 #: Hashes of the end and of the begin mark: of texts that are no words.
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(t)) for t in (b"", b" "))
 PHI = np.uint64(0x9E3779B97F4A7C15)
@@ -89,20 +93,21 @@ def numbers(data: bytes) -> np.ndarray:
     return unpack(data).astype(np.int64)
 
 
-def pack_rising(x: np.ndarray) -> bytes:
-    """Sorted unsigned integers by their differences."""
-    return pack(np.diff(x, prepend=x.dtype.type(0)))
+def pack_steps(x: np.ndarray, bits: int = 64) -> bytes:
+    """Unsigned integers below 2^bits, rising in long stretches, by their differences modulo 2^bits."""
+    x = x.astype(np.uint64)
+    return pack(np.diff(x, prepend=np.uint64(0)) & np.uint64((1 << bits) - 1))
 
 
-def unpack_rising(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
+def unpack_steps(data: bytes, bits: int = 64) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64) & np.uint64((1 << bits) - 1)
 
 
 # -- chunks --------------------------------------------------------------------
 
 def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, held) -> one row per chunk: keys, held, sizes (tokens of each text), tokens (packed
-    numbers into words), words (hashes, most frequent first) and counts (in training texts)."""
+    numbers into words), words (hashes, frequent ones first) and counts (in training texts)."""
     made = 0
     held: list[tuple] = []
     done = 0
@@ -115,7 +120,9 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.cumsum([0] + [len(h[4]) for h in held])
         names, at = np.unique(np.concatenate([h[4] for h in held]), return_inverse=True)
         tokens = np.concatenate([at[s + h[3]] for s, h in zip(starts, held, strict=False)])
-        order = np.argsort(-np.bincount(tokens, minlength=len(names)), kind="stable")
+        # By size of the count, then hash: frequent words get small numbers, and hashes rise in long stretches.
+        often = np.frexp(np.bincount(tokens, minlength=len(names)).astype(float))[1]
+        order = np.argsort(-often, kind="stable")
         place = np.empty(len(names), np.int64)
         place[order] = np.arange(len(names))
         tokens = place[tokens]
@@ -126,7 +133,7 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return pa.RecordBatch.from_arrays(
             [pa.array(row), *[pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in (keys, out, pa.array(sizes))],
-             *[pa.array([x], pa.binary()) for x in (pack(tokens), names[order].astype("<u8").tobytes(), pack(counts))]],
+             *[pa.array([x], pa.binary()) for x in (pack(tokens), pack_steps(names[order]), pack(counts))]],
             names=["chunk", "keys", "held", "sizes", "tokens", "words", "counts"])
 
     for batch in batches:
@@ -167,7 +174,7 @@ class Chunk:
 
     @classmethod
     def of(cls, tokens: bytes, sizes: np.ndarray, words: bytes, order: int) -> Chunk:
-        tokens, names = numbers(tokens), np.append(np.frombuffer(words, "<u8"), BEGIN)
+        tokens, names = numbers(tokens), np.append(unpack_steps(words), BEGIN)
         at = np.arange(len(tokens))
         inside = at - np.repeat(np.cumsum(sizes) - sizes, sizes)
         size = len(names)
@@ -219,20 +226,25 @@ def parts(batches: Iterator[pa.RecordBatch], order: int, shards: int, hot: dict[
             counts = np.bincount(chunk.gram[train], minlength=len(chunk.word))
             grams, gram_at, contexts, context_at = deal(chunk, shards, hot)
             names, rows = [], []
+            place, at_context = np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.contexts), np.int64)
+            short = chunk.words >> np.uint64(64 - WORD_BITS)
             for s in range(shards):
                 mine, asked = grams[gram_at[s]:gram_at[s + 1]], contexts[context_at[s]:context_at[s + 1]]
                 if not len(asked):
                     continue
                 ctx, word = chunk.contexts[asked], chunk.word[mine]
-                own = np.unique(np.append(ctx.ravel(), word))
-                at = np.searchsorted(asked, chunk.context[mine])
-                word = np.searchsorted(own, word)
+                mark = np.zeros(len(place), bool)
+                mark[ctx] = mark[word] = True
+                own = np.flatnonzero(mark)
+                place[own] = np.arange(len(own))
+                at_context[asked] = np.arange(len(asked))
+                at, word = at_context[chunk.context[mine]], place[word]
                 step = np.diff(word, prepend=0)
                 new = np.diff(at, prepend=-1) != 0
                 step[new] = word[new]
-                columns = np.searchsorted(own, ctx).T
+                columns = place[ctx].T
                 names.append(s)
-                rows.append([chunk.words[own].astype("<u8").tobytes(), pack(np.diff(columns[0], prepend=0)), *[pack(c) for c in columns[1:]],
+                rows.append([pack_steps(short[own], WORD_BITS), pack(np.diff(columns[0], prepend=0)), *[pack(c) for c in columns[1:]],
                              pack(np.bincount(at, minlength=len(asked))), pack(step), pack(counts[mine])])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.int32()), pa.array([row["chunk"]] * len(names), pa.int64()), pa.array(rows, pa.list_(pa.binary()))],
@@ -246,75 +258,92 @@ class Part:
 
     def __init__(self, chunk: int, blobs: list[bytes], order: int):
         self.chunk = chunk
-        words = np.frombuffer(blobs[0], "<u8")
+        words = unpack_steps(blobs[0], WORD_BITS)
         columns = [np.cumsum(numbers(blobs[1])), *map(numbers, blobs[2:order])]
-        h = np.ones(len(columns[0]), np.uint64)
-        self.context_hashes = []  # of the contexts, for k = 2 ... n
-        for c in columns:
-            h = mix64(h * PHI + words[c])
-            self.context_hashes.append(h)
         many = numbers(blobs[order])
-        self.context = np.repeat(np.arange(len(many)), many)
+        context = np.repeat(np.arange(len(many)), many)
         step = numbers(blobs[order + 1])
         total = np.cumsum(step)
-        first = np.cumsum(many) - many
-        first = first[many > 0]
-        self.word = words[total - np.repeat(total[first] - step[first], many[many > 0])]
+        full = many > 0
+        first = (np.cumsum(many) - many)[full]
+        self.word = words[total - np.repeat(total[first] - step[first], many[full])]
         self.count = numbers(blobs[order + 2])
+        self.many = many
+        h = np.ones(len(columns[0]), np.uint64)
+        self.contexts, self.grams = {}, {}  # by k = 2 ... n
+        for k, c in enumerate(columns, 2):
+            h = mix64(h * PHI + words[c])
+            self.contexts[k] = h >> np.uint64(64 - GRAM_BITS)
+            self.grams[k] = mix64((h[context] ^ PHI) * PHI + self.word) >> np.uint64(64 - GRAM_BITS)
+
 
-    def grams(self, k: int) -> np.ndarray:
-        return mix64((self.context_hashes[k - 2][self.context] ^ PHI) * PHI + self.word)
+class Asked:
+    """All parts of a shard, end to end."""
+
+    def __init__(self, asked: list[tuple[int, list[bytes]]], order: int):
+        held = [Part(c, b, order) for c, b in asked]
+        self.chunks = [p.chunk for p in held]
+        self.word, self.count, self.many = (np.concatenate([getattr(p, name) for p in held]) for name in ("word", "count", "many"))
+        self.contexts, self.grams = ({k: np.concatenate([getattr(p, name)[k] for p in held]) for k in range(2, order + 1)}
+                                     for name in ("contexts", "grams"))
+        self.gram_ends, self.context_ends = (np.cumsum([len(getattr(p, name)) for p in held]) for name in ("word", "many"))
 
 
-def grouped(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct sorted keys and the sums of each column of integers."""
-    names, at = np.unique(keys, return_inverse=True)
-    return names, [np.bincount(at, weights=v, minlength=len(names)).astype(np.int64) for v in values]
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Non-negative integers in as few bytes as hold them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def build(held: list[Part], order: int) -> tuple[list[np.ndarray], list[int], np.ndarray, np.ndarray]:
+def build(asked: Asked, order: int) -> tuple[list[np.ndarray], list[int], np.ndarray, np.ndarray]:
     """Arrays of a shard's model: for k = n ... 2 n-gram hashes and their counts, context hashes and
     their sums (A, and how many n-grams count 1, 2, 3 or more); the counts of counts; and the
     predicted words with their distinct words in front."""
-    count = np.concatenate([p.count for p in held])
-    seen = count > 0
-    count, word = count[seen], np.concatenate([p.word for p in held])[seen]
+    mine = np.flatnonzero(asked.count)
+    context = np.repeat(np.arange(len(asked.many)), asked.many)
     arrays: list[np.ndarray] = []
     stats: list[int] = []
-    mine = np.arange(len(count))
     for k in range(order, 1, -1):
-        grams = np.concatenate([p.grams(k) for p in held])[seen][mine]
-        names, first, at = np.unique(grams, return_index=True, return_inverse=True)
-        adjusted = np.bincount(at, weights=count if k == order else None, minlength=len(names)).astype(np.int64)
+        names, first, at = np.unique(asked.grams[k][mine], return_index=True, return_inverse=True)
+        adjusted = np.bincount(at, weights=asked.count[mine] if k == order else None, minlength=len(names)).astype(np.int64)
         mine = mine[first]  # one row for every distinct n-gram
-        contexts = np.concatenate([p.context_hashes[k - 2][p.context] for p in held])[seen][mine]
-        held_in, sums = grouped(contexts, [adjusted, adjusted == 1, adjusted == 2, adjusted > 2])
-        arrays += [names, adjusted, held_in, *sums]
+        held_in, at = np.unique(asked.contexts[k][context[mine]], return_inverse=True)
+        sums = [np.bincount(at, weights=w, minlength=len(held_in)).astype(np.int64)
+                for w in (adjusted, adjusted == 1, adjusted == 2, adjusted > 2)]
+        arrays += [names, narrow(adjusted), held_in, *map(narrow, sums)]
         stats += [int((adjusted == i).sum()) for i in (1, 2, 3, 4)]
-    words, in_front = np.unique(word[mine], return_counts=True)
+    words, in_front = np.unique(asked.word[mine], return_counts=True)
     return arrays, stats, words, in_front
 
 
 class Mapped:
-    """Sorted arrays in a file of the task, memory-mapped; gone when closed."""
+    """Sorted hash arrays and their values in a file of the task, memory-mapped; gone when closed."""
 
     def __init__(self, arrays: list[np.ndarray]):
         self.folder = tempfile.TemporaryDirectory()
         path = os.path.join(self.folder.name, "shard")
+        at = []
         with open(path, "wb") as out:
             for a in arrays:
-                out.write(a.astype("<u8").tobytes())
-        whole = np.memmap(path, "<u8", "r") if sum(map(len, arrays)) else np.zeros(0, np.uint64)
-        self.arrays = np.split(whole, np.cumsum([len(a) for a in arrays])[:-1])
+                out.write(b"\0" * (-out.tell() % 8))
+                at.append(out.tell())
+                out.write(np.ascontiguousarray(a).data)
+        self.arrays = [np.memmap(path, a.dtype, "r", start, a.shape) if len(a) else a for a, start in zip(arrays, at, strict=True)]
 
     def find(self, keys: int, asked: np.ndarray, values: list[int]) -> list[np.ndarray]:
-        """The values stored with each of ``asked``, 0 where there is none."""
+        """The values stored with each of ``asked``, 0 where there is none; searched in order of the hashes."""
         names = self.arrays[keys]
         if not len(names):
             return [np.zeros(len(asked), np.int64) for _ in values]
-        at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
-        hit = names[at] == asked
-        return [np.where(hit, self.arrays[v][at], 0).astype(np.int64) for v in values]
+        order = np.argsort(asked)
+        sorted_ = asked[order]
+        at = np.minimum(np.searchsorted(names, sorted_), len(names) - 1)
+        hit = names[at] == sorted_
+        out = []
+        for v in values:
+            found = np.empty(len(asked), self.arrays[v].dtype)
+            found[order] = np.where(hit, self.arrays[v][at], 0)
+            out.append(found)
+        return out
 
     def close(self) -> None:
         self.arrays = []
@@ -337,26 +366,35 @@ def serve(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBa
     shard's model and words, unless they were stored, and an answer per chunk."""
     width = 7  # arrays of one k
 
-    def shard_rows(shard: int, stored: list[bytes] | None, asked: list[tuple[int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
-        held = [Part(c, b, order) for c, b in asked]
+    def shard_rows(shard: int, stored: list[bytes] | None, parts_of: list[tuple[int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        if not parts_of:
+            return  # a stored shard that no chunk asks
+        asked = Asked(parts_of, order)
         if stored is None:
-            arrays, stats, words, in_front = build(held, order)
-            rising = {i for i in range(len(arrays)) if i % width in (0, 2)}
-            yield _row(shard, None, [(pack_rising if i in rising else pack)(a) for i, a in enumerate(arrays)], stats, MODEL)
-            yield _row(shard, None, [words.astype("<u8").tobytes(), pack(in_front)], None, WORDS)
+            arrays, stats, words, in_front = build(asked, order)
+            packed = [pack_steps(a, GRAM_BITS) if i % width in (0, 2) else pack(a) for i, a in enumerate(arrays)]
+            yield _row(shard, None, packed, stats, MODEL)
+            yield _row(shard, None, [pack_steps(words, WORD_BITS), pack(in_front)], None, WORDS)
+            del packed
         else:
-            arrays = [(unpack_rising if i % width in (0, 2) else unpack)(b) for i, b in enumerate(stored)]
+            arrays = [unpack_steps(b, GRAM_BITS) if i % width in (0, 2) else narrow(unpack(b)) for i, b in enumerate(stored)]
         mapped = Mapped(arrays)
         del arrays
         try:
-            for part in held:
-                out = []
-                for i, k in enumerate(range(order, 1, -1)):
-                    out += mapped.find(width * i, part.grams(k), [width * i + 1])
-                    out += mapped.find(width * i + 2, part.context_hashes[k - 2], [width * i + j for j in (3, 4, 5, 6)])
-                yield _row(shard, part.chunk, [pack(a) for a in out], None, ANSWER)
+            out: list[list[bytes]] = [[] for _ in asked.chunks]
+
+            def answer(keys: int, hashes: np.ndarray, values: list[int], ends: np.ndarray) -> None:
+                for found in mapped.find(keys, hashes, values):
+                    for told, x in zip(out, np.split(found, ends[:-1]), strict=True):
+                        told.append(pack(x))
+
+            for i, k in enumerate(range(order, 1, -1)):
+                answer(width * i, asked.grams[k], [width * i + 1], asked.gram_ends)
+                answer(width * i + 2, asked.contexts[k], [width * i + j for j in (3, 4, 5, 6)], asked.context_ends)
         finally:
             mapped.close()
+        for chunk, told in zip(asked.chunks, out, strict=True):
+            yield _row(shard, chunk, told, None, ANSWER)
 
     shard, stored, asked = None, None, []
     for batch in batches:
@@ -386,7 +424,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
-    """A fitted model: where its shards and words lie, and its sums.
+    """A fitted model: where its words (under ``path``) and its shards (``grams``) lie, and its sums.
 
     ``sums[k]``: discounts of order k; ``lowest``: A and the counts of counts
     1, 2, 3 or more at k = 1.
@@ -395,6 +433,7 @@ class Model:
     order: int
     path: str
     shards: int
+    grams: str = ""
     hot: dict[int, int] = field(default_factory=dict)
     sums: dict[int, tuple[float, float, float]] = field(default_factory=dict)
     lowest: tuple[int, int, int, int] = (0, 0, 0, 0)
@@ -472,7 +511,7 @@ def chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks -> chunk, at (number in the chunk), word (hash), n (training count), one row per word."""
     for batch in batches:
         for chunk, words, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "counts")), strict=True):
-            names = np.frombuffer(words, "<u8").view("<i8")
+            names = unpack_steps(words).view("<i8")
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), chunk)), pa.array(np.arange(len(names), dtype=np.int32)),
                                               pa.array(names), pa.array(numbers(counts))], names=["chunk", "at", "word", "n"])
 
@@ -480,8 +519,8 @@ def chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shard_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blobs in batch.column("blobs").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blobs[0], "<u8").view("<i8")), pa.array(numbers(blobs[1]))],
-                                             names=["word", "front"])
+            yield pa.RecordBatch.from_arrays([pa.array(unpack_steps(blobs[0], WORD_BITS).view("<i8")), pa.array(numbers(blobs[1]))],
+                                             names=["short", "front"])
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -501,7 +540,8 @@ def _served(chunks: DataFrame, model: Model, stored: DataFrame | None) -> str:
         asked = asked.unionByName(stored.select("shard", F.lit(None).cast("long").alias("chunk"), "blobs", F.lit(MODEL).alias("kind")))
     dealt = asked.repartition(default_parallelism(spark), "shard").sortWithinPartitions("shard", "kind", "chunk")
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/shards"
-    dealt.mapInArrow(lambda it: serve(it, order), SHARD).write.partitionBy("kind").parquet(path)
+    with shuffles_removed(spark):
+        dealt.mapInArrow(lambda it: serve(it, order), SHARD).write.partitionBy("kind").parquet(path)
     return path
 
 
@@ -513,9 +553,10 @@ def _documents(chunks: DataFrame, model: Model, answers: str) -> DataFrame:
     """Scores of the chunks' documents, from the answers under ``answers``."""
     spark = chunks.sparkSession
     words = spark.read.parquet(f"{model.path}/words")
-    known = chunks.select("chunk", "words", "counts").mapInArrow(chunk_words, "chunk long, at int, word long, n long") \
-        .select("chunk", "at", "word").join(words, "word") \
-        .groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "front")).alias("known"))
+    known = shared_table(
+        chunks.select("chunk", "words", "counts").mapInArrow(chunk_words, "chunk long, at int, word long, n long")
+        .select("chunk", "at", "word").join(words, "word")
+        .groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "front")).alias("known")), "known")
     rows = (chunks.select("chunk", F.lit(0).alias("kind"), "keys", "held", "sizes", "tokens", "words")
             .unionByName(known.withColumn("kind", F.lit(1)), allowMissingColumns=True)
             .unionByName(_shard_rows(spark, answers, ANSWER).select("chunk", F.lit(2).alias("kind"), "shard", "blobs"), allowMissingColumns=True))
@@ -545,18 +586,19 @@ def train_and_score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
     hot = {w % (1 << 64): min(shards, -(-int(n) // max(1, int(share)))) for w, n in often}
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/model"
     model = Model(order, path, shards, hot, tokens=facts["n"], words=facts["v"])
-    served = _served(chunks, model, None)
+    model.grams = served = _served(chunks, model, None)
 
-    front = _shard_rows(spark, served, WORDS).select("blobs").mapInArrow(shard_words, "word long, front long") \
-        .groupBy("word").agg(F.sum("front").alias("front"))
-    counted.join(front, "word").write.parquet(f"{path}/words")
-    _shard_rows(spark, served, MODEL).select("shard", "blobs", "stats").write.parquet(f"{path}/grams")
+    front = _shard_rows(spark, served, WORDS).select("blobs").mapInArrow(shard_words, "short long, front long") \
+        .groupBy("short").agg(F.sum("front").alias("front"))
+    short = F.shiftrightunsigned("word", 64 - WORD_BITS).alias("short")
+    with shuffles_removed(spark):
+        counted.select("word", "n", short).join(front, "short").select("word", "n", "front").write.parquet(f"{path}/words")
     words = spark.read.parquet(f"{path}/words")
     low = words.agg(F.coalesce(F.sum("front"), F.lit(0)).alias("total"), *[F.count_if(F.col("front") == i).alias(f"n{i}") for i in (1, 2, 3, 4)],
                     F.count_if(F.col("front") > 2).alias("more")).head()
     model.lowest = (low["total"], low["n1"], low["n2"], low["more"])
     model.sums[1] = discounts(*[low[f"n{i}"] for i in (1, 2, 3, 4)])
-    told = spark.read.parquet(f"{path}/grams").agg(*[
+    told = _shard_rows(spark, served, MODEL).agg(*[
         F.coalesce(F.sum(F.element_at("stats", i + 1)), F.lit(0)).alias(f"s{i}") for i in range(4 * (order - 1))]).head()
     for i, k in enumerate(range(order, 1, -1)):
         model.sums[k] = discounts(*told[4 * i:4 * i + 4])
@@ -566,7 +608,7 @@ def train_and_score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
 def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of other documents under a stored model."""
     chunks = _chunks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(True).alias("held")))
-    stored = docs.sparkSession.read.parquet(f"{model.path}/grams")
+    stored = _shard_rows(docs.sparkSession, model.grams, MODEL)
     return _documents(chunks, model, _served(chunks, model, stored))
 
 

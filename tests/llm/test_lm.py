@@ -131,4 +131,6 @@ def test_packing_round_trip():
     rng = np.random.default_rng(1)
     for x in (np.zeros(0, np.uint64), np.zeros(5, np.uint64), rng.integers(0, 2**63, 100).astype(np.uint64), np.array([2**64 - 1], np.uint64)):
         assert (lm.unpack(lm.pack(x)) == x).all()
-        assert (lm.unpack_rising(lm.pack_rising(np.sort(x))) == np.sort(x)).all()
+        assert (lm.unpack_steps(lm.pack_steps(x)) == x).all()
+        y = x >> np.uint64(24)
+        assert (lm.unpack_steps(lm.pack_steps(y, 40), 40) == y).all()
