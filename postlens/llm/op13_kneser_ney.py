@@ -60,7 +60,7 @@ from .common import WordBatch, default_parallelism, mix64, read_table, shared_ta
 
 #: Order of the model, text bytes of a chunk, and tokens of a shard.
 ORDER = 3
-CHUNK_BYTES, SHARD_TOKENS = 32 << 20, 4_000_000
+CHUNK_BYTES, SHARD_TOKENS = 16 << 20, 2_000_000
 
 #: Bits by which n-grams know their words, and by which a shard knows its n-grams and contexts.
 WORD_BITS, GRAM_BITS = 48, 40
@@ -174,20 +174,31 @@ class Chunk:
 
     @classmethod
     def of(cls, tokens: bytes, sizes: np.ndarray, words: bytes, order: int) -> Chunk:
-        tokens, names = numbers(tokens), np.append(unpack_steps(words), BEGIN)
-        at = np.arange(len(tokens))
-        inside = at - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        tokens, names = unpack(tokens).astype(np.int32), np.append(unpack_steps(words), BEGIN)
         size = len(names)
-        near = [np.where(inside >= j, tokens[np.maximum(at - j, 0)], size - 1) for j in range(1, order)]
-        key, columns = near[0], [np.arange(size)]
-        for c in near[1:]:  # number the contexts one word longer each time; numbers keep the order
-            found, key = np.unique(key * size + c, return_inverse=True)
+        first = np.cumsum(sizes) - sizes
+
+        def near(j: int) -> np.ndarray:
+            """The j-th word before every token."""
+            out = np.concatenate([np.full(j, size - 1, np.int32), tokens])[:len(tokens)]
+            for i in range(j):
+                out[(first + i)[sizes > i]] = size - 1
+            return out
+
+        key, columns = near(1).astype(np.int64), [np.arange(size)]
+        for j in range(2, order):  # number the contexts one word longer each time; numbers keep the order
+            key *= size
+            key += near(j)
+            found, key = np.unique(key, return_inverse=True)
             columns = [x[found // size] for x in columns] + [found % size]
         if order == 2:
             found, key = np.unique(key, return_inverse=True)
             columns = [found]
-        grams, gram = np.unique(key * size + tokens, return_inverse=True)
-        return cls(tokens, sizes, names, np.column_stack(columns), grams // size, grams % size, gram)
+        key *= size
+        key += tokens
+        grams, gram = np.unique(key, return_inverse=True)
+        del key
+        return cls(tokens, sizes, names, np.column_stack(columns), grams // size, grams % size, gram.astype(np.int32))
 
 
 def deal(chunk: Chunk, shards: int, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -585,7 +596,7 @@ def train_and_score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
     often += [(int(BEGIN.view(np.int64)), texts)] if texts > share else []
     hot = {w % (1 << 64): min(shards, -(-int(n) // max(1, int(share)))) for w, n in often}
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/model"
-    model = Model(order, path, shards, hot, tokens=facts["n"], words=facts["v"])
+    model = Model(order, path, shards, hot=hot, tokens=facts["n"], words=facts["v"])
     model.grams = served = _served(chunks, model, None)
 
     front = _shard_rows(spark, served, WORDS).select("blobs").mapInArrow(shard_words, "short long, front long") \
