@@ -19,7 +19,9 @@ Steps, all over all rows:
    the shard of the nearest context word.  All lower orders and contexts of an
    n-gram live in the same shard, so one exchange counts every order.  A hot
    word's n-grams are dealt over several shards by the predicted word: counts
-   and words in front stay whole, context sums are added up by the asker.  A
+   and words in front stay whole, context sums are added up by the asker.
+   Shards are made in ``WAVES``, by the context word, so that only a part of the
+   n-grams is in a shuffle at a time.  A
    shard turns its counts into sorted arrays of 64-bit hashes with their
    values, which are the stored model; it maps them from a file of its own for the
    time of the task and answers every chunk by binary search, in the order asked.
@@ -58,9 +60,9 @@ from postlens.session import checkpoint_dir
 
 from .common import WordBatch, default_parallelism, mix64, read_table, shared_table, shuffles_removed, slices
 
-#: Order of the model, text bytes of a chunk, and tokens of a shard.
+#: Order of the model, text bytes of a chunk, tokens of a shard, and waves in which shards are made.
 ORDER = 3
-CHUNK_BYTES, SHARD_TOKENS = 16 << 20, 2_000_000
+CHUNK_BYTES, SHARD_TOKENS, WAVES = 16 << 20, 2_000_000, 4
 
 #: Bits by which n-grams know their words, and by which a shard knows its n-grams and contexts.
 WORD_BITS, GRAM_BITS = 48, 40
@@ -73,19 +75,22 @@ FALLBACK = (0.5, 1.0, 1.5)
 
 # -- packed arrays -------------------------------------------------------------
 
+CODEC = pa.Codec("zstd", compression_level=5)
+
+
 def pack(x: np.ndarray) -> bytes:
     """Non-negative integers as compressed byte planes."""
     x = np.ascontiguousarray(x, dtype="<u8")
     width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
     planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-    return struct.pack("<BQ", width, len(x)) + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+    return struct.pack("<BQ", width, len(x)) + (CODEC.compress(planes, asbytes=True) if planes else b"")
 
 
 def unpack(data: bytes) -> np.ndarray:
     width, n = struct.unpack_from("<BQ", data)
     out = np.zeros((n, 8), np.uint8)
     if n and width:
-        out[:, :width] = np.frombuffer(pa.decompress(data[9:], n * width, "zstd"), np.uint8).reshape(width, n).T
+        out[:, :width] = np.frombuffer(CODEC.decompress(data[9:], n * width), np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()
 
 
@@ -155,54 +160,52 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk()
 
 
-@dataclass
 class Chunk:
-    """Distinct n-grams of a chunk.
+    """Tokens of a chunk: their numbers, the texts' sizes and the words' hashes, the begin mark's last."""
+
+    def __init__(self, tokens: bytes, sizes: np.ndarray, words: bytes):
+        self.tokens, self.sizes = unpack(tokens).astype(np.int32), sizes
+        self.words = np.append(unpack_steps(words), BEGIN)
+        self.first = np.cumsum(sizes) - sizes
+        self.waves = (mix64(self.words ^ PHI) % np.uint64(WAVES)).astype(np.int8)
+
+    def before(self, j: int) -> np.ndarray:
+        """The j-th word before every token."""
+        out = np.concatenate([np.full(j, len(self.words) - 1, np.int32), self.tokens])[:len(self.tokens)]
+        for i in range(j):
+            out[(self.first + i)[self.sizes > i]] = len(self.words) - 1
+        return out
+
+
+class Grams:
+    """Distinct n-grams of a chunk whose nearest context word is of one wave.
 
-    ``words``: hashes, the begin mark last.  ``contexts``: distinct contexts,
-    nearest word first, in order.  ``context``, ``word``: of every distinct
-    n-gram, in order.  ``gram``: the n-gram of every token.
+    ``at``: the tokens; ``contexts``: distinct contexts, nearest word first, in order; ``context``,
+    ``word``: of every distinct n-gram, in order; ``gram``: the n-gram of every token of ``at``.
     """
 
-    tokens: np.ndarray
-    sizes: np.ndarray
-    words: np.ndarray
-    contexts: np.ndarray
-    context: np.ndarray
-    word: np.ndarray
-    gram: np.ndarray
-
-    @classmethod
-    def of(cls, tokens: bytes, sizes: np.ndarray, words: bytes, order: int) -> Chunk:
-        tokens, names = unpack(tokens).astype(np.int32), np.append(unpack_steps(words), BEGIN)
-        size = len(names)
-        first = np.cumsum(sizes) - sizes
-
-        def near(j: int) -> np.ndarray:
-            """The j-th word before every token."""
-            out = np.concatenate([np.full(j, size - 1, np.int32), tokens])[:len(tokens)]
-            for i in range(j):
-                out[(first + i)[sizes > i]] = size - 1
-            return out
-
-        key, columns = near(1).astype(np.int64), [np.arange(size)]
+    def __init__(self, chunk: Chunk, order: int, wave: int):
+        size = len(chunk.words)
+        near = chunk.before(1)
+        self.at = np.flatnonzero(chunk.waves[near] == wave)
+        key, columns = near[self.at].astype(np.int64), [np.arange(size)]
         for j in range(2, order):  # number the contexts one word longer each time; numbers keep the order
             key *= size
-            key += near(j)
+            key += chunk.before(j)[self.at]
             found, key = np.unique(key, return_inverse=True)
             columns = [x[found // size] for x in columns] + [found % size]
         if order == 2:
             found, key = np.unique(key, return_inverse=True)
             columns = [found]
         key *= size
-        key += tokens
+        key += chunk.tokens[self.at]
         grams, gram = np.unique(key, return_inverse=True)
-        del key
-        return cls(tokens, sizes, names, np.column_stack(columns), grams // size, grams % size, gram.astype(np.int32))
+        self.contexts, self.context, self.word = np.column_stack(columns), grams // size, grams % size
+        self.gram = gram.astype(np.int32)
 
 
-def deal(chunk: Chunk, shards: int, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n-grams and contexts by shard: their numbers in the order sent, and the shards' borders in both.
+def deal(chunk: Chunk, grams: Grams, shards: int, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams and contexts by shard of the wave: their numbers in the order sent, and the shards' borders in both.
 
     A context goes to every shard that may hold its n-grams.
     """
@@ -213,48 +216,48 @@ def deal(chunk: Chunk, shards: int, hot: dict[int, int]) -> tuple[np.ndarray, np
         ways = np.where(names[at] == chunk.words, np.array([hot[int(n)] for n in names])[at], 1)
     base = (mix64(chunk.words * PHI) % np.uint64(shards)).astype(np.int64)
     salt = mix64(chunk.words + PHI)
-    near = chunk.contexts[:, 0]
-    first = near[chunk.context]
-    gram_shard = (base[first] + (salt[chunk.word] % ways[first].astype(np.uint64)).astype(np.int64)) % shards
-    grams = np.argsort(gram_shard, kind="stable")
+    near = grams.contexts[:, 0]
+    first = near[grams.context]
+    gram_shard = (base[first] + (salt[grams.word] % ways[first].astype(np.uint64)).astype(np.int64)) % shards
+    sent = np.argsort(gram_shard, kind="stable")
     many = ways[near]
     copies = np.repeat(np.arange(len(near)), many)
     step = np.arange(len(copies)) - np.repeat(np.cumsum(many) - many, many)
     context_shard = (base[near[copies]] + step) % shards
     order = np.argsort(context_shard, kind="stable")
     borders = np.arange(shards + 1)
-    return (grams, np.searchsorted(gram_shard[grams], borders), copies[order], np.searchsorted(context_shard[order], borders))
+    return (sent, np.searchsorted(gram_shard[sent], borders), copies[order], np.searchsorted(context_shard[order], borders))
 
 
-def parts(batches: Iterator[pa.RecordBatch], order: int, shards: int, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Chunks -> their n-grams by shard: shard, chunk, blobs (words, contexts, n-grams per context, words
-    predicted, training counts)."""
+def parts(batches: Iterator[pa.RecordBatch], order: int, shards: int, hot: dict[int, int], wave: int) -> Iterator[pa.RecordBatch]:
+    """Chunks -> their n-grams of one wave by shard: shard, chunk, blobs (words, contexts, n-grams per
+    context, words predicted, training counts)."""
     for batch in batches:
         for row in batch.to_pylist():
-            sizes = np.array(row["sizes"])
-            chunk = Chunk.of(row["tokens"], sizes, row["words"], order)
-            train = np.repeat(~np.array(row["held"], bool), sizes)
-            counts = np.bincount(chunk.gram[train], minlength=len(chunk.word))
-            grams, gram_at, contexts, context_at = deal(chunk, shards, hot)
+            chunk = Chunk(row["tokens"], np.array(row["sizes"]), row["words"])
+            found = Grams(chunk, order, wave)
+            train = np.repeat(~np.array(row["held"], bool), chunk.sizes)
+            counts = np.bincount(found.gram[train[found.at]], minlength=len(found.word))
+            grams, gram_at, contexts, context_at = deal(chunk, found, shards, hot)
             names, rows = [], []
-            place, at_context = np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.contexts), np.int64)
+            place, at_context = np.zeros(len(chunk.words), np.int64), np.zeros(len(found.contexts), np.int64)
             short = chunk.words >> np.uint64(64 - WORD_BITS)
             for s in range(shards):
                 mine, asked = grams[gram_at[s]:gram_at[s + 1]], contexts[context_at[s]:context_at[s + 1]]
                 if not len(asked):
                     continue
-                ctx, word = chunk.contexts[asked], chunk.word[mine]
+                ctx, word = found.contexts[asked], found.word[mine]
                 mark = np.zeros(len(place), bool)
                 mark[ctx] = mark[word] = True
                 own = np.flatnonzero(mark)
                 place[own] = np.arange(len(own))
                 at_context[asked] = np.arange(len(asked))
-                at, word = at_context[chunk.context[mine]], place[word]
+                at, word = at_context[found.context[mine]], place[word]
                 step = np.diff(word, prepend=0)
                 new = np.diff(at, prepend=-1) != 0
                 step[new] = word[new]
                 columns = place[ctx].T
-                names.append(s)
+                names.append(wave * shards + s)
                 rows.append([pack_steps(short[own], WORD_BITS), pack(np.diff(columns[0], prepend=0)), *[pack(c) for c in columns[1:]],
                              pack(np.bincount(at, minlength=len(asked))), pack(step), pack(counts[mine])])
             yield pa.RecordBatch.from_arrays(
@@ -443,7 +446,7 @@ class Model:
 
     order: int
     path: str
-    shards: int
+    shards: int  # of one wave
     grams: str = ""
     hot: dict[int, int] = field(default_factory=dict)
     sums: dict[int, tuple[float, float, float]] = field(default_factory=dict)
@@ -465,37 +468,50 @@ def scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     chunk = row = numbers_of = None
     answers: list[tuple[int, list[bytes]]] = []
 
-    def documents() -> pa.RecordBatch:
-        sizes = np.array(row["sizes"])
-        c = Chunk.of(row["tokens"], sizes, row["words"], model.order)
-        count, in_front = np.zeros((2, len(c.words)), np.int64)
-        if numbers_of is not None:
-            count[numbers_of[0]], in_front[numbers_of[0]] = numbers_of[1], numbers_of[2]
-        grams, gram_at, contexts, context_at = deal(c, model.shards, model.hot)
+    def probabilities(c: Chunk, found: Grams, single: np.ndarray, wave: int) -> np.ndarray:
+        """Of the distinct n-grams."""
+        grams, gram_at, contexts, context_at = deal(c, found, model.shards, model.hot)
         levels = range(model.order, 1, -1)
-        adjusted = {k: np.zeros(len(c.word), np.int64) for k in levels}
-        sums = {k: np.zeros((4, len(c.contexts)), np.int64) for k in levels}
+        adjusted = {k: np.zeros(len(found.word), np.int64) for k in levels}
+        sums = {k: np.zeros((4, len(found.contexts)), np.int64) for k in levels}
         for shard, blobs in answers:
-            mine, asked = grams[gram_at[shard]:gram_at[shard + 1]], contexts[context_at[shard]:context_at[shard + 1]]
+            if shard // model.shards != wave:
+                continue
+            s = shard % model.shards
+            mine, asked = grams[gram_at[s]:gram_at[s + 1]], contexts[context_at[s]:context_at[s + 1]]
             for i, k in enumerate(levels):
                 adjusted[k][mine] = numbers(blobs[5 * i])
                 for j in range(4):
                     sums[k][j][asked] += numbers(blobs[5 * i + 1 + j])
-        p = model.word_probability(in_front)[c.word]
+        p = single[found.word]
         for k in reversed(levels):
             total, *ones = sums[k]
             safe = np.maximum(total, 1)
             left = np.where(total > 0, sum(d * n for d, n in zip(model.sums[k], ones, strict=True)) / safe, 1.0)
-            p = model.discounted(k, adjusted[k]) / safe[c.context] + left[c.context] * p
+            p = model.discounted(k, adjusted[k]) / safe[found.context] + left[found.context] * p
+        return p
+
+    def documents() -> pa.RecordBatch:
+        sizes = np.array(row["sizes"])
+        c = Chunk(row["tokens"], sizes, row["words"])
+        count, in_front = np.zeros((2, len(c.words)), np.int64)
+        if numbers_of is not None:
+            count[numbers_of[0]], in_front[numbers_of[0]] = numbers_of[1], numbers_of[2]
+        single = model.word_probability(in_front)
+        logs = np.zeros(len(c.tokens))
+        for wave in range(WAVES):
+            found = Grams(c, model.order, wave)
+            if len(found.at):
+                logs[found.at] = np.log10(probabilities(c, found, single, wave))[found.gram]
         base = np.log10((count + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
-        first = np.cumsum(sizes) - sizes
+        first = c.first
 
         def total_of(values: np.ndarray) -> np.ndarray:
             return np.add.reduceat(values, first)
 
         return pa.RecordBatch.from_arrays(
             [row["keys"], row["held"], pa.array(sizes.astype(np.int64)), pa.array(total_of((count > 0)[c.tokens].astype(np.int64))),
-             pa.array(np.full(len(sizes), model.tokens, np.int64)), pa.array(total_of(base[c.tokens])), pa.array(total_of(np.log10(p)[c.gram]))],
+             pa.array(np.full(len(sizes), model.tokens, np.int64)), pa.array(total_of(base[c.tokens])), pa.array(total_of(logs))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     for batch in batches:
@@ -510,8 +526,8 @@ def scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
                 row = {c: one[c].values for c in ("keys", "held")} | {"sizes": one["sizes"].values.to_numpy()}
                 row |= {c: one[c].as_py() for c in ("tokens", "words")}
             elif kind == 1:
-                told = one["known"].values
-                numbers_of = [told.field(c).to_numpy() for c in ("at", "n", "front")]
+                told = one["blobs"].as_py()
+                numbers_of = [np.cumsum(numbers(told[0])), numbers(told[1]), numbers(told[2])]
             else:
                 answers.append((one["shard"].as_py(), one["blobs"].as_py()))
     if chunk is not None:
@@ -527,6 +543,17 @@ def chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array(names), pa.array(numbers(counts))], names=["chunk", "at", "word", "n"])
 
 
+def pack_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, known: numbers of its words) -> chunk, blobs (places, training counts, words in front)."""
+    for batch in batches:
+        for chunk, known in zip(batch.column("chunk").to_pylist(), batch.column("known"), strict=True):
+            at, n, front = (known.values.field(c).to_numpy() for c in ("at", "n", "front"))
+            order = np.argsort(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk]), pa.array([[pack(np.diff(at[order], prepend=0)), pack(n[order]), pack(front[order])]], pa.list_(pa.binary()))],
+                names=["chunk", "blobs"])
+
+
 def shard_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blobs in batch.column("blobs").to_pylist():
@@ -545,17 +572,23 @@ def _served(chunks: DataFrame, model: Model, stored: DataFrame | None) -> str:
     """The shards' rows for the chunks, written by kind; their folder."""
     spark = chunks.sparkSession
     order, shards, hot = model.order, model.shards, model.hot
-    asked = chunks.select("chunk", "held", "sizes", "tokens", "words").mapInArrow(
-        lambda it: parts(it, order, shards, hot), "shard int, chunk long, blobs array<binary>").withColumn("kind", F.lit(ANSWER))
-    if stored is not None:
-        asked = asked.unionByName(stored.select("shard", F.lit(None).cast("long").alias("chunk"), "blobs", F.lit(MODEL).alias("kind")))
-    dealt = asked.repartition(default_parallelism(spark), "shard").sortWithinPartitions("shard", "kind", "chunk")
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/shards"
-    with shuffles_removed(spark):
-        dealt.mapInArrow(lambda it: serve(it, order), SHARD).write.partitionBy("kind").parquet(path)
+    for wave in range(WAVES):
+        asked = _wave(chunks, order, shards, hot, wave).withColumn("kind", F.lit(ANSWER))
+        if stored is not None:
+            mine = stored.filter(F.expr(f"shard div {shards} = {wave}"))
+            asked = asked.unionByName(mine.select("shard", F.lit(None).cast("long").alias("chunk"), "blobs", F.lit(MODEL).alias("kind")))
+        dealt = asked.repartition(default_parallelism(spark), "shard").sortWithinPartitions("shard", "kind", "chunk")
+        with shuffles_removed(spark):
+            dealt.mapInArrow(lambda it: serve(it, order), SHARD).write.mode("append").partitionBy("kind").parquet(path)
     return path
 
 
+def _wave(chunks: DataFrame, order: int, shards: int, hot: dict[int, int], wave: int) -> DataFrame:
+    return chunks.select("chunk", "held", "sizes", "tokens", "words").mapInArrow(
+        lambda it: parts(it, order, shards, hot, wave), "shard int, chunk long, blobs array<binary>")
+
+
 def _shard_rows(spark: SparkSession, path: str, kind: int) -> DataFrame:
     return spark.read.schema(SHARD).parquet(path).filter(F.col("kind") == kind)
 
@@ -567,7 +600,8 @@ def _documents(chunks: DataFrame, model: Model, answers: str) -> DataFrame:
     known = shared_table(
         chunks.select("chunk", "words", "counts").mapInArrow(chunk_words, "chunk long, at int, word long, n long")
         .select("chunk", "at", "word").join(words, "word")
-        .groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "front")).alias("known")), "known")
+        .groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "front")).alias("known"))
+        .mapInArrow(pack_known, "chunk long, blobs array<binary>"), "known")
     rows = (chunks.select("chunk", F.lit(0).alias("kind"), "keys", "held", "sizes", "tokens", "words")
             .unionByName(known.withColumn("kind", F.lit(1)), allowMissingColumns=True)
             .unionByName(_shard_rows(spark, answers, ANSWER).select("chunk", F.lit(2).alias("kind"), "shard", "blobs"), allowMissingColumns=True))
@@ -590,9 +624,9 @@ def train_and_score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
     sizes = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).head()["n"] or 0
     texts = chunks.agg(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n")).head()["n"] or 0
 
-    shards = max(default_parallelism(spark), -(-sizes // SHARD_TOKENS))
-    share = facts["n"] / (2 * shards)
-    often = [(r["word"], r["n"]) for r in counted.filter(F.col("n") > share).collect()] if facts["n"] else []  # fewer than 2 * shards words
+    shards = max(min(default_parallelism(spark), 8), -(-sizes // (SHARD_TOKENS * WAVES)))
+    share = facts["n"] / (2 * shards * WAVES)
+    often = [(r["word"], r["n"]) for r in counted.filter(F.col("n") > share).collect()] if facts["n"] else []  # fewer than 2 * shards * WAVES
     often += [(int(BEGIN.view(np.int64)), texts)] if texts > share else []
     hot = {w % (1 << 64): min(shards, -(-int(n) // max(1, int(share)))) for w, n in often}
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/model"
