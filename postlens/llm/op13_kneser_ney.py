@@ -62,7 +62,7 @@ from .common import WordBatch, default_parallelism, mix64, read_table, shared_ta
 
 #: Order of the model, text bytes of a chunk, tokens of a shard, and waves in which shards are made.
 ORDER = 3
-CHUNK_BYTES, SHARD_TOKENS, WAVES = 16 << 20, 2_000_000, 4
+CHUNK_BYTES, SHARD_TOKENS, WAVES = 16 << 20, 1_000_000, 4
 
 #: Bits by which n-grams know their words, and by which a shard knows its n-grams and contexts.
 WORD_BITS, GRAM_BITS = 48, 40
@@ -384,6 +384,7 @@ def serve(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBa
         if not parts_of:
             return  # a stored shard that no chunk asks
         asked = Asked(parts_of, order)
+        parts_of.clear()
         if stored is None:
             arrays, stats, words, in_front = build(asked, order)
             packed = [pack_steps(a, GRAM_BITS) if i % width in (0, 2) else pack(a) for i, a in enumerate(arrays)]
@@ -412,15 +413,17 @@ def serve(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBa
 
     shard, stored, asked = None, None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["shard"] != shard:
+        names, kinds, chunks = (batch.column(c).to_pylist() for c in ("shard", "kind", "chunk"))
+        for i, blobs in enumerate(batch.column("blobs")):
+            if names[i] != shard:
                 if shard is not None:
                     yield from shard_rows(shard, stored, asked)
-                shard, stored, asked = row["shard"], None, []
-            if row["kind"] == MODEL:
-                stored = row["blobs"]
+                shard, stored, asked = names[i], None, []
+            held = [b.as_buffer() for b in blobs.values]  # views of the batch, no copies
+            if kinds[i] == MODEL:
+                stored = held
             else:
-                asked.append((row["chunk"], row["blobs"]))
+                asked.append((chunks[i], held))
     if shard is not None:
         yield from shard_rows(shard, stored, asked)
 
