@@ -20,27 +20,36 @@ from pyspark.sql import functions as F
 
 from postlens.session import checkpoint_dir, read_table
 
-__all__ = ["read_table", "shared_table", "shuffles_removed", "if_small", "slices", "WordBatch", "shingle_hashes", "mix64"]
+__all__ = ["read_table", "shared_table", "shuffles_removed", "settings", "if_small", "slices", "WordBatch", "shingle_hashes", "mix64"]
 
 #: Text bytes that one numpy step holds at a time (bounds a task's memory; a
 #: longer text forms a step of its own).
 STEP_BYTES = 4 << 20
 
 
-#: Removes the shuffle files of a query when it ends.
+#: Removes the shuffle files of a query when it ends; bounds the bytes of an Arrow batch.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside leave no shuffle files behind: what they made is written, so nothing
-    reads these files again, and long jobs do not pile them up on the executors' disks."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the queries run inside."""
+    names = {"cleanup": CLEANUP, "batch_bytes": BATCH_BYTES}
+    before = {names[k]: spark.conf.get(names[k], None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, v in before.items():
+            spark.conf.unset(name) if v is None else spark.conf.set(name, v)
+
+
+def shuffles_removed(spark: SparkSession):
+    """Queries run inside leave no shuffle files behind: what they made is written, so nothing
+    reads these files again, and long jobs do not pile them up on the executors' disks."""
+    return settings(spark, cleanup="true")
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:

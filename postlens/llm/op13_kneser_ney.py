@@ -58,12 +58,14 @@ from pyspark.sql import functions as F
 
 from postlens.session import checkpoint_dir
 
-from .common import WordBatch, default_parallelism, mix64, read_table, shared_table, shuffles_removed, slices
+from .common import WordBatch, default_parallelism, mix64, read_table, settings, shared_table, shuffles_removed, slices
 
 #: Order of the model, text bytes of a chunk, tokens of a shard, and waves in which shards are made.
 ORDER = 3
 CHUNK_BYTES, SHARD_TOKENS, WAVES = 16 << 20, 1_000_000, 4
 
+#: Bytes of an Arrow batch of packed rows.
+BATCH_BYTES = 8 << 20
 #: Bits by which n-grams know their words, and by which a shard knows its n-grams and contexts.
 WORD_BITS, GRAM_BITS = 48, 40
 #: Hashes of the end and of the begin mark: of texts that are no words.
@@ -582,7 +584,7 @@ def _served(chunks: DataFrame, model: Model, stored: DataFrame | None) -> str:
             mine = stored.filter(F.expr(f"shard div {shards} = {wave}"))
             asked = asked.unionByName(mine.select("shard", F.lit(None).cast("long").alias("chunk"), "blobs", F.lit(MODEL).alias("kind")))
         dealt = asked.repartition(default_parallelism(spark), "shard").sortWithinPartitions("shard", "kind", "chunk")
-        with shuffles_removed(spark):
+        with shuffles_removed(spark), settings(spark, batch_bytes=str(BATCH_BYTES)):
             dealt.mapInArrow(lambda it: serve(it, order), SHARD).write.mode("append").partitionBy("kind").parquet(path)
     return path
 
@@ -610,8 +612,10 @@ def _documents(chunks: DataFrame, model: Model, answers: str) -> DataFrame:
             .unionByName(_shard_rows(spark, answers, ANSWER).select("chunk", F.lit(2).alias("kind"), "shard", "blobs"), allowMissingColumns=True))
     dealt = rows.repartition(default_parallelism(spark), "chunk").sortWithinPartitions("chunk", "kind", "shard")
     key = chunks.schema["keys"].dataType.elementType.simpleString()
-    return dealt.mapInArrow(lambda it: scores(it, model), f"doc_id {key}, held_out boolean, n_tokens long, n_known long, "
-                                                          "train_tokens long, base_score double, score double")
+    with settings(spark, batch_bytes=str(BATCH_BYTES)):  # a row holds a whole chunk
+        return shared_table(dealt.mapInArrow(
+            lambda it: scores(it, model), f"doc_id {key}, held_out boolean, n_tokens long, n_known long, "
+                                          "train_tokens long, base_score double, score double"), "scores")
 
 
 def train_and_score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text",
