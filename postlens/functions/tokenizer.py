@@ -125,15 +125,35 @@ def _emoji_class(cfg: TokenizerConfig) -> str:
     return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in fv.EMOJI_RANGES) + "]"
 
 
+def trie_pattern(entries) -> str:
+    """A pattern that matches the longest of ``entries``: their trie, shared prefixes written once, so
+    that a long list is not tried entry by entry."""
+    root: dict = {}
+    for entry in entries:
+        node = root
+        for ch in entry:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        parts = [re.escape(ch) + written(node[ch]) for ch in sorted(node) if ch]
+        if not parts:
+            return ""
+        if "" in node:  # an entry ends here; longer ones first
+            return "(?:" + "|".join(parts) + ")?"
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return written(root)
+
+
 def special_pattern(cfg: TokenizerConfig = DEFAULT) -> str:
     """What the splitter emits as is, longest first: emoticons (and listed
     emoji) of the scan width, single emoji code points, single punctuation."""
     width = max([len(e) for e in cfg.emoticons] + [2])
-    listed = sorted({s for s in tuple(cfg.emoticons) + tuple(cfg.emojis) if 0 < len(s) <= width},
-                    key=lambda s: (-len(s), s))
+    listed = trie_pattern({s for s in tuple(cfg.emoticons) + tuple(cfg.emojis) if 0 < len(s) <= width})
     punct = fv.SPLIT_PUNCTUATION + fv.QUOTE_CHARS
     punct_class = "[" + "".join(re.escape(ch) if ch not in "-" else r"\-" for ch in dict.fromkeys(punct)) + "]"
-    alts = [re.escape(s) for s in listed] + [_emoji_class(cfg), punct_class]
+    alts = [listed] * bool(listed) + [_emoji_class(cfg), punct_class]
     return "(?:" + "|".join(alts) + ")"
 
 

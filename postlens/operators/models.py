@@ -12,13 +12,15 @@ Every scoring function keeps the key: predictions are joined, never zipped.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage
-from .splits import fold_assign
+from .splits import fold_assign, group_folds
 
 
 #: Rows per partition for iterative (L-BFGS) fits: every iteration ships the
@@ -51,11 +53,12 @@ def _xgboost_spark():
 
 def fit_boosted(df: DataFrame, features: str = "features", label: str = "label", max_iter: int = 100,
                 max_depth: int = 6, step_size: float = 0.3, max_bins: int = 32, seed: int = 42,
-                num_classes: int | None = None, engine: str = "mllib"):
+                num_classes: int | None = None, engine: str = "mllib", parallelism: int = 4):
     """Gradient-boosted trees (library defaults of the sparse branch: 100
     trees, depth 6, learning rate 0.3).
 
-    ``engine='mllib'``: ``GBTClassifier`` (``OneVsRest`` above two classes).
+    ``engine='mllib'``: ``GBTClassifier`` (``OneVsRest`` above two classes, whose
+    fits run ``parallelism`` at a time: each is a chain of small jobs).
     ``engine='xgboost'``: ``xgboost.spark.SparkXGBClassifier`` with the same
     settings when that package is installed (it is not in this image; asking
     for it without the package raises).
@@ -73,12 +76,11 @@ def fit_boosted(df: DataFrame, features: str = "features", label: str = "label",
     data = df.select(features, F.col(label).cast("double").alias(label)).persist()
     k = num_classes or _n_classes(data, label)
     gbt = GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step_size, maxBins=max_bins, seed=seed, checkpointInterval=10,
-                        cacheNodeIds=True)
+                        stepSize=step_size, maxBins=max_bins, seed=seed, checkpointInterval=10)
     try:
         if k <= 2:
             return gbt.fit(data)
-        return OneVsRest(classifier=gbt, featuresCol=features, labelCol=label).fit(data)
+        return OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, parallelism=parallelism).fit(data)
     finally:
         data.unpersist()
 
@@ -160,29 +162,53 @@ def argmax_prediction(scores) -> "F.Column":
     return (F.array_position(s, F.array_max(s)) - 1).cast("int")
 
 
-def stack_oof(train: DataFrame, bases: dict, label: str = "label", key: str = "doc_id", k: int = 3, salt: str = "oof"):
+def concurrently(spark, jobs: dict, threads: int = 4) -> dict:
+    """Results of ``jobs`` (name -> function), at most ``threads`` at a time, each in a job group of its name.
+
+    An iterative fit is a chain of small jobs that leaves most of the cluster
+    idle; several of them side by side take about as long as one.
+    """
+    def run(name, job):
+        spark.sparkContext.setJobGroup(str(name), str(name))
+        return job()
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        futures = {name: pool.submit(inheritable_thread_target(spark)(run), name, job) for name, job in jobs.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
+def stack_oof(train: DataFrame, bases: dict, label: str = "label", key: str = "doc_id", k: int = 3, salt: str = "oof",
+              group: str | None = None, threads: int = 4):
     """Out-of-fold stacking over several bases.
 
     ``bases``: name -> ``fit(df)``, which fits everything the base needs, its
     vectorizer included, on the rows it is given and returns a model whose
-    ``transform`` adds ``probability``.  Rows of ``train`` get a key-hashed fold;
-    for each fold and base a model fitted on the other folds scores the held-out
-    one.  The meta-learner is fitted on these scores, one column per base; the
-    bases are then fitted on all of ``train`` to score other rows.  Returns
-    ``(meta_model, final_bases, oof_scores)``.  The driver loops over folds and
-    bases only; every fit and score is a distributed job.
+    ``transform`` adds ``probability``.  Rows of ``train`` get a key-hashed fold,
+    or with ``group`` one fold for all rows of a group (:func:`group_folds`), so
+    that copies never stand on both sides; for each fold and base a model fitted
+    on the other folds scores the held-out one.  The meta-learner is fitted on
+    these scores, one column per base; the bases are also fitted on all of
+    ``train`` to score other rows.  Returns ``(meta_model, final_bases,
+    oof_scores)``.  The driver loops over folds and bases only, ``threads`` fits
+    at a time; every fit and score is a distributed job.
     """
-    folded = fold_assign(train, k, key, salt).persist()
+    folded = (group_folds(train, k, group, salt) if group else fold_assign(train, k, key, salt)).persist()
     try:
-        columns = []
+        folded.count()  # fills the cache once, for all threads
+        jobs = {}
         for name, fit in bases.items():
-            held = [_positive(fit(folded.filter(F.col("fold") != f)), folded.filter(F.col("fold") == f), key, name)
-                    for f in range(k)]
+            for f in [*range(k), None]:
+                data = folded if f is None else folded.filter(F.col("fold") != f)
+                jobs[name, f] = lambda fit=fit, data=data: fit(data)
+        fitted = concurrently(train.sparkSession, jobs, threads)
+        columns = []
+        for name in bases:
+            held = [_positive(fitted[name, f], folded.filter(F.col("fold") == f), key, name) for f in range(k)]
             columns.append(reduce(lambda a, b: a.unionByName(b), held))
         scores = reduce(lambda a, b: a.join(b, key), [folded.select(key, label), *columns])
         scores = cut_lineage(scores)  # one pass over every fold's model, before the fold table goes
         meta = fit_meta(_assembled(scores, list(bases)), "meta_features", label)
-        finals = {name: fit(folded) for name, fit in bases.items()}
+        finals = {name: fitted[name, None] for name in bases}
     finally:
         folded.unpersist()
     return meta, finals, scores

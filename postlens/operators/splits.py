@@ -37,6 +37,28 @@ def fold_assign(df: DataFrame, k: int, key: str = "doc_id", salt: str = "fold",
     return df.withColumn(out, (key_hash(key, salt) % F.lit(k)).cast("int"))
 
 
+def group_folds(df: DataFrame, k: int, group: str, salt: str = "fold", out: str = "fold") -> DataFrame:
+    """Fold id in ``[0, k)`` per value of ``group``, so that all its rows (copies of a text, say) share one.
+
+    Groups of more than 1/(8 k) of the rows, fewer than 8 k of them, are dealt
+    largest first to the lightest fold; the others by their hash, which evens
+    them out.  Null is a group.  Sizes come from one partial aggregation.
+    """
+    name = F.sha2(F.coalesce(F.col(group).cast("string"), F.lit("")), 256)
+    sizes = df.groupBy(name.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    total = df.count()
+    large = sizes.filter(F.col("_n") > total / (8 * k)).collect()
+    load, dealt = [0] * k, {}
+    for row in sorted(large, key=lambda r: (-r["_n"], r["_g"])):
+        fold = min(range(k), key=lambda f: (load[f], f))
+        dealt[row["_g"]] = fold
+        load[fold] += row["_n"]
+    fold = (key_hash(name, salt) % F.lit(k)).cast("int")
+    for g, f in dealt.items():
+        fold = F.when(name == g, F.lit(f)).otherwise(fold)
+    return df.withColumn(out, fold)
+
+
 def split_overlap(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Leak guard: rows of ``left`` whose ``on`` values also occur in ``right``
     (rows with a null among them are shared with nothing).

@@ -20,12 +20,31 @@ def correctness(truth: DataFrame, pred: DataFrame, key: str = "doc_id", name: st
     return t.join(p, key, "left").select(key, F.coalesce(F.col("_y") == F.col("_p"), F.lit(False)).cast("int").alias(name))
 
 
-def mcnemar(truth: DataFrame, pred_a: DataFrame, pred_b: DataFrame, key: str = "doc_id") -> DataFrame:
+def binomial_tail(b, c):
+    """Two-sided exact p of b against c: twice the tail of min(b, c) of b + c fair tosses, at most 1.
+
+    Each term's logarithm is the one before plus ln((n - i + 1) / i); terms are
+    added as they come, from the smallest.
+    """
+    n, least = b + c, F.least(b, c)
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("t"), F.exp(-n * F.log(F.lit(2.0))).alias("s"))
+    terms = F.when(least > 0, F.sequence(F.lit(1).cast("long"), least)).otherwise(F.array().cast("array<bigint>"))
+
+    def step(acc, i):
+        t = acc["t"] + F.log((n - i + 1) / i)
+        return F.struct(t.alias("t"), (acc["s"] + F.exp(t)).alias("s"))
+
+    return F.least(F.lit(1.0), 2 * F.aggregate(terms, start, step)["s"])
+
+
+def mcnemar(truth: DataFrame, pred_a: DataFrame, pred_b: DataFrame, key: str = "doc_id", exact_below: int = 25) -> DataFrame:
     """McNemar's test on the rows of the truth (an unscored row is a wrong one).
 
     b = A right & B wrong, c = A wrong & B right; statistic (b-c)^2/(b+c),
     continuity-corrected (|b-c|-1)^2/(b+c); p = P(chi2_1 > x) = erfc(sqrt(x/2)).
-    b + c = 0 gives statistic 0 and p 1.
+    b + c = 0 gives statistic 0 and p 1.  ``p_exact`` is the binomial test's,
+    where b + c is below ``exact_below`` (there the chi-square form misleads),
+    else null.
     """
     ca = correctness(truth, pred_a, key, "ca")
     cb = correctness(truth, pred_b, key, "cb")
@@ -44,6 +63,7 @@ def mcnemar(truth: DataFrame, pred_a: DataFrame, pred_b: DataFrame, key: str = "
         "*",
         erfc(F.sqrt(F.col("statistic") / 2.0)).alias("p_value"),
         erfc(F.sqrt(F.col("statistic_corrected") / 2.0)).alias("p_value_corrected"),
+        F.when(F.col("b") + F.col("c") < exact_below, binomial_tail(F.col("b"), F.col("c"))).alias("p_exact"),
     )
 
 

@@ -138,8 +138,10 @@ def tfidf_vector(df: DataFrame, model: DataFrame, tokens: str = "tokens",
 
 
 def sparse_entries(vector) -> Column:
-    """``array<struct<idx:int, weight:double>>`` of a sparse MLlib vector column,
-    without making it dense."""
+    """``array<struct<idx:int, weight:double>>`` of an MLlib vector column: the stored entries of a
+    sparse vector, which is not made dense, and the entries other than zero of a dense one."""
     v = F.unwrap_udt(vector)
-    return F.transform(F.arrays_zip(v["indices"].alias("idx"), v["values"].alias("weight")),
-                       lambda e: F.struct(e["idx"].alias("idx"), e["weight"].alias("weight")))
+    sparse = F.transform(F.arrays_zip(v["indices"].alias("idx"), v["values"].alias("weight")),
+                         lambda e: F.struct(e["idx"].alias("idx"), e["weight"].alias("weight")))
+    dense = F.filter(F.transform(v["values"], lambda x, i: F.struct(i.alias("idx"), x.alias("weight"))), lambda e: e["weight"] != 0)
+    return F.when(v["type"] == 0, sparse).otherwise(dense)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.sinks import scratch_path
 
 _LOCK = threading.Lock()
+_LOCKS: dict[tuple, threading.Lock] = {}
 _STORE: dict[tuple, tuple[str, str]] = {}
 
 
@@ -44,30 +45,31 @@ def _key(spark: SparkSession, name: str, sf_dir: str, params: dict) -> tuple:
     return (spark.sparkContext.applicationId, name, input_version(spark, sf_dir), json.dumps(params, sort_keys=True))
 
 
+def _held(k: tuple) -> threading.Lock:
+    """One lock per artifact: of threads that ask for the same one, the first fits and the others wait."""
+    with _LOCK:
+        return _LOCKS.setdefault(k, threading.Lock())
+
+
 def table(spark: SparkSession, name: str, sf_dir: str, params: dict, fit) -> DataFrame:
     """A fitted table (``fit() -> DataFrame``), written once as parquet."""
     k = _key(spark, name, sf_dir, params)
-    with _LOCK:
-        hit = _STORE.get(k)
-    if hit is None:
-        path = scratch_path(spark, f"artifact-{name}")
-        fit().write.mode("overwrite").parquet(path)
-        with _LOCK:
+    with _held(k):
+        if k not in _STORE:
+            path = scratch_path(spark, f"artifact-{name}")
+            fit().write.mode("overwrite").parquet(path)
             _STORE[k] = ("table", path)
-        hit = _STORE[k]
-    return spark.read.parquet(hit[1])
+    return spark.read.parquet(_STORE[k][1])
 
 
 def model(spark: SparkSession, name: str, sf_dir: str, params: dict, fit, loader):
     """A fitted MLlib model (``fit() -> model``), saved once, loaded by ``loader(path)``."""
     k = _key(spark, name, sf_dir, params)
-    with _LOCK:
-        hit = _STORE.get(k)
-    if hit is None:
-        m = fit()
-        path = scratch_path(spark, f"artifact-{name}")
-        m.write().overwrite().save(path)
-        with _LOCK:
+    with _held(k):
+        if k not in _STORE:
+            m = fit()
+            path = scratch_path(spark, f"artifact-{name}")
+            m.write().overwrite().save(path)
             _STORE[k] = ("model", path)
-        return m
-    return loader(hit[1])
+            return m
+    return loader(_STORE[k][1])

@@ -126,6 +126,19 @@ def q_mcnemar(spark, sf_dir):
                                      ("statistic", "statistic_corrected", "p_value", "p_value_corrected")])
 
 
+@register("mcnemar_exact", f"""
+WITH j AS (SELECT CAST(a.prediction = t.label AS INTEGER) AS ca, CAST(b.prediction = t.label AS INTEGER) AS cb
+           FROM {T} t JOIN {A} a ON t.doc_id = a.doc_id JOIN {B} b ON t.doc_id = b.doc_id),
+c AS (SELECT count(*) AS n, CAST(sum(CASE WHEN ca = 1 AND cb = 0 THEN 1 ELSE 0 END) AS BIGINT) AS b,
+             CAST(sum(CASE WHEN ca = 0 AND cb = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c FROM j)
+SELECT n, b, c, {q6("least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM range(least(b, c) + 1) r(i)))")} AS p_exact
+FROM c""")
+def q_mcnemar_exact(spark, sf_dir):
+    """The binomial form of the test, at any number of discordant rows."""
+    r = stats.mcnemar(fx.truth(spark, sf_dir), fx.predictor_a(spark, sf_dir), fx.predictor_b(spark, sf_dir), exact_below=1 << 40)
+    return r.select("n", "b", "c", quantize("p_exact").alias("p_exact"))
+
+
 @register("cohens_d", f"""
 WITH a AS (SELECT CAST(p.prediction = t.label AS INTEGER) AS correct FROM {T} t JOIN {A} p ON t.doc_id = p.doc_id),
 b AS (SELECT CAST(p.prediction = t.label AS INTEGER) AS correct FROM {T} t JOIN {B} p ON t.doc_id = p.doc_id),

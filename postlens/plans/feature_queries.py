@@ -13,6 +13,7 @@ from .registry import register
 from .sqlfrag import q6, split_case
 
 K = TFIDF_MAX_FEATURES
+TEXT_SPLIT = split_case("coalesce(text, '')")
 TOK = f"regexp_extract_all(lower(coalesce(text, '')), '{TFIDF_TOKEN_RE}')"
 
 
@@ -21,11 +22,16 @@ def analyzed_documents(spark, sf_dir):
     return fx.documents(spark, sf_dir).select("doc_id", tfidf_analyze("text").alias("tokens"))
 
 
+def split_by_text(df):
+    """The split of a message goes by its text, so that copies share one and no test text was learned from."""
+    return splits.label_split(df, key=F.coalesce("text", F.lit("")))
+
+
 def train_model(spark, sf_dir, k=K):
     """Vocabulary + idf fitted on the train split of ``documents`` (fitted
     once per session and input, then read back like a saved vectorizer)."""
     def fit():
-        docs = splits.label_split(fx.documents(spark, sf_dir).select("doc_id", "text"))
+        docs = split_by_text(fx.documents(spark, sf_dir).select("doc_id", "text"))
         train = docs.filter(F.col("split") == "train").select(tfidf_analyze("text").alias("tokens"))
         return vocab.fit_tfidf(train, "tokens", k)
     from . import artifacts
@@ -65,7 +71,7 @@ def q_idf_fit(spark, sf_dir):
 
 
 _TFIDF_CTE = f"""
-docs AS (SELECT doc_id, text, {split_case()} AS split FROM documents),
+docs AS (SELECT doc_id, text, {TEXT_SPLIT} AS split FROM documents),
 ttoks AS (SELECT doc_id, unnest({TOK}) AS term FROM docs WHERE split = 'train'),
 stats AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM ttoks GROUP BY term),
 top AS (SELECT term, tf, df FROM stats ORDER BY tf DESC, term LIMIT {K}),
@@ -149,20 +155,21 @@ def q_assign_batches(spark, sf_dir):
     return batching.assign_batches(d, ["doc_id"], 32, key="doc_id")
 
 
-@register("running_loss", f"""
-WITH log AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 97 <> 0 THEN value END AS value FROM events),
-s AS (
+SQL_RUNNING_LOSS = f"""
+WITH s AS (
   SELECT user_id, event_id, value,
          row_number() OVER w AS step,
          sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_sum,
          avg(value) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS trailing_mean
-  FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, event_id, step, {q6("running_sum")} AS running_sum, {q6("trailing_mean")} AS trailing_mean,
        {q6("running_sum / 10.0")} AS reported_loss, step % 10 = 0 AS reported
-FROM s""")
+FROM s"""
+
+
+@register("running_loss", SQL_RUNNING_LOSS)
 def q_running_loss(spark, sf_dir):
-    # every 97th event has no value: a step without a loss
-    ev = fx.events(spark, sf_dir).select("user_id", "event_id", "ts", F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("value"))
+    ev = fx.events(spark, sf_dir).select("user_id", "event_id", "ts", "value")
     out = batching.running_loss(ev, part="user_id", order=["ts", "event_id"], value="value", every=10)
     return out.select("user_id", "event_id", "step", quantize("running_sum").alias("running_sum"),
                       quantize("trailing_mean").alias("trailing_mean"),

@@ -10,6 +10,8 @@ is written back; ``\\w``/``\\d``/``\\s`` become explicit Unicode classes.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -267,6 +269,22 @@ def q_tokenize_custom_policy(spark, sf_dir):
     return t.select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
+#: A user's lists (``with_lexicons``): emoticons with shared prefixes, emoji beyond the ranges, stop words.
+LEXICONS = dataclasses.replace(
+    DEFAULT.with_lexicons(emoticons=["->", "->>", "<-", "=>", "==>", "(c)", "(r)", ":-]", ":-]]", ".,", ",."], emojis=["★", "♥♥"],
+                          stopwords=["the", "and", "der", "und", "el", "la", "de"]), ignorestopwords=True)
+
+
+@register("tokenize_custom_lexicons", f"""
+WITH RECURSIVE {tsql.tokens(SQL_SRC, LEXICONS)}
+SELECT id, coalesce(array_to_string(list_filter(toks, lambda t: NOT list_contains([{", ".join(tsql.lit(w) for w in LEXICONS.stopwords)}], t)), ' '), '') AS tokens
+FROM tokens""")
+def q_tokenize_custom_lexicons(spark, sf_dir):
+    """The full tokenizer with a user's emoticons, emoji and stop words."""
+    t = tokenized(spark, sf_dir, LEXICONS)
+    return t.select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @register("squeeze_syllables", f"""
 WITH RECURSIVE src AS (SELECT * FROM {SQL_SRC}),
 words AS (SELECT id, u.ord, u.w FROM src, unnest({_SQL_WORDS}) WITH ORDINALITY AS u(w, ord)),

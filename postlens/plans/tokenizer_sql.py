@@ -119,12 +119,12 @@ toks AS (SELECT id, seg, ord, tok FROM walk WHERE tok IS NOT NULL)"""
 
 # -- classification, splitting, cleaning --------------------------------------------
 
-def split_pieces(chunk: str) -> str:
+def split_pieces(chunk: str, cfg: TokenizerConfig = DEFAULT) -> str:
     """The splitter: ``special|any character`` finds the same special pieces at
     the same places (a run stops exactly where a special piece would match);
     single characters are then merged into runs, by marking specials with
     U+0001 and splitting there."""
-    sp = special_pattern()
+    sp = special_pattern(cfg)
     pieces = f"regexp_extract_all({chunk}, {lit(sp + '|(?s:.)')})"
     marked = (f"list_transform({pieces}, lambda p: CASE WHEN regexp_full_match(p, {lit(sp)}) "
               f"THEN chr(1) || p || chr(1) ELSE p END)")
@@ -180,7 +180,7 @@ def tokens(src: str, cfg: TokenizerConfig = DEFAULT) -> str:
     text) of ``src``; a null text has none."""
     cases = policy_cases("tok", cfg, "[' ' || tok]", "[]::VARCHAR[]", "[' ' || {}]")
     special = f"^{special_pattern(cfg)}"
-    split = f"list_transform({split_pieces('tok')}, lambda p: CASE WHEN regexp_matches(p, {lit(special)}) THEN ' ' || p ELSE p END)"
+    split = f"list_transform({split_pieces('tok', cfg)}, lambda p: CASE WHEN regexp_matches(p, {lit(special)}) THEN ' ' || p ELSE p END)"
     return f"""{lexed(decoded(src), cfg)},
 pieces AS (SELECT id, seg, ord, u.k, u.piece FROM (
     SELECT id, seg, ord, CASE WHEN regexp_full_match(tok, '[a-zA-Z]+') THEN [tok] {cases}

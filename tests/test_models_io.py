@@ -89,6 +89,82 @@ def test_stacking_never_fits_what_it_scores(spark):
     assert models.score_stack(meta, finals, test).count() == test.count()
 
 
+def test_copies_share_folds_and_only_the_text_guard_sees_them(spark):
+    """Copies across splits: the keys are disjoint, the texts are not; dealt by text, neither is shared."""
+    rows = spark.createDataFrame([(i, f"text {i % 20 if i < 200 else i}") for i in range(400)], "doc_id long, text string")
+    by_key = splits.label_split(rows)
+    train, test = (by_key.filter(F.col("split") == s) for s in ("train", "test"))
+    assert splits.split_overlap(train, test, ["doc_id"]).first().n_shared == 0
+    assert splits.split_overlap(train, test, ["text"]).first().n_shared > 0
+    by_text = splits.label_split(rows, key=F.col("text"))
+    assert splits.split_overlap(*(by_text.filter(F.col("split") == s) for s in ("train", "test")), ["text"]).first().n_shared == 0
+    hot = rows.unionByName(spark.createDataFrame([(1000 + i, None) for i in range(150)], rows.schema))  # one class of over a quarter
+    dealt = splits.group_folds(hot, 3, "text")
+    per_text = dealt.groupBy("text").agg(F.countDistinct("fold").alias("n"))
+    assert per_text.filter("n > 1").count() == 0
+    sizes = [r["count"] for r in dealt.groupBy("fold").count().collect()]
+    assert len(sizes) == 3 and max(sizes) < 0.5 * sum(sizes)
+
+
+def test_dense_model_is_right_on_held_out_rows(spark):
+    rows = splits.label_split(messages(spark, 300).withColumn("dense", array_to_vector("vec")))
+    m = models.fit_dense(rows.filter("split = 'train'"), "dense", num_classes=2)
+    told = m.transform(rows.filter("split != 'train'")).agg(
+        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("right"), F.avg("label").alias("ones")).first()
+    assert told.right > max(told.ones, 1 - told.ones) + 0.1
+
+
+def test_fits_run_side_by_side_and_artifacts_are_fitted_once(spark):
+    import threading
+    import time
+
+    from postlens.plans import artifacts
+    both = threading.Barrier(2, timeout=60)
+    assert models.concurrently(spark, {"a": both.wait, "b": both.wait}, threads=2).keys() == {"a", "b"}
+    fits = []
+
+    def fit():
+        fits.append(1)
+        time.sleep(1)
+        return spark.range(3)
+
+    jobs = {i: lambda: artifacts.table(spark, "once", "/no/such/folder", {"t": 1}, fit).count() for i in range(4)}
+    assert models.concurrently(spark, jobs) == dict.fromkeys(range(4), 3) and len(fits) == 1
+
+
+def test_many_classes_are_boosted(spark):
+    rows = spark.createDataFrame([(float(i % 3), [float(i % 3) + 0.01 * (i % 7), 1.0]) for i in range(90)], "label double, v array<double>")
+    rows = rows.withColumn("features", array_to_vector("v"))
+    m = models.fit_boosted(rows, max_iter=3, max_depth=2)
+    assert len(m.models) == 3 and m.transform(rows).filter("prediction != label").count() == 0
+
+
+def test_exact_mcnemar(spark):
+    from math import comb
+    for b, c in ((0, 0), (1, 0), (5, 2), (3, 3), (12, 12), (24, 0), (20, 5)):
+        n = b + c
+        truth = spark.createDataFrame([(i, 1) for i in range(n + 4)], "doc_id long, label int")
+        a = spark.createDataFrame([(i, int(i < b or i >= n)) for i in range(n + 4)], "doc_id long, prediction int")
+        z = spark.createDataFrame([(i, int(i >= b)) for i in range(n + 4)], "doc_id long, prediction int")
+        r = stats.mcnemar(truth, a, z).first()
+        assert (r.b, r.c) == (b, c)
+        want = min(1.0, 2 * sum(comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
+        assert r.p_exact == (pytest.approx(want, rel=1e-9) if n < 25 else None)
+
+
+def test_trie_matches_the_longest_entry():
+    import re
+
+    from postlens.functions.tokenizer import trie_pattern
+    rng = random.Random(8)
+    entries = {"".join(rng.choices(":-)(]x|*.", k=rng.randint(1, 5))) for _ in range(300)}
+    plain = re.compile("|".join(map(re.escape, sorted(entries, key=lambda e: (-len(e), e)))))
+    trie = re.compile(trie_pattern(entries))
+    for _ in range(300):
+        text = "".join(rng.choices(":-)(]x|*. a", k=40))
+        assert trie.findall(text) == plain.findall(text)
+
+
 def test_refit_takes_the_penalty(spark):
     rows = messages(spark).withColumn("meta_features", array_to_vector("vec"))
     m = models.fit_meta(rows, c=10.0)
