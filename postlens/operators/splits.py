@@ -41,8 +41,9 @@ def group_folds(df: DataFrame, k: int, group: str, salt: str = "fold", out: str
     """Fold id in ``[0, k)`` per value of ``group``, so that all its rows (copies of a text, say) share one.
 
     Groups of more than 1/(8 k) of the rows, fewer than 8 k of them, are dealt
-    largest first to the lightest fold; the others by their hash, which evens
-    them out.  Null is a group.  Sizes come from one partial aggregation.
+    largest first to the lightest fold; the others by their hash, in shares
+    that fill the folds up evenly.  Null is a group.  Sizes come from one partial
+    aggregation.
     """
     name = F.sha2(F.coalesce(F.col(group).cast("string"), F.lit("")), 256)
     sizes = df.groupBy(name.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
@@ -53,7 +54,11 @@ def group_folds(df: DataFrame, k: int, group: str, salt: str = "fold", out: str
         fold = min(range(k), key=lambda f: (load[f], f))
         dealt[row["_g"]] = fold
         load[fold] += row["_n"]
-    fold = (key_hash(name, salt) % F.lit(k)).cast("int")
+    room = [max(0.0, total / k - n) for n in load]
+    fold = F.lit(k - 1)
+    for f in range(k - 2, -1, -1):
+        upto = sum(room[:f + 1]) / sum(room) if sum(room) else 0.0
+        fold = F.when(key_hash(name, salt) < int(upto * 2**32), F.lit(f)).otherwise(fold)
     for g, f in dealt.items():
         fold = F.when(name == g, F.lit(f)).otherwise(fold)
     return df.withColumn(out, fold)

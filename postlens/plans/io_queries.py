@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics
 from ..functions.mathx import quantize
 from ..sources.readers import read_csv, read_labeled
-from ..sources.sinks import scratch_path, write_meta_features, write_table
+from ..sources.sinks import append_run, committed_runs, scratch_path, write_meta_features, write_table
 from . import fixtures as fx
 from .preprocess import preprocess
 from .registry import register
@@ -36,10 +36,12 @@ def q_preprocess_job(spark, sf_dir):
 
 @register("write_preprocessed", f"SELECT text, CAST(label AS VARCHAR) AS label FROM ({_sql_preprocessed()})")
 def q_write_preprocessed(spark, sf_dir):
-    out = preprocess(fx.messages(spark, sf_dir))
+    """The job's append, run twice under one run id: the rows are there once."""
+    out = preprocess(fx.messages(spark, sf_dir)).select("text", "label")
     path = scratch_path(spark, "preprocessed")
-    write_table(out.select("text", "label"), path, "csv", mode="append")
-    return read_labeled(spark, path, "csv").select("text", "label")
+    for _ in range(2):
+        append_run(out, path, "first")
+    return read_labeled(spark, committed_runs(spark, path), "csv").select("text", "label")
 
 
 @register("read_labeled", f"""
@@ -53,6 +55,18 @@ def q_read_labeled(spark, sf_dir):
     return read_labeled(spark, path, "csv").select("text", "label")
 
 
+@register("read_labeled_columns", f"""
+SELECT d.text, CAST(coalesce(l.toxic, 2) AS VARCHAR) AS label
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def q_read_labeled_columns(spark, sf_dir):
+    """One file whose header has the label first and columns beside: picked by name."""
+    m = fx.messages(spark, sf_dir).select(F.coalesce("label", F.lit(2)).cast("string").alias("label"), F.col("doc_id").alias("source id"),
+                                          "text", F.lit("a,\nb").alias("note"))
+    path = scratch_path(spark, "columns")
+    write_table(m.coalesce(1), path, "csv", mode="overwrite")
+    return read_labeled(spark, path, "csv").select("text", "label")
+
+
 @register("write_predictions", f"""
 SELECT d.doc_id, d.text, t.label AS True_Labels, p.prediction AS Model_Predictions, t.label = p.prediction AS Match
 FROM {fx.SQL_TRUTH} t JOIN {fx.SQL_PRED_A} p ON t.doc_id = p.doc_id JOIN documents d ON d.doc_id = t.doc_id""")

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.mathx import quantize
 from ..session import read_table
-from ..streaming.pipelines import drain, read_stream, score_stream, tokenize_stream
+from ..streaming.pipelines import drain, read_stream, running_loss_stream, score_stream, tokenize_stream
 from . import tokenizer_sql as tsql
+from .feature_queries import SQL_RUNNING_LOSS
 from .registry import register
 
 
@@ -30,6 +32,15 @@ def q_tokenize_stream(spark, sf_dir):
                       F.array_join("tokens", " ").alias("tokens"))
 
 
+@register("running_loss_stream", SQL_RUNNING_LOSS)
+def q_running_loss_stream(spark, sf_dir):
+    """The running loss of the event log read as a stream, with state per user."""
+    schema = read_table(spark, sf_dir, "events").schema
+    s = read_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema).select("user_id", "event_id", "ts", "value")
+    out = drain(spark, running_loss_stream(s, "user_id", ["ts", "event_id"], "value"), "loss-stream")
+    return out.select("user_id", "event_id", "step", *[quantize(c).alias(c) for c in ("running_sum", "trailing_mean", "reported_loss")], "reported")
+
+
 @register("score_stream", "SELECT doc_id, TRUE AS equal FROM documents")
 def q_score_stream(spark, sf_dir):
     """The saved text pipeline, loaded and applied to the documents table as a

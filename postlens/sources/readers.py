@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import CLASS_BODIES
-
-LABELED_CSV_SCHEMA = T.StructType([
-    T.StructField("text", T.StringType(), True),
-    T.StructField("label", T.StringType(), True),
-])
-
+from .csv_records import read_split_csv
 
 #: What an unquoted empty cell stands for while reading; no text holds it.
 NULL_CELL = "\x00"
@@ -23,26 +18,34 @@ def read_labeled(spark: SparkSession, path: str, fmt: str = "csv", text_col: str
                  multi_line: bool = True) -> DataFrame:
     """Labelled messages as ``(doc_id, text, label)``.
 
-    CSV: header row, quoted UTF-8 cells, explicit schema (no inference pass);
-    columns may be picked by name or position; an empty cell is null, a quoted
-    empty cell an empty string.  Cells may hold line ends (``multi_line``), for
-    which Spark reads a file as one task: write many files (``write_table``
-    makes one per task), or pass ``multi_line=False`` where cells have none, and
-    large files are split.  Parquet / ORC / JSON are read with their own schema.
+    CSV: header row, quoted UTF-8 cells; columns are picked by the header's
+    names, or by position in the file; an empty cell is null, a quoted empty
+    cell an empty string.  Cells may hold line ends (``multi_line``): large files
+    are split all the same (``csv_records``).  With ``multi_line=False``, where
+    cells have none, Spark's reader splits them.  ``schema`` names the columns
+    explicitly and is checked against the header.  Parquet / ORC / JSON are read
+    with their own schema.
 
     Rows without a key get a hash of file, text and label: it does not change
     with the file splits, and equal rows of one file share it.
     """
-    if fmt == "csv":
+    file = F.col("_metadata.file_path")
+    if fmt == "csv" and schema is None and multi_line:
+        df = read_split_csv(spark, path, NULL_CELL)
+        file = F.col("_file")
+    elif fmt == "csv":
         reader = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
                   .option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("nullValue", NULL_CELL))
-        df = reader.schema(schema or LABELED_CSV_SCHEMA).csv(path)
+        df = (reader.schema(schema).option("enforceSchema", False) if schema else reader).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
     cols = df.columns
     t = cols[text_col] if isinstance(text_col, int) else text_col
     lab = cols[label_col] if isinstance(label_col, int) else label_col
-    k = F.col(key) if key in cols else F.xxhash64(F.col("_metadata.file_path"), F.col(t), F.col(lab))
+    missing = [c for c in (t, lab) if c not in cols]
+    if missing:
+        raise ValueError(f"no column {missing} in the header {cols}")
+    k = F.col(key) if key in cols else F.xxhash64(file, F.col(t), F.col(lab))
     return df.select(k.alias(key), F.col(t).alias("text"), F.col(lab).alias("label"))
 
 

@@ -31,6 +31,25 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "append"
         w.format(fmt).save(path)
 
 
+def append_run(df: DataFrame, path: str, run_id: str, fmt: str = "csv") -> None:
+    """Append ``df`` as one run that can be repeated: the rows go to the folder
+    ``run=<run_id>``, which a rerun replaces as a whole.  Spark's committer
+    writes ``_SUCCESS`` into it last; :func:`read_runs` sees only folders that
+    hold this mark, so a failed run shows nothing."""
+    if not run_id or "/" in run_id or "=" in run_id:
+        raise ValueError("a run id without '/' and '='")
+    write_table(df, f"{path.rstrip('/')}/run={run_id}", fmt, mode="overwrite")
+
+
+def committed_runs(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the runs under ``path`` that ended."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "run=*/_SUCCESS"))
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
 def write_meta_features(df: DataFrame, path: str, vector_col: str = "meta_features", key: str = "doc_id",
                         fmt: str = "parquet", mode: str = "overwrite", width: int | None = None) -> None:
     """Persist the stacked feature matrix: parquet keeps the vector; CSV gets a

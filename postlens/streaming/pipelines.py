@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.tokenizer import DEFAULT, TokenizerConfig, tokenize
 from ..sources.sinks import scratch_path
@@ -53,6 +56,44 @@ def score_stream(model, stream: DataFrame, key: str = "doc_id", keep: tuple = ()
     return out.select(key, *keep, F.col("prediction").cast("int").alias("prediction"))
 
 
+def running_loss_stream(stream: DataFrame, part: str, order: list[str], value: str, every: int = 10,
+                        trailing: int = 10) -> DataFrame:
+    """``operators.batching.running_loss`` on a live log, with keyed state.
+
+    The state of a ``part`` is its step, its sum and its last ``trailing`` - 1
+    values; a restarted query goes on from it.  Rows of one micro-batch are
+    taken in ``order``; a log whose files arrive in order gives the batch
+    operator's rows.  Null values take a step and count in neither sum nor mean.
+    """
+    fields = stream.schema
+    out = T.StructType([*fields.fields, T.StructField("step", T.LongType()), T.StructField("running_sum", T.DoubleType()),
+                        T.StructField("trailing_mean", T.DoubleType()), T.StructField("reported_loss", T.DoubleType()),
+                        T.StructField("reported", T.BooleanType())])
+    kept = T.StructType.fromDDL("step long, total double, last array<double>")
+
+    def advance(key, frames, state):
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        step, total, last = state.get if state.exists else (0, None, [])
+        values = [None if x is None or x != x else float(x) for x in rows[value]]
+        window, sums, means = list(last), [], []
+        for x in values:
+            if x is not None:
+                total = x if total is None else total + x
+            window = [*window, x][-trailing:]
+            seen = [w for w in window if w is not None]
+            sums.append(total)
+            means.append(sum(seen) / len(seen) if seen else None)
+        steps = [step + i for i in range(1, len(values) + 1)]
+        state.update((steps[-1], total, window[-(trailing - 1):] if trailing > 1 else []))
+        rows = rows.assign(step=steps, running_sum=pd.Series(sums, index=rows.index, dtype=object),
+                           trailing_mean=pd.Series(means, index=rows.index, dtype=object),
+                           reported_loss=pd.Series([None if s is None else s / every for s in sums], index=rows.index, dtype=object),
+                           reported=[s % every == 0 for s in steps])
+        yield rows[out.names]
+
+    return stream.groupBy(part).applyInPandasWithState(advance, out, kept, "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_files(stream: DataFrame, out_path: str, checkpoint: str | None = None, fmt: str = "parquet",
                  available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """Start a file-sink query (append mode) with its own checkpoint folder."""

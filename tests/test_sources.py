@@ -26,3 +26,60 @@ def test_append_mode_accumulates(spark):
     write_table(df, path, "csv", mode="append")
     write_table(df, path, "csv", mode="append")
     assert read_labeled(spark, path, "csv").filter(F.col("text") == "a").count() == 2
+
+
+def test_one_file_of_long_cells_is_read_by_many_tasks(spark):
+    """Splits of a few hundred bytes: inside cells, inside records, and whole splits inside one cell."""
+    import random
+    rng = random.Random(1)
+    rows = []
+    for i in range(300):
+        words = rng.choices(['plain', 'a "quoted" one', "two\nlines", "", '"', "\n\n", "comma, and", "x" * rng.choice([5, 900]), "\n".join(["l"] * 400)],
+                            k=rng.randint(1, 3), weights=[9, 4, 4, 2, 2, 2, 4, 2, 1])
+        rows.append((rng.choice(["", None, " ".join(words)]), str(i % 2)))
+    path = scratch_path(spark, "long-cells")
+    write_table(spark.createDataFrame(rows, "text string, label string").coalesce(1), path, "csv", mode="overwrite")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    plain = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\x00").csv(path)
+    want = sorted(map(str, plain.collect()))
+    try:
+        for n in names:
+            spark.conf.set(n, "700")
+        df = read_labeled(spark, path)
+        assert spark.read.text(path).rdd.getNumPartitions() > 15
+        assert sorted(map(str, df.select("text", "label").collect())) == want
+        assert len(want) == len(rows)
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_columns_go_by_the_header(spark):
+    import pytest
+    path = scratch_path(spark, "header")
+    df = spark.createDataFrame([("1", "hello", "7", "x")], ["label", "text", "my id", "note"])
+    write_table(df, path, "csv", mode="overwrite")
+    assert [tuple(r) for r in read_labeled(spark, path).select("text", "label").collect()] == [("hello", "1")]
+    assert [tuple(r) for r in read_labeled(spark, path, text_col=3, label_col=0).select("text", "label").collect()] == [("x", "1")]
+    assert [tuple(r) for r in read_labeled(spark, path, multi_line=False).select("text", "label").collect()] == [("hello", "1")]
+    with pytest.raises(ValueError, match="no column"):
+        read_labeled(spark, path, label_col="toxic")
+    write_table(df.select("text", "label"), path, "csv", mode="append")
+    with pytest.raises(ValueError, match="unlike header"):
+        read_labeled(spark, path)
+
+
+def test_a_run_appends_once_and_a_failed_one_shows_nothing(spark):
+    import pytest
+
+    from postlens.sources.sinks import append_run, committed_runs
+    path = scratch_path(spark, "runs")
+    df = spark.createDataFrame([("a", "1"), ("b", "0")], "text string, label string")
+    for run in ("one", "one", "two"):
+        append_run(df, path, run)
+    broken = df.select(F.when(F.col("text") == "b", F.raise_error(F.lit("stop"))).otherwise(F.col("text")).alias("text"), "label")
+    with pytest.raises(Exception, match="stop"):
+        append_run(broken, path, "three")
+    assert len(committed_runs(spark, path)) == 2
+    assert sorted(r.text for r in read_labeled(spark, committed_runs(spark, path)).collect()) == ["a", "a", "b", "b"]

@@ -24,3 +24,25 @@ def test_score_stream_covers_every_row(spark):
     assert scored.count() == docs.count()
     assert scored.join(docs.select("doc_id"), "doc_id", "left_anti").count() == 0
     assert all(r.equal for r in scored.collect())  # the stream's prediction is the batch's
+
+
+def test_running_loss_goes_on_after_a_restart(spark):
+    """Two runs over one checkpoint, files arriving between them, equal the batch operator."""
+    from postlens.operators import batching
+    from postlens.sources.sinks import scratch_path
+    from postlens.streaming.pipelines import read_stream, run_to_files, running_loss_stream
+    rows = [(p, i, None if (i + p) % 7 == 0 else i * 0.5 + p) for i in range(60) for p in (1, 2, 3)]
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "loss")
+    schema = "part long, i long, v double"
+    for lo, hi in ((0, 17), (17, 23), (23, 60)):
+        spark.createDataFrame([r for r in rows if lo <= r[1] < hi], schema).coalesce(1).write.mode("append").parquet(log)
+        s = running_loss_stream(read_stream(spark, log, spark.createDataFrame([], schema).schema), "part", ["i"], "v")
+        run_to_files(s, out).awaitTermination()
+    got = {(r.part, r.i): r for r in spark.read.parquet(out).collect()}
+    want = batching.running_loss(spark.createDataFrame(rows, schema), "part", ["i"], "v").collect()
+    assert len(got) == len(want) == len(rows)
+    for w in want:
+        g = got[w.part, w.i]
+        assert (g.step, g.reported) == (w.step, w.reported)
+        for c in ("running_sum", "trailing_mean", "reported_loss"):
+            assert (g[c] is None) == (w[c] is None) and (g[c] is None or abs(g[c] - w[c]) < 1e-9)
