@@ -24,15 +24,20 @@ none of which loses a link:
 4. *Rest.*  Two members x, y that no component joins overlap in at most
    min(o_x, o_y) + |D_x & D_y|.  So x, which needs s|x| of its shingles, must
    meet r_x = s|x| - o_x of them in y's difference: it probes the differences of
-   its hub's members with a prefix of its own.  Members with r <= 0 lie in the
+   its hub's members with a prefix of its own.  The members that hold one probed
+   shingle are a group; where a group has more open pairs than a few per member,
+   its most central members become hubs of it: all others are verified against
+   them, links merge components, and what is still open is looked at again with
+   twice as many hubs, until few pairs are left, which are verified directly.
+   So a family of near copies costs a star and not its pairs.  Members with r <= 0 lie in the
    hub by s of their size, and those not linked to it miss that for their size
    alone: they get a hub among themselves, and steps 3 and 4 are repeated with
    it.  Where few are left (``DIRECT`` pairs per member) they are paired.  All
    pairs found are verified exactly, hence no link between components is lost,
    and within one none is needed.
 
-Equal sets are one node, known by a hash of the set, and are never paired.
-Shingles and nodes are 64-bit hashes.  A document with fewer words than n has
+Equal sets are one node, known by a 128-bit hash of the set, and are never paired.
+Shingles are 64-bit hashes.  A document with fewer words than n has
 its word sequence as its only shingle; one without words has none and is
 linked with nothing.  Defined results: null text is empty; a row with a null key
 is no document of a class and keeps a null component; equal keys with unlike
@@ -45,6 +50,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +59,8 @@ from .linking import components, with_components
 
 #: Longest prefix extension, and the cost of one verification in joined rows.
 MAX_MATCH, VERIFY_COST = 16, 20
-#: Pairs per member of a hub that are compared directly.
-DIRECT = 512
+#: Open pairs per member of a probed shingle's group, and per member of a hub, that are compared directly.
+FEW, DIRECT = 4, 512
 
 
 def shingle_sets(words: WordBatch, size: int) -> list[np.ndarray]:
@@ -73,11 +79,9 @@ def screen_match(n: int, percent: int) -> int:
     return max(1, min(n - slack(n, percent), n // 10 + 1))
 
 
-def sets_digest(one: np.ndarray) -> tuple[int, int]:
-    """Order-free 128-bit digest of a sorted set."""
-    import xxhash
-    d = xxhash.xxh3_128_digest(one.tobytes())
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+def sets_digest(one: np.ndarray) -> bytes:
+    """128-bit digest of a sorted set."""
+    return xxhash.xxh3_128_digest(one.tobytes())
 
 
 def sketch(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -85,23 +89,23 @@ def sketch(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterat
     for batch in batches:
         for part in slices(batch, "text"):
             sets = shingle_sets(WordBatch(part.column("text"), lower=True), size)
-            digests = [sets_digest(s) if len(s) else (None, None) for s in sets]
+            digests = [sets_digest(s) if len(s) else None for s in sets]
             prefix = [s[:slack(len(s), percent) + screen_match(len(s), percent) + 1].view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+                 pa.array(digests, pa.binary()),
                  pa.array([screen_match(len(s), percent) for s in sets], pa.int64()),
                  pa.array(prefix, pa.list_(pa.int64()))],
-                names=["id", "n", "hi", "lo", "m", "prefix"])
+                names=["id", "n", "node", "m", "prefix"])
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(text) -> node, grams: the set and the first half of its digest."""
+    """(text) -> node, grams: the set's digest and the set."""
     for batch in batches:
         for part in slices(batch, "text"):
             sets = [s for s in shingle_sets(WordBatch(part.column("text"), lower=True), size) if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([sets_digest(s)[0] for s in sets], pa.int64()),
+                [pa.array([sets_digest(s) for s in sets], pa.binary()),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "grams"])
 
 
@@ -195,26 +199,62 @@ def _ordered(x: str, y: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def probed_pairs(stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one hub that meet in their differences from it."""
+def probes(stars: DataFrame) -> DataFrame:
+    """Shingles outside the hub of the measured members: hub, gram, node, comp, n, in_hub, size and
+    whether the member asks with it (its probing prefix) or only holds it."""
     slim = stars.filter(F.size("rest") >= F.col("short")).select(
-        "hub", "node", "comp", "n", "in_hub", "short", "rest", F.size("rest").alias("size"))
-    asked = slim.filter("short > 0").select(
-        "hub", "node", "comp", "n", "in_hub", "size",
-        F.explode(F.slice("rest", F.lit(1), F.col("size") - F.col("short").cast("int") + 1)).alias("gram")).alias("x")
-    held = slim.select("hub", "node", "comp", "n", "in_hub", "size", F.explode("rest").alias("gram")).alias("y")
-    most = F.least("x.in_hub", "y.in_hub") + F.least("x.size", "y.size")
-    met = asked.join(held, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.gram") == F.col("y.gram"))
+        "hub", "node", "comp", "n", "in_hub", "short", F.size("rest").alias("size"), F.posexplode("rest").alias("at", "gram"))
+    return slim.select("hub", "gram", "node", "comp", "n", "in_hub", "size",
+                       ((F.col("short") > 0) & (F.col("at") <= F.col("size") - F.col("short"))).alias("asks"))
+
+
+def open_groups(rows: DataFrame) -> DataFrame:
+    """``rows`` of :func:`probes` whose group (hub, gram) has pairs to compare, plus ``open``, their
+    number, and ``members``."""
+    group = Window.partitionBy("hub", "gram")
+    counted = rows.withColumns({
+        "members": F.count("*").over(group), "own": F.count("*").over(Window.partitionBy("hub", "gram", "comp"))})
+    return counted.withColumn("open", F.sum(F.when(F.col("asks"), F.col("members") - F.col("own")).otherwise(0)).over(group)) \
+        .filter("open > 0").drop("own")
+
+
+def probed_links(stars: DataFrame, links: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``links`` (a, b) plus those between members of one hub that meet in their differences from it;
+    ``stars`` are measured."""
+    labels = components(links)
+    rows = shared_table(open_groups(probes(with_components(stars, labels))), "probes")
+    hubs = 1
+    while True:
+        few = rows.filter(F.col("open") <= FEW * F.col("members"))
+        x, y = few.filter("asks").alias("x"), few.alias("y")
+        most = F.least("x.in_hub", "y.in_hub") + F.least("x.size", "y.size")
+        met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.gram") == F.col("y.gram"))
                      & (F.col("x.comp") != F.col("y.comp")) & alike(most, F.col("x.n"), F.col("y.n"), percent))
-    return _ordered("x.node", "y.node", met)
+        links = links.unionByName(shared_table(verified(_ordered("x.node", "y.node", met), known, percent), "probed"))
+        many = rows.filter(F.col("open") > FEW * F.col("members"))
+        if not many.limit(1).count():
+            return links
+        # Central: in many of the hub's open groups.
+        placed = many.withColumn("groups", F.count("*").over(Window.partitionBy("hub", "node")))
+        order = Window.partitionBy("hub", "gram").orderBy(F.desc("groups"), "node")
+        placed = placed.withColumn("at", F.row_number().over(order) - 1)
+        chosen = F.collect_list(F.when(F.col("at") < hubs, F.struct("node", "comp")))
+        star = placed.withColumn("chosen", chosen.over(Window.partitionBy("hub", "gram"))) \
+            .select("node", "comp", F.explode("chosen").alias("to")).filter("comp != to.comp")
+        pairs = _ordered("node", "to.node", star.select("node", "to"))
+        found = shared_table(verified(pairs, known, percent), "starred")
+        links = links.unionByName(found)
+        # Members taken as hubs need not be paired again; their group goes on without them.
+        left = placed.filter(F.col("at") >= hubs).drop("comp", "open", "members", "groups", "at")
+        rows = shared_table(open_groups(with_components(left, components(links))), "probes")
+        hubs *= 2
 
 
 def rest_links(stars: DataFrame, links: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """``links`` (a, b) plus those across the components that the hubs of ``stars`` (measured) leave open."""
     while True:
+        links = probed_links(stars, links, known, percent)
         marked = shared_table(with_components(stars, components(links)), "marked")
-        found = shared_table(verified(probed_pairs(marked, percent), known, percent), "probed")
-        links = links.unionByName(found)
         # Members that lie in their hub; those that are not linked to it are open.
         inside = marked.filter("short <= 0")
         hub_comp = inside.filter("linked").groupBy("hub").agg(F.max("comp").alias("hub_comp"))
@@ -240,7 +280,7 @@ def link_classes(nodes: DataFrame, texts: DataFrame, size: int, percent: int) ->
     id, m, prefix); ``texts`` (id, text) has the text of each set under its id."""
     kept = shared_table(nodes.select("node", "id").distinct().join(survivors(nodes), "node", "left_semi"), "survivors")
     own = texts.join(if_small(kept.select("id")), "id", "left_semi").select("text")
-    sets = own.mapInArrow(lambda it: full_sets(it, size), "node long, grams array<long>").dropDuplicates(["node"])
+    sets = own.mapInArrow(lambda it: full_sets(it, size), "node binary, grams array<long>").dropDuplicates(["node"])
     sets = sets.join(if_small(kept.select("node")), "node", "left_semi")
 
     # Exact frequencies among the survivors; rarest first.
@@ -250,7 +290,7 @@ def link_classes(nodes: DataFrame, texts: DataFrame, size: int, percent: int) ->
         F.col("df").alias("df"), F.col("gram").alias("gram")))).alias("grams"))
     known = shared_table(ordered.mapInArrow(
         lambda it: choose_prefix(it, percent),
-        "node long, n long, weight long, m long, common array<long>, levels array<long>"), "known")
+        "node binary, n long, weight long, m long, common array<long>, levels array<long>"), "known")
     known = known.filter(alike(F.size("common"), F.col("n"), F.size("common"), percent))
 
     # Hubs: the most central member of each prefix shingle's group.
@@ -271,19 +311,19 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: s
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = shared_table(texts.mapInArrow(
         lambda it: sketch(it, size, percent),
-        f"id {texts.schema['id'].dataType.simpleString()}, n long, hi long, lo long, m long, prefix array<long>"), "sketch")
+        f"id {texts.schema['id'].dataType.simpleString()}, n long, node binary, m long, prefix array<long>"), "sketch")
     # One node per distinct set; its text is found under the smallest key.
-    full = sketched.filter("hi is not null and id is not null")
-    least = shared_table(full.groupBy(F.col("hi").alias("node")).agg(F.min("id").alias("id")), "nodes")
-    copies = full.select(F.col("hi").alias("node"), "id").join(least.withColumnRenamed("id", "first"), "node") \
+    full = sketched.filter("node is not null and id is not null")
+    least = shared_table(full.groupBy("node").agg(F.min("id").alias("id")), "nodes")
+    copies = full.select("node", "id").join(least.withColumnRenamed("id", "first"), "node") \
         .filter("id != first").select("node", "id").distinct()
-    nodes = full.select(F.col("hi").alias("node"), "id", "m", "prefix").join(
+    nodes = full.select("node", "id", "m", "prefix").join(
         if_small(shared_table(copies, "copies")), ["node", "id"], "left_anti")  # a repeated row may stand twice
     labels = link_classes(nodes, texts, size, percent)
     marked = with_components(least, labels)
     first = marked.groupBy("comp").agg(F.min("id").alias("component_id"))
-    classes = marked.join(first, "comp").select(F.col("node").alias("hi"), "component_id")
-    out = sketched.join(classes, "hi", "left")
+    classes = marked.join(first, "comp").select("node", "component_id")
+    out = sketched.join(classes, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 

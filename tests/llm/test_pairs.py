@@ -1,5 +1,6 @@
 """Operators 3, 8, 9: passages, benchmark items and near copies against brute force."""
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -64,6 +65,26 @@ def test_jaccard_classes_equal_brute_force(spark, size, percent):
     assert len(set(want.values())) < len(want)
 
 
+@pytest.mark.parametrize("few", [0, 1])
+def test_jaccard_by_hubs_of_probed_shingles(spark, monkeypatch, few):
+    """Sub-families that share shingles which their hub lacks, compared by hubs alone or by hubs and pairs."""
+    from postlens.llm import op9_jaccard
+    monkeypatch.setattr(op9_jaccard, "FEW", few)
+    base, rows = prose(1, 300).split(), []
+    for family in range(6):
+        own = base[:]
+        own[family * 40:family * 40 + 14] = prose(50 + family, 14).split()
+        for copy in range(9):
+            mine = own[:]
+            for at in random.Random(family * 100 + copy).sample(range(300), 5):
+                mine[at] = f"y{family}x{copy}x{at}"
+            rows.append((family * 100 + copy, " ".join(mine)))
+    docs = dict(rows)
+    want = classes(docs, jaccard_links(docs, 5, 80))
+    got = {r.doc_id: r.component_id for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == want and 1 < len(set(want.values())) < len(rows)
+
+
 def test_jaccard_of_equal_keys_and_empty_tables(spark):
     rows = [(1, prose(1, 50)), (1, prose(2, 50)), (2, prose(2, 50)), (3, prose(1, 50))]
     got = Counter((r.doc_id, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
