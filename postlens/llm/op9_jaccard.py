@@ -28,7 +28,7 @@ none of which loses a link:
    shingle are a group; where a group has more open pairs than a few per member,
    its most central members become hubs of it: all others are verified against
    them, links merge components, and what is still open is looked at again with
-   twice as many hubs, until few pairs are left, which are verified directly.
+   more hubs, until few pairs are left, which are verified directly.
    So a family of near copies costs a star and not its pairs.  Members with r <= 0 lie in the
    hub by s of their size, and those not linked to it miss that for their size
    alone: they get a hub among themselves, and steps 3 and 4 are repeated with
@@ -60,7 +60,9 @@ from .linking import components, with_components
 #: Longest prefix extension, and the cost of one verification in joined rows.
 MAX_MATCH, VERIFY_COST = 16, 20
 #: Open pairs per member of a probed shingle's group, and per member of a hub, that are compared directly.
-FEW, DIRECT = 4, 512
+FEW, DIRECT = 8, 512
+#: Hubs of a probed shingle's group in the first round, and by how many times more there are in each further one.
+HUBS = 4
 
 
 def shingle_sets(words: WordBatch, size: int) -> list[np.ndarray]:
@@ -223,7 +225,7 @@ def probed_links(stars: DataFrame, links: DataFrame, known: DataFrame, percent:
     ``stars`` are measured."""
     labels = components(links)
     rows = shared_table(open_groups(probes(with_components(stars, labels))), "probes")
-    hubs = 1
+    hubs = HUBS
     while True:
         few = rows.filter(F.col("open") <= FEW * F.col("members"))
         x, y = few.filter("asks").alias("x"), few.alias("y")
@@ -245,9 +247,14 @@ def probed_links(stars: DataFrame, links: DataFrame, known: DataFrame, percent:
         found = shared_table(verified(pairs, known, percent), "starred")
         links = links.unionByName(found)
         # Members taken as hubs need not be paired again; their group goes on without them.
-        left = placed.filter(F.col("at") >= hubs).drop("comp", "open", "members", "groups", "at")
-        rows = shared_table(open_groups(with_components(left, components(links))), "probes")
-        hubs *= 2
+        # Components merge by the links found: a small graph of components.
+        own = placed.select("node", "comp").distinct()
+        merged = found.join(own.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a") \
+            .join(own.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        moved = components(merged).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        left = placed.filter(F.col("at") >= hubs).join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp"))
+        rows = shared_table(open_groups(left.drop("to", "open", "members", "groups", "at")), "probes")
+        hubs *= HUBS
 
 
 def rest_links(stars: DataFrame, links: DataFrame, known: DataFrame, percent: int) -> DataFrame:
