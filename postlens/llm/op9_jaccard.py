@@ -22,14 +22,10 @@ none of which loses a link:
    against its hub h, the most central member: overlap o_x and difference
    D_x = x - h.  Links to hubs give first components.
 4. *Rest.*  Two members x, y that no component joins overlap in at most
-   min(o_x, o_y) + |D_x & D_y|.  So x, which needs s|x| of its shingles, must
-   meet r_x = s|x| - o_x of them in y's difference: it probes the differences of
-   its hub's members with a prefix of its own.  The members that hold one probed
-   shingle are a group; where a group has more open pairs than a few per member,
-   its most central members become hubs of it: all others are verified against
-   them, links merge components, and what is still open is looked at again with
-   more hubs, until few pairs are left, which are verified directly.
-   So a family of near copies costs a star and not its pairs.  Members with r <= 0 lie in the
+   min(o_x, o_y) + |D_x & D_y|.  Let x be the smaller one: it needs 2s|x|/(1+s) of
+   its shingles and must meet r_x = 2s|x|/(1+s) - o_x of them in y's difference, so
+   it probes the differences of its hub's members with a prefix of its own,
+   rarest first.  Where r_x <= 0, it is y, which needs s|y|, that probes.  Members with s|x| <= o_x lie in the
    hub by s of their size, and those not linked to it miss that for their size
    alone: they get a hub among themselves, and steps 3 and 4 are repeated with
    it.  Where few are left (``DIRECT`` pairs per member) they are paired.  All
@@ -59,10 +55,8 @@ from .linking import components, with_components
 
 #: Longest prefix extension, and the cost of one verification in joined rows.
 MAX_MATCH, VERIFY_COST = 16, 20
-#: Open pairs per member of a probed shingle's group, and per member of a hub, that are compared directly.
-FEW, DIRECT = 8, 512
-#: Hubs of a probed shingle's group in the first round, and by how many times more there are in each further one.
-HUBS = 4
+#: Pairs per member of a hub that are compared directly.
+DIRECT = 512
 
 
 def shingle_sets(words: WordBatch, size: int) -> list[np.ndarray]:
@@ -180,14 +174,18 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def measured(stars: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """``stars`` (hub, node) plus n, in_hub (overlap), rest (the difference,
-    rarest first), short (r: shingles that a link must find outside the hub)
-    and linked."""
+    rarest first), short and short_up (shingles that a link must find outside the
+    hub: any link, and one to a set at least as large) and linked."""
     hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"))
     both = stars.join(nodes.select("node", "n", "common"), "node").join(hubs, "hub")
     both = both.select("hub", "hub_n", "node", "n", F.size(F.array_intersect("common", "hub_common")).cast("long").alias("in_hub"),
                        F.array_except("common", "hub_common").alias("rest"))
-    short = -F.floor(-F.lit(percent) * F.col("n") / F.lit(100)).cast("long") - F.col("in_hub")
-    return both.select("hub", "node", "n", "in_hub", "rest", short.alias("short"),
+    def least(of: int, by: int) -> Column:
+        return (F.col("n") * of + (by - 1)) / by  # rounded up below
+
+    short = F.floor(least(percent, 100)).cast("long") - F.col("in_hub")
+    short_up = F.floor(least(2 * percent, 100 + percent)).cast("long") - F.col("in_hub")
+    return both.select("hub", "node", "n", "in_hub", "rest", short.alias("short"), short_up.alias("short_up"),
                        alike(F.col("in_hub"), F.col("n"), F.col("hub_n"), percent).alias("linked"))
 
 
@@ -202,66 +200,34 @@ def _ordered(x: str, y: str, rows: DataFrame) -> DataFrame:
 
 
 def probes(stars: DataFrame) -> DataFrame:
-    """Shingles outside the hub of the measured members: hub, gram, node, comp, n, in_hub, size and
-    whether the member asks with it (its probing prefix) or only holds it."""
+    """Shingles outside the hub of the measured members: hub, gram, node, comp, n, in_hub, size;
+    whether the member asks larger ones with it (up), or smaller ones that lie in the hub (down), or
+    only holds it; and whether it lies in the hub as the smaller one (inside)."""
     slim = stars.filter(F.size("rest") >= F.col("short")).select(
-        "hub", "node", "comp", "n", "in_hub", "short", F.size("rest").alias("size"), F.posexplode("rest").alias("at", "gram"))
+        "hub", "node", "comp", "n", "in_hub", "short", "short_up", F.size("rest").alias("size"), F.posexplode("rest").alias("at", "gram"))
     return slim.select("hub", "gram", "node", "comp", "n", "in_hub", "size",
-                       ((F.col("short") > 0) & (F.col("at") <= F.col("size") - F.col("short"))).alias("asks"))
-
+                       ((F.col("short_up") > 0) & (F.col("at") <= F.col("size") - F.col("short_up"))).alias("up"),
+                       ((F.col("short") > 0) & (F.col("at") <= F.col("size") - F.col("short"))).alias("down"),
+                       (F.col("short_up") <= 0).alias("inside"))
 
-def open_groups(rows: DataFrame) -> DataFrame:
-    """``rows`` of :func:`probes` whose group (hub, gram) has pairs to compare, plus ``open``, their
-    number, and ``members``."""
-    group = Window.partitionBy("hub", "gram")
-    counted = rows.withColumns({
-        "members": F.count("*").over(group), "own": F.count("*").over(Window.partitionBy("hub", "gram", "comp"))})
-    return counted.withColumn("open", F.sum(F.when(F.col("asks"), F.col("members") - F.col("own")).otherwise(0)).over(group)) \
-        .filter("open > 0").drop("own")
 
-
-def probed_links(stars: DataFrame, links: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """``links`` (a, b) plus those between members of one hub that meet in their differences from it;
-    ``stars`` are measured."""
-    labels = components(links)
-    rows = shared_table(open_groups(probes(with_components(stars, labels))), "probes")
-    hubs = HUBS
-    while True:
-        few = rows.filter(F.col("open") <= FEW * F.col("members"))
-        x, y = few.filter("asks").alias("x"), few.alias("y")
-        most = F.least("x.in_hub", "y.in_hub") + F.least("x.size", "y.size")
-        met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.gram") == F.col("y.gram"))
-                     & (F.col("x.comp") != F.col("y.comp")) & alike(most, F.col("x.n"), F.col("y.n"), percent))
-        links = links.unionByName(shared_table(verified(_ordered("x.node", "y.node", met), known, percent), "probed"))
-        many = rows.filter(F.col("open") > FEW * F.col("members"))
-        if not many.limit(1).count():
-            return links
-        # Central: in many of the hub's open groups.
-        placed = many.withColumn("groups", F.count("*").over(Window.partitionBy("hub", "node")))
-        order = Window.partitionBy("hub", "gram").orderBy(F.desc("groups"), "node")
-        placed = placed.withColumn("at", F.row_number().over(order) - 1)
-        chosen = F.collect_list(F.when(F.col("at") < hubs, F.struct("node", "comp")))
-        star = placed.withColumn("chosen", chosen.over(Window.partitionBy("hub", "gram"))) \
-            .select("node", "comp", F.explode("chosen").alias("to")).filter("comp != to.comp")
-        pairs = _ordered("node", "to.node", star.select("node", "to"))
-        found = shared_table(verified(pairs, known, percent), "starred")
-        links = links.unionByName(found)
-        # Members taken as hubs need not be paired again; their group goes on without them.
-        # Components merge by the links found: a small graph of components.
-        own = placed.select("node", "comp").distinct()
-        merged = found.join(own.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a") \
-            .join(own.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        moved = components(merged).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        left = placed.filter(F.col("at") >= hubs).join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp"))
-        rows = shared_table(open_groups(left.drop("to", "open", "members", "groups", "at")), "probes")
-        hubs *= HUBS
+def probed_pairs(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one hub that meet in their differences from it."""
+    rows = probes(stars)
+    x, y = rows.filter("up or down").alias("x"), rows.alias("y")
+    asked = (F.col("x.up") & (F.col("y.n") >= F.col("x.n"))) | (F.col("x.down") & F.col("y.inside") & (F.col("y.n") <= F.col("x.n")))
+    most = F.least("x.in_hub", "y.in_hub") + F.least("x.size", "y.size")
+    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.gram") == F.col("y.gram"))
+                 & (F.col("x.comp") != F.col("y.comp")) & asked & alike(most, F.col("x.n"), F.col("y.n"), percent))
+    return _ordered("x.node", "y.node", met)
 
 
 def rest_links(stars: DataFrame, links: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """``links`` (a, b) plus those across the components that the hubs of ``stars`` (measured) leave open."""
     while True:
-        links = probed_links(stars, links, known, percent)
         marked = shared_table(with_components(stars, components(links)), "marked")
+        found = shared_table(verified(probed_pairs(marked, percent), known, percent), "probed")
+        links = links.unionByName(found)
         # Members that lie in their hub; those that are not linked to it are open.
         inside = marked.filter("short <= 0")
         hub_comp = inside.filter("linked").groupBy("hub").agg(F.max("comp").alias("hub_comp"))

@@ -65,11 +65,7 @@ def test_jaccard_classes_equal_brute_force(spark, size, percent):
     assert len(set(want.values())) < len(want)
 
 
-@pytest.mark.parametrize("few", [0, 1])
-def test_jaccard_by_hubs_of_probed_shingles(spark, monkeypatch, few):
-    """Sub-families that share shingles which their hub lacks, compared by hubs alone or by hubs and pairs."""
-    from postlens.llm import op9_jaccard
-    monkeypatch.setattr(op9_jaccard, "FEW", few)
+def test_jaccard_of_families_that_share_what_their_hub_lacks(spark):
     base, rows = prose(1, 300).split(), []
     for family in range(6):
         own = base[:]
