@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from postlens.session import checkpoint_dir, read_table
 
-__all__ = ["read_table", "shared_table", "shuffles_removed", "settings", "if_small", "slices", "WordBatch", "shingle_hashes", "mix64"]
+__all__ = ["read_table", "shared_table", "shuffles_removed", "settings", "free_name", "if_small", "slices", "WordBatch", "shingle_hashes", "mix64"]
 
 #: Text bytes that one numpy step holds at a time (bounds a task's memory; a
 #: longer text forms a step of its own).
@@ -65,6 +65,14 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken) -> str:
+    """``name`` with as many underscores after it as keep it apart from the names ``taken``."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 #: Rows of keys that may be broadcast (8 MB of 64-bit keys).
 MAX_BROADCAST_KEYS = 1 << 20
 

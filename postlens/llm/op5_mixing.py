@@ -29,7 +29,7 @@ rides on documents of the others) are met as nearly as least squares can.
 Defined results: null or empty texts have no tokens, the prior as posterior and
 the rate that a document of that posterior gets; a key labelled with several
 domains counts with the smallest; labels without a document or outside the
-targets are ignored; without labelled documents all domains are equally likely;
+targets are ignored, and so are labels with a null flag; without labelled documents all domains are equally likely;
 equal rows get equal rates; extra columns are not read.
 """
 
@@ -165,8 +165,9 @@ def fit_rates(members: DataFrame, shares: tuple[float, ...], max_iter: int = MAX
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
-    """doc_id, domain from the labelled table's quality and toxic flags."""
-    return labels.select("doc_id", F.concat(
+    """doc_id, domain from the labelled table's quality and toxic flags; a label without either is left out."""
+    known = labels.filter("quality is not null and toxic is not null")
+    return known.select("doc_id", F.concat(
         F.when(F.col("quality") == 1, F.lit("good")).otherwise(F.lit("poor")), F.lit("_"),
         F.when(F.col("toxic") == 1, F.lit("toxic")).otherwise(F.lit("clean"))).alias("domain"))
 

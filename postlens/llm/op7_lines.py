@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read_table, shared_table, slices
+from .common import free_name, mix64, read_table, shared_table, slices
 
 #: Keys of a filter at most (bounds the task that builds it), and the bytes that may be broadcast.
 SHARD_KEYS = 200_000
@@ -249,20 +249,21 @@ class LineIndex:
         return spark.sparkContext.broadcast((self.shards, tables, [(r["hi"], r["lo"]) for r in found]))
 
     def strip(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with the common lines taken out of the text, plus
-        ``__lines`` and ``__dropped`` (line counts)."""
-        held, text_col = self.lookup(), self.text_col
-        schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "__lines long", "__dropped long"])
+        """``docs`` with the common lines taken out of the text, plus two
+        columns of line counts, named by :func:`count_columns`."""
+        held, text_col, counts = self.lookup(), self.text_col, count_columns(docs)
+        schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], *[f"{c} long" for c in counts]])
         if held is not None:
-            return docs.mapInArrow(lambda it: strip_rows(it, text_col, held), schema)
+            return docs.mapInArrow(lambda it: strip_rows(it, text_col, held, counts), schema)
         # Too many common keys to broadcast: join the keys with the exact table.
-        tagged = docs.withColumn("__row", F.md5(F.coalesce(F.col(self.text_col), F.lit(""))))
-        keys = tagged.select("__row", F.col(self.text_col).alias("text")).mapInArrow(
+        row, drop = free_name("__row", docs.columns), free_name("__drop", docs.columns)
+        tagged = docs.withColumn(row, F.md5(F.coalesce(F.col(self.text_col), F.lit(""))))
+        keys = tagged.select(F.col(row).alias("__row"), F.col(self.text_col).alias("text")).mapInArrow(
             row_keys, "__row string, hi long, lo long").distinct()
         common = self.refs.filter(F.col("n_docs") >= self.min_docs).select("hi", "lo")
-        drops = keys.join(common, ["hi", "lo"]).groupBy("__row").agg(F.collect_list(F.struct("hi", "lo")).alias("__drop"))
-        return tagged.join(drops, "__row", "left").drop("__row").mapInArrow(
-            lambda it: strip_rows(it, text_col, None), schema)
+        drops = keys.join(common, ["hi", "lo"]).groupBy(F.col("__row").alias(row)).agg(F.collect_list(F.struct("hi", "lo")).alias(drop))
+        return tagged.join(drops, row, "left").drop(row).mapInArrow(
+            lambda it: strip_rows(it, text_col, None, counts, drop), schema)
 
 
 def hits(hi: np.ndarray, lo: np.ndarray, shards: int, filters: dict[int, CuckooFilter]) -> np.ndarray:
@@ -292,8 +293,14 @@ def row_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["__row", "hi", "lo"])
 
 
-def strip_rows(batches: Iterator[pa.RecordBatch], text_col: str, held) -> Iterator[pa.RecordBatch]:
-    """Rows with their common lines dropped; a row's own drop list (``__drop``) stands in for the filters."""
+def count_columns(docs: DataFrame) -> tuple[str, str]:
+    """Names of the columns that :meth:`LineIndex.strip` adds (lines, dropped lines): none that ``docs`` has."""
+    return free_name("__lines", docs.columns), free_name("__dropped", docs.columns)
+
+
+def strip_rows(batches: Iterator[pa.RecordBatch], text_col: str, held, counts: tuple[str, str],
+               listed: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows with their common lines dropped; a row's own drop list (column ``listed``) stands in for the filters."""
     if held is not None:
         shards, tables, odd = held.value
         filters = {s: CuckooFilter.load(t) for s, t in tables.items()}
@@ -308,7 +315,7 @@ def strip_rows(batches: Iterator[pa.RecordBatch], text_col: str, held) -> Iterat
                     common[i] = (lines.hi[i], lines.lo[i]) not in exceptions
                 drop = common[lines.ids]
             else:
-                lists = [{(d["hi"], d["lo"]) for d in x or ()} for x in part.column("__drop").to_pylist()]
+                lists = [{(d["hi"], d["lo"]) for d in x or ()} for x in part.column(listed).to_pylist()]
                 drop = np.fromiter(((int(lines.hi[i]), int(lines.lo[i])) in lists[o] and bool(lines.keyed[i])
                                     for i, o in zip(lines.ids, lines.owner, strict=True)), bool, len(lines.ids))
             dropped = np.bincount(lines.owner[drop], minlength=part.num_rows)
@@ -317,16 +324,17 @@ def strip_rows(batches: Iterator[pa.RecordBatch], text_col: str, held) -> Iterat
                 own = slice(lines.starts[row], lines.ends[row])
                 kept[row] = "\n".join(lines.distinct.take(pa.array(lines.ids[own][~drop[own]])).to_pylist())
             columns = [pa.array(kept, texts.type) if c == text_col else part.column(c)
-                       for c in part.schema.names if c != "__drop"]
+                       for c in part.schema.names if c != listed]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(lines.ends - lines.starts), pa.array(dropped)],
-                names=[*[c for c in part.schema.names if c != "__drop"], "__lines", "__dropped"])
+                names=[*[c for c in part.schema.names if c != listed], *counts])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     done = LineIndex.build(docs).strip(docs)
-    return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"),
+    lines, dropped = count_columns(docs)
+    return done.select("doc_id", F.col(lines).alias("n_lines"), F.col(dropped).alias("n_dropped"),
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -5,8 +5,7 @@ An item *leaks* into a document that holds at least ``containment`` (0.8) of
 the item's distinct five-word shingles.  Documents are long, items short, so a
 signature of the document says little; the sketch is taken of the item alone.
 Items are partitioned by size, [2^c, 2^(c+1)) shingles.  In a partition every
-item keeps its ``s`` smallest shingles (min-hash order, shingles that many
-items share last), where ``s`` is set by the partition's largest size u:
+item keeps its ``s`` smallest shingles (in the order of their hashes), where ``s`` is set by the partition's largest size u:
 s = u - ceil(0.8 u) + ``hits``.  A document with 0.8 of an item can miss at
 most q - ceil(0.8 q) of its shingles, hence holds at least
 s - (q - ceil(0.8 q)) >= ``hits`` of the sketch: the search misses nothing.
@@ -71,11 +70,8 @@ def sketches(grams: DataFrame, hits: int) -> DataFrame:
     sized = sized.withColumn("least", F.col("s") - (F.col("q") - need(F.col("q"))))
     rows = sized.select("item_id", "s", "least", F.explode(F.transform(
         "grams", lambda g: F.xxhash64(F.split(g, " ")))).alias("hash"))
-    shared = rows.groupBy("hash").agg(F.count("*").alias("items"))
-    ranked = (rows.join(shared, "hash").groupBy("item_id", "s", "least")
-              .agg(F.array_sort(F.collect_list(F.struct("items", "hash"))).alias("order")))
-    return ranked.select("item_id", "least", F.explode(F.slice("order", F.lit(1), F.col("s").cast("int"))).alias("o")) \
-        .select("item_id", "least", F.col("o.hash").alias("hash"))
+    ranked = rows.groupBy("item_id", "s", "least").agg(F.array_sort(F.collect_list("hash")).alias("order"))
+    return ranked.select("item_id", "least", F.explode(F.slice("order", F.lit(1), F.col("s").cast("int"))).alias("hash"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",

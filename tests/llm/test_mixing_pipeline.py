@@ -157,3 +157,9 @@ def test_stages_keep_odd_columns_and_rows(spark, tmp_path):
     assert Counter(r.doc_id for r in lone)[4] == 1  # equal rows: one stays
     assert 6 in {r.doc_id for r in lone} and 7 not in {r.doc_id for r in lone}
     assert {None, 1, 2, 3} <= {r.doc_id for r in lone}
+
+
+def test_labels_with_a_null_flag_are_left_out(spark):
+    from postlens.llm.op5_mixing import label_domains
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (3, 0, None), (4, None, None), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {tuple(r) for r in label_domains(labels).collect()} == {(1, "good_clean"), (5, "poor_toxic")}

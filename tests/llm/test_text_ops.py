@@ -230,3 +230,17 @@ def test_cuckoo_filter_inserts_and_deletes():
     assert held.contains(hi[2500:], lo[2500:]).all()
     assert held.contains(hi[:2500], lo[:2500]).mean() < 0.01
     assert CuckooFilter.load(held.dump()).contains(hi[2500:], lo[2500:]).all()
+
+
+def test_lines_beside_columns_of_the_names_used_inside(spark, monkeypatch):
+    """The user's columns __lines, __dropped, __drop and __row stay, by either path."""
+    from postlens.llm import op7_lines
+    rows = [(i, "same line\nown " + str(i), 7, 8, [1], "r") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __lines int, __dropped int, __drop array<int>, __row string")
+    for bound in (op7_lines.MAX_BROADCAST_BYTES, 0):
+        monkeypatch.setattr(op7_lines, "MAX_BROADCAST_BYTES", bound)
+        out = op7_lines.LineIndex.build(docs).strip(docs)
+        lines, dropped = op7_lines.count_columns(docs)
+        assert out.columns == [*docs.columns, lines, dropped]
+        assert {tuple(r) for r in out.select("text", "__lines", "__dropped", "__row", lines, dropped).collect()} == {
+            (f"own {i}", 7, 8, "r", 2, 1) for i in range(12)}
