@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents hold go from all of them; ``n_chars`` follows the text."""
-    done = LineIndex.build(docs, MIN_DOCS).strip(docs).drop("__lines", "__dropped")
+    done = LineIndex.build(docs, MIN_DOCS).strip(docs)
     return done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
                            .otherwise(F.col("n_chars"))).select(docs.columns)
 
@@ -71,7 +71,7 @@ STAGES = [
 ]
 
 #: Hashed likelihoods, similarity classes and the fitted rates have no SQL form;
-#: tests/llm/test_pipeline.py checks every stage against brute force.
+#: tests/llm/test_mixing_pipeline.py checks every stage against brute force.
 ORACLE_SQL = None
 
 
