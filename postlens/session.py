@@ -15,14 +15,18 @@ TABLES = (
 ).split()
 
 
+LOCAL_MASTER = r"local(\[.*\])?"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "postlens") -> SparkSession:
     """Return the active session, or build one tuned for this workload.
 
     On a cluster the session already exists (``spark-submit``) and is returned
     untouched.  Locally we enable AQE (partition coalescing and skew-join
-    splitting), keep the UI off, size shuffles to the core count and name a
-    checkpoint folder (one machine, so a local one will do).
+    splitting), keep the UI off and size shuffles to the core count.  Only a
+    local master gets a temporary checkpoint folder; a cluster has to name one
+    that its executors share (:func:`checkpoint_dir` raises without it).
     """
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -36,10 +40,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="postlens-ckpt-"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("POSTLENS_DRIVER_MEMORY", "16g"))
     )
+    if re.fullmatch(LOCAL_MASTER, master):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="postlens-ckpt-"))
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -64,7 +69,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
-    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+    if not re.fullmatch(LOCAL_MASTER, sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="postlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
