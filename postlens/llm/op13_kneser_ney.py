@@ -25,8 +25,8 @@ Steps, all over all rows:
    shard turns its counts into sorted arrays of 64-bit hashes with their
    values, which are the stored model; it maps them from a file of its own for the
    time of the task and answers every chunk by binary search, in the order asked.
-4. *Scores.*  Answers meet their chunk, which puts counts, discounts and the
-   words' own numbers together and adds up per document.
+4. *Scores.*  Answers meet their chunk, a wave of chunks at a time, which puts
+   counts, discounts and the words' own numbers together and adds up per document.
 
 What a task holds is bounded by the chunk and by ``SHARD_TOKENS``; the driver
 gets sums, discounts and the hot words.  A stored model scores other documents
@@ -610,12 +610,15 @@ def _documents(chunks: DataFrame, model: Model, answers: str) -> DataFrame:
     rows = (chunks.select("chunk", F.lit(0).alias("kind"), "keys", "held", "sizes", "tokens", "words")
             .unionByName(known.withColumn("kind", F.lit(1)), allowMissingColumns=True)
             .unionByName(_shard_rows(spark, answers, ANSWER).select("chunk", F.lit(2).alias("kind"), "shard", "blobs"), allowMissingColumns=True))
-    dealt = rows.repartition(default_parallelism(spark), "chunk").sortWithinPartitions("chunk", "kind", "shard")
     key = chunks.schema["keys"].dataType.elementType.simpleString()
-    with settings(spark, batch_bytes=str(BATCH_BYTES)):  # a row holds a whole chunk
-        return shared_table(dealt.mapInArrow(
-            lambda it: scores(it, model), f"doc_id {key}, held_out boolean, n_tokens long, n_known long, "
-                                          "train_tokens long, base_score double, score double"), "scores")
+    schema = f"doc_id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/scores"
+    for wave in range(WAVES):  # of chunks: only a part of them is in a shuffle at a time
+        mine = rows.filter(F.pmod(F.xxhash64("chunk"), F.lit(WAVES)) == wave)
+        dealt = mine.repartition(default_parallelism(spark), "chunk").sortWithinPartitions("chunk", "kind", "shard")
+        with shuffles_removed(spark), settings(spark, batch_bytes=str(BATCH_BYTES)):  # a row holds a whole chunk
+            dealt.mapInArrow(lambda it: scores(it, model), schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def train_and_score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text",
