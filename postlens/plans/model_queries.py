@@ -10,6 +10,8 @@ matrix have exact oracles.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -230,16 +232,19 @@ def fit_dense_base(df):
 BASES = {"sparse": fit_sparse_base, "dense": fit_dense_base}
 
 
-def stacked_scores(spark, sf_dir):
-    """Scores of the out-of-fold stack on the test split, written once per session."""
+def branch_table(spark, sf_dir):
+    """Scores of every branch on the test split, written once per session: the
+    out-of-fold stack and its bases, which were fitted on the whole train split
+    for it.  ``(branch, doc_id, label, prediction, p_positive, n_shared)``."""
     def fit():
         rows = _base_rows(spark, sf_dir).persist()
         train, test = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
-        meta, finals, _ = models.stack_oof(train, BASES, group="content")
+        meta, finals, _ = models.stack_oof(train, BASES, group="content", threads=8)
         shared = splits.split_overlap(train, test, ["content"])
-        out = models.score_stack(meta, finals, test)
-        return out.withColumn("n_shared", shared.select("n_shared").scalar())
-    return artifacts.table(spark, "stack", sf_dir, {"k": K, "folds": 3, "group": "content"}, fit)
+        scored = {"stacked": models.score_stack(meta, finals, test), **{n: models.score(m, test) for n, m in finals.items()}}
+        named = [s.select(F.lit(n).alias("branch"), "doc_id", "label", "prediction", "p_positive") for n, s in scored.items()]
+        return reduce(lambda x, y: x.unionByName(y), named).withColumn("n_shared", shared.select("n_shared").scalar())
+    return artifacts.table(spark, "branches", sf_dir, {"k": K, "folds": 3, "group": "content"}, fit)
 
 
 @register("stack_oof", f"""
@@ -248,7 +253,7 @@ def q_stack_oof(spark, sf_dir):
     """Out-of-fold stacking of both bases: fitted on the train split, scored on
     the test split, copies of a text in one fold and one split; the guard counts
     the texts that both splits have."""
-    s = stacked_scores(spark, sf_dir)
+    s = branch_table(spark, sf_dir).filter(F.col("branch") == "stacked")
     return s.select("doc_id", "label", "n_shared", F.col("p_positive").between(0, 1).alias("is_probability"))
 
 
@@ -272,14 +277,9 @@ def q_refit_meta(spark, sf_dir):
 def branch_scores(spark, sf_dir):
     """Test-split rows scored by each branch: name -> (doc_id, label, prediction)."""
     truth = split_by_text(fx.labelled_messages(spark, sf_dir)).filter(F.col("split") == "test").select("doc_id", "label")
-    rows = _base_rows(spark, sf_dir)
-    fitted = models.concurrently(spark, {
-        "stacked": lambda: stacked_scores(spark, sf_dir), "sparse": lambda: boosted_model(spark, sf_dir),
-        "dense": lambda: artifacts.model(spark, "dense-base", sf_dir, {}, lambda: fit_dense_base(rows.filter(F.col("split") == "train")), load_model)})
-    test = rows.filter(F.col("split") == "test")
-    sparse = models.score(fitted["sparse"], _vectors(spark, sf_dir).filter(F.col("split") == "test"))
-    scored = {"sparse": sparse, "dense": models.score(fitted["dense"], test), "stacked": fitted["stacked"]}
-    return {name: metrics.result_table(truth, s.select("doc_id", "prediction")) for name, s in scored.items()}
+    scored = branch_table(spark, sf_dir)
+    return {name: metrics.result_table(truth, scored.filter(F.col("branch") == name).select("doc_id", "prediction"))
+            for name in (*BASES, "stacked")}
 
 
 @register("evaluate_branches", f"""
