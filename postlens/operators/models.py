@@ -23,19 +23,20 @@ from ..session import checkpoint_dir, cut_lineage
 from .splits import fold_assign, group_folds
 
 
-#: Rows per partition for iterative (L-BFGS) fits: every iteration ships the
-#: coefficients to each task and tree-aggregates a gradient per task, so a
-#: small input spread over many partitions pays that fixed cost many times.
-LBFGS_ROWS_PER_PARTITION = 50_000
+#: Rows per partition for iterative fits: every iteration ships the
+#: coefficients or nodes to each task and aggregates a gradient or the nodes'
+#: histograms per task, so a small input spread over many partitions pays that
+#: fixed cost many times.
+FIT_ROWS_PER_PARTITION = 50_000
 
 
 def _size_for_iterations(data: DataFrame) -> tuple[DataFrame, int]:
     """The persisted input, coalesced (no shuffle) to about one partition per
-    ``LBFGS_ROWS_PER_PARTITION`` rows, and its row count.  The count fills the
+    ``FIT_ROWS_PER_PARTITION`` rows, and its row count.  The count fills the
     cache, so the input is computed once; a coalesce to more partitions than
     there are changes nothing, so large inputs keep their parallelism."""
     n = data.count()
-    return data.coalesce(max(1, -(-n // LBFGS_ROWS_PER_PARTITION))), n
+    return data.coalesce(max(1, -(-n // FIT_ROWS_PER_PARTITION))), n
 
 
 def _n_classes(df: DataFrame, label: str) -> int:
@@ -74,13 +75,14 @@ def fit_boosted(df: DataFrame, features: str = "features", label: str = "label",
     from pyspark.ml.classification import GBTClassifier, OneVsRest
     checkpoint_dir(df.sparkSession)
     data = df.select(features, F.col(label).cast("double").alias(label)).persist()
-    k = num_classes or _n_classes(data, label)
+    sized, _ = _size_for_iterations(data)
+    k = num_classes or _n_classes(sized, label)
     gbt = GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, maxBins=max_bins, seed=seed, checkpointInterval=10)
     try:
         if k <= 2:
-            return gbt.fit(data)
-        return OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, parallelism=parallelism).fit(data)
+            return gbt.fit(sized)
+        return OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, parallelism=parallelism).fit(sized)
     finally:
         data.unpersist()
 
