@@ -7,14 +7,16 @@ sequence against which the ordered rules are matched: a rule is a sequence of
 adjacent identifiers; an earlier (more specific) rule takes its identifiers out
 of the sequence, later rules see what is left.
 
-Sentences end at ``.``, ``!`` or ``?`` before white space.  A line end closes a
-sentence, too (notices stand on lines of their own); since long license texts
-are wrapped, a second reading takes only blank lines as ends, and the reading
-that recognises more sentences counts (the first on a tie).
+Sentences end at ``.``, ``!`` or ``?`` before white space and at blank lines.
+Since long license texts are wrapped while notices stand on lines of their own,
+such a sentence is looked up as a whole first, its line ends read as blanks;
+if it is not known, each of its lines is looked up as a sentence.  So either
+kind is found wherever it stands, in the order of the text and none twice.
+``n_sentences`` counts lines as sentences.
 
 Defined results: a null or empty text has no sentences and no license;
 ``licenses`` lists every recognised license once per occurrence, in rule order;
-repeated rows are scanned one by one; extra columns are not read.
+the bytes 0x01 and 0x02 in a text end a sentence and a line; repeated rows are scanned one by one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 #: Known license sentences (fixed values): identifier, normalised sentence.
-SENTENCES = (
+TEXTS = (
     ("mit_notice", "released under the mit license"),
     ("mit_notice", "licensed under the mit license"),
     ("mit_notice", "this project is licensed under the mit license"),
@@ -72,8 +74,31 @@ SENTENCES = (
     ("reserved", "all rights reserved"),
 )
 
+#: Names of licenses in notices (fixed values): identifier, normalised name with its article.
+NAMES = (
+    ("mit_notice", "the mit license"),
+    ("apache2_notice", "the apache license version 2 0"),
+    ("apache2_notice", "the apache license 2 0"),
+    ("gpl2_notice", "the gnu general public license version 2"),
+    ("gpl3_notice", "the gnu general public license version 3"),
+    ("lgpl3_notice", "the gnu lesser general public license version 3"),
+    ("agpl3_notice", "the gnu affero general public license version 3"),
+    ("mpl2_notice", "the mozilla public license version 2 0"),
+    ("bsd2_notice", "the bsd 2 clause license"),
+    ("bsd3_notice", "the bsd 3 clause license"),
+    ("cc_by_notice", "cc by 4 0"),
+    ("cc_by_sa_notice", "cc by sa 4 0"),
+    ("cc_by_nc_notice", "cc by nc 4 0"),
+    ("cc0_notice", "cc0 1 0"),
+    ("unlicense", "the unlicense"),
+)
+#: Beginnings of notices (fixed values).
+HEADS = ("licensed under", "released under", "distributed under", "this project is licensed under",
+         "this work is licensed under", "this software is licensed under")
+SPDX = "spdx license identifier"
+
 #: Ordered rules (fixed values): license, class, adjacent sentence identifiers.
-RULES = (
+TEXT_RULES = (
     ("Apache-2.0", "permissive", ("apache2_notice", "apache2_use", "apache2_copy")),
     ("Apache-2.0", "permissive", ("apache2_notice", "apache2_use")),
     ("MIT", "permissive", ("mit_title", "mit_grant", "mit_keep", "as_is")),
@@ -102,24 +127,54 @@ RULES = (
     ("Reserved", "proprietary", ("reserved",)),
 )
 
-#: Sentence ends; with line ends, and with blank lines only.
-LINE_ENDS = "[.!?][\\x20\\x09-\\x0D]+|\\n"
-BLOCK_ENDS = "[.!?][\\x20\\x09-\\x0D]+|\\n[\\x20\\x09\\x0B-\\x0D]*\\n"
-#: Stands between the sentences of a normalised text; any other control byte is dropped.
-MARK = "\x01"
 
 
-def sentences(text: Column, ends: str) -> Column:
-    """Normalised sentences of a text, empty ones left out."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), ends, MARK)
-    plain = F.lower(F.regexp_replace(marked, "[^A-Za-z0-9\\x01]+", " "))
-    return F.filter(F.transform(F.split(plain, MARK), lambda s: F.trim(s)), lambda s: s != "")
+def _normal(name: str) -> str:
+    return " ".join("".join(c if c.isalnum() else " " for c in name.lower()).split())
+
+
+def _tagged() -> tuple[tuple[str, str, str], ...]:
+    """(identifier, license, class) of the licenses that a tag line can name."""
+    named = dict.fromkeys((name, kind) for name, kind, _ in TEXT_RULES if name not in ("BSD", "Reserved"))
+    return tuple((f"spdx_{_normal(name).replace(' ', '_')}", name, kind) for name, kind in named)
+
+
+#: All known sentences: the texts, every beginning of a notice with every name, and the tag lines.
+SENTENCES = tuple((name, said) for said, name in {
+    **{f"{SPDX} {_normal(name)}": tag for tag, name, _ in _tagged()},
+    **{f"{head} {terms}{name}": tag for tag, name in NAMES for head in HEADS for terms in ("", "the terms of ")},
+    **{said: tag for tag, said in TEXTS}}.items())
+RULES = TEXT_RULES + tuple((name, kind, (tag,)) for tag, name, kind in _tagged())
+
+#: Sentence ends; single line ends are left.
+ENDS = "[.!?][\\x20\\x09-\\x0D]+|\\n[\\x20\\x09\\x0B-\\x0D]*\\n"
+#: Stand after the sentences and the lines of a normalised text; any other control byte is dropped.
+MARK, LINE = "\x01", "\x02"
 
 
-def known_ids(found: Column, table) -> Column:
-    """Identifiers of the known sentences among ``found``, in order."""
+def normalised(text: Column) -> Column:
+    """Words in lower case between single blanks, sentences ended by MARK, lines inside them by LINE."""
+    marked = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), ENDS, MARK), "\n", LINE)
+    return F.lower(F.regexp_replace(marked, "[^A-Za-z0-9\\x01\\x02]+", " "))
+
+
+def count_sentences(plain: Column) -> Column:
+    pieces = F.split(plain, "[\\x01\\x02]")
+    return F.size(F.filter(pieces, lambda s: ~s.isin("", " "))).cast("bigint")
+
+
+def known_ids(plain: Column, table) -> Column:
+    """Identifiers of the known sentences of a normalised text, in order."""
     ids = F.create_map(*[F.lit(x) for name, said in table for x in (said, name)])
-    return F.filter(F.transform(found, lambda s: F.element_at(ids, s)), lambda i: i.isNotNull())
+    none = F.expr("array()").cast("array<string>")
+
+    def whole(b: Column) -> Column:
+        return F.trim(F.when(F.contains(b, F.lit(LINE)), F.regexp_replace(b, "[ \\x02]+", " ")).otherwise(b))
+
+    looked = F.transform(F.split(plain, MARK), lambda b: F.struct(b.alias("said"), F.element_at(ids, whole(b)).alias("id")))
+    lines = lambda said: F.filter(F.transform(F.split(said, LINE), lambda s: F.element_at(ids, F.trim(s))), lambda i: i.isNotNull())
+    return F.flatten(F.transform(looked, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"]))
+                                 .when(F.contains(x["said"], F.lit(LINE)), lines(x["said"])).otherwise(none)))
 
 
 def match_rules(ids: Column, rules) -> Column:
@@ -144,13 +199,8 @@ def match_rules(ids: Column, rules) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   table=SENTENCES, rules=RULES) -> DataFrame:
     """``id_col``, n_sentences, ids (array), found (array of license, class) per row of ``docs``."""
-    text = F.col(text_col)
-    read = docs.select(F.col(id_col).alias("id"), sentences(text, LINE_ENDS).alias("lines"),
-                       known_ids(sentences(text, BLOCK_ENDS), table).alias("block_ids"))
-    read = read.select("id", F.size("lines").cast("bigint").alias("n_sentences"),
-                       known_ids(F.col("lines"), table).alias("line_ids"), "block_ids")
-    best = F.when(F.size("block_ids") > F.size("line_ids"), F.col("block_ids")).otherwise(F.col("line_ids"))
-    read = read.select("id", "n_sentences", best.alias("ids"))
+    read = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("plain"))
+    read = read.select("id", count_sentences(F.col("plain")).alias("n_sentences"), known_ids(F.col("plain"), table).alias("ids"))
     none = F.expr("array()").cast("array<struct<license:string,class:string>>")
     return read.select(F.col("id").alias(id_col), "n_sentences", "ids",
                        F.when(F.size("ids") > 0, match_rules(F.col("ids"), rules)).otherwise(none).alias("found"))
@@ -168,14 +218,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     names = "MAP {" + ", ".join(f"'{s}': '{n}'" for n, s in SENTENCES) + "}"
 
-    def said(ends: str) -> str:
-        plain = (f"lower(regexp_replace(regexp_replace(coalesce(text, ''), '{ends}', chr(1), 'g'), "
-                 f"'[^A-Za-z0-9\\x01]+', ' ', 'g'))")
-        return (f"list_filter(list_transform(string_split({plain}, chr(1)), lambda s: trim(s)), lambda s: s <> '')")
-
-    def known(lst: str) -> str:
-        return (f"list_filter(list_transform({lst}, lambda s: CASE WHEN map_contains(m, s) THEN m[s] END), "
-                f"lambda i: i IS NOT NULL)")
+    plain = (f"lower(regexp_replace(translate(regexp_replace(coalesce(text, ''), '{ENDS}', chr(1), 'g'), chr(10), chr(2)), "
+             f"'[^A-Za-z0-9\\x01\\x02]+', ' ', 'g'))")
+    whole = "trim(regexp_replace(b, '[ \\x02]+', ' ', 'g'))"
+    lines = ("list_filter(list_transform(string_split(b, chr(2)), lambda s: CASE WHEN map_contains(m, trim(s)) THEN m[trim(s)] END), "
+             "lambda i: i IS NOT NULL)")
 
     steps, prev = [], "seq0"
     for k, (name, kind, seq) in enumerate(RULES):
@@ -186,9 +233,10 @@ def _sql() -> str:
         prev = f"s{k}"
     return f"""
 WITH names AS (SELECT {names} AS m),
-read AS (SELECT doc_id, {said(LINE_ENDS)} AS lines, {said(BLOCK_ENDS)} AS blocks FROM documents),
-ids AS (SELECT doc_id, len(lines) AS n_sentences, {known('lines')} AS a, {known('blocks')} AS b FROM read, names),
-best AS (SELECT doc_id, n_sentences, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM ids),
+read AS (SELECT doc_id, {plain} AS plain FROM documents),
+best AS (SELECT doc_id, len(list_filter(string_split(replace(plain, chr(2), chr(1)), chr(1)), lambda s: trim(s) <> '')) AS n_sentences,
+                flatten(list_transform(string_split(plain, chr(1)), lambda b: CASE WHEN map_contains(m, {whole}) THEN [m[{whole}]]
+                                       ELSE {lines} END)) AS ids FROM read, names),
 seq0 AS (SELECT *, list_aggregate(list_transform(ids, lambda i: '|' || i || '|'), 'string_agg', '') AS seq,
                 []::STRUCT(license VARCHAR, class VARCHAR)[] AS found FROM best WHERE len(ids) > 0),
 {", ".join(steps)}

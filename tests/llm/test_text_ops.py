@@ -9,7 +9,7 @@ from brute import brute_lines_of, odd_rows, prose, sha, with_clashes, words
 
 from postlens.llm.op1_secrets import KINDS, link_secrets
 from postlens.llm.op4_licenses import RULES, SENTENCES, scan_licenses
-from postlens.llm.op6_quality import judge_quality, quality_filter, weights_of
+from postlens.llm.op6_quality import judge_quality, quality_filter, threshold_of, weights_of
 from postlens.llm.op7_lines import CuckooFilter, LineIndex, built
 import postlens.llm.op7_lines as op7
 
@@ -105,7 +105,9 @@ def test_licenses(spark):
                          (21, "LICENSED UNDER CC BY-NC 4.0!! Bar. All rights reserved. All rights reserved."),
                          (22, "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with "
                               "the License. bar"),
-                         (23, full), (24, "we released under the mit license yesterday")]
+                         (23, full), (24, "we released under the mit license yesterday"),
+                         (25, "This project is licensed under the terms of the MIT license."), (26, "# SPDX-License-Identifier: Apache-2.0\nimport x"),
+                         (27, full.split("\n\n", 2)[2] + "\nReleased under the BSD 3-Clause License\nLicensed under CC BY-NC 4.0\n")]
     out = scan_licenses(with_clashes(spark, rows)).collect()
     assert len(out) == len(rows)
     found = {r.doc_id: [x["license"] for x in r.found] for r in out}
@@ -113,6 +115,11 @@ def test_licenses(spark):
     assert found[21] == ["CC-BY-NC-4.0", "Reserved", "Reserved"]
     assert found[22] == ["Apache-2.0"] and {r.doc_id: list(r.ids) for r in out}[22] == ["apache2_notice", "apache2_use"]
     assert found[23] == ["MIT", "MIT"]  # the text, and its title
+    assert found[25] == ["MIT"] and found[26] == ["Apache-2.0"]
+    # a wrapped text and bare notice lines, each read in its own way
+    assert {r.doc_id: list(r.ids) for r in out}[27] == ["mit_grant", "mit_keep", "bsd3_notice", "cc_by_nc_notice"]
+    assert found[27] == ["MIT", "BSD-3-Clause", "CC-BY-NC-4.0"]
+    assert scan_licenses(with_clashes(spark, rows).limit(0)).count() == 0
     assert found[24] == [] and found[1] == [] and found[None] == []
     known = {name for name, _ in SENTENCES}
     assert all(s in known for _, _, seq in RULES for s in seq)
@@ -169,6 +176,24 @@ def test_quality_score_is_the_mean_log_ratio(spark):
         assert out[key].score == int(w[grams[key].astype(int)].sum()) // len(grams[key])
 
 
+def test_quality_threshold_follows_from_the_labelled_scores(spark):
+    rows = [(i, prose(i, 80)) for i in range(40)] + [(i, prose(i, 80).replace("a", "qq").replace("e", "xx")) for i in range(40, 60)]
+    rows += [(0, prose(0, 80) + " zzz" * 3), (70, "short"), (None, prose(71, 80))]  # a key twice, one that the base rules reject
+    labels = [(i, 1, 0) for i in range(30)] + [(i, 0, 0) for i in range(45, 60)] + [(45, 1, None), (46, None, 1), (70, 0, 0), (None, 0, 0)]
+    docs, told = with_clashes(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    good, poor = {*range(30), 45}, set(range(46, 60))
+    lowest = {}
+    out = judge_quality(docs, told).collect()
+    for r in out:
+        if not r.base_failed:
+            lowest[r.doc_id] = min(r.score, lowest.get(r.doc_id, r.score))
+    g, p = (np.quantile([lowest[k] for k in keys if k in lowest], q) for keys, q in ((good, 0.001), (poor, 0.9)))
+    want = int(np.floor(min(g, (g + p) / 2)))
+    assert [r.kept for r in out] == [not r.base_failed and r.score >= want for r in out]
+    assert threshold_of(10.0, None) == 10 and threshold_of(10.0, 40.0) == 10 and threshold_of(10.0, -41.0) == -16
+    assert threshold_of(None, 5.0) < -(10**15)
+
+
 def test_quality_without_trusted_rows(spark):
     docs = spark.createDataFrame([(1, prose(1, 60))], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
