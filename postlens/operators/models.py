@@ -28,15 +28,17 @@ from .splits import fold_assign, group_folds
 #: histograms per task, so a small input spread over many partitions pays that
 #: fixed cost many times.
 FIT_ROWS_PER_PARTITION = 50_000
+#: The same for boosted trees, where a row costs one histogram update per feature.
+BOOSTED_ROWS_PER_PARTITION = 500
 
 
-def _size_for_iterations(data: DataFrame) -> tuple[DataFrame, int]:
+def _size_for_iterations(data: DataFrame, rows: int = FIT_ROWS_PER_PARTITION) -> tuple[DataFrame, int]:
     """The persisted input, coalesced (no shuffle) to about one partition per
-    ``FIT_ROWS_PER_PARTITION`` rows, and its row count.  The count fills the
+    ``rows`` rows, and its row count.  The count fills the
     cache, so the input is computed once; a coalesce to more partitions than
     there are changes nothing, so large inputs keep their parallelism."""
     n = data.count()
-    return data.coalesce(max(1, -(-n // FIT_ROWS_PER_PARTITION))), n
+    return data.coalesce(max(1, -(-n // rows))), n
 
 
 def _n_classes(df: DataFrame, label: str) -> int:
@@ -75,7 +77,7 @@ def fit_boosted(df: DataFrame, features: str = "features", label: str = "label",
     from pyspark.ml.classification import GBTClassifier, OneVsRest
     checkpoint_dir(df.sparkSession)
     data = df.select(features, F.col(label).cast("double").alias(label)).persist()
-    sized, _ = _size_for_iterations(data)
+    sized, _ = _size_for_iterations(data, BOOSTED_ROWS_PER_PARTITION)
     k = num_classes or _n_classes(sized, label)
     gbt = GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, maxBins=max_bins, seed=seed, checkpointInterval=10)
