@@ -22,8 +22,9 @@ from ..functions.fixed_values import TFIDF_MAX_FEATURES
 from .joins import bounded_broadcast
 
 
-def term_stats(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``(term, tf, df)``: corpus term frequency and document frequency.
+def term_stats(df: DataFrame, tokens: str = "tokens", within: DataFrame | None = None) -> DataFrame:
+    """``(term, tf, df)``: corpus term frequency and document frequency, of the terms in
+    ``within`` (column ``term``) where that is given.
 
     Each row emits its tokens (flag 0) and its distinct tokens (flag 1); one
     aggregation with map-side combine counts both, so a hot term costs one
@@ -32,9 +33,11 @@ def term_stats(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     both = F.concat(
         F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"))),
         F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))))
+    each = df.select(F.explode(both).alias("e"))
+    if within is not None:
+        each = each.join(within, F.col("e.term") == within["term"], "left_semi")
     return (
-        df.select(F.explode(both).alias("e"))
-        .groupBy(F.col("e.term").alias("term"))
+        each.groupBy(F.col("e.term").alias("term"))
         .agg(F.sum(F.lit(1) - F.col("e.d")).cast("long").alias("tf"), F.sum("e.d").cast("long").alias("df"))
     )
 
@@ -42,7 +45,12 @@ def term_stats(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 def vocab_fit(df: DataFrame, tokens: str = "tokens", k: int = TFIDF_MAX_FEATURES) -> DataFrame:
     """Keep the ``k`` most frequent terms (ties: term ascending), index them
     alphabetically: ``(term, idx, tf, df)``."""
-    top = term_stats(df, tokens).orderBy(F.desc("tf"), F.asc("term")).limit(k)
+    return index_terms(term_stats(df, tokens), k)
+
+
+def index_terms(stats: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent terms of :func:`term_stats` with their index."""
+    top = stats.orderBy(F.desc("tf"), F.asc("term")).limit(k)
     # row_number over the k kept rows only (bounded by k).
     idx = (F.row_number().over(Window.orderBy("term")) - 1).cast("int")
     return top.select("term", idx.alias("idx"), "tf", "df")

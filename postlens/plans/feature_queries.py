@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.features import tfidf_analyze
 from ..functions.fixed_values import TFIDF_MAX_FEATURES, TFIDF_TOKEN_RE
 from ..functions.mathx import quantize
-from ..operators import batching, encode, splits, stack, vocab
+from ..operators import batching, encode, heavy_hitters, splits, stack, vocab
 from . import fixtures as fx
 from .registry import register
 from .sqlfrag import q6, split_case
@@ -53,13 +53,22 @@ stats AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM toks GR
 top AS (SELECT term, tf, df FROM stats ORDER BY tf DESC, term LIMIT {K})"""
 
 
-@register("vocab_fit", f"""
+SQL_VOCAB = f"""
 WITH {_VOCAB_CTE}
-SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx, tf, df FROM top""")
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx, tf, df FROM top"""
+
+
+@register("vocab_fit", SQL_VOCAB)
 def q_vocab_fit(spark, sf_dir):
     return vocab.vocab_fit(analyzed_documents(spark, sf_dir), "tokens", K)
 
 
+@register("vocab_fit_bounded", SQL_VOCAB)
+def q_vocab_fit_bounded(spark, sf_dir):
+    """The same vocabulary from a summary of heavy hitters and an exact count of its candidates."""
+    return heavy_hitters.vocab_fit_bounded(analyzed_documents(spark, sf_dir), "tokens", K)
+
+
 @register("idf_fit", f"""
 WITH {_VOCAB_CTE}
 SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx, df,
