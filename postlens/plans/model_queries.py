@@ -18,11 +18,12 @@ from pyspark.sql import types as T
 from ..functions.features import tfidf_analyze
 from ..functions.mathx import quantize
 from ..operators import metrics, models, splits, stack, stats, vocab
+from ..session import cut_lineage
 from ..sources.readers import read_csv
 from ..sources.sinks import load_model, save_model, scratch_path, write_table
 from . import artifacts
 from . import fixtures as fx
-from .feature_queries import K, TEXT_SPLIT, _TFIDF_CTE, split_by_text, train_model
+from .feature_queries import K, TEXT_SPLIT, TOK, _TFIDF_CTE, split_by_text, train_model
 from .registry import register
 from .sqlfrag import q6, split_case
 
@@ -380,6 +381,37 @@ def q_embed_dense(spark, sf_dir):
     return out.select("doc_id", F.size("embedding").alias("dim"), (total.isNotNull() & ~F.isnan(total)).alias("is_finite"))
 
 
+@register("cooccur_ppmi", f"""
+WITH toks AS (SELECT doc_id, unnest({TOK}) AS term, generate_subscripts({TOK}, 1) AS pos FROM documents),
+far AS (SELECT doc_id, term, pos, unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) AS d FROM toks),
+pairs AS (SELECT a.term, b.term AS other, count(*) AS n
+          FROM far AS a JOIN toks AS b ON a.doc_id = b.doc_id AND a.pos + a.d = b.pos GROUP BY ALL),
+sums AS (SELECT term, sum(n) AS r FROM pairs GROUP BY term),
+seen AS (SELECT p.term, p.other, CAST(n AS DOUBLE) * CAST((SELECT sum(n) FROM pairs) AS DOUBLE) AS seen,
+                CAST(a.r AS DOUBLE) * CAST(b.r AS DOUBLE) AS chance
+         FROM pairs AS p JOIN sums AS a ON p.term = a.term JOIN sums AS b ON p.other = b.term)
+SELECT term, count(*) AS n_others, CAST(sum(CAST(floor(ln(seen / chance) * 1e6 + 0.5) AS BIGINT)) AS BIGINT) AS micro_ppmi
+FROM seen WHERE seen > chance GROUP BY term""")
+def q_cooccur_ppmi(spark, sf_dir):
+    """PPMI of all pairs of terms at most five places apart, summed per term in millionths."""
+    from ..operators import factors
+    from .feature_queries import analyzed_documents
+    pairs = cut_lineage(factors.cooccurrences(analyzed_documents(spark, sf_dir)))
+    micro = F.floor(F.col("value") * F.lit(1e6) + F.lit(0.5))
+    return factors.ppmi(pairs).groupBy("term").agg(F.count("*").alias("n_others"), F.sum(micro).alias("micro_ppmi"))
+
+
+@register("embed_factors", "SELECT doc_id, 64 AS dim, TRUE AS is_finite FROM documents")
+def q_embed_factors(spark, sf_dir):
+    """Word vectors factorised from the train split's co-occurrences, averaged over every document's tokens."""
+    from ..operators import factors
+    docs = split_by_text(fx.documents(spark, sf_dir)).select("doc_id", tfidf_analyze("text").alias("tokens"), "split")
+    vectors = factors.fit_factors(docs.filter(F.col("split") == "train"), "tokens", dim=64)
+    out = factors.embed_factors(docs, vectors, 64)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return out.select("doc_id", F.size("embedding").alias("dim"), (total.isNotNull() & ~F.isnan(total)).alias("is_finite"))
+
+
 def text_shape(texts):
     """A stand-in encoder: code points and blanks of each text."""
     import numpy as np
