@@ -10,7 +10,8 @@ neither the vocabulary nor its vectors visit the driver: what does is one
 Plan shape: counting is one shuffle by the pair after a per-task sum; an
 iteration is one join on the column's term (a frequent term's rows are split by
 AQE, which copies its single block row) and one aggregation by the row's term
-with map-side combine.  Blocks are cut by checkpoints in the shared folder.
+with map-side combine.  Blocks are written to the shared scratch folder, and
+each write takes its query's shuffle files away with it.
 
 Null tokens are no terms; a text of one token gives no pair; a text none of
 whose tokens has a vector gets zeros.  An empty table has no pairs and no terms.
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..sources.sinks import scratch_path
 from .joins import bounded_broadcast
 
 #: Places of a text that are paired at once; bounds a step's memory, not the text.
@@ -37,6 +38,23 @@ MAX_BROADCAST_TERMS = 100_000
 LOST = 1e-12
 
 
+#: Removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from a table in the shared scratch folder, without its shuffle files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "factors")
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(path)
+
+
 def pair_counter(window: int):
     """The ``mapInArrow`` function that counts each batch's pairs, in both orders."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +95,7 @@ def cooccurrences(df: DataFrame, tokens: str = "tokens", window: int = 5) -> Dat
 def ppmi(pairs: DataFrame) -> DataFrame:
     """``(term, other, value)`` of the pairs that co-occur more often than chance has it.
 
-    ``pairs`` is read three times; write it or cut its lineage before.
+    ``pairs`` is read three times; write it before.
     """
     rows = pairs.groupBy("term").agg(F.sum("n").alias("r"))
     total = pairs.agg(F.sum("n").alias("t")).select("t").scalar()
@@ -131,16 +149,16 @@ def factorize(matrix: DataFrame, dim: int = 64, iterations: int = 6, seed: int =
     ``(term, other, value)``, each scaled by the root of its eigenvalue's size, ordered by it.
 
     Starts from hashes of the terms, so a run is repeatable up to the order of sums.
-    ``matrix`` is read once per iteration; write it or cut its lineage before.  Directions
+    ``matrix`` is read once per iteration; write it before.  Directions
     beyond the matrix' rank are zeros.
     """
     unit = float(1 << 63)
     start = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.xxhash64("term", i, F.lit(seed)) / F.lit(unit))
-    block = cut_lineage(matrix.select("term").distinct().withColumn("vector", start))
+    block = written(matrix.select("term").distinct().withColumn("vector", start))
     for _ in range(iterations):
-        image = cut_lineage(multiply(matrix, orthonormal(block, "vector", dim), dim))
+        image = written(multiply(matrix, orthonormal(block, "vector", dim), dim))
         block = image.withColumnRenamed("product", "vector")
-    basis = cut_lineage(orthonormal(block, "vector", dim))
+    basis = written(orthonormal(block, "vector", dim))
     image = multiply(matrix, basis, dim)
     small = gram(basis.join(image, "term"), "vector", "product", dim)
     sizes, axes = np.linalg.eigh((small + small.T) / 2)
@@ -158,8 +176,8 @@ def orthonormal(block: DataFrame, vector: str, dim: int) -> DataFrame:
 
 def fit_factors(df: DataFrame, tokens: str = "tokens", dim: int = 64, window: int = 5, iterations: int = 6) -> DataFrame:
     """Word vectors ``(term, vector)`` of all terms of the rows' token lists, ``dim`` numbers each."""
-    pairs = cut_lineage(cooccurrences(df, tokens, window))
-    return cut_lineage(factorize(cut_lineage(ppmi(pairs)), dim, iterations))
+    pairs = written(cooccurrences(df, tokens, window))
+    return written(factorize(written(ppmi(pairs)), dim, iterations))
 
 
 def embed_factors(df: DataFrame, vectors: DataFrame, dim: int, key: str = "doc_id", tokens: str = "tokens",

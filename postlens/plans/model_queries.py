@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from ..functions.features import tfidf_analyze
 from ..functions.mathx import quantize
 from ..operators import metrics, models, splits, stack, stats, vocab
-from ..session import cut_lineage
 from ..sources.readers import read_csv
 from ..sources.sinks import load_model, save_model, scratch_path, write_table
 from . import artifacts
@@ -396,7 +395,7 @@ def q_cooccur_ppmi(spark, sf_dir):
     """PPMI of all pairs of terms at most five places apart, summed per term in millionths."""
     from ..operators import factors
     from .feature_queries import analyzed_documents
-    pairs = cut_lineage(factors.cooccurrences(analyzed_documents(spark, sf_dir)))
+    pairs = factors.written(factors.cooccurrences(analyzed_documents(spark, sf_dir)))
     micro = F.floor(F.col("value") * F.lit(1e6) + F.lit(0.5))
     return factors.ppmi(pairs).groupBy("term").agg(F.count("*").alias("n_others"), F.sum(micro).alias("micro_ppmi"))
 
