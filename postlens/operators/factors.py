@@ -31,7 +31,7 @@ from ..sources.sinks import scratch_path
 from .joins import bounded_broadcast
 
 #: Places of a text that are paired at once; bounds a step's memory, not the text.
-STEP = 1 << 19
+STEP = 1 << 16
 #: Terms whose vectors may be broadcast (64 doubles each: about 50 MB).
 MAX_BROADCAST_TERMS = 100_000
 #: Share of the largest eigenvalue below which a direction of the block counts as lost.
