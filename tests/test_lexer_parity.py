@@ -85,3 +85,23 @@ def test_tokenizer_matches_python_re_custom_settings(spark):
                                       tokenize("text", cfg).alias("toks")).collect()
     bad = [r.id for r in rows if _python_tokens(r.d, cfg) != list(r.toks)]
     assert not bad, bad[:10]
+
+
+def test_short_cuts_change_no_token(spark):
+    """The lexer's plain words and the pieces that skip a regex: as the alternation and the patterns alone have them."""
+    from postlens.functions import tokenizer as tk
+    odd = ["word. Word.x www.a.com www. 2nd 2ndx a-word, word-x. nd, 5th. Abc.de abc.12 http://a.b/c https, Aa. IPhone, iPhone. é.word ",
+           "aaa AAA Aaa aaAAaa hahaha HAHAHA haHAhaha bababab abababx aaab. ßßß ΑΣ ΣΣΣaaa. İaaa ÀÉ . , !! x \U0001F600 ... ..a .a. word.\nnext word"]
+    for cfg in (tk.DEFAULT, tk.DEFAULT.update(normalize=5, allcapskeep=False), tk.DEFAULT.update(normalize=0, domains=(".x", "de")),
+                tk.DEFAULT.update(custom_hashtags=False, normalize=1, urls=False, lowercase=False)):
+        whole = tk.lexer_source(cfg)
+        plain = re.compile(whole[len(tk._plain_word(cfg)) + 1:])
+        assert whole.startswith(tk._plain_word(cfg) + "|")
+        rows = source(spark, SF01).select("text").unionByName(spark.createDataFrame([(t,) for t in odd], "text string"))
+        rows = rows.select("text", lex("text", cfg).alias("l"), F.transform(
+            lex("text", cfg), lambda t: tk._clean(t, cfg)).alias("c"), F.transform(
+            lex("text", cfg), lambda t: tx.squeeze_syllables(tx.squeeze_letters(t, cfg.normalize), cfg.normalize)).alias("s"))
+        rows = rows.withColumn("w", F.transform("s", lambda t: tx.fold_case(t, cfg.lowercase, cfg.allcapskeep))).filter("text is not null")
+        for r in rows.collect():
+            assert plain.findall(r.text) == list(r.l)
+            assert list(r.c) == list(r.w)
