@@ -83,3 +83,16 @@ def test_a_run_appends_once_and_a_failed_one_shows_nothing(spark):
         append_run(broken, path, "three")
     assert len(committed_runs(spark, path)) == 2
     assert sorted(r.text for r in read_labeled(spark, committed_runs(spark, path)).collect()) == ["a", "a", "b", "b"]
+
+
+def test_read_labeled_columns_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from postlens.plans import io_queries
+    texts = [(i, f"row {i},\n\"quoted\"" if i % 3 else None) for i in range(300)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(0, 300, 5)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    folder = str(tmp_path / "columns")
+    monkeypatch.setattr(io_queries, "scratch_path", lambda *_: folder)
+    rows = io_queries.q_read_labeled_columns(spark, str(tmp_path)).collect()
+    assert len([f for f in (tmp_path / "columns").iterdir() if f.name.endswith(".csv")]) > 1
+    want = sorted((t or "", str(i % 2 if i % 5 == 0 else 2)) for i, t in texts)
+    assert sorted((r.text or "", r.label) for r in rows) == want
