@@ -160,3 +160,14 @@ def test_save_load_gives_equal_predictions(spark):
     r = ent.queries()["save_model"](spark, SF001)
     assert r.count() > 0
     assert r.filter(~F.col("equal")).count() == 0
+
+
+def test_spread_bounds_the_bytes_of_a_task(spark, tmp_path):
+    from postlens.operators.joins import spread
+    path = str(tmp_path / "rows.parquet")
+    spark.range(200_000).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "rows.parquet").glob("*.parquet"))
+    dealt = spread(rows, "id", min_partitions=2, task_bytes=size // 40)
+    assert dealt.rdd.getNumPartitions() >= 40 and dealt.count() == 200_000
+    assert spread(rows, "id", min_partitions=2).rdd.getNumPartitions() == 2
