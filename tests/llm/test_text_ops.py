@@ -194,6 +194,26 @@ def test_quality_threshold_follows_from_the_labelled_scores(spark):
     assert threshold_of(None, 5.0) < -(10**15)
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    from postlens.llm import op6_quality as q
+    n = 100_050  # more than the bound that samples of labelled keys once had
+    labels = spark.range(2 * n).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "0 AS toxic")
+    docs = spark.range(1, 2 * n, 2).selectExpr("id AS doc_id", "CAST(id AS string) AS text")
+    assert q.trusted_ids(labels).count() == n
+    assert {r.good: r["count"] for r in q.labelled_ids(labels).groupBy("good").count().collect()} == {True: n, False: n}
+    assert (q.fit_weights(docs, q.trusted_ids(labels), 16) == 0).all()  # all rows are trusted: target and raw are the same
+
+
+def test_quality_quantiles_are_exact(spark):
+    from postlens.llm import op6_quality as q
+    rows = [(i % 3 > 0, (i * 7919) % 20011 * 13 - 99_000) for i in range(5000)]
+    rows += [(True, 5)] * 40
+    got = q.quantiles(spark.createDataFrame(rows, "good boolean, score long"), {True: 0.001, False: 0.9})
+    for good, share in ((True, 0.001), (False, 0.9)):
+        assert got[good] == pytest.approx(np.quantile([s for g, s in rows if g is good], share), abs=1e-6)
+    assert q.quantiles(spark.createDataFrame([(False, 3)], "good boolean, score long"), {True: 0.5, False: 0.5}) == {True: None, False: 3.0}
+
+
 def test_quality_without_trusted_rows(spark):
     docs = spark.createDataFrame([(1, prose(1, 60))], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
