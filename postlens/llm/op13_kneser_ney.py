@@ -25,8 +25,8 @@ Steps, all over all rows:
    shard turns its counts into sorted arrays of 64-bit hashes with their
    values, which are the stored model; it maps them from a file of its own for the
    time of the task and answers every chunk by binary search, in the order asked.
-4. *Scores.*  Answers meet their chunk, a wave of chunks at a time, which puts
-   counts, discounts and the words' own numbers together and adds up per document.
+4. *Scores.*  Answers and the words' own numbers meet their chunk, a wave of chunks at
+   a time, which puts them and the discounts together and adds up per document.
 
 What a task holds is bounded by the chunk and by ``SHARD_TOKENS``; the driver
 gets sums, discounts and the hot words.  A stored model scores other documents
@@ -62,7 +62,9 @@ from .common import WordBatch, default_parallelism, mix64, read_table, settings,
 
 #: Order of the model, text bytes of a chunk, tokens of a shard, and waves in which shards are made.
 ORDER = 3
-CHUNK_BYTES, SHARD_TOKENS, WAVES = 16 << 20, 1_000_000, 4
+CHUNK_BYTES, SHARD_TOKENS, WAVES = 12 << 20, 1_000_000, 4
+#: Text bytes that are split into words at once.
+STEP_BYTES = 1 << 20
 
 #: Bytes of an Arrow batch of packed rows.
 BATCH_BYTES = 8 << 20
@@ -144,7 +146,7 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["chunk", "keys", "held", "sizes", "tokens", "words", "counts"])
 
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", STEP_BYTES):
             words = WordBatch(part.column("text"), lower=True)
             table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.distinct.cast(pa.binary()).to_pylist()),
                                 dtype=np.uint64, count=len(words.distinct))
@@ -598,24 +600,31 @@ def _shard_rows(spark: SparkSession, path: str, kind: int) -> DataFrame:
     return spark.read.schema(SHARD).parquet(path).filter(F.col("kind") == kind)
 
 
-def _documents(chunks: DataFrame, model: Model, answers: str) -> DataFrame:
-    """Scores of the chunks' documents, from the answers under ``answers``."""
-    spark = chunks.sparkSession
-    words = spark.read.parquet(f"{model.path}/words")
-    known = shared_table(
+def _known(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """(chunk, blobs): the numbers of each chunk's words under the model."""
+    return shared_table(
         chunks.select("chunk", "words", "counts").mapInArrow(chunk_words, "chunk long, at int, word long, n long")
         .select("chunk", "at", "word").join(words, "word")
         .groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "front")).alias("known"))
         .mapInArrow(pack_known, "chunk long, blobs array<binary>"), "known")
-    rows = (chunks.select("chunk", F.lit(0).alias("kind"), "keys", "held", "sizes", "tokens", "words")
-            .unionByName(known.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-            .unionByName(_shard_rows(spark, answers, ANSWER).select("chunk", F.lit(2).alias("kind"), "shard", "blobs"), allowMissingColumns=True))
+
+
+def _documents(chunks: DataFrame, model: Model, answers: str) -> DataFrame:
+    """Scores of the chunks' documents, from the answers under ``answers``."""
+    spark = chunks.sparkSession
+    words = spark.read.parquet(f"{model.path}/words")
     key = chunks.schema["keys"].dataType.elementType.simpleString()
     schema = f"doc_id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/scores"
-    for wave in range(WAVES):  # of chunks: only a part of them is in a shuffle at a time
-        mine = rows.filter(F.pmod(F.xxhash64("chunk"), F.lit(WAVES)) == wave)
-        dealt = mine.repartition(default_parallelism(spark), "chunk").sortWithinPartitions("chunk", "kind", "shard")
+    told = _shard_rows(spark, answers, ANSWER).select("chunk", F.lit(2).alias("kind"), "shard", "blobs")
+    for wave in range(WAVES):  # of chunks: only a part of them, and of their words, is in a shuffle at a time
+        mine = F.pmod(F.xxhash64("chunk"), F.lit(WAVES)) == wave
+        some = chunks.filter(mine)
+        known = _known(some, words)
+        rows = (some.select("chunk", F.lit(0).alias("kind"), "keys", "held", "sizes", "tokens", "words")
+                .unionByName(known.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+                .unionByName(told.filter(mine), allowMissingColumns=True))
+        dealt = rows.repartition(default_parallelism(spark), "chunk").sortWithinPartitions("chunk", "kind", "shard")
         with shuffles_removed(spark), settings(spark, batch_bytes=str(BATCH_BYTES)):  # a row holds a whole chunk
             dealt.mapInArrow(lambda it: scores(it, model), schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)

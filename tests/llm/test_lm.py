@@ -134,3 +134,20 @@ def test_packing_round_trip():
         assert (lm.unpack_steps(lm.pack_steps(x)) == x).all()
         y = x >> np.uint64(24)
         assert (lm.unpack_steps(lm.pack_steps(y, 40), 40) == y).all()
+
+
+def test_words_of_chunks_are_met_in_waves(spark, monkeypatch):
+    """The chunks' words meet the model's a part of the chunks at a time, never all in one shuffle."""
+    made, write = [], lm.shared_table
+
+    def kept(df, name):
+        out = write(df, name)
+        if name == "known":
+            made.append({r.chunk for r in out.select("chunk").collect()})
+        return out
+    monkeypatch.setattr(lm, "shared_table", kept)
+    docs = spark.createDataFrame([(i, f"a b c {i}", i % 5 == 0) for i in range(200)], "doc_id long, text string, held boolean")
+    chunks = docs.repartitionByRange(16, "doc_id")
+    assert lm.train_and_score(chunks)[1].count() == 200
+    assert len(made) == lm.WAVES and sum(map(len, made)) == len(set().union(*made)) == 16
+    assert max(map(len, made)) < 16
