@@ -62,6 +62,23 @@ def test_steps_do_not_cut_pairs(spark, monkeypatch):
         assert got == brute_pairs(rows, 5)
 
 
+def test_a_task_counts_a_pair_once(spark, monkeypatch):
+    """In one order, and added up over its steps and batches; what it holds is bounded."""
+    rows = [(i, [f"w{(i * j) % 5}" for j in range(20)]) for i in range(1, 40)]
+    table = spark.createDataFrame(rows, SCHEMA).select("tokens").toArrow().combine_chunks()
+    monkeypatch.setattr(factors, "STEP", 64)
+    want = {k: n for k, n in brute_pairs(rows, 3).items() if k[0] <= k[1]}
+    told = [r for out in factors.pair_counter(3, halves=True)(iter(table.to_batches(max_chunksize=4))) for r in out.to_pylist()]
+    assert len(told) == len(want) and {(r["term"], r["other"]): r["n"] for r in told} == want
+    monkeypatch.setattr(factors, "HELD", 16)
+    got, most = Counter(), 0
+    for out in factors.pair_counter(3, halves=True)(iter(table.to_batches(max_chunksize=4))):
+        for r in out.to_pylist():
+            got[r["term"], r["other"]] += r["n"]
+        most = max(most, out.num_rows)
+    assert got == want and most <= 16
+
+
 def test_factors_are_the_leading_eigenvectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 5)) * [5, 4, 3, 2, 0.1]
