@@ -45,12 +45,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordBatch, if_small, mix64, read_table, shared_table, slices
+from .common import WordBatch, if_small, mix64, read_table, settings, shared_table, slices
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
+#: Text bytes of one numpy step (its arrays are several times that), bytes of an Arrow batch.
+STEP_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+
 #: Hash buckets and pseudo-count.
 BUCKETS = 1 << 16
 PSEUDO = 0.5
@@ -84,7 +87,7 @@ def count_ngrams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
     """One row per bucket that the task has seen: raw and target counts."""
     raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", STEP_BYTES):
             words = WordBatch(part.column("text"))
             one, two, whole = ngram_buckets(words, buckets)
             trusted = part.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
@@ -161,7 +164,7 @@ def measure(batches: Iterator[pa.RecordBatch], weights, threshold: int, keep: li
     """``keep`` columns plus the base measures, the score and the verdicts of each row."""
     table = weights.value
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", STEP_BYTES):
             texts = part.column("text")
             words = WordBatch(texts)
             one, two, whole = ngram_buckets(words, len(table))
@@ -196,7 +199,9 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     counted = (marked.mapInArrow(lambda it: count_ngrams(it, buckets), "bucket long, raw long, target long")
                .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    for r in counted.collect():  # at most ``buckets`` rows
+    with settings(docs.sparkSession, batch_bytes=str(BATCH_BYTES)):
+        rows = counted.collect()  # at most ``buckets``
+    for r in rows:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     return weights_of(raw, target)
 
@@ -263,7 +268,9 @@ def quantiles(scores: DataFrame, shares: dict[bool, float]) -> dict[bool, float
 def fit_threshold(told: DataFrame, labels: DataFrame) -> int:
     """The threshold from the scores (``told``: doc_id, base_failed, score) of all labelled documents."""
     lowest = told.filter("not base_failed").join(labelled_ids(labels), "doc_id").groupBy("doc_id", "good").agg(F.min("score").alias("score"))
-    found = quantiles(shared_table(lowest.select("good", "score"), "quality_scores"), {True: GOOD_SHARE, False: POOR_SHARE})
+    with settings(told.sparkSession, batch_bytes=str(BATCH_BYTES)):
+        scores = shared_table(lowest.select("good", "score"), "quality_scores")
+    found = quantiles(scores, {True: GOOD_SHARE, False: POOR_SHARE})
     return threshold_of(found[True], found[False])
 
 
@@ -294,7 +301,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: int | None = N
 
     def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP_BYTES):
                 only = pa.RecordBatch.from_arrays([part.column("text")], names=["text"])
                 mask = [m.column("kept") for m in measure(iter([only]), weights, least, [])]
                 yield part.filter(pa.concat_arrays(mask))

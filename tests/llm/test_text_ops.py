@@ -214,6 +214,21 @@ def test_quality_quantiles_are_exact(spark):
     assert q.quantiles(spark.createDataFrame([(False, 3)], "good boolean, score long"), {True: 0.5, False: 0.5}) == {True: None, False: 3.0}
 
 
+def test_quality_steps_are_small(monkeypatch):
+    """A step's arrays are many times its texts, so it takes a megabyte of them at most."""
+    import pyarrow as pa
+
+    from postlens.llm import op6_quality as op6
+    sizes, whole = [], op6.WordBatch
+    monkeypatch.setattr(op6, "WordBatch", lambda texts: sizes.append(texts.nbytes) or whole(texts))
+    rows = [prose(i, 300) for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array([i % 3 == 0 for i in range(3000)])], names=["text", "trusted"])
+    assert batch.nbytes > 4 << 20
+    out, = op6.count_ngrams(iter([batch]), 1 << 10)
+    assert sum(out.column("raw").to_pylist()) == sum(2 * len(words(t)) - 1 for t in rows)
+    assert max(sizes) <= (1 << 20) + (1 << 16)
+
+
 def test_quality_without_trusted_rows(spark):
     docs = spark.createDataFrame([(1, prose(1, 60))], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
