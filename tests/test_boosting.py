@@ -81,3 +81,16 @@ def test_constant_rows_and_bad_labels(spark):
         rows = flat.withColumn("label", F.lit(bad).cast("double"))
         with pytest.raises(Exception, match="labels must be 0 or 1"):
             boosting.fit_entries(rows, max_iter=1)
+
+
+def test_sums_with_and_without_a_sort_agree():
+    rng = np.random.default_rng(3)
+    for nodes, entries in ((1, 400), (3, 400), (30, 40)):  # the last has too few entries for a table of all pairs
+        bins = np.sort(rng.integers(0, 90, entries)).astype(np.int32)
+        block = boosting.Block(np.ones(50), np.zeros(50), bins, rng.integers(0, 50, entries).astype(np.int32))
+        at, moments = rng.integers(-1, nodes, 50), rng.random((50, 3))
+        at[0] = nodes - 1
+        used = at[block.rows] >= 0
+        keys, stats = boosting.summed(at[block.rows][used] * 90 + bins[used], moments[block.rows[used]])
+        got = block.summed(at, moments, 90)
+        assert (got[0] == keys).all() and np.allclose(got[1], stats)
