@@ -96,29 +96,30 @@ def sketch(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterat
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(text) -> node, grams: the set's digest and the set."""
+    """(id, text) -> id, node, grams: the set's digest (null for an empty one) and the set."""
     for batch in batches:
         for part in slices(batch, "text"):
-            sets = [s for s in shingle_sets(WordBatch(part.column("text"), lower=True), size) if len(s)]
+            sets = shingle_sets(WordBatch(part.column("text"), lower=True), size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([sets_digest(s) for s in sets], pa.binary()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "grams"])
+                [part.column("id"), pa.array([sets_digest(s) if len(s) else None for s in sets], pa.binary()),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "node", "grams"])
 
 
 def choose_prefix(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(node, grams: array of (df, gram) rarest first) -> node, n, weight, m,
-    common (shingles that others have, rarest first) and the lengths that
-    ``levels`` counts: how many of them lie in the prefix of level 1, 2, ...
+    """(node, n, grams: array of (df, gram) that others have, rarest first) -> node, n, weight, m,
+    common (these shingles) and the lengths that ``levels`` counts: how many of
+    them lie in the prefix of level 1, 2, ...
 
     ``weight``: how central the set is, the sum of its shingles' frequencies.
     """
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("n", "weight", "m", "common", "levels")}
+        out: dict[str, list] = {k: [] for k in ("weight", "m", "common", "levels")}
         grams = batch.column("grams")
         flat, offsets = grams.flatten(), grams.offsets.to_numpy() - grams.offsets[0].as_py()
         dfs, ids = flat.field("df").to_numpy(), flat.field("gram").to_numpy()
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            df, gram, n = dfs[a:b], ids[a:b], int(b - a)
+        for a, b, n in zip(offsets[:-1], offsets[1:], batch.column("n").to_pylist(), strict=True):
+            alone = n - int(b - a)  # rarest first: the shingles that no other has come first
+            df = np.concatenate((np.ones(alone, dfs.dtype), dfs[a:b]))
             base = slack(n, percent) + 1
             cost = np.cumsum(df[:base + MAX_MATCH - 1] - 1)  # other sets met by the first i shingles
             best, m = None, 1
@@ -129,14 +130,12 @@ def choose_prefix(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
                 told = rows + VERIFY_COST * rows / level
                 if best is None or told < best:
                     best, m = told, level
-            alone = int(np.searchsorted(df, 1, side="right"))  # rarest first: these come first
-            out["n"].append(n)
             out["weight"].append(int(df.sum()))
             out["m"].append(m)
-            out["common"].append(gram[alone:])
+            out["common"].append(ids[a:b])
             out["levels"].append([max(0, base + i - alone) for i in range(m)])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), *[pa.array(out[k], pa.int64()) for k in ("n", "weight", "m")],
+            [batch.column("node"), batch.column("n"), *[pa.array(out[k], pa.int64()) for k in ("weight", "m")],
              *[pa.array(out[k], pa.list_(pa.int64())) for k in ("common", "levels")]],
             names=["node", "n", "weight", "m", "common", "levels"])
 
@@ -147,14 +146,14 @@ def alike(shared: Column, n: Column, other: Column, percent: int) -> Column:
 
 
 def survivors(sets: DataFrame) -> DataFrame:
-    """Nodes of ``sets`` (node, m, prefix) that pass the screen.
+    """Rows of ``sets`` (row, m, prefix) that pass the screen; ``row`` numbers them.
 
     A shingle has one row per set at most, of some hundred rows that a set has,
     so that no shingle holds more than a few hundredths of the rows.
     """
-    rows = sets.select("node", "m", F.explode("prefix").alias("gram"))
+    rows = sets.select("row", "m", F.explode("prefix").alias("gram"))
     met = rows.withColumn("sets", F.count("*").over(Window.partitionBy("gram"))).filter("sets > 1")
-    return met.groupBy("node", "m").count().filter("count >= m").select("node").distinct()
+    return met.groupBy("row", "m").count().filter("count >= m").select("row")
 
 
 def enough_matches(left: str, right: str) -> Column:
@@ -165,9 +164,12 @@ def enough_matches(left: str, right: str) -> Column:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) whose sets are alike; sets overlap in their common shingles only."""
-    x, y = nodes.alias("x"), nodes.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(enough_matches("x", "y"))
+    """``pairs`` (a, b) whose sets are alike; sets overlap in their common shingles only.
+    Where the pairs are few, only their sets are moved."""
+    pairs = shared_table(pairs, "pairs")
+    x = nodes.alias("x")
+    y = nodes.join(if_small(pairs.select(F.col("b").alias("node"))), "node", "left_semi").alias("y")
+    both = x.join(if_small(pairs), F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(enough_matches("x", "y"))
     shared = F.size(F.array_intersect("x.common", "y.common"))
     return both.filter(alike(shared, F.col("x.n"), F.col("y.n"), percent)).select("a", "b")
 
@@ -176,8 +178,10 @@ def measured(stars: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """``stars`` (hub, node) plus n, in_hub (overlap), rest (the difference,
     rarest first), short and short_up (shingles that a link must find outside the
     hub: any link, and one to a set at least as large) and linked."""
-    hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"))
-    both = stars.join(nodes.select("node", "n", "common"), "node").join(hubs, "hub")
+    stars = shared_table(stars, "to_measure")
+    hubs = nodes.join(if_small(stars.select(F.col("hub").alias("node"))), "node", "left_semi") \
+        .select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"))
+    both = nodes.select("node", "n", "common").join(if_small(stars), "node").join(hubs, "hub")
     both = both.select("hub", "hub_n", "node", "n", F.size(F.array_intersect("common", "hub_common")).cast("long").alias("in_hub"),
                        F.array_except("common", "hub_common").alias("rest"))
     def least(of: int, by: int) -> Column:
@@ -249,21 +253,34 @@ def rest_links(stars: DataFrame, links: DataFrame, known: DataFrame, percent: in
 
 
 def link_classes(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, comp) of the linked nodes among the distinct sets ``nodes`` (node,
-    id, m, prefix); ``texts`` (id, text) has the text of each set under its id."""
-    kept = shared_table(nodes.select("node", "id").distinct().join(survivors(nodes), "node", "left_semi"), "survivors")
-    own = texts.join(if_small(kept.select("id")), "id", "left_semi").select("text")
-    sets = own.mapInArrow(lambda it: full_sets(it, size), "node binary, grams array<long>").dropDuplicates(["node"])
-    sets = sets.join(if_small(kept.select("node")), "node", "left_semi")
+    """(node, comp) of the linked nodes among the distinct sets ``nodes`` (row, node,
+    id, n, m, prefix); ``texts`` (id, text) has the text of each set under its id.
+
+    Shingles travel with the number of a set's row, which is a third of a digest's bytes.
+    """
+    alive = nodes.select("row", "node", "id", "n").join(survivors(nodes), "row", "left_semi")
+    kept = shared_table(alive.groupBy("node", "id").agg(
+        F.min("row").alias("number"), F.max("n").alias("n"), F.count("*").alias("rows")), "survivors")
+
+    id_type = texts.schema["id"].dataType.simpleString()
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        own = texts.join(if_small(keys.select("id")), "id", "left_semi").select("id", "text")
+        sets = own.mapInArrow(lambda it: full_sets(it, size), f"id {id_type}, node binary, grams array<long>")
+        return sets.join(if_small(keys.select("id", "node", "number", "n")), ["id", "node"]) \
+            .select(F.col("number").alias("node"), "n", "grams")
+
+    # Only a set whose key and text are repeated comes out more than once.
+    sets = sets_of(kept.filter("rows = 1")).unionByName(sets_of(kept.filter("rows > 1")).dropDuplicates(["node"]))
 
     # Exact frequencies among the survivors; rarest first.
-    rows = sets.select("node", F.explode("grams").alias("gram"))
-    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("gram")))
-    ordered = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(
+    rows = sets.select("node", "n", F.explode("grams").alias("gram"))
+    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).filter("df > 1")
+    ordered = counted.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(
         F.col("df").alias("df"), F.col("gram").alias("gram")))).alias("grams"))
     known = shared_table(ordered.mapInArrow(
         lambda it: choose_prefix(it, percent),
-        "node binary, n long, weight long, m long, common array<long>, levels array<long>"), "known")
+        "node long, n long, weight long, m long, common array<long>, levels array<long>"), "known")
     known = known.filter(alike(F.size("common"), F.col("n"), F.size("common"), percent))
 
     # Hubs: the most central member of each prefix shingle's group.
@@ -275,7 +292,10 @@ def link_classes(nodes: DataFrame, texts: DataFrame, size: int, percent: int) ->
     star = entries.select("gram", "node").join(hubs, "gram").filter("node != hub").select("hub", "node").distinct()
     stars = shared_table(measured(star, known, percent), "stars")
     links = stars.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    return components(rest_links(stars, links, known, percent))
+    found = components(rest_links(stars, links, known, percent))
+    named = kept.select(F.col("number").alias("comp"), F.col("node").alias("first"))
+    return found.join(kept.select(F.col("number"), F.col("node").alias("digest")), F.col("node") == F.col("number")) \
+        .join(named, "comp").select(F.col("digest").alias("node"), F.col("first").alias("comp"))
 
 
 def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id",
@@ -284,13 +304,14 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90, id_col: s
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = shared_table(texts.mapInArrow(
         lambda it: sketch(it, size, percent),
-        f"id {texts.schema['id'].dataType.simpleString()}, n long, node binary, m long, prefix array<long>"), "sketch")
+        f"id {texts.schema['id'].dataType.simpleString()}, n long, node binary, m long, prefix array<long>")
+        .withColumn("row", F.monotonically_increasing_id()), "sketch")
     # One node per distinct set; its text is found under the smallest key.
     full = sketched.filter("node is not null and id is not null")
     least = shared_table(full.groupBy("node").agg(F.min("id").alias("id")), "nodes")
     copies = full.select("node", "id").join(least.withColumnRenamed("id", "first"), "node") \
         .filter("id != first").select("node", "id").distinct()
-    nodes = full.select("node", "id", "m", "prefix").join(
+    nodes = full.select("row", "node", "id", "n", "m", "prefix").join(
         if_small(shared_table(copies, "copies")), ["node", "id"], "left_anti")  # a repeated row may stand twice
     labels = link_classes(nodes, texts, size, percent)
     marked = with_components(least, labels)

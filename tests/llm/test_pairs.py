@@ -15,7 +15,7 @@ from postlens.llm.common import WordBatch, mix64
 from postlens.llm.op3_passages import (HASHES, flat_tokens, join_windows, repeated_passages, sketch, tree_windows,
                                        window_minima)
 from postlens.llm.op8_benchmark import drop_leaks, find_leaks
-from postlens.llm.op9_jaccard import jaccard_classes, screen_match, slack
+from postlens.llm.op9_jaccard import jaccard_classes, screen_match, slack, survivors
 
 
 def test_components_equal_brute_force(spark):
@@ -81,6 +81,22 @@ def test_jaccard_of_families_that_share_what_their_hub_lacks(spark):
     assert got == want and 1 < len(set(want.values())) < len(rows)
 
 
+def test_jaccard_screen_moves_row_numbers_only(spark):
+    rows = [(0, b"a" * 16, 1, [7, 1]), (1, b"b" * 16, 2, [7, 2, 3]), (2, b"c" * 16, 2, [7, 2, 4]), (3, b"d" * 16, 1, [5])]
+    out = survivors(spark.createDataFrame(rows, "row long, node binary, m long, prefix array<long>"))
+    assert sorted(r.row for r in out.collect()) == [0, 1, 2]
+    steps = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x or "Aggregate" in x]
+    assert len(steps) == 2 and not any("node" in x for x in steps)  # no digest with every shingle
+
+
+def test_jaccard_of_repeated_rows_beside_copies_under_one_key(spark):
+    one, two = prose(1, 120), prose(2, 120)
+    rows = [(5, one), (5, two), (3, two), (5, one), (9, one + " end"), (8, two + " end")]
+    out = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    got = Counter((r.doc_id, r.component_id) for r in out)
+    assert got == {(5, 5): 2, (5, 3): 1, (3, 3): 1, (9, 5): 1, (8, 3): 1}
+
+
 def test_jaccard_of_equal_keys_and_empty_tables(spark):
     rows = [(1, prose(1, 50)), (1, prose(2, 50)), (2, prose(2, 50)), (3, prose(1, 50))]
     got = Counter((r.doc_id, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
