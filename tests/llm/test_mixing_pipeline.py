@@ -163,3 +163,16 @@ def test_labels_with_a_null_flag_are_left_out(spark):
     from postlens.llm.op5_mixing import label_domains
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (3, 0, None), (4, None, None), (5, 0, 1)], "doc_id long, quality int, toxic int")
     assert {tuple(r) for r in label_domains(labels).collect()} == {(1, "good_clean"), (5, "poor_toxic")}
+
+
+def test_near_duplicates_move_no_text(spark):
+    docs = spark.createDataFrame([(i, prose(i % 3, 60) + " end" * (i // 3)) for i in range(9)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lone = corpus_pipeline.near_duplicates(spark, docs, "")
+        plan = lone._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in lone.collect()) == [0, 1, 2]
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
