@@ -94,3 +94,50 @@ def test_sums_with_and_without_a_sort_agree():
         keys, stats = boosting.summed(at[block.rows][used] * 90 + bins[used], moments[block.rows[used]])
         got = block.summed(at, moments, 90)
         assert (got[0] == keys).all() and np.allclose(got[1], stats)
+
+
+def test_one_task_and_jobs_grow_the_same_trees(spark, monkeypatch):
+    """A level's sums need no job where the entries fit in a task; beyond, jobs give the same trees."""
+    rows = sparse_rows(spark, 700, 9).repartition(4)
+    rows = rows.withColumn("label", F.when(F.rand(2) < 0.02, 1 - F.col("label")).otherwise(F.col("label"))).cache()
+    stages = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one-task", "one-task")
+    one = shape(boosting.fit_entries(rows, max_iter=12, max_depth=5))
+    jobs = len(stages.getJobIdsForGroup("one-task"))
+    spark.sparkContext.setJobGroup("jobs", "jobs")
+    monkeypatch.setattr(boosting, "TASK_ENTRIES", 0)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    monkeypatch.setattr(boosting, "MARGIN_EVERY", 5)
+    many = shape(boosting.fit_entries(rows, max_iter=12, max_depth=5))
+    assert many == one and jobs < 30 < len(stages.getJobIdsForGroup("jobs"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_larger_sibling_is_what_its_parent_has_left():
+    rng = np.random.default_rng(8)
+    rows, n_bins = 400, 60
+    bins = np.sort(rng.integers(0, n_bins, 3000)).astype(np.int32)
+    block = boosting.Block(np.ones(rows), np.zeros(rows), bins, rng.integers(0, rows, 3000).astype(np.int32))
+    moments = boosting._moments(rng.normal(size=rows))
+    parents, children = rng.integers(0, 2, rows), np.full(rows, -1)
+    children[parents == 1] = np.where(rng.random((parents == 1).sum()) < 0.8, 1, 0)  # place 1 has most of parent 1
+    table = lambda at: (np.zeros((2, 3)), *block.summed(at, moments, n_bins))
+    got = boosting.with_larger(table(np.where(children == 0, 0, -1)), table(parents), {1: (1, 0)}, n_bins)
+    want = table(children)
+    assert (got[1] == want[1]).all() and np.allclose(got[2], want[2])
+
+
+def test_blocks_are_packed_and_joined_without_loss():
+    rng = np.random.default_rng(4)
+    blocks = []
+    for n in (5, 0, 7):
+        bins = np.sort(rng.integers(0, 20, 4 * n)).astype(np.int32)
+        blocks.append(boosting.Block(rng.choice([-1.0, 1.0], n), rng.random(n), bins, rng.integers(0, max(n, 1), 4 * n).astype(np.int32)))
+    again = [boosting.unpacked(boosting.packed(b)) for b in blocks]
+    for b, c in zip(blocks, again, strict=True):
+        assert all((x == y).all() for x, y in zip(b[:4], c[:4], strict=True))
+    pairs = sorted((int(x), int(r) + base) for b, base in zip(blocks, (0, 5, 5)) for x, r in zip(b.bins, b.rows))
+    whole = boosting.joined(again, 20)
+    assert (whole.starts == whole._replace(starts=None).bin_starts()).all()
+    assert sorted(zip(whole.bins.tolist(), whole.rows.tolist())) == pairs and (np.diff(whole.bins) >= 0).all() and not again
+    assert (whole.label == np.concatenate([b.label for b in blocks])).all() and (whole.margin == np.concatenate([b.margin for b in blocks])).all()
