@@ -119,3 +119,16 @@ def test_small_rank_and_empty_table(spark):
     assert fitted.count() == 0
     alone = spark.createDataFrame([(1, ["a"])], SCHEMA)
     assert factors.embed_factors(alone, fitted, 4).first().embedding == [0.0] * 4
+
+
+def test_tables_of_past_iterations_are_removed(spark):
+    import os
+
+    from postlens.session import checkpoint_dir
+    docs = spark.createDataFrame([(i, [f"a{i % 3}", f"b{i % 4}", "c", f"d{i % 5}"]) for i in range(40)], "doc_id long, tokens array<string>")
+    there = lambda: {f for f in os.listdir(checkpoint_dir(spark)) if f.startswith("factors-")}
+    before = there()
+    vectors = factors.fit_factors(docs, dim=3, iterations=4)
+    left = there() - before
+    assert len(left) <= 2 and vectors.count() == 13  # the vectors, and the terms' sums
+    assert any(f in vectors.inputFiles()[0] for f in left)
