@@ -46,7 +46,7 @@ import os
 import struct
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -65,6 +65,8 @@ ORDER = 3
 CHUNK_BYTES, SHARD_TOKENS, WAVES = 12 << 20, 1_000_000, 4
 #: Text bytes that are split into words at once.
 STEP_BYTES = 1 << 20
+#: Contexts of a shard that are unpacked at once: a hot word's are asked of all its shards, so they grow with the corpus.
+CONTEXTS = 1 << 21
 
 #: Bytes of an Arrow batch of packed rows.
 BATCH_BYTES = 8 << 20
@@ -208,10 +210,11 @@ class Grams:
         self.gram = gram.astype(np.int32)
 
 
-def deal(chunk: Chunk, grams: Grams, shards: int, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n-grams and contexts by shard of the wave: their numbers in the order sent, and the shards' borders in both.
+def deal(chunk: Chunk, grams: Grams, shards: int, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray, Callable[[int], np.ndarray]]:
+    """n-grams by shard of the wave: their numbers in the order sent, and the shards' borders in them; and the
+    contexts of a shard, in order.
 
-    A context goes to every shard that may hold its n-grams.
+    A context goes to every shard that may hold its n-grams, so all shards' together are many more than the chunk has.
     """
     ways = np.ones(len(chunk.words), np.int64)
     if hot:
@@ -225,12 +228,23 @@ def deal(chunk: Chunk, grams: Grams, shards: int, hot: dict[int, int]) -> tuple[
     gram_shard = (base[first] + (salt[grams.word] % ways[first].astype(np.uint64)).astype(np.int64)) % shards
     sent = np.argsort(gram_shard, kind="stable")
     many = ways[near]
-    copies = np.repeat(np.arange(len(near)), many)
-    step = np.arange(len(copies)) - np.repeat(np.cumsum(many) - many, many)
-    context_shard = (base[near[copies]] + step) % shards
-    order = np.argsort(context_shard, kind="stable")
     borders = np.arange(shards + 1)
-    return (sent, np.searchsorted(gram_shard[sent], borders), copies[order], np.searchsorted(context_shard[order], borders))
+    once = np.flatnonzero(many == 1)
+    once = once[np.argsort(base[near[once]], kind="stable")]
+    once_at = np.searchsorted(base[near[once]], borders)
+    # the contexts of one nearest word stand together
+    starts = np.flatnonzero(np.diff(near, prepend=-1))
+    ends = np.append(starts[1:], len(near))
+    dealt = many[starts] > 1
+    starts, ends = starts[dealt], ends[dealt]
+    from_, ways_of = base[near[starts]], many[starts]
+
+    def contexts(shard: int) -> np.ndarray:
+        here = np.flatnonzero((shard - from_) % shards < ways_of)
+        own = once[once_at[shard]:once_at[shard + 1]]
+        return np.sort(np.concatenate([own, *(np.arange(starts[i], ends[i]) for i in here)])) if len(here) else own
+
+    return sent, np.searchsorted(gram_shard[sent], borders), contexts
 
 
 def parts(batches: Iterator[pa.RecordBatch], order: int, shards: int, hot: dict[int, int], wave: int) -> Iterator[pa.RecordBatch]:
@@ -242,12 +256,12 @@ def parts(batches: Iterator[pa.RecordBatch], order: int, shards: int, hot: dict[
             found = Grams(chunk, order, wave)
             train = np.repeat(~np.array(row["held"], bool), chunk.sizes)
             counts = np.bincount(found.gram[train[found.at]], minlength=len(found.word))
-            grams, gram_at, contexts, context_at = deal(chunk, found, shards, hot)
+            grams, gram_at, contexts = deal(chunk, found, shards, hot)
             names, rows = [], []
             place, at_context = np.zeros(len(chunk.words), np.int64), np.zeros(len(found.contexts), np.int64)
             short = chunk.words >> np.uint64(64 - WORD_BITS)
             for s in range(shards):
-                mine, asked = grams[gram_at[s]:gram_at[s + 1]], contexts[context_at[s]:context_at[s + 1]]
+                mine, asked = grams[gram_at[s]:gram_at[s + 1]], contexts(s)
                 if not len(asked):
                     continue
                 ctx, word = found.contexts[asked], found.word[mine]
@@ -271,13 +285,24 @@ def parts(batches: Iterator[pa.RecordBatch], order: int, shards: int, hot: dict[
 
 # -- shards --------------------------------------------------------------------
 
+def columns_of(blobs: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The words of a part, and by their numbers its contexts, nearest word first."""
+    return unpack_steps(blobs[0], WORD_BITS), [np.cumsum(numbers(blobs[1])), *map(numbers, blobs[2:order])]
+
+
+def context_hashes(words: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, hashes of the contexts) for k = 2 ... n."""
+    h = np.ones(len(columns[0]), np.uint64)
+    for k, c in enumerate(columns, 2):
+        h = mix64(h * PHI + words[c])
+        yield k, h
+
+
 class Part:
     """A chunk's n-grams in one shard, as hashes."""
 
-    def __init__(self, chunk: int, blobs: list[bytes], order: int):
-        self.chunk = chunk
-        words = unpack_steps(blobs[0], WORD_BITS)
-        columns = [np.cumsum(numbers(blobs[1])), *map(numbers, blobs[2:order])]
+    def __init__(self, blobs: list[bytes], order: int):
+        words, columns = columns_of(blobs, order)
         many = numbers(blobs[order])
         context = np.repeat(np.arange(len(many)), many)
         step = numbers(blobs[order + 1])
@@ -286,25 +311,43 @@ class Part:
         first = (np.cumsum(many) - many)[full]
         self.word = words[total - np.repeat(total[first] - step[first], many[full])]
         self.count = numbers(blobs[order + 2])
-        self.many = many
-        h = np.ones(len(columns[0]), np.uint64)
-        self.contexts, self.grams = {}, {}  # by k = 2 ... n
-        for k, c in enumerate(columns, 2):
-            h = mix64(h * PHI + words[c])
+        self.contexts, self.grams, self.held_in = {}, {}, {}  # by k = 2 ... n; the last: each n-gram's context
+        for k, h in context_hashes(words, columns):
             self.contexts[k] = h >> np.uint64(64 - GRAM_BITS)
+            self.held_in[k] = self.contexts[k][context]
             self.grams[k] = mix64((h[context] ^ PHI) * PHI + self.word) >> np.uint64(64 - GRAM_BITS)
 
 
 class Asked:
-    """All parts of a shard, end to end."""
+    """The n-grams of all parts of a shard, end to end, and the parts' contexts."""
 
     def __init__(self, asked: list[tuple[int, list[bytes]]], order: int):
-        held = [Part(c, b, order) for c, b in asked]
-        self.chunks = [p.chunk for p in held]
-        self.word, self.count, self.many = (np.concatenate([getattr(p, name) for p in held]) for name in ("word", "count", "many"))
-        self.contexts, self.grams = ({k: np.concatenate([getattr(p, name)[k] for p in held]) for k in range(2, order + 1)}
-                                     for name in ("contexts", "grams"))
-        self.gram_ends, self.context_ends = (np.cumsum([len(getattr(p, name)) for p in held]) for name in ("word", "many"))
+        self.order, self.kept, self.steps = order, [], [[]]
+        held, size = [], 0
+        for i, (_, blobs) in enumerate(asked):
+            part = Part(blobs, order)
+            size += len(part.contexts[2])
+            if self.steps[-1] and size > CONTEXTS:
+                self.steps.append([])
+                size = len(part.contexts[2])
+            self.steps[-1].append(i)
+            if len(self.steps) == 1:
+                self.kept.append(part.contexts)
+            part.contexts = None
+            held.append(part)
+        if len(self.steps) > 1:
+            self.kept = []
+        self.chunks, self.blobs = [c for c, _ in asked], [b for _, b in asked] if len(self.steps) > 1 else []
+        self.word, self.count = (np.concatenate([getattr(p, name) for p in held]) for name in ("word", "count"))
+        self.grams, self.held_in = ({k: np.concatenate([getattr(p, name)[k] for p in held]) for k in range(2, order + 1)}
+                                    for name in ("grams", "held_in"))
+        self.gram_ends = np.cumsum([len(p.word) for p in held])
+
+    def contexts(self, step: list[int]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+        """The contexts of the parts ``step``, end to end, and where each part's end."""
+        each = [self.kept[i] if self.kept else {k: h >> np.uint64(64 - GRAM_BITS) for k, h in context_hashes(*columns_of(self.blobs[i], self.order))}
+                for i in step]
+        return {k: np.concatenate([c[k] for c in each]) for k in range(2, self.order + 1)}, np.cumsum([len(c[2]) for c in each])
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -317,14 +360,13 @@ def build(asked: Asked, order: int) -> tuple[list[np.ndarray], list[int], np.nda
     their sums (A, and how many n-grams count 1, 2, 3 or more); the counts of counts; and the
     predicted words with their distinct words in front."""
     mine = np.flatnonzero(asked.count)
-    context = np.repeat(np.arange(len(asked.many)), asked.many)
     arrays: list[np.ndarray] = []
     stats: list[int] = []
     for k in range(order, 1, -1):
         names, first, at = np.unique(asked.grams[k][mine], return_index=True, return_inverse=True)
         adjusted = np.bincount(at, weights=asked.count[mine] if k == order else None, minlength=len(names)).astype(np.int64)
         mine = mine[first]  # one row for every distinct n-gram
-        held_in, at = np.unique(asked.contexts[k][context[mine]], return_inverse=True)
+        held_in, at = np.unique(asked.held_in[k][mine], return_inverse=True)
         sums = [np.bincount(at, weights=w, minlength=len(held_in)).astype(np.int64)
                 for w in (adjusted, adjusted == 1, adjusted == 2, adjusted > 2)]
         arrays += [names, narrow(adjusted), held_in, *map(narrow, sums)]
@@ -400,20 +442,25 @@ def serve(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBa
         mapped = Mapped(arrays)
         del arrays
         try:
-            out: list[list[bytes]] = [[] for _ in asked.chunks]
-
-            def answer(keys: int, hashes: np.ndarray, values: list[int], ends: np.ndarray) -> None:
-                for found in mapped.find(keys, hashes, values):
-                    for told, x in zip(out, np.split(found, ends[:-1]), strict=True):
-                        told.append(pack(x))
-
-            for i, k in enumerate(range(order, 1, -1)):
-                answer(width * i, asked.grams[k], [width * i + 1], asked.gram_ends)
-                answer(width * i + 2, asked.contexts[k], [width * i + j for j in (3, 4, 5, 6)], asked.context_ends)
+            for step in asked.steps:
+                contexts, context_ends = asked.contexts(step)
+                before = asked.gram_ends[step[0] - 1] if step[0] else 0
+                grams, gram_ends = slice(before, asked.gram_ends[step[-1]]), asked.gram_ends[step] - before
+                out: list[list[bytes]] = [[] for _ in step]
+
+                def answer(keys: int, hashes: np.ndarray, values: list[int], ends: np.ndarray) -> None:
+                    for found in mapped.find(keys, hashes, values):
+                        for told, x in zip(out, np.split(found, ends[:-1]), strict=True):
+                            told.append(pack(x))
+
+                for i, k in enumerate(range(order, 1, -1)):
+                    answer(width * i, asked.grams[k][grams], [width * i + 1], gram_ends)
+                    answer(width * i + 2, contexts[k], [width * i + j for j in (3, 4, 5, 6)], context_ends)
+                del contexts
+                for i, told in zip(step, out, strict=True):
+                    yield _row(shard, asked.chunks[i], told, None, ANSWER)
         finally:
             mapped.close()
-        for chunk, told in zip(asked.chunks, out, strict=True):
-            yield _row(shard, chunk, told, None, ANSWER)
 
     shard, stored, asked = None, None, []
     for batch in batches:
@@ -477,7 +524,7 @@ def scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
     def probabilities(c: Chunk, found: Grams, single: np.ndarray, wave: int) -> np.ndarray:
         """Of the distinct n-grams."""
-        grams, gram_at, contexts, context_at = deal(c, found, model.shards, model.hot)
+        grams, gram_at, contexts = deal(c, found, model.shards, model.hot)
         levels = range(model.order, 1, -1)
         adjusted = {k: np.zeros(len(found.word), np.int64) for k in levels}
         sums = {k: np.zeros((4, len(found.contexts)), np.int64) for k in levels}
@@ -485,7 +532,7 @@ def scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             if shard // model.shards != wave:
                 continue
             s = shard % model.shards
-            mine, asked = grams[gram_at[s]:gram_at[s + 1]], contexts[context_at[s]:context_at[s + 1]]
+            mine, asked = grams[gram_at[s]:gram_at[s + 1]], contexts(s)
             for i, k in enumerate(levels):
                 adjusted[k][mine] = numbers(blobs[5 * i])
                 for j in range(4):

@@ -151,3 +151,46 @@ def test_words_of_chunks_are_met_in_waves(spark, monkeypatch):
     assert lm.train_and_score(chunks)[1].count() == 200
     assert len(made) == lm.WAVES and sum(map(len, made)) == len(set().union(*made)) == 16
     assert max(map(len, made)) < 16
+
+
+def test_a_hot_words_contexts_are_unpacked_in_steps(spark, monkeypatch):
+    """A hot word's contexts are asked of all its shards; a task holds a bounded number of them, with the same scores."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 4_000)
+    monkeypatch.setattr(lm, "CONTEXTS", 60)
+    rows = [(i, " ".join(f"the w{(i * 31 + j) % 200}" for j in range(40))) for i in range(90)]
+    plain = Plain([t for k, t in rows if not held(k)], 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+    model, out = lm.train_and_score(docs.repartition(3))
+    assert max(model.hot.values()) > 2
+    for r in out.collect():
+        check(tuple(r)[2:], plain.row(dict(rows)[r.doc_id]))
+
+    # one shard's parts, each with more n-grams than fit
+    table = docs.select(F.col("doc_id").alias("id"), "text", "held").toArrow().combine_chunks().to_batches()[0]
+    held_chunks = list(lm.encode(table.slice(i, 15) for i in range(0, 90, 15)))
+    asked = []
+    for batch in held_chunks:
+        for sent in lm.parts(iter([batch.select(["chunk", "held", "sizes", "tokens", "words"])]), 3, 1, {}, 0):
+            asked += zip(sent.column("chunk").to_pylist(), sent.column("blobs").to_pylist())
+    found = lm.Asked(list(asked), 3)
+    assert len(found.steps) == len(asked) > 1 and not found.kept
+    whole = [lm.Part(b, 3).contexts for _, b in asked]
+    for step in found.steps:
+        got, ends = found.contexts(step)
+        assert ends[-1] == len(got[3]) and all((got[k] == whole[step[0]][k]).all() for k in (2, 3))
+
+
+def test_contexts_are_dealt_shard_by_shard():
+    chunk = lm.Chunk(lm.pack(np.tile([0, 1, 0, 2, 0, 3, 1, 2], 5)), np.array([40]), lm.pack_steps(np.array([7, 1 << 61, 5 << 60, 9 << 60], np.uint64)))
+    for wave in range(lm.WAVES):
+        grams = lm.Grams(chunk, 3, wave)
+        if not len(grams.at):
+            continue
+        hot = {int(w): 3 for w in chunk.words[:2]}
+        sent, borders, contexts = lm.deal(chunk, grams, 5, hot)
+        got = [contexts(s) for s in range(5)]
+        assert all((np.diff(c) > 0).all() for c in got)
+        copies = np.bincount(np.concatenate(got), minlength=len(grams.contexts))
+        assert (copies == [hot.get(int(chunk.words[n]), 1) for n in grams.contexts[:, 0]]).all()
+        for s in range(5):  # every n-gram's context is where the n-gram is
+            assert set(grams.context[sent[borders[s]:borders[s + 1]]]) <= set(got[s].tolist())
