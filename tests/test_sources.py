@@ -96,3 +96,23 @@ def test_read_labeled_columns_is_written_by_many_tasks(spark, tmp_path, monkeypa
     assert len([f for f in (tmp_path / "columns").iterdir() if f.name.endswith(".csv")]) > 1
     want = sorted((t or "", str(i % 2 if i % 5 == 0 else 2)) for i, t in texts)
     assert sorted((r.text or "", r.label) for r in rows) == want
+
+
+def test_appended_twice_and_preprocessed_once(spark, monkeypatch):
+    """Both runs of the append write rows that were tokenized before."""
+    from postlens.plans import io_queries
+    from postlens.sources.sinks import append_run, scratch_path
+    d = scratch_path(spark, "tables")
+    texts = [(1, "Hello there, good people"), (2, "second\nmessage"), (3, ""), (4, None), (5, "Hello there, good people")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    plans = []
+
+    def kept(df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return append_run(df, *args)
+    monkeypatch.setattr(io_queries, "append_run", kept)
+    got = sorted((r.text, r.label) for r in io_queries.q_write_preprocessed(spark, d).collect())
+    want = sorted((r.text, str(r.label)) for r in io_queries.q_preprocess_job(spark, d).collect())
+    assert got == want and len(got) == 3
+    assert len(plans) == 2 and not any("regexp" in p or "transform(" in p for p in plans)
